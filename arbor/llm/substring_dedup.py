@@ -12,7 +12,8 @@ same id are ordered by their text. Null and empty texts have no words; documents
 lose nothing; the input's other columns are ignored; an empty table gives an empty result. Comparison is
 by 64-bit anchors and then independent 96-bit window hashes.
 
-Scale. Three passes over the text, which is shuffled once by cell; the other shuffles carry about four
+Scale. Three passes over the text, which is shuffled once by cell (the plan is one query, so Spark reuses
+the exchange; without reuse it is only recomputed); the other shuffles carry about four
 bytes a word and 14 bytes a repeated window. No group grows with the number of copies of a text.
 """
 
@@ -196,8 +197,8 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = C.n_cells(docs, "text", cell_bytes)
     dealt = docs.withColumn("cell", C.cell_of("doc_id", n))
-    hits = dealt.groupBy("cell").applyInArrow(_ask_anchors(n, block, window), _SENT).groupBy("bucket").applyInArrow(_answer_anchors, _ANSWER).checkpoint()
+    hits = dealt.groupBy("cell").applyInArrow(_ask_anchors(n, block, window), _SENT).groupBy("bucket").applyInArrow(_answer_anchors, _ANSWER)
     asked = dealt.groupBy("cell").cogroup(hits.groupBy("cell")).applyInArrow(_ask_windows(n, block, window), _SENT)
-    repeats = asked.groupBy("bucket").applyInArrow(_answer_windows, _ANSWER).checkpoint()
+    repeats = asked.groupBy("bucket").applyInArrow(_answer_windows, _ANSWER)
     both = hits.unionByName(repeats)
     return dealt.groupBy("cell").cogroup(both.groupBy("cell")).applyInArrow(_finish(n, block, window, digest), _OUT)
