@@ -16,7 +16,58 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.col("text").alias("kept_sha256"))
 
 
+def op1_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arbor.llm.perspectives import rotate
+
+    out = rotate(table(spark, sf_dir, "conversations"))
+    mask = F.array_join(F.transform("mask", lambda m: F.concat_ws(":", m["start"].cast("string"), m["end"].cast("string"))), ",")
+    return out.select("conv_id", "perspective", "segment", "n_turns", "n_own", "start", "text", mask.alias("mask"))
+
+
+OP1_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, role, text, CAST(floor(turn / 1024.0) AS BIGINT) AS segment,
+         replace(coalesce(text, ''), '<|', '<||') || '<|end|>' AS body
+  FROM conversations),
+p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role IS NOT NULL AND role <> 'system'),
+r AS (
+  SELECT t.conv_id, p.perspective, t.segment, t.turn, t.role, t.text, body, coalesce(role = perspective, false) AS own,
+         CASE WHEN role = 'system' THEN '<|system|>' || chr(10) WHEN role = perspective THEN '<|assistant|>' || chr(10)
+              ELSE '<|user:' || replace(coalesce(role, 'unknown'), '<|', '<||') || '|>' || chr(10) END AS head
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+o AS (
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective
+            ORDER BY segment, turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+  FROM r)
+SELECT conv_id, perspective, segment, count(*) AS n_turns, CAST(sum(CASE WHEN own THEN 1 ELSE 0 END) AS BIGINT) AS n_own,
+       CAST(min(at) AS BIGINT) AS start,
+       string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS text,
+       coalesce(string_agg(CAST(at + length(head) AS BIGINT) || ':' || CAST(at + length(head) + length(body) AS BIGINT), ','
+                ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (WHERE own), '') AS mask
+FROM o GROUP BY conv_id, perspective, segment
+"""
+
+
+def op3_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arbor.llm.feistel_shard import shard_rows
+
+    out = shard_rows(table(spark, sf_dir, "documents"), shards=16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_no")
+
+
+def op4_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arbor.llm.secret_scan import default_model, scan
+
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, default_model(spark, docs))
+
+
 QUERIES = {
+    "op1_perspective_rotation": op1_perspective_rotation,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_feistel_sharding": op3_feistel_sharding,
+    "op4_markov_secrets": op4_markov_secrets,
+}
+ORACLES: dict[str, str] = {
+    "op1_perspective_rotation": OP1_SQL,
 }
-ORACLES: dict[str, str] = {}
