@@ -37,12 +37,12 @@ r AS (
   FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 o AS (
   SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective
-            ORDER BY segment, turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+            ORDER BY segment, turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
   FROM r)
 SELECT conv_id, perspective, segment, count(*) AS n_turns, CAST(sum(CASE WHEN own THEN 1 ELSE 0 END) AS BIGINT) AS n_own,
-       CAST(min(at) AS BIGINT) AS start,
+       CAST(min(pos) AS BIGINT) AS start,
        string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS text,
-       coalesce(string_agg(CAST(at + length(head) AS BIGINT) || ':' || CAST(at + length(head) + length(body) AS BIGINT), ','
+       coalesce(string_agg(CAST(pos + length(head) AS BIGINT) || ':' || CAST(pos + length(head) + length(body) AS BIGINT), ','
                 ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (WHERE own), '') AS mask
 FROM o GROUP BY conv_id, perspective, segment
 """
