@@ -62,11 +62,19 @@ def op4_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(docs, default_model(spark, docs))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arbor.llm.jaccard_join import jaccard_components
+
+    ensure_checkpoint_dir(spark)
+    return jaccard_components(table(spark, sf_dir, "documents"), shingle=3, percent=90).drop("class_key")
+
+
 QUERIES = {
     "op1_perspective_rotation": op1_perspective_rotation,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_feistel_sharding": op3_feistel_sharding,
     "op4_markov_secrets": op4_markov_secrets,
+    "op8_jaccard_join": op8_jaccard_join,
 }
 ORACLES: dict[str, str] = {
     "op1_perspective_rotation": OP1_SQL,
