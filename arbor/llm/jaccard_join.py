@@ -2,6 +2,7 @@
 
 1. The number of documents that hold each shingle is counted corpus-wide (cells and buckets); a document's
    shingles are ordered by the binary logarithm of that number, rarest first, and then by hash.
+   A shingle that one document alone holds can be in no intersection, which bounds what two sets share.
 2. The first n - ceil(t n) + 1 shingles are its prefix: two documents that link share one of them. Shingles
    of one document only are never sent.
 3. Documents with equal sets become one class; classes with the same prefix and size become one group.
@@ -133,25 +134,32 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows = dealt.groupBy("cell").cogroup(levels.groupBy("cell")).applyInArrow(_prefixes(n, shingle, percent), _DOC).checkpoint()
     held = rows.where("node is not null")
     classes = held.groupBy("node").agg(F.min("doc_id").alias("least_id"), *[F.first(c).alias(c) for c in ("n", "grp", "rare", "tokens", "shingles")]).checkpoint()
-    fits = lambda x, y: (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
 
-    groups = classes.groupBy("grp").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.min(F.struct("rare", "n", "node")).alias("hub"))
-    posted = groups.select("grp", "n", "hub", F.explode("tokens").alias("token"))
+    def fits(a: str, b: str):
+        """What two sets may share at most, given their sizes and the shingles no other document has, reaches the percentage."""
+        most = F.least(F.col(f"{a}.n") - F.col(f"{a}.rare"), F.col(f"{b}.n") - F.col(f"{b}.rare"))
+        return most * 100 >= (F.col(f"{a}.n") + F.col(f"{b}.n") - most) * percent
+
+    groups = classes.groupBy("grp").agg(F.first("tokens").alias("tokens"), F.min(F.struct("rare", "n", "node")).alias("hub"))
+    posted = groups.select("grp", "hub", F.explode("tokens").alias("token"))
     hubs = posted.groupBy("token").agg(F.min("hub").alias("top"), F.count("*").alias("m")).where("m > 1").select("token", "top")
-    members = classes.select("grp", "node", "n")
-    to_hub = posted.join(hubs, "token").where(fits("n", "top.n")).select("grp", F.col("top.node").alias("b")).unionByName(groups.select("grp", F.col("hub.node").alias("b"))).distinct()
+    members = classes.select("grp", "node")
+    to_hub = posted.join(hubs, "token").where(fits("hub", "top")).select("grp", F.col("top.node").alias("b")).unionByName(groups.select("grp", F.col("hub.node").alias("b"))).distinct()
     first = members.join(to_hub, "grp").where("node <> b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
     edges = _verify(first, classes, percent).checkpoint()
     stars = connected_components(edges)
 
-    placed = members.join(stars, "node", "left").select("grp", "node", "n", F.coalesce("component", "node").alias("comp")).checkpoint()
-    spans = placed.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.first("n").alias("n"))
-    left = groups.select("grp", F.explode("tokens").alias("token")).join(spans, "grp")
+    placed = members.join(stars, "node", "left").select("grp", "node", F.coalesce("component", "node").alias("comp")).checkpoint()
+    spans = placed.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    left = posted.join(groups.select("grp", "tokens"), "grp").join(spans, "grp")
     open_tokens = left.groupBy("token").agg(F.min("lo").alias("tl"), F.max("hi").alias("th")).where("tl <> th").select("token")
     left = left.join(open_tokens, "token", "left_semi")
-    x, y = (left.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("grp", "lo", "hi", "n")]) for i in (1, 2))
+    x, y = (left.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("grp", "lo", "hi", "hub", "tokens")]) for i in (1, 2))
     apart = ~((F.col("lo1") == F.col("hi1")) & (F.col("lo1") == F.col("lo2")) & (F.col("lo2") == F.col("hi2")))
-    pairs = x.join(y, "token").where((F.col("grp1") < F.col("grp2")) & fits("n1", "n2") & apart).select("grp1", "grp2").unionByName(spans.where("lo <> hi").select(F.col("grp").alias("grp1"), F.col("grp").alias("grp2"))).distinct()
+    # what follows a prefix adds at most ceil(t n) - 1 to the shingles that both prefixes hold; a pair counts at the first of them
+    both, after = F.array_intersect("tokens1", "tokens2"), F.floor((F.greatest("hub1.n", "hub2.n") * percent + 99) / 100) - 1
+    enough = (F.size(both) + after) * (100 + percent) >= (F.col("hub1.n") + F.col("hub2.n")) * percent
+    pairs = x.join(y, "token").where((F.col("grp1") < F.col("grp2")) & fits("hub1", "hub2") & apart & enough & (F.element_at(both, 1) == F.col("token"))).select("grp1", "grp2").unionByName(spans.where("lo <> hi").select(F.col("grp").alias("grp1"), F.col("grp").alias("grp2"))).distinct()
     m1, m2 = (placed.select(F.col("grp").alias(f"grp{i}"), F.col("node").alias(f"node{i}"), F.col("comp").alias(f"comp{i}")) for i in (1, 2))
     rest = pairs.join(m1, "grp1").join(m2, "grp2").where("comp1 <> comp2").select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
     more = _verify(rest, classes, percent)
