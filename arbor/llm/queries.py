@@ -69,11 +69,26 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), shingle=3, percent=90).drop("class_key")
 
 
+def tokenizer_path() -> str:
+    """The word-level BPE file of the public tokenizers on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arbor.llm.bpe_tree import encode_decode
+
+    out = encode_decode(table(spark, sf_dir, "documents"), tokenizer_path(), digest=True)
+    return out.select("doc_id", "n_tokens", F.decode("ids", "utf-8").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_perspective_rotation": op1_perspective_rotation,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_feistel_sharding": op3_feistel_sharding,
     "op4_markov_secrets": op4_markov_secrets,
+    "op5_bpe_tree": op5_bpe_tree,
     "op8_jaccard_join": op8_jaccard_join,
 }
 ORACLES: dict[str, str] = {

@@ -6,8 +6,8 @@ ratio over its character pairs decides. The fixed patterns (base spans) always s
 when no base span overlaps it.
 
 Training. `samples` has (text, label) with label 1 for random strings, 0 for ordinary identifiers.
-`default_samples` makes random strings of known alphabets from hashes, and takes words of at most
-SAMPLE_DOCS documents (the ones with the least id hash) as ordinary; this bound is a parameter. The model
+`default_samples` makes random strings of known alphabets from hashes, and takes words of about
+SAMPLE_DOCS documents (a share of the id hashes that holds so many) as ordinary; this bound is a parameter. The model
 has 66 x 66 entries whatever the input, so it is small enough to be a constant of the plan.
 
 Rules. Null and empty texts have no spans. Positions are code points, ends exclusive. Extra columns, also
@@ -67,7 +67,10 @@ def default_samples(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     b64 = F.base64(raw)
     kinds = [F.substring(b64, 1, 40), F.translate(F.substring(b64, 41, 40), "+/", "-_"), F.upper(F.regexp_replace(F.substring(b64, 1, 86), "[+/=]", "")), F.substring("x", 1, 40)]
     random = seed.select(F.explode(F.array(*kinds)).alias("text"), F.lit(1).alias("label"))
-    some = docs.select(F.col(text_col).alias("t"), F.xxhash64(id_col).alias("k")).orderBy("k", "t").limit(sample_docs)
+    # a share of the ids' hashes, so that no task gathers the sample
+    parts = 1 << 20
+    share = max(1, min(parts, sample_docs * parts // max(1, docs.count())))
+    some = docs.where(F.pmod(F.xxhash64(id_col), F.lit(parts)) < share).select(F.col(text_col).alias("t"))
     words = some.select(F.array_distinct(F.regexp_extract_all("t", F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("w"))
     joined = lambda sep: F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat(F.element_at("w", i), F.lit(sep), F.element_at("w", i + 1)))
     ordinary = words.where(F.size("w") > 1).select(F.explode(F.concat("w", joined("_"), joined("-"), F.transform(joined(""), lambda s: s), F.transform("w", lambda s: F.upper(s)), F.transform("w", lambda s: F.concat(s, F.lit("2024")))))).toDF("text").withColumn("label", F.lit(0))
