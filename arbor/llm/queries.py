@@ -83,12 +83,19 @@ def op5_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.decode("ids", "utf-8").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256"))
 
 
+def op6_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arbor.llm.html_extract import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_perspective_rotation": op1_perspective_rotation,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_feistel_sharding": op3_feistel_sharding,
     "op4_markov_secrets": op4_markov_secrets,
     "op5_bpe_tree": op5_bpe_tree,
+    "op6_host_suffix_array": op6_host_suffix_array,
     "op8_jaccard_join": op8_jaccard_join,
 }
 ORACLES: dict[str, str] = {
