@@ -89,6 +89,20 @@ def op6_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op9_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arbor.llm.neighbour_quality import fit, scores
+
+    docs = table(spark, sf_dir, "documents")
+    return scores(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arbor.llm.metric_join import near_duplicates
+
+    ensure_checkpoint_dir(spark)
+    return near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 QUERIES = {
     "op1_perspective_rotation": op1_perspective_rotation,
     "op2_substring_dedup": op2_substring_dedup,
@@ -97,6 +111,8 @@ QUERIES = {
     "op5_bpe_tree": op5_bpe_tree,
     "op6_host_suffix_array": op6_host_suffix_array,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_neighbour_quality": op9_neighbour_quality,
+    "op10_metric_join": op10_metric_join,
 }
 ORACLES: dict[str, str] = {
     "op1_perspective_rotation": OP1_SQL,
