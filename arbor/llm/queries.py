@@ -103,6 +103,13 @@ def op10_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+def op7_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arbor.llm.template_leaks import leaks
+
+    ensure_checkpoint_dir(spark)
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
+
+
 QUERIES = {
     "op1_perspective_rotation": op1_perspective_rotation,
     "op2_substring_dedup": op2_substring_dedup,
@@ -110,6 +117,7 @@ QUERIES = {
     "op4_markov_secrets": op4_markov_secrets,
     "op5_bpe_tree": op5_bpe_tree,
     "op6_host_suffix_array": op6_host_suffix_array,
+    "op7_template_leaks": op7_template_leaks,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_neighbour_quality": op9_neighbour_quality,
     "op10_metric_join": op10_metric_join,

@@ -1,0 +1,31 @@
+import hashlib
+
+import numpy as np
+
+import corpus_pipeline as P
+from arbor.llm.bpe_tree import encoder
+from arbor.llm.queries import tokenizer_path
+from tests.llm.test_secret_scan import brute as secrets_of
+
+
+def test_stages_over_whole_documents(spark):
+    d = "/root/testdata/sf0.001"
+    docs = start = spark.read.parquet(f"{d}/documents.parquet")
+    left = {}
+    for name, stage in P.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, d).collect(), start.schema)
+        assert docs.columns == start.columns
+        left[name] = {r.doc_id: r.text for r in docs.collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    assert sum(labels[k] == 0 for k in left["quality"] if k in labels) <= 1
+    assert set(left["quality"]) >= set(left["near_duplicates"]) >= set(left["benchmark_leaks"]) == set(left["secrets"])
+    items = [r.text for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    assert not any(t in x for t in items for x in left["benchmark_leaks"].values())
+    assert not any(secrets_of(x) for x in left["secrets"].values())
+    tok = encoder(tokenizer_path()).tok
+    rows = {r.doc_id: r for r in P.tokens(spark, docs, d).collect()}
+    assert set(rows) == set(left["secrets"])
+    for k, t in left["secrets"].items():
+        ids = tok.encode(t, add_special_tokens=False).ids
+        assert rows[k].n_tokens == len(ids) and rows[k].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+    assert {r.doc_id for r in P.run(spark, d).collect()} == set(rows)
