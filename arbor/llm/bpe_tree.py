@@ -20,7 +20,7 @@ are shuffled, by id and text hash, so hot sources or copies do not meet in one t
 from __future__ import annotations
 
 import hashlib
-import struct
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +30,11 @@ from pyspark.sql import functions as F
 LEAF = 16384
 WINDOW = 64
 AGREE = 3
-MEMO = 400_000
-#: ASCII white space at which this tokenizer's texts can be cut; other white space stays inside a chunk.
-_SPACES = " \t\n\r\x0b\x0c"
+MEMO = 500_000
 
 
 class Encoder:
-    """A tokenizer of the tokenizers library with a memo of words."""
+    """A tokenizer of the tokenizers library with a memo of words: (ids, decoded, starts and ends)."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -44,44 +42,82 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.memo: dict[str, tuple] = {}
-        self.tokens: dict[int, str] = {}
-
-    def word(self, w: str) -> tuple:
-        """(ids as bytes, token texts joined by a blank, ids, starts, ends) of a chunk without ASCII white space."""
-        got = self.memo.get(w)
-        if got is None:
-            e = self.tok.encode(w, add_special_tokens=False)
-            off = e.offsets
-            got = (struct.pack(f"<{len(e.ids)}I", *e.ids), self.tok.decode(e.ids, skip_special_tokens=False), tuple(e.ids), tuple(a for a, _ in off), tuple(b for _, b in off))
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            self.memo[w] = got
+        self.memo: dict[str, tuple[bytes, str, bytes]] = {}
+        size = max(self.tok.get_vocab(with_added_tokens=True).values()) + 1
+        self.names = [self.tok.id_to_token(i) or "" for i in range(size)]
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes words that the memo lacks, many at a time: joined by blanks they do not touch each other."""
+        if len(self.memo) + len(words) > MEMO:
+            self.memo.clear()
+        for at in range(0, len(words), 2000):
+            part = words[at : at + 2000]
+            e = self.tok.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(e.ids, np.uint32)
+            off = np.array(e.offsets, np.int64).reshape(-1, 2)
+            begin = np.concatenate([[0], np.cumsum([len(w) + 1 for w in part])])
+            cut = np.searchsorted(off[:, 0], begin)
+            base = np.repeat(begin[:-1], np.diff(cut))
+            off8 = (off - base[:, None]).astype(np.int32)
+            for w, i, j in zip(part, cut.tolist(), cut[1:].tolist()):
+                k = ids[i:j]
+                self.memo[w] = (k.tobytes(), " ".join([self.names[x] for x in k.tolist()]), off8[i:j].tobytes())
+
+    def known(self, words: list[str]) -> list[tuple]:
+        """Memo entries of words."""
+        memo = self.memo
+        got = [memo.get(w) for w in words]
+        if None in got:
+            self.learn(list(dict.fromkeys(w for w, g in zip(words, got) if g is None)))
+            memo = self.memo
+            got = [memo.get(w) for w in words]
+            if None in got:  # the memo was emptied in between
+                self.learn(list(dict.fromkeys(w for w, g in zip(words, got) if g is None)))
+                got = [g or self.memo[w] for w, g in zip(words, got)]
         return got
 
     def short(self, text: str) -> tuple[bytes, str]:
         """(ids as bytes, decoded text) of a text by its words."""
-        memo, word = self.memo, self.word
-        parts = [memo.get(w) or word(w) for w in text.translate(_TO_BLANK).split(" ") if w]
-        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[2]])
+        parts = self.known(_words(text))
+        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[0]])
 
     def spans(self, text: str, base: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids, starts and ends of the tokens of a text, offset by base."""
-        ids, starts, ends, at = [], [], [], 0
-        for w in text.translate(_TO_BLANK).split(" "):
-            if w:
-                _, _, i, a, b = self.word(w)
-                ids += i
-                starts += [x + at for x in a]
-                ends += [x + at for x in b]
-            at += len(w) + 1
-        return np.array(ids, np.uint32), np.array(starts, np.int64) + base, np.array(ends, np.int64) + base
+        found = [(m.start(), m[0]) for m in (_ODD if _odd(text) else _WORD).finditer(text)]
+        parts = self.known([w for _, w in found])
+        at = np.repeat(np.array([a for a, _ in found], np.int64), [len(p[0]) // 4 for p in parts]) + base
+        ids, off = (np.frombuffer(b"".join([p[k] for p in parts]), t) for k, t in ((0, np.uint32), (2, np.int32)))
+        off = off.reshape(-1, 2)
+        return ids, off[:, 0] + at, off[:, 1] + at
 
     def decode(self, ids: np.ndarray) -> str:
-        return self.tok.decode(ids.tolist(), skip_special_tokens=False)
+        return " ".join([self.names[i] for i in ids.tolist()])
+
+
+#: str.split() cuts at white space, which the tokenizer drops, and at these four characters, which it keeps.
+_KEPT = "\x1c\x1d\x1e\x1f"
+_WORD, _ODD = re.compile(r"\S+"), re.compile(r"[^ \t\n\r\x0b\x0c]+")
+
+
+def _odd(text: str) -> bool:
+    return any(c in text for c in _KEPT)
+
+
+def _words(text: str) -> list[str]:
+    return _ODD.findall(text) if _odd(text) else text.split()
+
+
+def pack(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Three columns in the least widths that hold them: ids, steps between starts, lengths."""
+    return tuple(np.dtype(t := np.min_scalar_type(int(x.max()) if len(x) else 0)).char.encode() + x.astype(t).tobytes() for x in (ids, np.diff(starts, prepend=0), ends - starts))
+
+
+def unpack(ids: bytes, steps: bytes, lengths: bytes, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    i, d, n = (np.frombuffer(x[1:], x[:1].decode()).astype(np.int64) for x in (ids, steps, lengths))
+    starts = np.cumsum(d) + base
+    return i.astype(np.uint32), starts, starts + n
 
 
-_TO_BLANK = {ord(c): " " for c in _SPACES}
 _encoders: dict[str, Encoder] = {}
 
 
@@ -177,7 +213,7 @@ def _leaves(path: str):
     def run(batches):
         enc = encoder(path)
         for b in batches:
-            out = [tuple(x.tobytes() for x in enc.spans(t, at)) for t, at in zip(b.column("piece").to_pylist(), b.column("at").to_pylist())]
+            out = [pack(*enc.spans(t)) for t in b.column("piece").to_pylist()]
             names = ["doc_id", "row", "copy", "at", "piece"]
             yield pa.record_batch([b.column(c) for c in names] + [pa.array([o[k] for o in out], pa.binary()) for k in range(3)], [*names, "ids", "starts", "ends"])
 
@@ -194,7 +230,7 @@ def _root(path: str, digest: bool):
             i, j = copies.index(c), len(copies) - copies[::-1].index(c)
             s = t.slice(i, j - i)
             text = "".join(s["piece"].to_pylist())
-            leaves = [(np.frombuffer(a, np.uint32), np.frombuffer(b, np.int64), np.frombuffer(e, np.int64)) for a, b, e in zip(s["ids"].to_pylist(), s["starts"].to_pylist(), s["ends"].to_pylist())]
+            leaves = [unpack(a, b, e, at) for a, b, e, at in zip(s["ids"].to_pylist(), s["starts"].to_pylist(), s["ends"].to_pylist(), s["at"].to_pylist())]
             ids = encode_tree(enc, text, leaves, [*s["at"].to_pylist(), len(text)])[0]
             out.append((s["doc_id"][0].as_py(), len(ids), ids.astype("<u4").tobytes(), enc.decode(ids)))
         return _result([o[0] for o in out], [o[1] for o in out], [o[2] for o in out], [o[3] for o in out], digest)
