@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 LEAF = 16384
 WINDOW = 64
 AGREE = 3
-MEMO = 500_000
+MEMO = 250_000
 
 
 class Encoder:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that one cell holds, which bounds the memory of a task.
-CELL_BYTES = 12 << 20
+CELL_BYTES = 6 << 20
 NULL_ID = np.iinfo(np.int64).min
 
 

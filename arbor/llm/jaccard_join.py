@@ -29,6 +29,8 @@ from arbor.llm.components import connected_components
 from arbor.llm.textnum import bucket_of, mix, utf8, windows, word_hashes
 
 _U = np.uint64
+#: Pairs up to which the ids of their classes (two short strings a pair) are broadcast; beyond, Spark shuffles.
+BROADCAST_PAIRS = 100_000
 _SENT = "bucket int, cell int, data binary"
 _ANSWER = "cell int, bucket int, kind int, data binary"
 _DOC = "doc_id long, n long, node string, grp string, rare long, tokens array<long>, shingles binary"
@@ -119,8 +121,13 @@ def _verifier(percent: int):
     return run
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    sets = classes.select("node", "shingles")
+def _verify(pairs: DataFrame, classes: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The pairs that link. Only the sets of classes in pairs move, each read from one document of its class."""
+    pairs = pairs.checkpoint()
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", F.col("least_id").alias("doc_id")), "node")
+    if pairs.count() <= BROADCAST_PAIRS:
+        needed = F.broadcast(needed)
+    sets = held.select("node", "doc_id", "shingles").join(needed, ["node", "doc_id"]).groupBy("node").agg(F.first("shingles").alias("shingles"))
     whole = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     return whole.select("a", "b", "sa", "sb").mapInArrow(_verifier(percent), "a string, b string")
 
@@ -133,7 +140,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     levels = dealt.groupBy("cell").applyInArrow(_ask(n, shingle), _SENT).groupBy("bucket").applyInArrow(_answer, _ANSWER)
     rows = dealt.groupBy("cell").cogroup(levels.groupBy("cell")).applyInArrow(_prefixes(n, shingle, percent), _DOC).checkpoint()
     held = rows.where("node is not null")
-    classes = held.groupBy("node").agg(F.min("doc_id").alias("least_id"), *[F.first(c).alias(c) for c in ("n", "grp", "rare", "tokens", "shingles")]).checkpoint()
+    classes = held.groupBy("node").agg(F.min("doc_id").alias("least_id"), *[F.first(c).alias(c) for c in ("n", "grp", "rare", "tokens")]).checkpoint()
 
     def fits(a: str, b: str):
         """What two sets may share at most, given their sizes and the shingles no other document has, reaches the percentage."""
@@ -146,7 +153,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     members = classes.select("grp", "node")
     to_hub = posted.join(hubs, "token").where(fits("hub", "top")).select("grp", F.col("top.node").alias("b")).unionByName(groups.select("grp", F.col("hub.node").alias("b"))).distinct()
     first = members.join(to_hub, "grp").where("node <> b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    edges = _verify(first, classes, percent).checkpoint()
+    edges = _verify(first, classes, held, percent).checkpoint()
     stars = connected_components(edges)
 
     placed = members.join(stars, "node", "left").select("grp", "node", F.coalesce("component", "node").alias("comp")).checkpoint()
@@ -162,7 +169,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     pairs = x.join(y, "token").where((F.col("grp1") < F.col("grp2")) & fits("hub1", "hub2") & apart & enough & (F.element_at(both, 1) == F.col("token"))).select("grp1", "grp2").unionByName(spans.where("lo <> hi").select(F.col("grp").alias("grp1"), F.col("grp").alias("grp2"))).distinct()
     m1, m2 = (placed.select(F.col("grp").alias(f"grp{i}"), F.col("node").alias(f"node{i}"), F.col("comp").alias(f"comp{i}")) for i in (1, 2))
     rest = pairs.join(m1, "grp1").join(m2, "grp2").where("comp1 <> comp2").select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = _verify(rest, classes, percent)
+    more = _verify(rest, classes, held, percent)
     final = connected_components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     reach = classes.select("node", "least_id").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = reach.groupBy("component").agg(F.min("least_id").alias("component_id"))

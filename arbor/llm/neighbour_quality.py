@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from arbor.llm.textnum import mix, utf8, windows, word_hashes
 
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 2000
 DIMS = 32
 K = 25
 POWER = 4
@@ -110,9 +110,11 @@ class Model:
             return
         self.idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1.0
         self.idf[WIDTH - _RATES :] = 2.0
-        w = x * self.idf
+        used = np.flatnonzero(x.any(axis=0))
+        w = x[:, used] * self.idf[used]
         _, vectors = np.linalg.eigh(w.T.astype(np.float64) @ w)
-        self.axes = vectors[:, ::-1][:, :dims]
+        self.axes = np.zeros((x.shape[1], min(dims, len(used))))
+        self.axes[used] = vectors[:, ::-1][:, :dims]
         self.points = self.project(x)
 
     def project(self, x: np.ndarray) -> np.ndarray:
@@ -155,10 +157,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         for b in batches:
             for s in blocks(b, "__text"):
                 x = features(pa.chunked_array([s.column("__text")]))
-                yield pa.record_batch([s.column("__id").cast(pa.int64()), s.column("__label"), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "y", "x"])
+                yield pa.record_batch([s.column("__id").cast(pa.int64()), s.column("__label"), pa.array([np.flatnonzero(r).astype(np.uint16).tobytes() + r[r != 0].tobytes() for r in x], pa.binary())], ["id", "y", "x"])
 
     got = sorted(rows.mapInArrow(run, "id long, y int, x binary").collect(), key=lambda r: (r.id, r.y, bytes(r.x)))
-    x = np.frombuffer(b"".join(bytes(r.x) for r in got), np.float32).reshape(-1, WIDTH)
+    x = np.zeros((len(got), WIDTH), np.float32)
+    for row, r in zip(x, got):  # 16-bit places, then the values there
+        n = len(r.x) // 6
+        row[np.frombuffer(bytes(r.x[: 2 * n]), np.uint16)] = np.frombuffer(bytes(r.x[2 * n :]), np.float32)
     return Model(x, np.array([r.y for r in got]))
 
 

@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name in ("documents", "pages"):
+        small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows of whole documents that go to a Python worker at once; the default of 10,000 is meant for short rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Uses spark.checkpoint.dir as the cluster names it; a local folder only where it is unset, as in tests."""
     sc = spark.sparkContext

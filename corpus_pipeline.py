@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbor.llm import bpe_tree, jaccard_join, neighbour_quality, queries, secret_scan, template_leaks
-from arbor.llm.shared import ensure_checkpoint_dir, stage_folder, table
+from arbor.llm.shared import ensure_checkpoint_dir, small_batches, stage_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: documents that the classifier rejects go."""
+    small_batches(spark)
     model = neighbour_quality.fit(docs, table(spark, sf_dir, "labels"))
     return neighbour_quality.keep_good(docs, model)
 
@@ -40,6 +41,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: token ids of every text."""
+    small_batches(spark)
     out = bpe_tree.encode_decode(docs, queries.tokenizer_path())
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"), "ids")
 
