@@ -101,15 +101,23 @@ def coverage(seeds: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.unionByName(roots).distinct().join(nodes, ["document_id", "height", "level_index"])
 
 
-def propagate(cover: DataFrame, leaf_scores: DataFrame, top: int) -> DataFrame:
-    """Scores of covered nodes: leaves as given (absent: none), parents the mean of their scored children, bottom up, 0 if none."""
-    done = cover.where("height = 0").join(leaf_scores, ["query_id", "id"], "left").select("query_id", "id", "parent_id", "height", "score")
-    level = done
-    for h in range(1, top + 1):  # one join a height, about log2 of the leaves of a document
-        means = level.where("score is not null").groupBy("query_id", F.col("parent_id").alias("id")).agg(F.avg("score").alias("score"))
-        level = cover.where(F.col("height") == h).join(means, ["query_id", "id"], "left").select("query_id", "id", "parent_id", "height", F.coalesce("score", F.lit(0.0)).alias("score"))
-        done = done.unionByName(level)
-    return done.select("query_id", "id", "score")
+def propagate(cover: DataFrame, leaf_scores: DataFrame) -> DataFrame:
+    """(query_id, id, score) of covered nodes: leaves as given (absent: none), parents the mean of their scored children, 0 if none.
+
+    Bottom up inside one group, the coverage of one query and document, as the tiling has it too.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        got: dict[str, list[float]] = {}
+        out = []
+        for r in pdf.sort_values("height", kind="stable").itertuples():
+            s = r.score if r.height == 0 else float(np.mean(got[r.id])) if r.id in got else 0.0
+            out.append((r.query_id, r.id, None if pd.isna(s) else s))
+            if not pd.isna(s) and r.parent_id is not None:
+                got.setdefault(r.parent_id, []).append(s)
+        return pd.DataFrame(out, columns=["query_id", "id", "score"])
+
+    return cover.select("query_id", "document_id", "id", "parent_id", "height").join(leaf_scores, ["query_id", "id"], "left").groupBy("query_id", "document_id").applyInPandas(run, "query_id long, id string, score double")
 
 
 def frontier(cover: DataFrame) -> DataFrame:

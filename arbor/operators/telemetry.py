@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbor.session import ensure_checkpoint_dir
+
 
 def robust_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Median, quartiles, p95 (linear), median absolute deviation, sample and population deviation in two passes."""
@@ -56,15 +58,17 @@ def chain(records: DataFrame, max_steps: int = 64) -> DataFrame:
 
     jump[k] leads 2^k steps up. Cycles end because a chain is cut at 2 ** max_doublings records.
     """
+    ensure_checkpoint_dir(records.sparkSession)
+    records = records.select("session", "uuid", "parent", "line").checkpoint()
     up = records.select("session", "uuid", F.col("parent").alias("to"))
     have = head(records).select("session", F.col("head").alias("uuid"), F.lit(0).cast("bigint").alias("depth"))
     step, k = up, 0
     total = records.groupBy("session").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     while (1 << k) <= total and k < max_steps:
         moved = have.join(step, ["session", "uuid"]).where("to is not null").select("session", F.col("to").alias("uuid"), (F.col("depth") + (1 << k)).alias("depth"))
-        have = have.unionByName(moved)
+        have = have.unionByName(moved).checkpoint()
         nxt = step.select(F.col("session").alias("s2"), F.col("uuid").alias("mid"), F.col("to").alias("to2"))
-        step = step.join(nxt, (F.col("session") == F.col("s2")) & (F.col("to") == F.col("mid"))).select("session", "uuid", F.col("to2").alias("to"))
+        step = step.join(nxt, (F.col("session") == F.col("s2")) & (F.col("to") == F.col("mid"))).select("session", "uuid", F.col("to2").alias("to")).checkpoint()
         k += 1
     return have
 

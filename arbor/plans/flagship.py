@@ -18,5 +18,5 @@ def flagship(spark: SparkSession, sf_dir: str, budget: int = 400, k: int = 20) -
     best = hits.withColumn("score", F.col("score") / (F.col("score") + 10))
     seeds = best.join(nodes, best.doc_key == nodes.id).select("query_id", "document_id", "height", "level_index", "id", "score")
     cover = R.coverage(seeds, nodes)
-    scored = R.propagate(cover, seeds.select("query_id", "id", "score"), 9)
+    scored = R.propagate(cover, seeds.select("query_id", "id", "score"))
     return R.greedy_tiling(cover.join(scored, ["query_id", "id"]), budget)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -22,3 +23,9 @@ def get_session(app: str = "arbor", cpus: str | None = None, shuffle_partitions:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """The folder the cluster names in spark.checkpoint.dir; a local one only where it is unset."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
