@@ -13,7 +13,7 @@ def test_scores_are_means_of_scored_children(spark):
 
 
 def test_tiling_covers_once_within_budget_or_is_the_root(spark):
-    leaf = spark.createDataFrame([(1, "7:0:0", 0.8)], "query_id long, id string, score double")
+    leaf = spark.createDataFrame([(1, "7:0:0", 0.8), (1, "7:0:1", 0.8)], "query_id long, id string, score double")
     cover = _cover(spark)
     scored = cover.join(propagate(cover, leaf), ["query_id", "id"])
     for budget, n in ((800, 4), (600, 3), (400, 2), (200, 1), (1, 1)):
