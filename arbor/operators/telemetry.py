@@ -53,16 +53,16 @@ def head(records: DataFrame) -> DataFrame:
     return records.groupBy("session").agg(F.max_by("uuid", "line").alias("head"))
 
 
-def chain(records: DataFrame, max_steps: int = 64) -> DataFrame:
-    """(session, uuid, depth) from each session's head to its root, by doubling: log2 of the depth joins.
+def chain(records: DataFrame, max_steps: int = 64, starts: DataFrame | None = None) -> DataFrame:
+    """(session, uuid, depth) from each session's start (its head, if none is given) to its root, by doubling: log2 of the depth joins.
 
-    jump[k] leads 2^k steps up. Cycles end because a chain is cut at 2 ** max_doublings records.
+    step leads 2^k records up after k rounds. Cycles end because a chain is no longer than its session.
     """
     ensure_checkpoint_dir(records.sparkSession)
     records = records.select("session", "uuid", "parent", "line").checkpoint()
-    up = records.select("session", "uuid", F.col("parent").alias("to"))
-    have = head(records).select("session", F.col("head").alias("uuid"), F.lit(0).cast("bigint").alias("depth"))
-    step, k = up, 0
+    step, k = records.select("session", "uuid", F.col("parent").alias("to")), 0
+    first = head(records).select("session", F.col("head").alias("uuid")) if starts is None else starts.select("session", "uuid")
+    have = first.withColumn("depth", F.lit(0).cast("bigint"))
     total = records.groupBy("session").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     while (1 << k) <= total and k < max_steps:
         moved = have.join(step, ["session", "uuid"]).where("to is not null").select("session", F.col("to").alias("uuid"), (F.col("depth") + (1 << k)).alias("depth"))
@@ -73,6 +73,25 @@ def chain(records: DataFrame, max_steps: int = 64) -> DataFrame:
     return have
 
 
+def common_ancestor(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Of two chains a session: the first record both have, and its depths."""
+    x = a.join(b.select("session", "uuid", F.col("depth").alias("depth_b")), ["session", "uuid"])
+    return x.groupBy("session").agg(F.min_by("uuid", "depth").alias("uuid"), F.min("depth").alias("depth_a"), F.min_by("depth_b", "depth").alias("depth_b"))
+
+
+def sync_plan(chains: DataFrame, records: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """What to append after a cutoff time, and where the indexed part must be cut.
+
+    The truncation point is the nearest ancestor not after the cutoff; what is above it in the chain is new.
+    kind: none if the record at the cutoff is still on the chain, full if no ancestor is old enough, else partial.
+    Late records, not after the cutoff and off the chain, count as indexed.
+    """
+    x = chains.join(records.select("session", "uuid", "ts"), ["session", "uuid"]).join(cutoffs.select("session", "cutoff"), "session")
+    old = F.col("ts") <= F.col("cutoff")
+    a = x.groupBy("session").agg(F.min(F.when(old, F.struct("depth", "uuid", (F.col("ts") == F.col("cutoff")).alias("same")))).alias("p"), F.count("*").alias("n"))
+    return a.select("session", F.col("p.uuid").alias("truncate_at"), F.coalesce("p.depth", "n").alias("n_new"), F.when(F.col("p").isNull(), "full").when(F.col("p.same"), "none").otherwise("partial").alias("kind"))
+
+
 def turns(records: DataFrame) -> DataFrame:
     """A user record begins a turn; records before the first are dropped."""
     w = Window.partitionBy("session").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)

@@ -9,52 +9,17 @@ from arbor.operators import repository as R
 from arbor.operators import retrieval as V
 from arbor.operators import telemetry as T
 from arbor.operators import validation as C
+from arbor.plans import analytics, maintenance, navigation
+from arbor.plans.base import ORACLES, QUERIES, REC, query, simple
+from arbor.plans.base import nodes_of as _nodes
 from arbor.plans.flagship import flagship
 from arbor.sources import corpus as S
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-NODES = r"""
-WITH s AS (SELECT doc_id AS document_id, CAST(length(coalesce(text, '')) AS BIGINT) AS len,
-                  greatest(1, CAST(ceil(length(coalesce(text, '')) / 400.0) AS BIGINT)) AS n_leaves FROM documents),
-h AS (SELECT *, unnest(range(0, length(bin(n_leaves)))) AS height FROM s),
-w AS (SELECT *, n_leaves >> height AS width FROM h),
-x AS (SELECT *, unnest(range(0, width)) AS level_index FROM w),
-y AS (SELECT *, least(len, (level_index << height) * 400) AS span_start, least(len, ((level_index + 1) << height) * 400) AS span_end,
-             document_id || ':' || height || ':' AS p FROM x),
-nodes AS (SELECT p || level_index AS id, document_id, height, level_index, span_start, span_end,
-   (CASE WHEN span_end = span_start THEN 0 ELSE greatest(1, (span_end - span_start) // 4) END) >> height AS token_count,
-   CASE WHEN (level_index >> 1) < (n_leaves >> (height + 1)) THEN document_id || ':' || (height + 1) || ':' || (level_index >> 1) END AS parent_id,
-   CASE WHEN height > 0 THEN document_id || ':' || (height - 1) || ':' || (level_index * 2) END AS left_child_id,
-   CASE WHEN height > 0 THEN document_id || ':' || (height - 1) || ':' || (level_index * 2 + 1) END AS right_child_id,
-   CASE WHEN level_index > 0 THEN p || (level_index - 1) END AS preceding_neighbor_id,
-   CASE WHEN level_index + 1 < width THEN p || (level_index + 1) END AS following_neighbor_id FROM y)
-"""
-
-
-def query(name: str, sql: str | None = None, nodes: bool = False):
-    def wrap(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = (NODES if nodes else "") + sql
-        return f
-
-    return wrap
-
-
-def _nodes(spark, d):
-    return S.nodes(S.read(spark, d, "documents"))
-
+__all__ = ["ORACLES", "QUERIES", "analytics", "maintenance", "navigation"]
 
 COLS = ["id", "document_id", "height", "level_index", "span_start", "span_end", "token_count", "parent_id", "left_child_id", "right_child_id", "preceding_neighbor_id", "following_neighbor_id"]
 
 
-def simple(name: str, make, sql: str):
-    """A query over nodes."""
-    query(name, sql, nodes=True)(lambda spark, d: make(_nodes(spark, d)))
-
-
 simple("s03_b06_nodes", lambda n: n.select(*COLS), f"SELECT {', '.join(COLS)} FROM nodes")
 simple("s01_get_node", lambda n: n.where("id = '7:0:0'").select("id", "span_end"), "SELECT id, span_end FROM nodes WHERE id = '7:0:0'")
 simple("s04_paged_scan", lambda n: R.page(n, 10).groupBy("document_id", "page").agg(F.count("*").alias("n"), F.min("id").alias("first_id")), "SELECT document_id, page, count(*) AS n, min(id) AS first_id FROM (SELECT *, (row_number() OVER (PARTITION BY document_id ORDER BY id) - 1) // 10 AS page FROM nodes) GROUP BY ALL")
@@ -221,25 +186,22 @@ def journal_stream(spark, d):
     return run_once(fold_stream(stream_events(spark, d)), f"journal_{uuid.uuid4().hex}")
 
 
-_REC = "WITH r AS (SELECT event_id AS uuid, user_id AS session, row_number() OVER w AS line, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 5 = 0 THEN coalesce(lag(event_id, 2) OVER w, lag(event_id) OVER w) ELSE lag(event_id) OVER w END AS parent, lag(event_id) OVER w AS prev, event_id % 3 = 0 AS is_user FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) "
-
-
-@query("g01_bridge", _REC + "SELECT session, uuid, coalesce(parent, prev) AS parent FROM r")
+@query("g01_bridge", REC + "SELECT session, uuid, coalesce(parent, prev) AS parent FROM r")
 def bridge(spark, d):
     return T.bridge(S.transcript(S.read(spark, d, "events"))).select("session", "uuid", "parent")
 
 
-@query("g06_head", _REC + "SELECT session, max_by(uuid, line) AS head FROM r GROUP BY 1")
+@query("g06_head", REC + "SELECT session, max_by(uuid, line) AS head FROM r GROUP BY 1")
 def head(spark, d):
     return T.head(S.transcript(S.read(spark, d, "events")))
 
 
-@query("g02_ancestry_chain", _REC.replace("WITH r", "WITH RECURSIVE r") + ", b AS (SELECT session, uuid, coalesce(parent, prev) AS parent, line FROM r), c AS (SELECT session, max_by(uuid, line) AS uuid, 0 AS depth FROM b GROUP BY 1 UNION ALL SELECT b.session, b.parent, depth + 1 FROM c JOIN b ON b.session = c.session AND b.uuid = c.uuid WHERE b.parent IS NOT NULL) SELECT session, uuid, CAST(depth AS BIGINT) AS depth FROM c")
+@query("g02_ancestry_chain", REC.replace("WITH r", "WITH RECURSIVE r") + ", b AS (SELECT session, uuid, coalesce(parent, prev) AS parent, line FROM r), c AS (SELECT session, max_by(uuid, line) AS uuid, 0 AS depth FROM b GROUP BY 1 UNION ALL SELECT b.session, b.parent, depth + 1 FROM c JOIN b ON b.session = c.session AND b.uuid = c.uuid WHERE b.parent IS NOT NULL) SELECT session, uuid, CAST(depth AS BIGINT) AS depth FROM c")
 def ancestry(spark, d):
     return T.chain(T.bridge(S.transcript(S.read(spark, d, "events"))))
 
 
-@query("g09_turns", _REC + ", t AS (SELECT *, sum(is_user::INT) OVER (PARTITION BY session ORDER BY line ROWS UNBOUNDED PRECEDING) AS turn FROM r) SELECT session, CAST(turn AS BIGINT) AS turn, count(*) AS n, min_by(uuid, line) AS first_uuid, max_by(uuid, line) AS last_uuid FROM t WHERE turn > 0 GROUP BY 1, 2")
+@query("g09_turns", REC + ", t AS (SELECT *, sum(is_user::INT) OVER (PARTITION BY session ORDER BY line ROWS UNBOUNDED PRECEDING) AS turn FROM r) SELECT session, CAST(turn AS BIGINT) AS turn, count(*) AS n, min_by(uuid, line) AS first_uuid, max_by(uuid, line) AS last_uuid FROM t WHERE turn > 0 GROUP BY 1, 2")
 def turns(spark, d):
     return T.turns(S.transcript(S.read(spark, d, "events")))
 

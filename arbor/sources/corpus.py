@@ -72,3 +72,15 @@ def transcript(events: DataFrame) -> DataFrame:
     e = events.select(F.col("event_id").alias("uuid"), F.col("user_id").alias("session"), "ts", F.row_number().over(w).alias("line"), F.lag("event_id").over(w).alias("prev"), F.lag("event_id", 2).over(w).alias("prev2"), (F.col("event_id") % 3 == 0).alias("is_user"))
     parent = F.when(F.col("uuid") % 7 == 0, None).when(F.col("uuid") % 5 == 0, F.coalesce("prev2", "prev")).otherwise(F.col("prev"))
     return e.withColumn("parent", parent).drop("prev", "prev2")
+
+
+def attempts(events: DataFrame) -> DataFrame:
+    """Three events are the summary attempts of a node; the accepted index of a quarter of the nodes is out of range."""
+    e = F.col("event_id")
+    node = F.floor(e / 3)
+    target = (node % 7 + 2) * 25
+    actual = target + e * 13 % 61 - 30
+    return events.select(
+        node.alias("node_id"), (e % 3).alias("attempt"), (node % 4).alias("accepted"), (node % 5 + node % 2).alias("height"), target.alias("target_tokens"), actual.alias("actual_tokens"),
+        (actual + e % 4).alias("prompt_tokens"), F.when(e % 11 == 0, 0.0).otherwise(e.cast("double")).alias("start_time"), (e + 1 + e % 9).cast("double").alias("end_time"),
+    )
