@@ -81,7 +81,7 @@ def compare(spark, d):
     return E.compare(half(0), half(1), "user_id", "v")
 
 
-@query("m16_gate", ATTEMPTS + ", m AS (SELECT avg(abs(actual_tokens - target_tokens) / CAST(target_tokens AS DOUBLE)) * 100 AS deviation, avg(CAST(actual_tokens > target_tokens AS INT)) * 100 AS oversized, median(end_time - start_time) AS seconds FROM acc) SELECT * FROM (SELECT 'deviation' AS metric, deviation AS value, 14.0 AS bound FROM m UNION ALL SELECT 'oversized', oversized, 9.0 FROM m UNION ALL SELECT 'seconds', seconds, 3.0 FROM m) WHERE value > bound")
+@query("m16_gate", ATTEMPTS + ", m AS (SELECT avg(abs(actual_tokens - target_tokens) / CAST(target_tokens AS DOUBLE)) * 100 AS deviation, avg(CAST(actual_tokens > target_tokens AS INT)) * 100 AS oversized, median(end_time - start_time) AS seconds FROM acc) SELECT * FROM (SELECT 'deviation' AS metric, deviation AS value, CAST(14 AS DOUBLE) AS bound FROM m UNION ALL SELECT 'oversized', oversized, 9.0 FROM m UNION ALL SELECT 'seconds', seconds, 3.0 FROM m) WHERE value > bound")
 def gate(spark, d):
     off = F.abs(F.col("actual_tokens") - F.col("target_tokens")) / F.col("target_tokens")
     m = E.accepted_attempts(_attempts(spark, d)).agg((F.avg(off) * 100).alias("deviation"), (F.avg((F.col("actual_tokens") > F.col("target_tokens")).cast("double")) * 100).alias("oversized"), F.median(F.col("end_time") - F.col("start_time")).alias("seconds"))

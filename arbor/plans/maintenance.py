@@ -27,7 +27,7 @@ simple("d09_clear_documents", lambda n: n.join(n.where("document_id % 3 = 0").se
 simple("d17_prune_roots", lambda n: M.prune_roots(n, n.where("parent_id is null and height = 2")).select("id", "parent_id", "following_neighbor_id"), ", m AS (SELECT * FROM nodes WHERE NOT (parent_id IS NULL AND height = 2)) SELECT m.id, p.id AS parent_id, f.id AS following_neighbor_id FROM m LEFT JOIN m p ON m.parent_id = p.id LEFT JOIN m f ON m.following_neighbor_id = f.id")
 simple("j18_st06_catalog_diff", lambda n: M.diff(n.where("level_index <> 1"), n.where("height <> 1").withColumn("token_count", F.when(F.col("height") == 2, 0).otherwise(F.col("token_count"))), "id", ["token_count", "parent_id"]), ", d AS (SELECT id, CASE WHEN height = 1 AND level_index <> 1 THEN 'removed' WHEN height <> 1 AND level_index = 1 THEN 'added' WHEN height = 2 AND level_index <> 1 AND token_count <> 0 THEN 'changed' END AS kind FROM nodes) SELECT * FROM d WHERE kind IS NOT NULL")
 simple("b10_eligible_pairs", lambda n: M.eligible_pairs(n.where("height = 0").select("document_id", "id", "height", "level_index", "span_start")), "SELECT a.document_id, a.id AS left_id, b.id AS right_id, a.height FROM nodes a JOIN nodes b ON a.document_id = b.document_id AND a.height = b.height AND b.level_index = a.level_index + 1 WHERE a.height = 0 AND a.level_index % 2 = 0")
-simple("w09_gated_pairs", lambda n: M.eligible_pairs(n.where("level_index >= 8 and (height = 1 or level_index in (8, 10) and height = 0)"), 1), ", m AS (SELECT *, min(height) OVER w AS low, lead(id) OVER w AS right_id, lead(height) OVER w AS rh, lead(level_index) OVER w AS ri FROM nodes WHERE level_index >= 8 AND (height = 1 OR level_index IN (8, 10) AND height = 0) WINDOW w AS (PARTITION BY document_id ORDER BY span_start, level_index)) SELECT document_id, id AS left_id, right_id, height FROM m WHERE rh = height AND level_index % 2 = 0 AND ri = level_index + 1 AND height + 1 - low <= 1")
+simple("w09_gated_pairs", lambda n: M.eligible_pairs(n.where("height = 1 or height = 0 and level_index = 8"), 1), ", m AS (SELECT *, min(height) OVER w AS low, lead(id) OVER w AS right_id, lead(height) OVER w AS rh, lead(level_index) OVER w AS ri FROM nodes WHERE height = 1 OR height = 0 AND level_index = 8 WINDOW w AS (PARTITION BY document_id ORDER BY span_start, level_index)) SELECT document_id, id AS left_id, right_id, height FROM m WHERE rh = height AND level_index % 2 = 0 AND ri = level_index + 1 AND height + 1 - low <= 1")
 simple("b12_b13_summary_target", lambda n: n.select("id", M.passthrough(F.col("token_count"), F.col("height")).alias("target")), "SELECT id, CASE WHEN token_count >> height < 50 THEN 0 ELSE token_count >> height END AS target FROM nodes")
 simple("w08_frontier", lambda n: R.completion_frontier(n.where("height = 1 or height = 0 and level_index > 2").withColumn("parent_id", F.lit(None).cast("string")), 0.7), """, r AS (SELECT *, sum(1 << height) OVER w AS n, count(*) OVER w AS k, max(height) OVER w AS h FROM nodes WHERE height = 1 OR height = 0 AND level_index > 2 WINDOW w AS (PARTITION BY document_id ORDER BY span_start, level_index ROWS UNBOUNDED PRECEDING)),
  c AS (SELECT document_id, span_start, CASE WHEN n <= 1 THEN 1.0 ELSE CAST(bit_count(CAST(n AS BIGINT)) + length(bin(CAST(n AS BIGINT))) - 1 AS DOUBLE) / (k + h) END AS c FROM r) SELECT document_id, min(span_start) FILTER (c < 0.7) AS frontier, min(c) AS least_completeness FROM c GROUP BY 1""")
@@ -56,7 +56,7 @@ def delete_vectors(spark, d):
     return M.delete_vectors(v, v.where("label = 3")).select("vec_id")
 
 
-@query("d16_repair_times", UNITS + ", t AS (SELECT document_id, level_index, CASE WHEN turn % 3 = 1 THEN 0.0 ELSE turn * 60.0 + 1 END AS t FROM u) SELECT document_id, level_index, t = 0 AS repaired, CASE WHEN t <> 0 THEN t ELSE coalesce((SELECT max(b.t) FROM t b WHERE b.document_id = a.document_id AND b.level_index < a.level_index AND b.t <> 0), (SELECT min(b.t) FROM t b WHERE b.document_id = a.document_id AND b.level_index > a.level_index AND b.t <> 0)) END AS time_start, CASE WHEN t <> 0 THEN t ELSE coalesce((SELECT min(b.t) FROM t b WHERE b.document_id = a.document_id AND b.level_index > a.level_index AND b.t <> 0), (SELECT max(b.t) FROM t b WHERE b.document_id = a.document_id AND b.level_index < a.level_index AND b.t <> 0)) END AS time_end FROM t a")
+@query("d16_repair_times", UNITS + ", t AS (SELECT document_id, level_index, CAST(CASE WHEN turn % 3 = 1 THEN 0 ELSE turn * 60 + 1 END AS DOUBLE) AS t FROM u) SELECT document_id, level_index, t = 0 AS repaired, CASE WHEN t <> 0 THEN t ELSE coalesce((SELECT max(b.t) FROM t b WHERE b.document_id = a.document_id AND b.level_index < a.level_index AND b.t <> 0), (SELECT min(b.t) FROM t b WHERE b.document_id = a.document_id AND b.level_index > a.level_index AND b.t <> 0)) END AS time_start, CASE WHEN t <> 0 THEN t ELSE coalesce((SELECT min(b.t) FROM t b WHERE b.document_id = a.document_id AND b.level_index > a.level_index AND b.t <> 0), (SELECT max(b.t) FROM t b WHERE b.document_id = a.document_id AND b.level_index < a.level_index AND b.t <> 0)) END AS time_end FROM t a")
 def repair_times(spark, d):
     t = F.when(F.col("time_start") / 60 % 3 == 1, 0.0).otherwise(F.col("time_start") + 1)
     u = _units(spark, d).withColumn("time_end", t).withColumn("time_start", F.col("time_end"))

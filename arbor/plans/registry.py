@@ -138,7 +138,7 @@ def assembly(spark, d):
     return V.assemble(leaves.select(F.col("document_id").alias("query_id"), "document_id", F.col("level_index").alias("position"), "text"))
 
 
-@query("b06_b08_units", "SELECT conv_id AS document_id, row_number() OVER w - 1 AS level_index, CAST(sum(length(text)) OVER w - length(text) AS BIGINT) AS span_start, CAST(sum(length(text)) OVER w AS BIGINT) AS span_end, turn * 60.0 AS time_start FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)")
+@query("b06_b08_units", "SELECT conv_id AS document_id, row_number() OVER w - 1 AS level_index, CAST(sum(length(text)) OVER w - length(text) AS BIGINT) AS span_start, CAST(sum(length(text)) OVER w AS BIGINT) AS span_end, CAST(turn * 60 AS DOUBLE) AS time_start FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)")
 def units(spark, d):
     return S.units(S.read(spark, d, "conversations")).select("document_id", "level_index", "span_start", "span_end", "time_start")
 
