@@ -93,3 +93,10 @@ def duplicates(spark, d):
 
     n = nodes_of(spark, d)
     return coordinates(n.unionByName(n.where("height = 1"))).where("code = 'coord.duplicate'")
+
+
+@query("b01_b03_split")
+def split(spark, d):
+    from arbor.operators.splitter import split_documents
+
+    return split_documents(S.read(spark, d, "documents"), 100)
