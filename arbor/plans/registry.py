@@ -206,7 +206,8 @@ def turns(spark, d):
     return T.turns(S.transcript(S.read(spark, d, "events")))
 
 
-@query("b19_m06_cost", "SELECT conv_id, sum(((length(text) // 4) * 0.4 + (length(text) // 40) * (0.1 - 0.4) + (length(text) // 8) * 1.6) / 1e6) AS cost FROM conversations GROUP BY 1")
+@query("b19_m06_cost", "WITH t AS (SELECT conv_id, sum(length(text) // 4)::DOUBLE AS p, sum(length(text) // 40)::DOUBLE AS c, sum(length(text) // 8)::DOUBLE AS q FROM conversations GROUP BY 1) SELECT conv_id, ((p - c) * 0.4::DOUBLE + c * 0.1::DOUBLE + q * 1.6::DOUBLE) / 1000000 AS cost FROM t")
 def costs(spark, d):
     n = F.length("text")
-    return S.read(spark, d, "conversations").groupBy("conv_id").agg(F.sum(T.cost(F.floor(n / 4), F.floor(n / 40), F.floor(n / 8), 0.4, 0.1, 1.6)).alias("cost"))
+    t = S.read(spark, d, "conversations").groupBy("conv_id").agg(*[F.sum(F.floor(n / k)).alias(f"n{k}") for k in (4, 40, 8)])
+    return t.select("conv_id", T.cost(F.col("n4"), F.col("n40"), F.col("n8"), 0.4, 0.1, 1.6).alias("cost"))
