@@ -71,3 +71,25 @@ def test_planted_passages(spark):
     want = {(k, r.item_id) for r in items.collect() for k, t in texts.items() if re.sub(r"\s+", " ", r.text) in t}
     got = {(r.doc_id, r.item_id) for r in leaks(docs, items).collect()}
     assert want and want <= got and len(got - want) <= 0.05 * len(want)
+
+
+def test_short_items_at_every_offset(spark):
+    items = [(6, "alpha beta gamma delta epsilon zeta"), (7, "one two three four five six seven"), (3, "Kappa lambda mu")]
+    docs = [(k * 10 + pad, " ".join(["pad"] * pad + [t] + ["tail"])) for k, t in items for pad in range(4)]
+    docs.append((99, "alpha beta gamma delta epsilon pad lambda mu"))
+    got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.kind) for r in got} == {(k * 10 + pad, k, "exact") for k, _ in items for pad in range(4)} and len(got) == 12
+
+
+def test_mapping_is_a_function_with_tolerance(spark):
+    item = "a farmer sells 12 apples and 5 pears at 3 stalls then 4 plums in 6 towns"
+    docs = [
+        (1, item.replace("12", "7").replace("5", "7")),  # two values become one
+        (2, "farm 9 kg " + item.replace("12", "7")),
+        (3, item + " and so on; " + item.replace("12", "99")),
+        (4, "5 of Ann and 5 of Ann"),
+    ]
+    items = [(1, item), (2, "5 plus 5"), (3, "Ann has 1 hat, Ann has 1 hat, Bob has 2 hats, Bob has 2 hats and Ann has 1 hat")]
+    docs += [(5, "5 plus 6 is not 5 plus 5"), (6, "5 plus 6"), (7, items[2][1].replace("Bob", "Eve", 1)), (8, items[2][1].replace("Ann", "Eve", 1).replace("Bob", "Eve", 1).replace("1", "3", 1).replace("2", "3", 1))]
+    got = {(r.doc_id, r.item_id, r.kind) for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1, "template"), (2, 1, "template"), (3, 1, "exact"), (5, 2, "exact"), (7, 3, "template")}
