@@ -84,7 +84,7 @@ def _key(h: np.ndarray, n: int) -> str:
     return f"{int(a):016x}{int(b):016x}{n:x}"
 
 
-def _prefixes(n: int, k: int, percent: int):
+def _prefixes(n: int, k: int, percent: int, keys: bool = False):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         out = {x.split()[0]: [] for x in _DOC.split(", ")}
         if len(table):
@@ -102,7 +102,8 @@ def _prefixes(n: int, k: int, percent: int):
                         row = (_key(s, m), _key(prefix, m), int((own == 0).sum()), tokens.astype(np.int64).tolist(), s.tobytes())
                 for name, v in zip(out, (i, m, *row)):
                     out[name].append(v)
-        return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "node": pa.array(out["node"], pa.string()), "grp": pa.array(out["grp"], pa.string()), "rare": pa.array(out["rare"], pa.int64()), "tokens": pa.array(out["tokens"], pa.list_(pa.int64())), "shingles": pa.array(out["shingles"], pa.binary())})
+        key = {"row_key": table["row_key"].combine_chunks().cast(pa.int64())} if keys else {}
+        return pa.table({"doc_id": pa.array(out["doc_id"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "node": pa.array(out["node"], pa.string()), "grp": pa.array(out["grp"], pa.string()), "rare": pa.array(out["rare"], pa.int64()), "tokens": pa.array(out["tokens"], pa.list_(pa.int64())), "shingles": pa.array(out["shingles"], pa.binary())} | key)
 
     return run
 
@@ -132,13 +133,17 @@ def _verify(pairs: DataFrame, classes: DataFrame, held: DataFrame, percent: int)
     return whole.select("a", "b", "sa", "sb").mapInArrow(_verifier(percent), "a string, b string")
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90, cell_bytes: int = C.CELL_BYTES) -> DataFrame:
-    """doc_id, n_shingles, component_id and class_key (equal for equal sets; null if nothing can link)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90, cell_bytes: int = C.CELL_BYTES, keys: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and class_key (equal for equal sets; null if nothing can link).
+
+    With keys, also row_key (xxhash64 of id and text) and component_key, which tells components with the same least id apart.
+    """
+    key = [F.xxhash64(id_col, text_col).alias("row_key")] if keys else []
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *key)
     n = C.n_cells(docs, "text", cell_bytes)
     dealt = docs.withColumn("cell", C.cell_of("doc_id", n))
     levels = dealt.groupBy("cell").applyInArrow(_ask(n, shingle), _SENT).groupBy("bucket").applyInArrow(_answer, _ANSWER)
-    rows = dealt.groupBy("cell").cogroup(levels.groupBy("cell")).applyInArrow(_prefixes(n, shingle, percent), _DOC).checkpoint()
+    rows = dealt.groupBy("cell").cogroup(levels.groupBy("cell")).applyInArrow(_prefixes(n, shingle, percent, keys), _DOC + (", row_key long" if keys else "")).checkpoint()
     held = rows.where("node is not null")
     classes = held.groupBy("node").agg(F.min("doc_id").alias("least_id"), *[F.first(c).alias(c) for c in ("n", "grp", "rare", "tokens")]).checkpoint()
 
@@ -173,7 +178,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     final = connected_components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     reach = classes.select("node", "least_id").join(final, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = reach.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_class = reach.select("node", "component").join(least, "component").select("node", "component_id")
-    out = rows.select("doc_id", "n", "node").join(of_class, "node", "left")
+    of_class = reach.select("node", "component").join(least, "component").select("node", "component_id", *(["component"] if keys else []))
+    out = rows.select("doc_id", "n", "node", *(["row_key"] if keys else [])).join(of_class, "node", "left")
     back = lambda c: F.when(c != C.NULL_ID, c)
-    return out.select(back(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.coalesce("component_id", "doc_id")).alias("component_id"), F.col("node").alias("class_key"))
+    return out.select(back(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), back(F.coalesce("component_id", "doc_id")).alias("component_id"), F.col("node").alias("class_key"), *(["row_key", F.col("component").alias("component_key")] if keys else []))

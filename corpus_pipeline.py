@@ -21,11 +21,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8, five-word shingles and a similarity of 0.8: the document with the least id of each group stays."""
+    """Operator 8, five-word shingles and a similarity of 0.8: of each group one row stays, that with the least id and text hash.
+
+    Ids may be null and repeat; rows without words are in no group and stay.
+    """
     ensure_checkpoint_dir(spark)
-    groups = jaccard_join.jaccard_components(docs, shingle=5, percent=80)
-    last = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(last, "doc_id", "left_anti")
+    groups = jaccard_join.jaccard_components(docs, shingle=5, percent=80, keys=True).where("component_key is not null")
+    rows = groups.groupBy("component_key", "doc_id", "row_key").agg(F.count("*").alias("n")).checkpoint()
+    first = rows.groupBy("component_key").agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
+    many = rows.join(first, "component_key").select("row_key", (F.col("row_key") == F.col("first.row_key")).alias("stays"), "n").where("n > 1 or not stays")
+    many = many.select(F.col("row_key").alias("__key"), "stays").distinct().checkpoint()
+    if many.count() <= template_leaks.BROADCAST_WINDOWS:
+        many = F.broadcast(many)
+    keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    alone = keyed.join(many, F.col("__row") == F.col("__key"), "left_anti")
+    repeated = keyed.join(many.where("stays"), F.col("__row") == F.col("__key"), "left_semi").dropDuplicates(["__row"])
+    return alone.unionByName(repeated).select(*docs.columns)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,3 +29,17 @@ def test_stages_over_whole_documents(spark):
         ids = tok.encode(t, add_special_tokens=False).ids
         assert rows[k].n_tokens == len(ids) and rows[k].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
     assert {r.doc_id for r in P.run(spark, d).collect()} == set(rows)
+
+
+def test_near_duplicates_by_row(spark):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    rows = [(7, a), (7, a), (7, a), (None, b), (None, b + " end"), (3, c), (5, c), (5, "another text of five words and more"), (9, "alone"), (None, None), (8, "")]
+    rows += [(5, "one more text that nobody else has"), (6, "one more text that nobody else has")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n_chars int")
+    out = P.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    kept_b = [t for i, t in got if i is None and t]
+    assert len(kept_b) == 1 and kept_b[0] in (b, b + " end")
+    want = [(7, a), (None, kept_b[0]), (3, c), (5, rows[7][1]), (9, "alone"), (None, None), (8, ""), (5, rows[11][1])]
+    assert got == sorted(want, key=str)
