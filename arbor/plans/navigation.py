@@ -74,6 +74,15 @@ def pairwise(spark, d):
     return e.join(b, "label").where("vec_id < b").select(F.col("vec_id").alias("a"), "b", F.greatest(F.lit(0.0), F.least(F.lit(1.0), V.dot(F.col("v"), F.col("w")))).alias("similarity"))
 
 
+@query("r03_pairwise_all", "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, greatest(0.0, least(1.0, list_cosine_similarity(a.v, b.v))) AS similarity FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0")
+def pairwise_all(spark, d):
+    """Every vector of the query set with all other vectors, whatever their labels; blocks of a product where Spark does not broadcast."""
+    e = S.read(spark, d, "embeddings").select("vec_id", V.unit(F.col("embedding")).alias("v"))
+    a = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), F.col("v").alias("w"))
+    pairs = a.crossJoin(e.withColumnRenamed("vec_id", "b")).where("a <> b")
+    return pairs.select("a", "b", F.greatest(F.lit(0.0), F.least(F.lit(1.0), V.dot(F.col("v"), F.col("w")))).alias("similarity"))
+
+
 @query("r27_marked_text", "SELECT doc_id AS document_id, string_agg('[' || k * 400 || '-' || least(length(text), (k + 1) * 400) || ']' || chr(10) || substring(text, k * 400 + 1, 400), chr(10) ORDER BY k) AS text FROM (SELECT doc_id, coalesce(text, '') AS text, unnest(range(0, CAST(greatest(1, ceil(length(coalesce(text, '')) / 400.0)) AS BIGINT))) AS k FROM documents) GROUP BY doc_id")
 def marked_text(spark, d):
     docs = S.read(spark, d, "documents")

@@ -72,6 +72,23 @@ def coverage(spark, d):
     return V.coverage(_seeds(n), n).select("query_id", "id")
 
 
+def _all_leaves(n):
+    return n.where("height = 0").select(F.col("document_id").alias("query_id"), "document_id", "height", "level_index")
+
+
+@query("r10_coverage_all_leaves", " SELECT DISTINCT document_id AS query_id, id FROM nodes", nodes=True)
+def coverage_all_leaves(spark, d):
+    """Seeds are all leaves, so documents of one to three leaves have rows too."""
+    n = _nodes(spark, d)
+    return V.coverage(_all_leaves(n), n).select("query_id", "id")
+
+
+@query("r17_r19_frontier_all_leaves", " SELECT DISTINCT document_id AS query_id, id, span_start, span_end FROM nodes WHERE height = 0", nodes=True)
+def frontier_all_leaves(spark, d):
+    n = _nodes(spark, d)
+    return V.frontier(V.coverage(_all_leaves(n), n)).select("query_id", "id", "span_start", "span_end")
+
+
 @query("r17_r19_frontier")
 def frontier(spark, d):
     n = _nodes(spark, d)
@@ -86,6 +103,14 @@ def tiling_covers(spark, d):
     return C.tiling_report(front, lengths, 10**9).select("document_id", "covers")
 
 
+@query("v16_tiling_covers_all_leaves", "SELECT doc_id AS document_id, true AS covers FROM documents WHERE length(text) > 0")
+def tiling_covers_all_leaves(spark, d):
+    n = _nodes(spark, d)
+    front = V.frontier(V.coverage(_all_leaves(n), n))
+    lengths = S.sizes(S.read(spark, d, "documents")).where("len > 0").select("document_id", "len")
+    return C.tiling_report(front, lengths, 10**9).select("document_id", "covers")
+
+
 def _vectors(spark, d):
     e = S.read(spark, d, "embeddings").select("vec_id", V.unit(F.col("embedding")).alias("vec"), "label")
     return e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vec")
