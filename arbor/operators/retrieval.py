@@ -40,8 +40,8 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_bound: in
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25(texts: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_key, score, rank): Okapi BM25 over postings of the query terms only, idf = ln(1 + (N - df + .5)/(df + .5))."""
+def bm25_scores(texts: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, doc_key, score) of every text with a term of the query: Okapi BM25 over postings of the query terms only, idf = ln(1 + (N - df + .5)/(df + .5))."""
     toks = lambda c: F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(WORDS), F.lit(0))
     terms = queries.select("query_id", F.explode(F.array_distinct(toks("query_text"))).alias("term"))
     sized = texts.select("doc_key", toks("text").alias("t")).withColumn("n", F.size("t"))
@@ -52,11 +52,29 @@ def bm25(texts: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float
     s = stats.first()  # one row
     idf = F.log(1 + (F.lit(s.N) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.lit(s.avg or 1.0)))
-    score = tf.join(df, "term").join(terms, "term").groupBy("query_id", "doc_key").agg(F.sum(part).alias("score"))
+    return tf.join(df, "term").join(terms, "term").groupBy("query_id", "doc_key").agg(F.sum(part).alias("score"))
+
+
+def first_k(score: DataFrame, k: int) -> DataFrame:
+    """The k best (query_id, doc_key, score) of each query with their rank, ties by doc_key."""
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_key")
     return score.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def bm25(texts: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(query_id, doc_key, score, rank): the k best texts of each query."""
+    return first_k(bm25_scores(texts, queries, k1, b), k)
+
+
+def with_siblings(seeds: DataFrame, scores: DataFrame) -> DataFrame:
+    """(query_id, id, score) of the seeds and of their siblings, scored against the query too; a sibling without a term has 0."""
+    own = seeds.select("query_id", "document_id", "height", "level_index")
+    both = own.unionByName(own.withColumn("level_index", K.sibling(F.col("level_index")))).distinct()
+    asked = both.select("query_id", K.node_id(F.col("document_id"), F.col("height"), F.col("level_index")).alias("id"))
+    known = scores.select("query_id", F.col("doc_key").alias("id"), "score")
+    return asked.join(known, ["query_id", "id"], "left").fillna({"score": 0.0})
+
+
 def reciprocal_rank_fusion(a: DataFrame, b: DataFrame, key: str, k: int = 60) -> DataFrame:
     """Fused order of two rankings with 1-based ranks; ties keep the first list's order, then the second's."""
     j = a.select("query_id", key, F.col("rank").alias("ra")).join(b.select("query_id", key, F.col("rank").alias("rb")), ["query_id", key], "full")

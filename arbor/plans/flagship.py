@@ -6,17 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbor.operators import retrieval as R
+from arbor.session import ensure_checkpoint_dir
 from arbor.sources import corpus as S
 
 
 def flagship(spark: SparkSession, sf_dir: str, budget: int = 400, k: int = 20) -> DataFrame:
+    ensure_checkpoint_dir(spark)
     docs = S.read(spark, sf_dir, "documents")
     nodes = S.nodes(docs)
     leaves = S.with_text(nodes.where("height = 0"), docs).withColumnRenamed("id", "doc_key")
     asked = S.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    hits = R.bm25(leaves, asked, k)
-    best = hits.withColumn("score", F.col("score") / (F.col("score") + 10))
+    scores = R.bm25_scores(leaves, asked).checkpoint()
+    share = F.col("score") / (F.col("score") + 10)
+    best = R.first_k(scores, k).withColumn("score", share)
     seeds = best.join(nodes, best.doc_key == nodes.id).select("query_id", "document_id", "height", "level_index", "id", "score")
     cover = R.coverage(seeds, nodes)
-    scored = R.propagate(cover, seeds.select("query_id", "id", "score"))
+    scored = R.propagate(cover, R.with_siblings(seeds, scores.withColumn("score", share)))
     return R.greedy_tiling(cover.join(scored, ["query_id", "id"]), budget)

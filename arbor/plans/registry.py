@@ -72,6 +72,14 @@ def coverage(spark, d):
     return V.coverage(_seeds(n), n).select("query_id", "id")
 
 
+@query("st08_sessions", "SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS end_us, count(*) AS n FROM (SELECT user_id, ts, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS starts FROM events)) GROUP BY user_id, s")
+def session_windows(spark, d):
+    from arbor.streaming.journal import sessions
+
+    x = sessions(S.read(spark, d, "events"))
+    return x.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
 def _all_leaves(n):
     return n.where("height = 0").select(F.col("document_id").alias("query_id"), "document_id", "height", "level_index")
 

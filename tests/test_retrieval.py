@@ -1,4 +1,4 @@
-from arbor.operators.retrieval import greedy_tiling, propagate
+from arbor.operators.retrieval import greedy_tiling, propagate, with_siblings
 
 
 def _cover(spark):
@@ -21,3 +21,22 @@ def test_tiling_covers_once_within_budget_or_is_the_root(spark):
         assert len(t) == n and t[0].span_start == 0 and t[-1].span_end == 40
         assert all(a.span_end == b.span_start for a, b in zip(t, t[1:])) and t[0].over_budget == (budget < 200)
     assert [r.id for r in sorted(greedy_tiling(scored, 600).collect(), key=lambda r: r.position)][0] == "7:0:0"
+
+
+def test_siblings_of_seeds_are_scored(spark):
+    seeds = spark.createDataFrame([(1, 7, 0, 0), (1, 7, 0, 3)], "query_id long, document_id long, height int, level_index long")
+    scores = spark.createDataFrame([(1, "7:0:0", 0.8), (1, "7:0:1", 0.2), (1, "7:0:3", 0.6), (2, "7:0:2", 0.9)], "query_id long, doc_key string, score double")
+    leaf = with_siblings(seeds, scores)
+    got = {r.id: r.score for r in propagate(_cover(spark), leaf).collect()}
+    assert got["7:0:1"] == 0.2 and got["7:0:2"] == 0.0 and abs(got["7:1:0"] - 0.5) < 1e-12 and abs(got["7:1:1"] - 0.3) < 1e-12
+
+
+def test_flagship_scores_siblings(spark):
+    from arbor.plans import registry as R
+
+    rows = R.QUERIES["r18_flagship_tiling"](spark, "/root/testdata/sf0.001").where("height = 0").collect()
+    ids = {(r.query_id, r.id): r.score for r in rows}
+    seeds = [k for k, v in ids.items() if v]
+    sib = lambda i: ":".join([*i.split(":")[:2], str(int(i.split(":")[2]) ^ 1)])
+    pairs = [(q, sib(i)) for q, i in seeds if (q, sib(i)) in ids]
+    assert pairs and all(ids[p] is not None for p in pairs)
