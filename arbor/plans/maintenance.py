@@ -73,6 +73,18 @@ def units_not_blank(spark, d):
     return S.read(spark, d, "conversations").where(F.col("text").rlike(r"[^ \t\n\r]")).select("conv_id", "turn", F.substring("text", 1, 50000).alias("text"))
 
 
+@query("f10_g10_units_whole", "SELECT conv_id, turn, text FROM conversations WHERE regexp_matches(text, '[^ \\t\\n\\r]')")
+def units_whole(spark, d):
+    """Normal mode: blank units go, the others keep their whole text."""
+    return S.read(spark, d, "conversations").where(F.col("text").rlike(r"[^ \t\n\r]")).select("conv_id", "turn", "text")
+
+
+@query("f10_b20_client_units", "SELECT conv_id, turn, substring(text, 1, 50000) AS text FROM conversations")
+def client_units(spark, d):
+    """Client-managed chunking: all units, blank ones too, cut at 50,000 characters."""
+    return S.read(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 50000).alias("text"))
+
+
 @query("j14_v10_orphan_vectors", "SELECT vec_id AS key, 'vector.orphan' AS code FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0) UNION ALL SELECT doc_id, 'vector.missing' FROM documents WHERE doc_id % 3 = 0 AND doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def orphan_vectors(spark, d):
     v = S.read(spark, d, "embeddings").select(F.col("vec_id").alias("key"))
