@@ -37,9 +37,16 @@ def overlapping(nodes: DataFrame, start: int, end: int, min_height: int, limit:
     return hit.withColumn("total", F.count("*").over(every)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def leaf_at(nodes: DataFrame, points: DataFrame) -> DataFrame:
-    """The leaf whose half-open span holds each (document_id, position)."""
-    return points.join(leaves(nodes), "document_id").where("span_start <= position and position < span_end").select("document_id", "position", "id")
+def leaf_at(nodes: DataFrame, points: DataFrame, width: int = 4096) -> DataFrame:
+    """The leaf whose half-open span holds each (document_id, position).
+
+    Leaves are dealt to the stretches of `width` characters that they touch, so points meet the few leaves of their stretch
+    and not all of a long document.
+    """
+    at = lambda c: F.floor(c / width)
+    dealt = leaves(nodes).where("span_end > span_start").select("document_id", "id", "span_start", "span_end", F.explode(F.sequence(at(F.col("span_start")), at(F.col("span_end") - 1))).alias("__stretch"))
+    met = points.withColumn("__stretch", at(F.col("position"))).join(dealt, ["document_id", "__stretch"])
+    return met.where("span_start <= position and position < span_end").select("document_id", "position", "id")
 
 
 def ready_left_children(nodes: DataFrame) -> DataFrame:
@@ -112,3 +119,39 @@ def truncate_from(nodes: DataFrame, position: int) -> DataFrame:
     for c in ("parent_id", "following_neighbor_id"):
         kept = kept.join(ids.withColumnRenamed("__id", f"__{c}"), F.col(c) == F.col(f"__{c}"), "left").withColumn(c, F.col(f"__{c}")).drop(f"__{c}")
     return kept
+
+
+def ancestors(below: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(source, id) of all ancestors that exist: an explode over heights and one join on coordinates."""
+    tops = nodes.groupBy("document_id").agg(F.max("height").alias("top"))
+    up = below.join(tops, "document_id").where(F.col("height") < F.col("top")).select("document_id", F.col("id").alias("source"), "height", "level_index", F.explode(F.sequence(F.col("height") + 1, F.col("top"))).alias("h"))
+    at = up.select("document_id", "source", F.col("h").alias("height"), K.ancestor_index(F.col("height"), F.col("level_index"), F.col("h")).alias("level_index"))
+    return at.join(nodes.select("document_id", "height", "level_index", "id"), ["document_id", "height", "level_index"])
+
+
+def children(nodes: DataFrame) -> DataFrame:
+    """Ids of both children by coordinates alone; null for leaves."""
+    doc, (lh, ll), (rh, rl) = F.col("document_id"), K.left_child(F.col("height"), F.col("level_index")), K.right_child(F.col("height"), F.col("level_index"))
+    return nodes.withColumn("left", F.when(lh.isNotNull(), K.node_id(doc, lh, ll))).withColumn("right", F.when(rh.isNotNull(), K.node_id(doc, rh, rl)))
+
+
+def within_leaves(nodes: DataFrame, lo: int, hi: int) -> DataFrame:
+    """Nodes whose leaves all lie in a range of leaf indexes."""
+    return nodes.where(K.within(F.col("height"), F.col("level_index"), F.lit(lo), F.lit(hi)))
+
+
+def cost_stats(nodes: DataFrame) -> DataFrame:
+    """Costs, nodes, leaves and summaries of every document in one aggregate."""
+    return nodes.groupBy("document_id").agg(F.sum("cost").alias("cost"), F.count("*").alias("n_nodes"), F.count_if(F.col("height") == 0).alias("n_leaves"), F.count_if(F.col("height") > 0).alias("n_summaries"))
+
+
+def validation_metrics(nodes: DataFrame) -> DataFrame:
+    """Conditional counts of every document."""
+    return nodes.groupBy("document_id").agg(
+        F.count("*").alias("n_nodes"), F.count_if(F.col("height") == 0).alias("n_leaves"), F.count_if(F.col("parent_id").isNull()).alias("n_roots"),
+        F.count_if((F.col("height") > 0) & F.col("left_child_id").isNull()).alias("no_children"), F.count_if(F.col("span_end") <= F.col("span_start")).alias("empty_spans"), F.count_if(F.col("token_count") == 0).alias("no_tokens"),
+    )
+
+
+def root_stats(nodes: DataFrame) -> DataFrame:
+    return roots(nodes).groupBy("document_id").agg(F.sum("token_count").alias("tokens"), F.max("height").alias("height"), F.count("*").alias("n_roots"))

@@ -6,6 +6,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,22 +25,69 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(F.raise_error(F.lit("zero vector")).cast("double")))
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_bound: int = 10_000) -> DataFrame:
-    """(query_id, vec_id, relevance, rank): exact, relevance = dot clipped to 0..1, ties by id.
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_bound: int = 10_000, byte_bound: int = 64 << 20) -> DataFrame:
+    """(query_id, vec_id, relevance, rank): exact, relevance = dot clipped to 0..1 (to twelve places), ties by id.
 
-    The stated query set is broadcast below a checked bound and meets every vector once; each task keeps k of
-    each query before anything is shuffled.
+    The stated query set goes to every task below a checked number and size. Vectors are multiplied with all
+    queries in blocks, and a block returns no more than k of each query, so a shuffle carries k rows a query and block.
     """
-    q = queries.select("query_id", F.col("vec").alias("qvec"))
-    n = q.count()
-    if n > query_bound:
-        raise ValueError(f"{n} queries: split the query set, it is broadcast")
-    pairs = vectors.select("vec_id", "vec").join(F.broadcast(q))
-    scored = pairs.select("query_id", "vec_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(F.col("vec"), F.col("qvec")))).alias("relevance"))
+    asked = queries.select("query_id", "vec").limit(query_bound + 1).collect()  # at most query_bound rows
+    if len(asked) > query_bound:
+        raise ValueError(f"over {query_bound} queries: split the query set, it goes to every task")
+    ids = [r.query_id for r in asked]
+    q = np.array([r.vec for r in asked], np.float64).reshape(len(ids), -1)
+    if q.nbytes > byte_bound:
+        raise ValueError(f"{q.nbytes} bytes of queries: split the query set, it goes to every task")
+
+    def run(batches):
+        for b in batches:
+            if not len(b) or not ids:
+                continue
+            vec, own = b.column("vec"), np.asarray(b.column("vec_id"))
+            x = vec.flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
+            rel = np.round(np.clip(x @ q.T, 0, 1), 12).T
+            rows, cols = [], []
+            for i, r in enumerate(rel):
+                keep = np.arange(len(r))
+                if len(r) > k:
+                    least = np.partition(r, len(r) - k)[len(r) - k]
+                    above, same = np.flatnonzero(r > least), np.flatnonzero(r == least)
+                    keep = np.concatenate([above, same[np.argsort(own[same], kind="stable")[: k - len(above)]]])
+                rows.append(np.full(len(keep), i))
+                cols.append(keep)
+            rows, cols = np.concatenate(rows), np.concatenate(cols)
+            yield pa.record_batch([pa.array([ids[i] for i in rows.tolist()], pa.int64()), pa.array(own[cols], pa.int64()), pa.array(rel[rows, cols])], ["query_id", "vec_id", "relevance"])
+
+    scored = vectors.where("vec is not null").select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, "query_id long, vec_id long, relevance double")
     w = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def okapi(texts: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
+    """(query_id, document_id, doc_key, score, rank): BM25 inside each document over the texts of its nodes.
+
+    texts: document_id, doc_key, position, text; queries: query_id, document_id, query_text, each for one document. idf is
+    ln(N - df + 0.5) - ln(df + 0.5); a negative one becomes `floor` times the mean idf of the document's terms. A term counts as often as the
+    query has it. Texts without a term have score 0 and fill the k best in the order of their position.
+    """
+    toks = lambda c: F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(WORDS), F.lit(0))
+    asked = queries.select("query_id", "document_id", F.explode(toks("query_text")).alias("term")).groupBy("query_id", "document_id", "term").agg(F.count("*").alias("times"))
+    here = texts.join(queries.select("document_id").distinct(), "document_id", "left_semi").select("document_id", "doc_key", "position", toks("text").alias("t"))
+    sizes = here.select("document_id", "doc_key", "position", F.size("t").alias("dl"))
+    stats = sizes.groupBy("document_id").agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))
+    tf = here.select("document_id", "doc_key", F.explode("t").alias("term")).groupBy("document_id", "doc_key", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("document_id", "term").agg(F.count("*").alias("df")).join(stats, "document_id")
+    df = df.withColumn("raw", F.log(F.col("N") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = df.groupBy("document_id").agg(F.avg("raw").alias("mean"))
+    idf = df.join(asked.select("document_id", "term").distinct(), ["document_id", "term"], "left_semi").join(mean, "document_id").withColumn("idf", F.when(F.col("raw") < 0, floor * F.col("mean")).otherwise(F.col("raw")))
+    x = tf.join(idf.select("document_id", "term", "idf", "avgdl"), ["document_id", "term"]).join(asked, ["document_id", "term"]).join(sizes.select("document_id", "doc_key", "dl"), ["document_id", "doc_key"])
+    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    score = x.groupBy("query_id", "document_id", "doc_key").agg(F.sum(part).alias("score"))
+    every = queries.select("query_id", "document_id").join(sizes.select("document_id", "doc_key", "position"), "document_id").join(score, ["query_id", "document_id", "doc_key"], "left").fillna(0.0, ["score"])
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "position")
+    return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "document_id", "doc_key", "score", "rank")
+
+
 def bm25_scores(texts: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(query_id, doc_key, score) of every text with a term of the query: Okapi BM25 over postings of the query terms only, idf = ln(1 + (N - df + .5)/(df + .5))."""
     toks = lambda c: F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(WORDS), F.lit(0))
@@ -194,6 +242,16 @@ def assemble(tiles: DataFrame) -> DataFrame:
 
 
 def time_to_leaf(leaves: DataFrame, times: DataFrame) -> DataFrame:
-    """For each (document_id, t): the first leaf that ends at or after t, and the last that starts at or before it."""
-    x = times.join(leaves, "document_id")
-    return x.groupBy("document_id", "t").agg(F.min(F.when(F.col("time_end") >= F.col("t"), F.struct("time_end", "level_index"))).alias("a"), F.max(F.when(F.col("time_start") <= F.col("t"), F.struct("time_start", "level_index"))).alias("b")).select("document_id", "t", F.col("a.level_index").alias("first_leaf"), F.col("b.level_index").alias("last_leaf"))
+    """For each (document_id, t): the first leaf that ends at or after t, and the last that starts at or before it.
+
+    Times and leaves in one order, once by ends downwards and once by starts upwards: a time takes the last leaf before it there,
+    so no pairs are made.
+    """
+    asked = times.select("document_id", F.col("t").alias("at"), F.lit(None).cast("bigint").alias("leaf"), F.lit(1).alias("asks")).distinct()
+    ends = leaves.where("time_end is not null").select("document_id", F.col("time_end").alias("at"), F.col("level_index").alias("leaf"), F.lit(0).alias("asks"))
+    starts = leaves.where("time_start is not null").select("document_id", F.col("time_start").alias("at"), F.col("level_index").alias("leaf"), F.lit(0).alias("asks"))
+    down = Window.partitionBy("document_id").orderBy(F.desc("at"), "asks", F.desc("leaf")).rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy("document_id").orderBy("at", "asks", "leaf").rowsBetween(Window.unboundedPreceding, 0)
+    found = lambda rows, w, c: rows.unionByName(asked).withColumn(c, F.last("leaf", ignorenulls=True).over(w)).where("asks = 1").select("document_id", F.col("at").alias("t"), c)
+    known = leaves.select("document_id").distinct()
+    return found(ends, down, "first_leaf").join(found(starts, up, "last_leaf"), ["document_id", "t"]).join(known, "document_id", "left_semi")

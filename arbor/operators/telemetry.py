@@ -5,34 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbor.operators.metrics import linear_quantiles, positions, values_at
 from arbor.session import ensure_checkpoint_dir
 
 
 def robust_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Median, quartiles, p95 (linear), median absolute deviation, sample and population deviation in two passes."""
+    """Median, quartiles, p95 (linear), median absolute deviation, sample and population deviation; quantiles by ranges of values, so that no key is one task."""
     v = F.col(value)
-    p = lambda q: F.expr(f"percentile({value}, {q})")
-    a = df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), p(0.5).alias("median"), p(0.25).alias("p25"), p(0.75).alias("p75"), p(0.95).alias("p95"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"), F.stddev_pop(v).alias("pstd"))
-    mad = df.join(a.select(*keys, F.col("median").alias("__m")), keys).groupBy(*keys).agg(F.expr(f"percentile(abs({value} - __m), 0.5)").alias("mad"))
-    return a.join(mad, keys).withColumn("iqr", F.col("p75") - F.col("p25"))
+    a = df.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"), F.stddev_pop(v).alias("pstd"))
+    q = linear_quantiles(positions(df, keys, value), keys, value, {"median": 0.5, "p25": 0.25, "p75": 0.75, "p95": 0.95})
+    away = df.join(q.select(*keys, F.col("median").alias("__m")), keys).withColumn("__away", F.abs(v - F.col("__m")))
+    mad = linear_quantiles(positions(away, keys, "__away"), keys, "__away", {"mad": 0.5})
+    return a.join(q, keys).join(mad, keys).withColumn("iqr", F.col("p75") - F.col("p25"))
 
 
 def quantile_exclusive(df: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
     """Quantile at position q * (n + 1) of the ordered values, between neighbours, clipped to the ends."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    x = df.where(F.col(value).isNotNull()).withColumn("i", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
-    pos = F.greatest(F.lit(1.0), F.least(F.col("n").cast("double"), q * (F.col("n") + 1)))
-    lo = F.floor(pos)
-    pick = lambda k: F.max(F.when(F.col("i") == k, F.col(value)))
-    return x.withColumn("lo", lo).withColumn("hi", F.ceil(pos)).withColumn("f", pos - lo).groupBy(*keys).agg(pick(F.col("lo")).alias("a"), pick(F.col("hi")).alias("b"), F.max("f").alias("f")).select(*keys, (F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias("quantile"))
+    pos = F.greatest(F.lit(1.0), F.least(F.col("total").cast("double"), q * (F.col("total") + 1)))
+    x = values_at(positions(df, keys, value), keys, value, a=F.floor(pos), b=F.ceil(pos))
+    return x.select(*keys, (F.col("a") + (F.col("b") - F.col("a")) * (pos - F.floor(pos))).alias("quantile"))
 
 
 def quantile_nearest(df: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
     """The value at index int(n * q) of the ordered values."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    x = df.where(F.col(value).isNotNull()).withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
-    at = F.least(F.col("n") - 1, F.floor(F.col("n") * q))
-    return x.where(F.col("i") == at).select(*keys, F.col(value).alias("quantile"))
+    at = F.least(F.col("total") - 1, F.floor(F.col("total") * q)) + 1
+    return values_at(positions(df, keys, value), keys, value, quantile=at).drop("total")
 
 
 def fold_journal(journal: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from arbor.functions import coords as K
@@ -9,13 +10,13 @@ from arbor.operators import repository as R
 from arbor.operators import retrieval as V
 from arbor.operators import telemetry as T
 from arbor.operators import validation as C
-from arbor.plans import analytics, maintenance, navigation
-from arbor.plans.base import ORACLES, QUERIES, REC, query, simple
+from arbor.plans import analytics, catalog, checks, maintenance, metrics, navigation, paths
+from arbor.plans.base import NODES, ORACLES, QUERIES, REC, query, simple
 from arbor.plans.base import nodes_of as _nodes
 from arbor.plans.flagship import flagship
 from arbor.sources import corpus as S
 
-__all__ = ["ORACLES", "QUERIES", "analytics", "maintenance", "navigation"]
+__all__ = ["ORACLES", "QUERIES", "analytics", "catalog", "checks", "maintenance", "metrics", "navigation", "paths"]
 
 COLS = ["id", "document_id", "height", "level_index", "span_start", "span_end", "token_count", "parent_id", "left_child_id", "right_child_id", "preceding_neighbor_id", "following_neighbor_id"]
 
@@ -97,7 +98,14 @@ def frontier_all_leaves(spark, d):
     return V.frontier(V.coverage(_all_leaves(n), n)).select("query_id", "id", "span_start", "span_end")
 
 
-@query("r17_r19_frontier")
+@query(
+    "r17_r19_frontier",
+    """, top AS (SELECT document_id, max(height) AS t FROM nodes GROUP BY 1), sd AS (SELECT n.document_id, level_index, unnest(range(0, t + 1)) AS h FROM nodes n JOIN top USING (document_id) WHERE height = 0 AND level_index % 5 = 3),
+ c AS (SELECT document_id, h AS height, level_index >> h AS level_index FROM sd UNION SELECT document_id, h, xor(level_index >> h, 1) FROM sd UNION SELECT document_id, height, level_index FROM nodes WHERE parent_id IS NULL AND document_id IN (SELECT document_id FROM sd)),
+ v AS (SELECT n.* FROM c JOIN nodes n USING (document_id, height, level_index))
+ SELECT document_id AS query_id, id, span_start, span_end FROM v WHERE id NOT IN (SELECT parent_id FROM v WHERE parent_id IS NOT NULL)""",
+    nodes=True,
+)
 def frontier(spark, d):
     n = _nodes(spark, d)
     return V.frontier(V.coverage(_seeds(n), n)).select("query_id", "id", "span_start", "span_end")
@@ -143,6 +151,14 @@ _BM25 = """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p
  SELECT query_id, doc_id AS doc_key, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s QUALIFY rank <= 10"""
 
 
+_OKAPI = r"""{nodes}, tx AS (SELECT n.document_id, n.id, n.height, n.level_index, regexp_extract_all(lower(substring(coalesce(text, ''), span_start + 1, CASE WHEN height = 0 THEN span_end - span_start ELSE token_count * 4 END)), '[\p{L}\p{N}_]+') AS t FROM nodes n JOIN documents ON doc_id = document_id),
+ qq AS (SELECT doc_id AS document_id, unnest(regexp_extract_all(lower(b.text), '[\p{L}\p{N}_]+')) AS term FROM documents JOIN (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS k, count(*) OVER () AS m FROM benchmark) b ON doc_id % m = k),
+ q AS (SELECT document_id, term, count(*) AS times FROM qq GROUP BY ALL), st AS (SELECT document_id, count(*) AS n, avg(len(t)) AS a FROM tx GROUP BY 1),
+ tf AS (SELECT document_id, id, term, count(*) AS tf FROM (SELECT document_id, id, unnest(t) AS term FROM tx) GROUP BY ALL), df AS (SELECT document_id, term, ln(max(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf JOIN st USING (document_id) GROUP BY ALL),
+ mean AS (SELECT document_id, avg(raw) AS mean FROM df GROUP BY 1), sc AS (SELECT tx.document_id, tx.id, sum(times * CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / a))) AS score FROM tf JOIN q USING (document_id, term) JOIN df USING (document_id, term) JOIN mean USING (document_id) JOIN st USING (document_id) JOIN tx ON tx.id = tf.id GROUP BY ALL)
+ SELECT document_id AS query_id, id AS doc_key, round(coalesce(score, 0), 6) AS score, row_number() OVER (PARTITION BY document_id ORDER BY round(coalesce(score, 0), 9) DESC, height, level_index) AS rank FROM tx LEFT JOIN sc USING (document_id, id) QUALIFY rank <= 5"""
+
+
 @query("r04_t04_bm25", _BM25)
 def bm25(spark, d):
     texts = S.read(spark, d, "documents").select(F.col("doc_id").alias("doc_key"), "text")
@@ -150,10 +166,25 @@ def bm25(spark, d):
     return V.bm25(texts, asked, 10).select("query_id", "doc_key", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(
+    "r04_okapi_nodes",
+    _OKAPI.replace("{nodes}", NODES),
+)
+def okapi(spark, d):
+    """Every document is asked one benchmark question, over all its nodes, summaries included."""
+    docs = S.read(spark, d, "documents")
+    n = S.with_text(S.nodes(docs), docs)
+    order = F.struct("height", "level_index")
+    asked = S.read(spark, d, "benchmark")
+    many = asked.agg(F.count("*").alias("m"))
+    numbered = asked.join(F.broadcast(many)).select((F.row_number().over(Window.orderBy("item_id")) - 1).alias("k"), "m", "text")  # a benchmark is small
+    q = docs.select(F.col("doc_id").alias("document_id")).join(F.broadcast(many)).withColumn("k", F.col("document_id") % F.col("m")).join(F.broadcast(numbered.select("k", "text")), "k")
+    q = q.select(F.col("document_id").alias("query_id"), "document_id", F.col("text").alias("query_text"))
+    return V.okapi(n.select("document_id", F.col("id").alias("doc_key"), order.alias("position"), "text"), q, 5).select("query_id", "doc_key", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("r05_rrf", "WITH a AS (SELECT user_id AS query_id, event_id AS k, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events QUALIFY r <= 20), b AS (SELECT user_id AS query_id, event_id AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events QUALIFY r <= 20) SELECT query_id, k, coalesce(1.0 / (60 + a.r), 0) + coalesce(1.0 / (60 + b.r), 0) AS score FROM a FULL JOIN b USING (query_id, k)")
 def rrf(spark, d):
-    from pyspark.sql import Window
-
     e = S.read(spark, d, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("k"), "value", "ts")
     rank = lambda c: e.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(c), "k"))).where("rank <= 20")
     return V.reciprocal_rank_fusion(rank("value"), rank("ts"), "k").drop("rank")
@@ -212,11 +243,10 @@ def journal_fold(spark, d):
 
 @query("st04_journal_stream", "SELECT user_id AS append_id, count(*) AS n, count(*) FILTER (event_id % 4 = 1) AS commits, max(event_id) AS last_event FROM events GROUP BY 1")
 def journal_stream(spark, d):
-    import uuid
-
+    from arbor.plans.catalog import scratch
     from arbor.streaming.journal import fold_stream, run_once, stream_events
 
-    return run_once(fold_stream(stream_events(spark, d)), f"journal_{uuid.uuid4().hex}")
+    return run_once(fold_stream(stream_events(spark, d)), scratch(spark, "journal"))
 
 
 @query("g01_bridge", REC + "SELECT session, uuid, coalesce(parent, prev) AS parent FROM r")

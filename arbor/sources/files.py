@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,26 +22,66 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return lines.where(F.col("line").startswith("{")).withColumn("r", r).where("r is not null and r.__bad is null").select("path", "r.*").drop("__bad")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, block (byte where the split of the file begins), line_no (order inside the split) and line.
+
+    (path, block, line_no) is the order of lines in a file, without reading a file in one task; sorted downwards it is the reverse scan.
+    """
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
+
+
+def load_vectors(spark: SparkSession, path: str, schema: str, whole: bool = False) -> DataFrame:
+    """The current version of a vector table (whole: the table at the path itself); empty if it is absent or broken."""
+    try:
+        df = spark.read.parquet(path) if whole else read_version(spark, path)
+    except (FileNotFoundError, PySparkException, Py4JJavaError):
+        return spark.createDataFrame([], schema)
+    return df
+
+
 def append_journal(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
-def write_version(df: DataFrame, path: str) -> str:
-    """Writes a whole new version beside the old ones and then names it as the current one; readers never see a part."""
+def write_version(df: DataFrame, path: str, tries: int = 100) -> str:
+    """Writes a whole new version beside the old ones and then names it as the current one; readers never see a part.
+
+    The number is taken by creating its marker, which fails if the marker is there; so two writers never get the same one.
+    """
     spark = df.sparkSession
     name = f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{name}")
-    seen = versions(spark, path)
-    n = (seen.agg(F.max("n")).first()[0] or 0) + 1 if seen is not None else 1
-    spark.createDataFrame([(n, name)], "n long, name string").coalesce(1).write.mode("append").parquet(f"{path}/_versions")
-    return name
+    fs, at = _files(spark, f"{path}/_versions")
+    fs.mkdirs(at)
+    for _ in range(tries):
+        n = max(_numbers(fs, at), default=0) + 1
+        marker = spark._jvm.org.apache.hadoop.fs.Path(at, f"{n:012d}")
+        try:
+            out = fs.create(marker, False)
+        except Py4JJavaError:
+            continue  # another writer took the number
+        out.write(bytearray(name.encode()))
+        out.close()
+        return name
+    raise OSError(f"no number for a version of {path}")
+
+
+def _files(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _numbers(fs, at) -> list[int]:
+    return [int(f.getPath().getName()) for f in fs.listStatus(at) if f.getPath().getName().isdigit()]
 
 
 def versions(spark: SparkSession, path: str) -> DataFrame | None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_versions")
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    """n and name of all versions."""
+    fs, at = _files(spark, f"{path}/_versions")
+    if not fs.exists(at) or not _numbers(fs, at):
         return None
-    return spark.read.schema("n long, name string").parquet(f"{path}/_versions")
+    lines = spark.read.text(f"{path}/_versions").select(F.regexp_extract(F.col("_metadata.file_path"), r"(\d+)$", 1).cast("long").alias("n"), F.col("value").alias("name"))
+    return lines
 
 
 def read_version(spark: SparkSession, path: str) -> DataFrame:

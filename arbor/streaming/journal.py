@@ -28,8 +28,12 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return e.groupBy(F.session_window("at", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def run_once(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """All that is available now, into a table in memory."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def run_once(df: DataFrame, path: str, mode: str = "complete") -> DataFrame:
+    """All that is available now. The result is a table at a path, written anew by each batch; it never passes through the driver."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/result")
+
+    q = df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.parquet(f"{path}/result")
