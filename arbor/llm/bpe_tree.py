@@ -8,8 +8,8 @@ tokens between, and tokens right of the right agreement are the tokens of the jo
 encoding every two neighbours fit each other wherever they stand. A window that reaches both ends is
 simply the encoding of the joined text.
 
-White space that the tokenizer drops splits texts exactly, so a leaf is encoded by its words, and the ids
-of a word are looked up once per task (the memo is emptied when it holds MEMO words).
+White space that the tokenizer drops splits texts exactly, so a leaf is encoded by its words. Words that come
+again are kept in a memo of at most MEMO_BYTES; a word enters it when it is met the second time.
 
 Rules. A null text is empty: no tokens, decoded "". Very long words are cut like any text. Rows keep their
 number; repeated rows give repeated results; extra columns are dropped; an empty table gives an empty
@@ -27,67 +27,80 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbor.llm.shared import blocks, cache, release
+
 LEAF = 16384
 WINDOW = 64
 AGREE = 3
-MEMO = 250_000
+#: Bytes of the memo of words that a Python worker keeps.
+MEMO_BYTES = 40 << 20
+#: Bytes of the table that tells whether a word was met before.
+MET = 1 << 20
 
 
 class Encoder:
-    """A tokenizer of the tokenizers library with a memo of words: (ids, decoded, starts and ends)."""
+    """A tokenizer of the tokenizers library with a memo of words: n ids, then n pairs of starts and ends, 32 bits each."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_bytes: int = MEMO_BYTES):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.memo: dict[str, tuple[bytes, str, bytes]] = {}
+        self.memo: dict[str, bytes] = {}
+        self.size, self.most, self.met = 0, memo_bytes, bytearray(MET)
         size = max(self.tok.get_vocab(with_added_tokens=True).values()) + 1
         self.names = [self.tok.id_to_token(i) or "" for i in range(size)]
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[str]) -> dict[str, bytes]:
         """Encodes words that the memo lacks, many at a time: joined by blanks they do not touch each other."""
-        if len(self.memo) + len(words) > MEMO:
-            self.memo.clear()
+        new, met = {}, self.met
         for at in range(0, len(words), 2000):
             part = words[at : at + 2000]
             e = self.tok.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(e.ids, np.uint32)
+            raw = np.array(e.ids, np.uint32).tobytes()
             off = np.array(e.offsets, np.int64).reshape(-1, 2)
             begin = np.concatenate([[0], np.cumsum([len(w) + 1 for w in part])])
             cut = np.searchsorted(off[:, 0], begin)
-            base = np.repeat(begin[:-1], np.diff(cut))
-            off8 = (off - base[:, None]).astype(np.int32)
-            for w, i, j in zip(part, cut.tolist(), cut[1:].tolist()):
-                k = ids[i:j]
-                self.memo[w] = (k.tobytes(), " ".join([self.names[x] for x in k.tolist()]), off8[i:j].tobytes())
-
-    def known(self, words: list[str]) -> list[tuple]:
-        """Memo entries of words."""
-        memo = self.memo
-        got = [memo.get(w) for w in words]
+            own = (off - np.repeat(begin[:-1], np.diff(cut))[:, None]).astype(np.int32).tobytes()
+            cut = (4 * cut).tolist()
+            for w, i, j in zip(part, cut, cut[1:]):
+                one = new[w] = raw[i:j] + own[2 * i : 2 * j]
+                spot = hash(w) % MET
+                if met[spot]:
+                    self.size += 240 + len(w) + len(one)
+                    if self.size > self.most:
+                        self.memo, self.size = {}, 0
+                    self.memo[w] = one
+                met[spot] = 1
+        return new
+
+    def known(self, words: list[str]) -> list[bytes]:
+        """Entries of words."""
+        got = [*map(self.memo.get, words)]
         if None in got:
-            self.learn(list(dict.fromkeys(w for w, g in zip(words, got) if g is None)))
-            memo = self.memo
-            got = [memo.get(w) for w in words]
-            if None in got:  # the memo was emptied in between
-                self.learn(list(dict.fromkeys(w for w, g in zip(words, got) if g is None)))
-                got = [g or self.memo[w] for w, g in zip(words, got)]
+            new = self.learn(list(dict.fromkeys([w for w, g in zip(words, got) if g is None])))
+            got = [new[w] if g is None else g for w, g in zip(words, got)]
         return got
 
-    def short(self, text: str) -> tuple[bytes, str]:
-        """(ids as bytes, decoded text) of a text by its words."""
-        parts = self.known(_words(text))
-        return b"".join([p[0] for p in parts]), " ".join([p[1] for p in parts if p[0]])
+    def short(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """(ids as bytes, decoded text) of texts by their words."""
+        words = [_words(t) for t in texts]
+        parts = [p[: len(p) // 3] for p in self.known([w for ws in words for w in ws])]
+        out, at = [], 0
+        for ws in words:
+            ids = b"".join(parts[at : at + len(ws)])
+            at += len(ws)
+            out.append((ids, self.decode(np.frombuffer(ids, np.uint32))))
+        return out
 
     def spans(self, text: str, base: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids, starts and ends of the tokens of a text, offset by base."""
         found = [(m.start(), m[0]) for m in (_ODD if _odd(text) else _WORD).finditer(text)]
         parts = self.known([w for _, w in found])
-        at = np.repeat(np.array([a for a, _ in found], np.int64), [len(p[0]) // 4 for p in parts]) + base
-        ids, off = (np.frombuffer(b"".join([p[k] for p in parts]), t) for k, t in ((0, np.uint32), (2, np.int32)))
-        off = off.reshape(-1, 2)
+        at = np.repeat(np.array([a for a, _ in found], np.int64), [len(p) // 12 for p in parts]) + base
+        ids = np.frombuffer(b"".join([p[: len(p) // 3] for p in parts]), np.uint32)
+        off = np.frombuffer(b"".join([p[len(p) // 3 :] for p in parts]), np.int32).reshape(-1, 2)
         return ids, off[:, 0] + at, off[:, 1] + at
 
     def decode(self, ids: np.ndarray) -> str:
@@ -118,13 +131,11 @@ def unpack(ids: bytes, steps: bytes, lengths: bytes, base: int) -> tuple[np.ndar
     return i.astype(np.uint32), starts, starts + n
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    held = cache("bpe_tree")
+    if path not in held:
+        held[path] = Encoder(path)
+    return held[path]
 
 
 def _agreement(side, win, lo: int, hi: int, last: bool):
@@ -203,8 +214,10 @@ def _short(path: str, digest: bool):
     def run(batches):
         enc = encoder(path)
         for b in batches:
-            raw, decoded = zip(*[enc.short(t or "") for t in b.column("text").to_pylist()]) if len(b) else ((), ())
-            yield from _result(b.column("doc_id").to_pylist(), [len(x) // 4 for x in raw], list(raw), list(decoded), digest).to_batches()
+            for s in blocks(b, "text"):
+                raw, decoded = zip(*enc.short([t or "" for t in s.column("text").to_pylist()]))
+                yield from _result(s.column("doc_id").to_pylist(), [len(x) // 4 for x in raw], list(raw), list(decoded), digest).to_batches()
+        release()
 
     return run
 
@@ -216,6 +229,7 @@ def _leaves(path: str):
             out = [pack(*enc.spans(t)) for t in b.column("piece").to_pylist()]
             names = ["doc_id", "row", "copy", "at", "piece"]
             yield pa.record_batch([b.column(c) for c in names] + [pa.array([o[k] for o in out], pa.binary()) for k in range(3)], [*names, "ids", "starts", "ends"])
+        release()
 
     return run
 

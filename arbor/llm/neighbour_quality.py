@@ -1,7 +1,7 @@
 """Quality classifier by nearest-neighbour voting in a latent-semantic space.
 
-A text becomes counts of trigrams of character classes (runs of letters, digits and blanks collapse) and
-a few repetition rates of its words and lines; square roots of shares times idf, reduced to DIMS dimensions
+A text becomes counts of its words in WORDS hashed bins, of trigrams of character classes (runs of letters, digits and
+blanks collapse) and a few repetition rates of its words and lines; square roots of shares times idf, reduced to DIMS dimensions
 by the singular vectors of the labelled sample. The labelled vectors, at most SAMPLE_ROWS x DIMS numbers, go
 to every executor. Each block of documents is multiplied with all of them, exactly; the K most similar vote
 with weight similarity ** POWER, towards the share of label 1 in the sample when little is similar.
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arbor.llm.shared import blocks, release
 from arbor.llm.textnum import mix, utf8, windows, word_hashes
 
 SAMPLE_ROWS = 2000
@@ -51,7 +52,9 @@ _CLASS[[ord(c) for c in "<>[]{}=+/\\_@^~`"]] = 11
 _CLASS[0xC3] = 12
 _COLLAPSE = np.isin(np.arange(_N), (0, 1, 2, 3, 4))
 _RATES = 9
-WIDTH = _N**3 + _RATES
+#: Bins of hashed words.
+WORDS = 512
+WIDTH = _N**3 + WORDS + _RATES
 
 
 def features(col) -> np.ndarray:
@@ -68,11 +71,14 @@ def features(col) -> np.ndarray:
     c, r = cls[keep], row[keep]
     tri, ok = c[:-2] * _N * _N + c[1:-1] * _N + c[2:], r[:-2] == r[2:]
     np.add.at(out.reshape(-1), r[:-2][ok] * WIDTH + tri[ok], 1)
-    total = out.sum(1, keepdims=True)
-    out = np.sqrt(out / np.maximum(total, 1))
     h, first = word_hashes(data, offsets)
     m = np.maximum(np.diff(first), 1)
     own = np.repeat(np.arange(n), np.diff(first))
+    np.add.at(out.reshape(-1), own * WIDTH + _N**3 + (h % np.uint64(WORDS)).astype(np.int64), 1)
+    for lo, hi in ((0, _N**3), (_N**3, _N**3 + WORDS)):
+        part = out[:, lo:hi]
+        part /= np.maximum(part.sum(1, keepdims=True), 1)
+    np.sqrt(out, out)
     twice = np.bincount(own[1:][(h[1:] == h[:-1]) & (own[1:] == own[:-1])], minlength=n) / m
     pairs, ok2 = windows(h, first, 2)
     first2 = own[np.flatnonzero(ok2)]
@@ -88,18 +94,6 @@ def features(col) -> np.ndarray:
     return out
 
 
-def blocks(batch: pa.RecordBatch, text: str, rows: int = BLOCK, size: int = 2 << 20):
-    """Slices of at most so many rows and, beyond one row, so many bytes of text."""
-    import pyarrow.compute as pc
-
-    n = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(batch):
-        end = max(at + 1, min(at + rows, int(np.searchsorted(n, (n[at - 1] if at else 0) + size, side="right"))))
-        yield batch.slice(at, end - at)
-        at = end
-
-
 class Model:
     """Weights, singular vectors, labelled vectors and labels."""
 
@@ -111,10 +105,14 @@ class Model:
         self.idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1.0
         self.idf[WIDTH - _RATES :] = 2.0
         used = np.flatnonzero(x.any(axis=0))
-        w = x[:, used] * self.idf[used]
-        _, vectors = np.linalg.eigh(w.T.astype(np.float64) @ w)
-        self.axes = np.zeros((x.shape[1], min(dims, len(used))))
-        self.axes[used] = vectors[:, ::-1][:, :dims]
+        w = (x[:, used] * self.idf[used]).astype(np.float64)
+        if len(w) < len(used):  # the same vectors from the smaller product
+            values, left = np.linalg.eigh(w @ w.T)
+            vectors = (w.T @ left[:, ::-1][:, :dims]) / np.sqrt(np.maximum(values[::-1][:dims], 1e-9))
+        else:
+            vectors = np.linalg.eigh(w.T @ w)[1][:, ::-1][:, :dims]
+        self.axes = np.zeros((x.shape[1], vectors.shape[1]))
+        self.axes[used] = vectors
         self.points = self.project(x)
 
     def project(self, x: np.ndarray) -> np.ndarray:
@@ -154,6 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(some, "__id").select("__id", "__text", F.col("__label").cast("int").alias("__label"))
 
     def run(batches):
+        release("neighbour_quality")
         for b in batches:
             for s in blocks(b, "__text"):
                 x = features(pa.chunked_array([s.column("__text")]))
@@ -172,9 +171,11 @@ def scores(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most SAMPLE_ROWS x DIMS numbers and two matrices of WIDTH rows
 
     def run(batches):
+        release("neighbour_quality")
         for b in batches:
             for s in blocks(b, "text"):
                 yield pa.record_batch([s.column(0), s.column(1), pa.array(shared.value.scores(features(pa.chunked_array([s.column("text")]))))], ["doc_id", "held_out", "score"])
+        release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
@@ -186,9 +187,11 @@ def keep_good(docs: DataFrame, model: Model, *, text_col: str = "text", threshol
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        release("neighbour_quality")
         for b in batches:
             for s in blocks(b, text_col):
                 good = shared.value.scores(features(pa.chunked_array([s.column(text_col)]))) >= threshold
                 yield s.filter(pa.array(good))
+        release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -44,3 +44,20 @@ def test_odd_rows(spark):
     model = N.fit(docs, some)
     assert len(N.scores(docs, model).collect()) == 53 and N.keep_good(docs, model).columns == docs.columns
     assert N.scores(docs.limit(0), model).collect() == []
+
+
+def test_words_alone_tell_the_labels(spark):
+    """Texts alike but for their words: the hashed words carry the decision."""
+    r = np.random.default_rng(5)
+    word = lambda kind: f"{'xyzqjk'[r.integers(6)]}{kind}{'aeiou'[r.integers(5)]}n"
+    rows = [(i, " ".join(word("la" if i % 2 else "mo") for _ in range(60))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    got = N.scores(docs, N.fit(docs, labels)).where("held_out").collect()
+    assert sum(g.predicted == g.doc_id % 2 for g in got) / len(got) > 0.95
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(i, "plain words of a text, number " + str(i)) for i in range(40)] + [(99, "some words " * 400_000)], "doc_id long, text string")
+    got = N.scores(docs, N.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int"))).collect()
+    assert len(got) == 41 and all(0 <= g.score <= 1 for g in got)
