@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from arbor.llm import cells as C
 from arbor.llm.components import connected_components
+from arbor.llm.shared import release
 from arbor.llm.textnum import bucket_of, mix, utf8, windows, word_hashes
 
 _U = np.uint64
@@ -46,15 +47,16 @@ def _sets(table: pa.Table, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
         if b - a >= k or a == b:
             sets.append(np.unique(w[upto[a] : upto[b]]))
         else:
-            one = _U(b - a)
+            one = np.array([b - a], np.uint64)
             for x in h[a:b]:
-                one = mix(np.array([one * _U(0x9E3779B97F4A7C15) + x], np.uint64))[0]
-            sets.append(np.array([one], np.uint64))
+                one = mix(one * _U(0x9E3779B97F4A7C15) + x)
+            sets.append(one)
     return C.ids_of(table["doc_id"]), sets
 
 
 def _ask(n: int, k: int):
     def run(table: pa.Table) -> pa.Table:
+        release("jaccard_join")
         cell = table["cell"][0].as_py()
         _, sets = _sets(table, k)
         have, times = np.unique(np.concatenate(sets), return_counts=True)
@@ -86,6 +88,7 @@ def _key(h: np.ndarray, n: int) -> str:
 
 def _prefixes(n: int, k: int, percent: int, keys: bool = False):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        release("jaccard_join")
         out = {x.split()[0]: [] for x in _DOC.split(", ")}
         if len(table):
             ids, sets = _sets(table, k)
@@ -141,7 +144,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     key = [F.xxhash64(id_col, text_col).alias("row_key")] if keys else []
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *key)
     n = C.n_cells(docs, "text", cell_bytes)
-    dealt = docs.withColumn("cell", C.cell_of("doc_id", n))
+    dealt = docs.withColumn("cell", C.cell_of(n, "doc_id", "text"))
     levels = dealt.groupBy("cell").applyInArrow(_ask(n, shingle), _SENT).groupBy("bucket").applyInArrow(_answer, _ANSWER)
     rows = dealt.groupBy("cell").cogroup(levels.groupBy("cell")).applyInArrow(_prefixes(n, shingle, percent, keys), _DOC + (", row_key long" if keys else "")).checkpoint()
     held = rows.where("node is not null")

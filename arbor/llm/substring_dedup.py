@@ -8,7 +8,7 @@ corpus-wide, and runs of repeated windows are the maximal exact repeats.
 
 Rules. A word is `[^\\x20\\x09-\\x0D]+`, unchanged. A window is repeated if its words also start earlier:
 at a smaller id, or earlier in the same document. Null ids are one id below all others; rows with the
-same id are ordered by their text. Null and empty texts have no words; documents under `window` words
+same id are ordered by the xxhash64 of their text, then by the text. Null and empty texts have no words; documents under `window` words
 lose nothing; the input's other columns are ignored; an empty table gives an empty result. Comparison is
 by 64-bit anchors and then independent 96-bit window hashes.
 
@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbor.llm import cells as C
+from arbor.llm.shared import release
 from arbor.llm.textnum import bucket_of, utf8, windows, word_hashes
 
 _U = np.uint64
@@ -41,13 +42,13 @@ class _Cell:
 
     def __init__(self, table: pa.Table, n: int, block: int, window: int):
         self.n, self.window = n, window
-        ids = C.ids_of(table["doc_id"])
+        ids, keys = C.ids_of(table["doc_id"]), C.ids_of(table["key"])
         texts = table["text"].combine_chunks()
-        order = np.argsort(ids, kind="stable")
-        if len(np.unique(ids)) < len(ids):
-            keys = texts.to_pylist()
-            order = np.asarray(sorted(range(len(ids)), key=lambda i: (ids[i], keys[i] or "")), np.int64)
-        self.ids, self.texts = ids[order], texts.take(pa.array(order))
+        order = np.lexsort((keys, ids))
+        if len(np.unique(np.stack([ids, keys]), axis=1).T) < len(ids):
+            words = texts.to_pylist()
+            order = np.asarray(sorted(range(len(ids)), key=lambda i: (ids[i], keys[i], words[i] or "")), np.int64)
+        self.ids, self.keys, self.texts = ids[order], keys[order], texts.take(pa.array(order))
         data, offsets = utf8(self.texts)
         self.h, self.first = word_hashes(data, offsets)
         a, ok = windows(self.h, self.first, block)
@@ -80,6 +81,7 @@ class _Cell:
 
 def _ask_anchors(n: int, block: int, window: int):
     def run(table: pa.Table) -> pa.Table:
+        release("substring_dedup")
         cell = table["cell"][0].as_py()
         c = _Cell(table, n, block, window)
         low, many = (c.anchor & _U(0xFFFFFFFF)).astype(np.uint32), c.times > 1
@@ -130,7 +132,7 @@ def _ask_windows(n: int, block: int, window: int):
                 if y > x:
                     used, ref = np.unique(doc[x:y], return_inverse=True)
                     head = np.array([y - x, len(used)], np.int64)
-                    rows.append((b, b"".join(z.tobytes() for z in (head, c.ids[used], w[x:y], check[x:y], ref.astype(np.uint32 if len(used) > 65535 else np.uint16)))))
+                    rows.append((b, b"".join(z.tobytes() for z in (head, c.ids[used], c.keys[used], w[x:y], check[x:y], ref.astype(np.uint32 if len(used) > 65535 else np.uint16)))))
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "cell": pa.array([cell if rows else 0] * len(rows), pa.int32()), "kind": pa.array([WINDOW] * len(rows), pa.int32()), "data": pa.array([r[1] for r in rows], pa.binary())})
 
     return run
@@ -138,17 +140,19 @@ def _ask_windows(n: int, block: int, window: int):
 
 def _answer_windows(table: pa.Table) -> pa.Table:
     cells, data = table["cell"].to_pylist(), table["data"].to_pylist()
-    w, check, ids, sizes = [], [], [], []
+    w, check, ids, keys, sizes = [], [], [], [], []
     for d in data:
         n, k = np.frombuffer(d[:16], np.int64).tolist()
-        own = np.frombuffer(d, np.int64, k, 16)
-        p = 16 + 8 * k
+        own = np.frombuffer(d, np.int64, 2 * k, 16)
+        p = 16 + 16 * k
         w.append(np.frombuffer(d, np.uint64, n, p))
         check.append(np.frombuffer(d, np.uint32, n, p + 8 * n))
-        ids.append(own[np.frombuffer(d, np.uint32 if k > 65535 else np.uint16, n, p + 12 * n)])
+        at = np.frombuffer(d, np.uint32 if k > 65535 else np.uint16, n, p + 12 * n)
+        ids.append(own[at])
+        keys.append(own[k + at.astype(np.int64)])
         sizes.append(n)
-    w, check, ids = np.concatenate(w), np.concatenate(check), np.concatenate(ids)
-    order = np.lexsort((ids, check, w))
+    w, check, ids, keys = (np.concatenate(x) for x in (w, check, ids, keys))
+    order = np.lexsort((keys, ids, check, w))
     again = np.zeros(len(w), bool)
     w, check = w[order], check[order]
     again[order[1:]] = (w[1:] == w[:-1]) & (check[1:] == check[:-1])
@@ -162,6 +166,7 @@ _OUT = "doc_id long, n_words long, n_removed long, text string, removed array<st
 
 def _finish(n: int, block: int, window: int, digest: bool):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        release("substring_dedup")
         if not len(table):
             c_ids, keep, texts, first = np.zeros(0, np.int64), np.zeros(0, bool), [], np.zeros(1, np.int64)
         else:
@@ -194,9 +199,9 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """doc_id, n_words, n_removed, text and removed (half-open word ranges); digest: text is the SHA-256 of the kept text."""
     if not 1 <= block <= (window + 1) // 2:
         raise ValueError("a window must hold a whole block wherever it starts: block <= (window + 1) / 2")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
     n = C.n_cells(docs, "text", cell_bytes)
-    dealt = docs.withColumn("cell", C.cell_of("doc_id", n))
+    dealt = docs.withColumn("cell", C.cell_of(n, "doc_id", "key"))
     hits = dealt.groupBy("cell").applyInArrow(_ask_anchors(n, block, window), _SENT).groupBy("bucket").applyInArrow(_answer_anchors, _ANSWER)
     asked = dealt.groupBy("cell").cogroup(hits.groupBy("cell")).applyInArrow(_ask_windows(n, block, window), _SENT)
     repeats = asked.groupBy("bucket").applyInArrow(_answer_windows, _ANSWER)
