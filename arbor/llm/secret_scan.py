@@ -5,14 +5,16 @@ labelled samples. A candidate token is a run of 16 or more of `A-Za-z0-9+/_=-`;
 ratio over its character pairs decides. The fixed patterns (base spans) always stay; a token is added
 when no base span overlaps it.
 
-Training. `samples` has (text, label) with label 1 for random strings, 0 for ordinary identifiers.
-`default_samples` makes random strings of known alphabets from hashes, and takes words of about
-SAMPLE_DOCS documents (a share of the id hashes that holds so many) as ordinary; this bound is a parameter. The model
-has 66 x 66 entries whatever the input, so it is small enough to be a constant of the plan.
+Training. `samples` has (text, label, n): label 1 for random strings, 0 for ordinary identifiers, n the number of times.
+`default_samples` makes random strings of known alphabets from hashes; ordinary are the words of all
+documents, counted once, as they stand in identifiers (upper case, between signs, before numbers, two in a row). Words
+that touch digits or signs, such as parts of secrets, are left out. What is gathered grows with the input; the model has
+66 x 66 entries whatever the input, so it is small enough to be a constant of the plan.
 
 Rules. Null and empty texts have no spans. Positions are code points, ends exclusive. Extra columns, also
-such as `spans`, are dropped by `scan` and kept by `redact`. Repeated rows give repeated results; an empty
-table gives an empty result. One pass over the rows, no shuffle, so no key can be hot.
+such as `spans`, are dropped by `scan` and kept by `redact`, which writes one mark for spans that overlap or touch. Null
+ids are ids like others. Repeated rows give repeated results; an empty table gives an empty result. One pass over the
+rows, no shuffle, so no key can be hot; work grows linearly with a text, its matches and the length of a token.
 """
 
 from __future__ import annotations
@@ -32,63 +34,110 @@ BASE = (
 HINT = {"assign": r"(?i:passw|secret|token|api_?key)", "access": "AKIA", "hex": r"[0-9a-f]{24}"}
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-SAMPLE_DOCS = 2000
+#: Ordinary words: letters between white space or punctuation.
+WORD = r"""(?<![^\s("'])[A-Za-z]{3,64}(?![^\s.,;:!?)"'])"""
 THRESHOLD = 0.7
+#: Stands for each character of a span found before; texts that have it themselves keep it.
+MASK = "\ue000"
+_CHUNK = 128
+
+
+def _let(value: Column, f) -> Column:
+    """f(value) with value evaluated once, as the optimizer does not look into lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _steps(x: Column, start: Column) -> Column:
+    """start, then the sums of start and the first 1, 2, ... numbers."""
+    return F.aggregate(x, F.array(start), lambda acc, v: F.concat(acc, F.array(F.get(acc, F.size(acc) - 1) + v)))
+
+
+def running(x: Column) -> Column:
+    """Running sums of an array of ints. Arrays only grow inside chunks and over chunks, so long ones stay cheap."""
+
+    def sums(x):
+        chunks = F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(1), F.size(x), F.lit(_CHUNK)), lambda i: F.slice(x, i, _CHUNK))).otherwise(F.array(x))
+        starts = lambda c: _steps(F.transform(c, lambda one: F.aggregate(one, F.lit(0), lambda a, v: a + v)), F.lit(0))
+        return _let(chunks, lambda c: F.flatten(F.zip_with(c, F.slice(starts(c), 1, F.size(c)), lambda one, s: F.slice(_steps(one, s), 2, _CHUNK))))
+
+    return _let(x, sums)
+
+
+def _matches(text: Column, pattern: str, group: int) -> Column:
+    """found: matches of a pattern; own: lengths of a group of each; parts: what stands between them. All see the same matches."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    sized = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+    return F.struct(found.alias("found"), F.transform(sized, F.length).alias("own"), F.split(text, pattern, -1).alias("parts"))
+
+
+_SPANS = "array<struct<start:int,end:int,kind:string,text:string>>"
 
 
 def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Array of (start, end, kind) of one pattern. split and regexp_extract_all find the same matches."""
-    pat = F.lit(pattern)
-    found = F.regexp_extract_all(text, pat, F.lit(0))
-    sized = F.regexp_extract_all(text, pat, F.lit(group)) if group else found
-    gaps = F.transform(F.split(text, pattern, -1), lambda s: F.length(s))
-    rows = F.arrays_zip(gaps.alias("gap"), F.transform(found, lambda s: F.length(s)).alias("len"), F.transform(sized, lambda s: F.length(s)).alias("own"), found.alias("text"))
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:string,text:string>>").alias("out"))
+    """Array of (start, end, kind, text) of one pattern."""
+
+    def place(m):
+        ends = running(F.transform(m["found"], lambda t, i: F.length(F.get(m["parts"], i)) + F.length(t)))
+        one = lambda e, i: F.struct((e - F.length(F.get(m["found"], i))).alias("start"), e.alias("end"), F.lit(kind).alias("kind"), F.get(m["found"], i).alias("text"), F.get(m["own"], i).alias("own"))
+        long = F.filter(F.transform(ends, one), lambda s: s["own"] >= least)
+        return F.transform(long, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["text"].alias("text")))
 
-    def step(acc, r):
-        start = acc["at"] + r["gap"]
-        end = start + F.coalesce(r["len"], F.lit(0))
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), r["text"].alias("text")))
-        return F.struct(end.alias("at"), F.when(r["own"] >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    return F.when(text.rlike(HINT.get(kind, pattern)), _let(_matches(text, pattern, group), place)).otherwise(F.array().cast(_SPANS))
 
-    none = F.array().cast("array<struct<start:int,end:int,kind:string,text:string>>")
-    return F.when(text.rlike(HINT.get(kind, pattern)), F.aggregate(rows, state, step, lambda acc: acc["out"])).otherwise(none)
+
+def _masked(text: Column, pattern: str, group: int, hide, hint: str) -> Column:
+    """The text with every character of the matches for which hide(match, length of its group) holds replaced by MASK."""
+
+    def cover(m):
+        put = lambda i: F.when(hide(F.get(m["found"], i), F.get(m["own"], i)), F.repeat(F.lit(MASK), F.length(F.get(m["found"], i)))).otherwise(F.get(m["found"], i))
+        return F.array_join(F.transform(m["parts"], lambda p, i: F.concat(p, F.when(i < F.size(m["found"]), put(i)).otherwise(F.lit("")))), "")
+
+    return F.when(text.rlike(hint), _let(_matches(text, pattern, group), cover)).otherwise(text)
+
+
+def _without_base(text: Column) -> Column:
+    """The text with base spans masked; what one pattern masked, and the rest of its run, no later one needs."""
+    for kind, pattern, group, least in BASE:
+        text = _masked(text, pattern, group, lambda found, own, least=least: own >= least, HINT[kind])
+    return text
 
 
 def _row(c: Column) -> Column:
     return F.instr(F.lit(ALPHABET), c)
 
 
-def default_samples(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """Labelled strings: label 1 random strings of four alphabets, label 0 words, joined words and numbers."""
-    spark = docs.sparkSession
-    seed = spark.range(0, 3000, 1, 1).select(F.sha2(F.col("id").cast("string"), 512).alias("x"))
-    raw = F.unhex("x")
-    b64 = F.base64(raw)
+def random_strings(spark: SparkSession, n: int = 3000) -> DataFrame:
+    """(text, label 1, n 1): strings of four alphabets."""
+    seed = spark.range(0, n, 1, 1).select(F.sha2(F.col("id").cast("string"), 512).alias("x"))
+    b64 = F.base64(F.unhex("x"))
     kinds = [F.substring(b64, 1, 40), F.translate(F.substring(b64, 41, 40), "+/", "-_"), F.upper(F.regexp_replace(F.substring(b64, 1, 86), "[+/=]", "")), F.substring("x", 1, 40)]
-    random = seed.select(F.explode(F.array(*kinds)).alias("text"), F.lit(1).alias("label"))
-    # a share of the ids' hashes, so that no task gathers the sample
-    parts = 1 << 20
-    share = max(1, min(parts, sample_docs * parts // max(1, docs.count())))
-    some = docs.where(F.pmod(F.xxhash64(id_col), F.lit(parts)) < share).select(F.col(text_col).alias("t"))
-    words = some.select(F.array_distinct(F.regexp_extract_all("t", F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("w"))
-    joined = lambda sep: F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat(F.element_at("w", i), F.lit(sep), F.element_at("w", i + 1)))
-    ordinary = words.where(F.size("w") > 1).select(F.explode(F.concat("w", joined("_"), joined("-"), F.transform(joined(""), lambda s: s), F.transform("w", lambda s: F.upper(s)), F.transform("w", lambda s: F.concat(s, F.lit("2024")))))).toDF("text").withColumn("label", F.lit(0))
-    plain = spark.range(0, 3000, 1, 1).select(F.regexp_replace(F.sha2(F.col("id").cast("string"), 512), "[a-f]", "").alias("text"), F.lit(0).alias("label"))
-    return random.unionByName(ordinary).unionByName(plain)
+    return seed.select(F.explode(F.array(*kinds)).alias("text"), F.lit(1).alias("label"), F.lit(1).cast("long").alias("n"))
+
+
+def default_samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Labelled strings with numbers of times: random strings, and the words of all documents as identifiers hold them."""
+    spark = docs.sparkSession
+    found = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))).alias("w"))
+    w = F.col("w")
+    forms = [w, F.upper("w"), F.concat(F.lit("_"), w, F.lit("_")), F.concat(F.lit("-"), w, F.lit("-")), F.concat(w, F.lit("2024")), F.concat(w, F.initcap("w"))]
+    ordinary = found.groupBy("w").agg(F.count("*").alias("n")).select(F.explode(F.array(*forms)).alias("text"), F.lit(0).alias("label"), "n")
+    digits = spark.range(0, 3000, 1, 1).select(F.regexp_replace(F.sha2(F.col("id").cast("string"), 512), "[a-f]", "").alias("text"), F.lit(0).alias("label"), F.lit(1).cast("long").alias("n"))
+    return random_strings(spark).unionByName(ordinary).unionByName(digits)
 
 
 def train(samples: DataFrame) -> list[float]:
-    """Log-likelihood ratios of all character pairs, add-one smoothed, in row order of (ALPHABET + other)^2."""
+    """Log-likelihood ratios of all character pairs, add-one smoothed, in row order of (ALPHABET + other)^2; n is 1 where there is no such column."""
     n = len(ALPHABET) + 1
-    pairs = samples.where("text is not null and length(text) > 1").select("label", F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: (_row(F.substring("text", i, 1)) * n + _row(F.substring("text", i + 1, 1))))).alias("p"))
+    times = F.coalesce(F.col("n"), F.lit(1)) if "n" in samples.columns else F.lit(1)
+    clean = samples.select("label", F.regexp_replace("text", f"[^{ALPHABET}]", " ").alias("text"), times.cast("long").alias("n")).where("label is not null and length(text) > 1")
+    pairs = clean.select("label", "n", "text", F.explode(F.sequence(F.lit(1), F.length("text") - 1)).alias("i")).select("label", "n", F.substring("text", F.col("i"), F.lit(2)).alias("p"))
     counts = {0: {}, 1: {}}
-    for r in pairs.groupBy("label", "p").count().collect():  # at most 2 n^2 rows
-        counts[r.label][r.p] = r["count"]
+    for r in pairs.groupBy("label", "p").agg(F.sum("n").alias("n")).collect():  # at most 2 (n + 1)^2 rows
+        counts[r.label][tuple(ALPHABET.find(c) + 1 for c in r.p)] = r.n
     out = []
     for a in range(n):
-        totals = {k: sum(counts[k].get(a * n + b, 0) for b in range(n)) for k in counts}
-        out += [round(math.log((counts[1].get(a * n + b, 0) + 1) / (totals[1] + n)) - math.log((counts[0].get(a * n + b, 0) + 1) / (totals[0] + n)), 4) for b in range(n)]
+        totals = {k: sum(counts[k].get((a, b), 0) for b in range(n)) for k in counts}
+        out += [round(math.log((counts[1].get((a, b), 0) + 1) / (totals[1] + n)) - math.log((counts[0].get((a, b), 0) + 1) / (totals[0] + n)), 4) for b in range(n)]
     return out
 
 
@@ -96,17 +145,17 @@ def llr(token: Column, model: list[float]) -> Column:
     """Mean log-likelihood ratio of a token's character pairs."""
     n = len(ALPHABET) + 1
     table = F.split(F.lit(",".join(map(str, model))), ",").cast("array<double>")  # folded to a constant once
-    pair = lambda i: _row(F.substring(token, i, 1)) * n + _row(F.substring(token, i + F.lit(1), 1))
-    return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda acc, i: acc + F.element_at(table, pair(i) + 1)) / (F.length(token) - 1)
+    total = lambda k: F.aggregate(F.sequence(F.lit(1), F.size(k) - 1), F.lit(0.0), lambda acc, i: acc + F.get(table, F.get(k, i - 1) * n + F.get(k, i))) / (F.size(k) - 1)
+    return _let(F.transform(F.split(token, ""), _row), total)
 
 
 def with_spans(docs: DataFrame, model: list[float], text_col: str = "text", threshold: float = THRESHOLD, out: str = "found") -> DataFrame:
     """Adds `out`: array of (start, end, kind, text) of base spans and added tokens, by start, kind, end."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    own = F.translate(text, MASK, "\ue001")  # a character of the text that looks like the mask matches no pattern either
     base = [_spans(text, *b) for b in BASE]
-    df = docs.withColumn("__base", F.concat(*base)).withColumn("__tokens", _spans(text, "markov", TOKEN, 0, 16))
-    clear = F.filter("__tokens", lambda t: ~F.exists("__base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    added = F.filter(clear, lambda t: llr(t["text"], model) > threshold)
+    df = docs.withColumn("__base", F.concat(*base)).withColumn("__tokens", _spans(F.when(F.size("__base") > 0, _without_base(own)).otherwise(own), "markov", f"[{MASK}{TOKEN[1:]}", 0, 16))
+    added = F.filter("__tokens", lambda t: ~F.contains(t["text"], F.lit(MASK)) & (llr(t["text"], model) > threshold))
     order = F.array(*[F.lit(b[0]) for b in BASE], F.lit("markov"))
     sort = lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).alias("k"), s["end"].alias("end"), s["kind"].alias("kind"), s["text"].alias("text"))
     both = F.array_sort(F.transform(F.concat("__base", added), sort))
@@ -129,19 +178,17 @@ def scan(docs: DataFrame, model: list[float], *, id_col: str = "doc_id", text_co
 
 
 def redact(docs: DataFrame, model: list[float], *, text_col: str = "text", threshold: float = THRESHOLD, mark: str = "[SECRET]") -> DataFrame:
-    """The same columns, with every span of the text replaced by `mark`; overlapping spans become one."""
-    df = with_spans(docs, model, text_col, threshold, "__found")
-    text = F.col(text_col)
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, piece).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate("__found", state, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return df.withColumn(text_col, F.when(F.size("__found") == 0, text).otherwise(done)).select(*docs.columns)
-
-
-def default_model(spark: SparkSession, docs: DataFrame) -> list[float]:
-    return train(default_samples(docs))
+    """The same columns, with every span of the text replaced by `mark`; spans that overlap or touch become one."""
+    kept, one, two = "\ue001", "\ue002", "\ue003"  # stand for MASK and for `kept` where the text has them itself
+    text = F.replace(F.replace(F.col(text_col), F.lit(kept), F.lit(kept + two)), F.lit(MASK), F.lit(kept + one))
+    bare = docs.withColumn("__bare", _without_base(text))
+    tokens = f"[{MASK}{TOKEN[1:]}"
+    hidden = _masked(F.col("__bare"), tokens, 0, lambda found, own: ~F.contains(found, F.lit(MASK)) & (llr(found, model) > threshold), tokens)
+    done = F.regexp_replace("__hidden", f"{MASK}+", mark.replace("\\", "\\\\").replace("$", "\\$"))
+    back = F.replace(F.replace(done, F.lit(kept + one), F.lit(MASK)), F.lit(kept + two), F.lit(kept))
+    df = bare.withColumn("__hidden", hidden)
+    return df.withColumn(text_col, F.when(F.contains("__hidden", F.lit(MASK)), back).otherwise(F.col(text_col))).select(*docs.columns)
+
+
+def default_model(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> list[float]:
+    return train(default_samples(docs, text_col))
