@@ -4,10 +4,10 @@ Every row gets a global number; a keyed permutation of [0, n) moves it; shard =
 slot = position div shards, so sizes differ by one row at most (law `rows`), slots have no gaps, and both
 can be computed from the number alone, and the number from (shard, slot).
 
-Row numbers. Rows are dealt to NUMBER_BUCKETS buckets by a hash of the id and digest, numbered inside a
-bucket, and shifted by the rows of the buckets before. Equal rows are counted before they are numbered, so
-a row that makes up a third of the table is one record until it is numbered. Neither the cluster nor the
-partitions of the input change a number.
+Row numbers. Rows are dealt to buckets of about BUCKET_ROWS rows (1024 buckets at least) by a hash of the id and digest,
+numbered inside a bucket, and shifted by the rows of the buckets before. Equal rows are counted before they are numbered, so
+a row that makes up a third of the table is one record until it is numbered; its copies are then dealt out in
+stretches of COPIES. Neither the cluster nor the partitions of the input change a number.
 
 Rules. A null text has size 1 and the CRC of no bytes; null ids are allowed; repeated rows each get a place
 of their own; extra columns are not carried; an empty table gives an empty result.
@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 NUMBER_BUCKETS = 1024
+BUCKET_ROWS = 1_000_000
+COPIES = 1 << 16
 ROUNDS = 6
 _U = np.uint64
 
@@ -67,8 +69,9 @@ def row_of(shard: np.ndarray, slot: np.ndarray, n: int, shards: int, key: int) -
     return permute(np.asarray(slot) * shards + np.asarray(shard), n, key, inverse=True)
 
 
-def number_rows(df: DataFrame, columns: list[str], buckets: int = NUMBER_BUCKETS) -> tuple[DataFrame, int]:
+def number_rows(df: DataFrame, columns: list[str], buckets: int | None = None, copies: int = COPIES) -> tuple[DataFrame, int]:
     """Rows of the given columns with row_no in [0, n), and n."""
+    buckets = buckets or max(NUMBER_BUCKETS, -(-df.count() // BUCKET_ROWS))
     counted = df.groupBy(*columns).agg(F.count("*").alias("copies")).withColumn("bucket", F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int"))
     sizes = {r.bucket: r.n for r in counted.groupBy("bucket").agg(F.sum("copies").alias("n")).collect()}  # `buckets` rows at most
     starts, at = {}, 0
@@ -78,14 +81,18 @@ def number_rows(df: DataFrame, columns: list[str], buckets: int = NUMBER_BUCKETS
     before = Window.partitionBy("bucket").orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)
     start = F.element_at(F.split(F.lit(",".join(str(starts.get(b, 0)) for b in range(buckets))), ",").cast("array<long>"), F.col("bucket") + 1)
     numbered = counted.withColumn("first", start + F.coalesce(F.sum("copies").over(before), F.lit(0)))
-    return numbered.select(*columns, F.explode(F.sequence("first", F.col("first") + F.col("copies") - 1)).alias("row_no")), at
+    few = numbered.where(F.col("copies") <= copies).select(*columns, F.explode(F.sequence("first", F.col("first") + F.col("copies") - 1)).alias("row_no"))
+    end = F.col("first") + F.col("copies") - 1
+    many = numbered.where(F.col("copies") > copies).select(*columns, end.alias("end"), F.explode(F.sequence(F.col("first"), end, F.lit(copies).cast("bigint"))).alias("from"))
+    many = many.repartition(F.col("from")).select(*columns, F.explode(F.sequence("from", F.least(F.col("from") + copies - 1, F.col("end")))).alias("row_no"))
+    return few.unionByName(many), at
 
 
-def shard_rows(docs: DataFrame, *, shards: int = 16, key: int = 2024, id_col: str = "doc_id", text_col: str = "text", buckets: int = NUMBER_BUCKETS) -> DataFrame:
+def shard_rows(docs: DataFrame, *, shards: int = 16, key: int = 2024, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, copies: int = COPIES) -> DataFrame:
     """doc_id, size, text_crc32, row_no, shard and slot."""
     raw = F.coalesce(F.encode(F.col(text_col), "utf-8"), F.lit(b""))
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    numbered, n = number_rows(rows, ["doc_id", "size", "text_crc32"], buckets)
+    numbered, n = number_rows(rows, ["doc_id", "size", "text_crc32"], buckets, copies)
 
     @F.pandas_udf("shard int, slot long")
     def at(row: pd.Series) -> pd.DataFrame:

@@ -3,15 +3,19 @@
 cosine >= c means that unit vectors are within r = sqrt(2 - 2 c). Every vector is at home in the cell of its
 nearest pivot. If y in cell p is within r of x, then |x p| <= |x y| + |y p| <= r + |y h| <= 2 r + |x h| where h is
 the home of x, so x is copied to every cell with |x p| <= |x h| + 2 r and to no other; cells join
-independently, each home vector against all of the cell. Cells are dealt to squares of at most BLOCK home and
-BLOCK copied vectors, so a dense cell is many tasks.
+independently, each home vector against all of the cell. Cells are dealt to squares of about as many home as
+copied vectors, so a dense cell is many tasks. Squares have BLOCK vectors a side, and more for more than 262,144
+vectors: 8 * sqrt(n), up to MOST_BLOCK.
 
 Equal vectors are one point with a count, so copies are never paired. A square returns, for each home
 vector, the number of vectors linked to it, and a spanning forest of its links: rows grow with its vectors,
 not with its links. Every link is found in the home square of each end, so none is missed or counted twice.
 
 Pivots are at most PIVOTS points with the least hash (a documented bound); they decide the speed, not the
-result. In high dimensions the triangle inequality excludes little and the work nears n * n / 2 products.
+result. In high dimensions the triangle inequality excludes little: then each of n vectors is in every cell, a square
+is computed from both sides, and products near n * n. Shuffled rows near n * PIVOTS + 2 * n * n / side: 36 n at 51,282
+vectors, 250 n at a million, 630 n at ten million. Products near the bound are summed again in one fixed order, so
+both sides of a link see the same number.
 
 Rules. Vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of
 other lengths than most link only with their own length. Null ids are allowed and are one id below all
@@ -32,7 +36,8 @@ from arbor.llm.components import connected_components
 
 PIVOTS = 24
 BLOCK = 4096
-#: Slack for rounding in distances; pairs inside it are still compared exactly.
+MOST_BLOCK = 32768
+#: Slack for rounding in distances and products; pairs inside it are compared in a fixed order of summation.
 EPS = 1e-9
 
 
@@ -98,11 +103,15 @@ def _square(cosine: float):
         dim = len(table["vec"][0])
         point, times, x = table["point"].to_numpy(), table["times"].to_numpy(), _matrix(table["vec"], dim)
         h, o = np.flatnonzero(own == 0), np.flatnonzero(own == 1)
-        left, right = [], []
-        for at in range(0, len(h), 512):
-            i, j = np.nonzero(x[h[at : at + 512]] @ x[o].T >= cosine)
-            left.append(h[at + i])
-            right.append(o[j])
+        left, right, rows = [], [], max(16, (1 << 21) // max(1, len(o)))  # 16 MB of products at once
+        for at in range(0, len(h), rows):
+            s = x[h[at : at + rows]] @ x[o].T
+            i, j = np.nonzero(s >= cosine - EPS)
+            ok = s[i, j] >= cosine + EPS
+            close = np.flatnonzero(~ok)
+            ok[close] = (x[h[at + i[close]]] * x[o[j[close]]]).sum(axis=1) >= cosine
+            left.append(h[at + i[ok]])
+            right.append(o[j[ok]])
         left, right = np.concatenate(left) if left else h, np.concatenate(right) if right else h
         other = point[left] != point[right]
         left, right = left[other], right[other]
@@ -116,6 +125,11 @@ def _square(cosine: float):
     return run
 
 
+def side_of(n: int, block: int = BLOCK) -> int:
+    """Vectors a side of a square for n vectors."""
+    return max(block, min(MOST_BLOCK, int(8 * math.sqrt(n))))
+
+
 def _points(vectors: DataFrame, cosine: float, pivots: int, block: int):
     """Points with linked counts, and link forests, of vectors of one length."""
     r = math.sqrt(max(0.0, 2 - 2 * cosine))
@@ -126,6 +140,7 @@ def _points(vectors: DataFrame, cosine: float, pivots: int, block: int):
     dealt = vectors.mapInArrow(_deal(p, r), _DEALT)
     sizes = {(c.cell, c.home): c.n for c in dealt.groupBy("cell", "home").agg(F.count("*").alias("n")).collect()}  # 2 * pivots rows
     cells = range(len(p))
+    block = side_of(sum(n for (_, home), n in sizes.items() if home), block)
     homes = [-(-sizes.get((c, True), 0) // block) or 1 for c in cells]
     others = [-(-(sizes.get((c, True), 0) + sizes.get((c, False), 0)) // block) or 1 for c in cells]
     nth = lambda v: F.element_at(F.split(F.lit(",".join(map(str, v))), ",").cast("array<int>"), F.col("cell") + 1)

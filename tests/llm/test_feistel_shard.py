@@ -30,3 +30,14 @@ def test_law_rows(spark):
     again = shard_rows(df.repartition(7), buckets=13).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     assert shard_rows(df.limit(0)).collect() == []
+
+
+def test_copies_are_dealt_in_stretches(spark):
+    df = spark.createDataFrame([(9, "hot")] * 150 + [(i, "x") for i in range(40)], "doc_id long, text string")
+    a, b = (sorted((g.doc_id, g.row_no, g.shard, g.slot) for g in shard_rows(df, buckets=5, copies=n).collect()) for n in (1 << 16, 7))
+    assert a == b and sorted(x[1] for x in a) == list(range(190))
+
+
+def test_very_long_text(spark):
+    got = shard_rows(spark.createDataFrame([(1, "é" * 2_000_000)], "doc_id long, text string")).collect()
+    assert [(g.size, g.text_crc32, g.slot) for g in got] == [(4_000_001, zlib.crc32(("é" * 2_000_000).encode()), 0)]

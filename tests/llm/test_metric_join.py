@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from arbor.llm.metric_join import near_duplicates
+from arbor.llm.metric_join import MOST_BLOCK, near_duplicates, side_of
 
 
 def brute(rows, cosine):
@@ -42,3 +42,20 @@ def test_equals_brute_force(spark, pivots, block):
 
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_ties_at_the_threshold_are_seen_from_both_ends(spark):
+    r = np.random.default_rng(3)
+    rows, pairs = [], 60
+    for k in range(pairs):
+        a, b = np.linalg.qr(r.normal(size=(16, 2)))[0].T
+        c = [0.95, np.nextafter(0.95, 0), np.nextafter(0.95, 1)][k % 3]
+        rows += [(2 * k, a.tolist()), (2 * k + 1, (c * a + np.sqrt(1 - c * c) * b).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block in (9, 4096):
+        got = {g.vec_id: g.n_links for g in near_duplicates(df, pivots=5, block=block).collect()}
+        assert len(got) == 2 * pairs and sum(got.values()) % 2 == 0 and all(got[2 * k] == got[2 * k + 1] for k in range(pairs))
+
+
+def test_shuffled_rows_follow_their_law():
+    assert side_of(51_282) == 4096 and side_of(10**6) == 8000 and side_of(10**9) == MOST_BLOCK
