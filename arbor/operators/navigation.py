@@ -90,3 +90,16 @@ def hybrid(vector: DataFrame, fused: DataFrame, vectors: DataFrame, key: str) ->
     kept = fused.join(vectors.select(key), key, "left_semi").join(asked, "query_id", "left_semi")
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), key)
     return kept.withColumn("rank", F.row_number().over(w))
+
+
+def hybrid_in_fused_order(vector: DataFrame, fused: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """As hybrid, in the order that the fusion gave (its rank): equal scores keep the order of the first list, then of the second."""
+    kept = fused.join(vectors.select(key), key, "left_semi").join(vector.select("query_id").distinct(), "query_id", "left_semi")
+    w = Window.partitionBy("query_id").orderBy("rank")
+    return kept.withColumn("rank", F.row_number().over(w))
+
+
+def pinned_nodes(nodes: DataFrame, sizes: DataFrame, most_depth: int | None = None) -> DataFrame:
+    """Nodes with the flag `pinned`, at most so deep below their root."""
+    x = depth(nodes.where("pinned"), sizes)
+    return x if most_depth is None else x.where(F.col("depth") <= most_depth)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: From the coarsest to the finest; a separator stays at the end of its piece.
-SEPARATORS = (r"\n\n+", r"(?<=[.!?])\s+", r"\n", r" ")
+SEPARATORS = (r"\n\n", r"(?<=[.!?])\s+", r"\n", r" ")
 
 
 def tokens(n_chars: int) -> int:

@@ -40,6 +40,22 @@ def fold_journal(journal: DataFrame) -> DataFrame:
     return a.select("append_id", F.col("s.event_id").alias("first_start"), F.col("e.event_id").alias("last_end"), F.coalesce("e.event", F.lit("running")).alias("outcome"), "commits", "n")
 
 
+def fold_nodes(commits: DataFrame) -> DataFrame:
+    """One row a node of commits (node_id, event_id, ts, height, span_start, span_end): the first time it was created, its last height and span."""
+    order = F.struct("ts", "event_id")
+    return commits.groupBy("node_id").agg(F.min("ts").alias("created_at"), F.max_by(F.struct("height", "span_start", "span_end"), order).alias("l"), F.count("*").alias("n_commits")).select("node_id", "created_at", "l.*", "n_commits")
+
+
+def append_history(journal: DataFrame) -> DataFrame:
+    """Finished runs: when first seen (event id), last status, last start and last end."""
+    order = F.struct("ts", "event_id")
+    own = journal.where(F.col("event").isin("append_started", "append_completed", "append_failed"))
+    ended = F.col("event") != "append_started"
+    a = own.groupBy("append_id").agg(F.min_by("event_id", order).alias("first_seen"), F.max_by("event", order).alias("last"), F.max(F.when(~ended, F.col("ts"))).alias("started_at"), F.max(F.when(ended, F.col("ts"))).alias("ended_at"))
+    status = F.when(F.col("last") == "append_completed", "completed").when(F.col("last") == "append_failed", "failed")
+    return a.withColumn("status", status).where("status is not null").drop("last")
+
+
 def bridge(records: DataFrame) -> DataFrame:
     """Records without a parent hang on the record before them in file order."""
     w = Window.partitionBy("session").orderBy("line")

@@ -161,5 +161,3 @@ def f1_all(spark, d):
     c = S.read(spark, d, "conversations")
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("y"))
     return T.token_f1(c.join(nxt, ["conv_id", "turn"]).select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair"), F.col("text").alias("x"), "y"), "x", "y", "pair")
-
-

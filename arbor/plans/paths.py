@@ -223,5 +223,3 @@ _SYNC = """WITH i AS (SELECT user_id AS session, event_id AS uuid, ts FROM event
 def sync(spark, d):
     e = S.read(spark, d, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("uuid"), "ts")
     return B.sync_actions(e.where("uuid % 3 <> 0 and day(ts) < 20"), e.where("uuid % 41 <> 0"))
-
-

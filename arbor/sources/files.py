@@ -6,7 +6,7 @@ import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,32 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
 
 
+def lines_with_offsets(spark: SparkSession, path: str) -> DataFrame:
+    """path, offset (bytes before the line in its file) and line, for lines that end with one line feed.
+
+    Bytes are summed inside the splits of a file, and the sums of the splits before are added, so no file is read in one task.
+    """
+    x = numbered_lines(spark, path).withColumn("n", F.octet_length("line") + 1)
+    size = x.groupBy("path", "block").agg(F.sum("n").alias("size"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    start = size.select("path", "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("path", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    y = x.withColumn("upto", F.sum("n").over(inside)).join(start, ["path", "block"])
+    return y.select("path", (F.col("start") + F.col("upto") - F.col("n")).alias("offset"), "line")
+
+
+def scan_from(spark: SparkSession, path: str, offset: int, schema: str) -> DataFrame:
+    """Records of the lines that begin at a byte offset or after it, with their offsets; broken lines are left out."""
+    r = F.from_json("line", f"{schema}, __bad string", {"columnNameOfCorruptRecord": "__bad"})
+    lines = lines_with_offsets(spark, path).where(F.col("offset") >= offset).withColumn("line", F.trim("line")).where(F.col("line").startswith("{"))
+    return lines.withColumn("r", r).where("r is not null and r.__bad is null").select("path", "offset", "r.*").drop("__bad")
+
+
+def reset(spark: SparkSession, path: str, schema: str) -> str:
+    """A new, empty version; older versions stay readable by their number."""
+    return write_version(spark.createDataFrame([], schema), path)
+
+
 def load_vectors(spark: SparkSession, path: str, schema: str, whole: bool = False) -> DataFrame:
     """The current version of a vector table (whole: the table at the path itself); empty if it is absent or broken."""
     try:
