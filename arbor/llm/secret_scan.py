@@ -8,7 +8,7 @@ when no base span overlaps it.
 Training. `samples` has (text, label, n): label 1 for random strings, 0 for ordinary identifiers, n the number of times.
 `default_samples` makes random strings of known alphabets from hashes; ordinary are the words of all
 documents, counted once, as they stand in identifiers (upper case, between signs, before numbers, two in a row). Words
-that touch digits or signs, such as parts of secrets, are left out. What is gathered grows with the input; the model has
+that touch digits or underscores, such as most parts of secrets, are left out. What is gathered grows with the input; the model has
 66 x 66 entries whatever the input, so it is small enough to be a constant of the plan.
 
 Rules. Null and empty texts have no spans. Positions are code points, ends exclusive. Extra columns, also
@@ -32,13 +32,19 @@ BASE = (
 )
 #: A cheap test that all texts with a match of a kind pass.
 HINT = {"assign": r"(?i:passw|secret|token|api_?key)", "access": "AKIA", "hex": r"[0-9a-f]{24}"}
-TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
+_TOKEN_CHARS = "A-Za-z0-9+/_=-"
+#: A whole run: looking behind keeps the search from trying every place inside a word.
+TOKEN = f"(?<![{_TOKEN_CHARS}])[{_TOKEN_CHARS}]{{16,}}"
+#: One pass over a text that tells whether it has anything to look at; most texts have not.
+GATE = "|".join([*HINT.values(), TOKEN])
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Ordinary words: letters between white space or punctuation.
-WORD = r"""(?<![^\s("'])[A-Za-z]{3,64}(?![^\s.,;:!?)"'])"""
+#: Ordinary words: letters beside no digit and no underscore.
+WORD = r"\b[A-Za-z]{3,64}\b"
 THRESHOLD = 0.7
 #: Stands for each character of a span found before; texts that have it themselves keep it.
 MASK = "\ue000"
+#: A token of a masked text may have masked characters.
+_MASKED_TOKEN = f"(?<![{MASK}{_TOKEN_CHARS}])[{MASK}{_TOKEN_CHARS}]{{16,}}"
 _CHUNK = 128
 
 
@@ -63,11 +69,16 @@ def running(x: Column) -> Column:
     return _let(x, sums)
 
 
-def _matches(text: Column, pattern: str, group: int) -> Column:
-    """found: matches of a pattern; own: lengths of a group of each; parts: what stands between them. All see the same matches."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sized = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    return F.struct(found.alias("found"), F.transform(sized, F.length).alias("own"), F.split(text, pattern, -1).alias("parts"))
+def _matches(text: Column, pattern: str, group: int, f) -> Column:
+    """f of the matches of a pattern; found: their texts; own: lengths of a group of each; parts: what stands between them. All see the same matches.
+
+    text is used more than once and should be a column, not an expression.
+    """
+    found, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    if group:
+        own = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length)
+        return _let(F.struct(found.alias("found"), own.alias("own"), parts.alias("parts")), f)
+    return _let(found, lambda t: _let(F.struct(t.alias("found"), F.transform(t, F.length).alias("own"), parts.alias("parts")), f))
 
 
 _SPANS = "array<struct<start:int,end:int,kind:string,text:string>>"
@@ -82,7 +93,7 @@ def _spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Col
         long = F.filter(F.transform(ends, one), lambda s: s["own"] >= least)
         return F.transform(long, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["text"].alias("text")))
 
-    return F.when(text.rlike(HINT.get(kind, pattern)), _let(_matches(text, pattern, group), place)).otherwise(F.array().cast(_SPANS))
+    return F.when(text.rlike(HINT.get(kind, pattern)), _matches(text, pattern, group, place)).otherwise(F.array().cast(_SPANS))
 
 
 def _masked(text: Column, pattern: str, group: int, hide, hint: str) -> Column:
@@ -92,14 +103,14 @@ def _masked(text: Column, pattern: str, group: int, hide, hint: str) -> Column:
         put = lambda i: F.when(hide(F.get(m["found"], i), F.get(m["own"], i)), F.repeat(F.lit(MASK), F.length(F.get(m["found"], i)))).otherwise(F.get(m["found"], i))
         return F.array_join(F.transform(m["parts"], lambda p, i: F.concat(p, F.when(i < F.size(m["found"]), put(i)).otherwise(F.lit("")))), "")
 
-    return F.when(text.rlike(hint), _let(_matches(text, pattern, group), cover)).otherwise(text)
+    return F.when(text.rlike(hint), _matches(text, pattern, group, cover)).otherwise(text)
 
 
-def _without_base(text: Column) -> Column:
-    """The text with base spans masked; what one pattern masked, and the rest of its run, no later one needs."""
+def _without_base(df: DataFrame, text: str, when: str) -> DataFrame:
+    """Masks base spans of a text column, one pattern a step, where the condition holds; what one pattern masked, and the rest of its run, no later one needs."""
     for kind, pattern, group, least in BASE:
-        text = _masked(text, pattern, group, lambda found, own, least=least: own >= least, HINT[kind])
-    return text
+        df = df.withColumn(text, F.when(F.col(when), _masked(F.col(text), pattern, group, lambda found, own, least=least: own >= least, HINT[kind])).otherwise(F.col(text)))
+    return df
 
 
 def _row(c: Column) -> Column:
@@ -118,9 +129,12 @@ def default_samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Labelled strings with numbers of times: random strings, and the words of all documents as identifiers hold them."""
     spark = docs.sparkSession
     found = docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))).alias("w"))
-    w = F.col("w")
-    forms = [w, F.upper("w"), F.concat(F.lit("_"), w, F.lit("_")), F.concat(F.lit("-"), w, F.lit("-")), F.concat(w, F.lit("2024")), F.concat(w, F.initcap("w"))]
-    ordinary = found.groupBy("w").agg(F.count("*").alias("n")).select(F.explode(F.array(*forms)).alias("text"), F.lit(0).alias("label"), "n")
+    w, first, last = F.col("w"), F.substring("w", 1, 1), F.substring("w", -1, 1)
+    form = lambda text, times: F.struct(text.alias("text"), (F.col("n") * times).alias("n"))
+    # what a form shares with the word itself is in the word's weight
+    joints = [F.concat(F.lit(s), first) for s in "_-"] + [F.concat(last, F.lit(s)) for s in "_-2"] + [F.concat(last, F.upper(first))]
+    forms = [form(w, 6), form(F.upper("w"), 1), *[form(j, 1) for j in joints]]
+    ordinary = found.groupBy("w").agg(F.count("*").alias("n")).select(F.explode(F.array(*forms)).alias("f")).select("f.text", F.lit(0).alias("label"), "f.n")
     digits = spark.range(0, 3000, 1, 1).select(F.regexp_replace(F.sha2(F.col("id").cast("string"), 512), "[a-f]", "").alias("text"), F.lit(0).alias("label"), F.lit(1).cast("long").alias("n"))
     return random_strings(spark).unionByName(ordinary).unionByName(digits)
 
@@ -151,15 +165,18 @@ def llr(token: Column, model: list[float]) -> Column:
 
 def with_spans(docs: DataFrame, model: list[float], text_col: str = "text", threshold: float = THRESHOLD, out: str = "found") -> DataFrame:
     """Adds `out`: array of (start, end, kind, text) of base spans and added tokens, by start, kind, end."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    own = F.translate(text, MASK, "\ue001")  # a character of the text that looks like the mask matches no pattern either
-    base = [_spans(text, *b) for b in BASE]
-    df = docs.withColumn("__base", F.concat(*base)).withColumn("__tokens", _spans(F.when(F.size("__base") > 0, _without_base(own)).otherwise(own), "markov", f"[{MASK}{TOKEN[1:]}", 0, 16))
+    none = F.array().cast(_SPANS)
+    df = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("__some", F.col("__text").rlike(GATE))
+    df = df.withColumn("__base", F.when(F.col("__some"), F.concat(*[_spans(F.col("__text"), *b) for b in BASE])).otherwise(none))
+    # a character of the text that looks like the mask matches no pattern either
+    df = df.withColumn("__text", F.when(F.col("__some"), F.replace("__text", F.lit(MASK), F.lit("\ue001")))).withColumn("__has", F.size("__base") > 0)
+    df = _without_base(df, "__text", "__has")
+    df = df.withColumn("__tokens", F.when(F.col("__some"), _spans(F.col("__text"), "markov", _MASKED_TOKEN, 0, 16)).otherwise(none))
     added = F.filter("__tokens", lambda t: ~F.contains(t["text"], F.lit(MASK)) & (llr(t["text"], model) > threshold))
     order = F.array(*[F.lit(b[0]) for b in BASE], F.lit("markov"))
     sort = lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).alias("k"), s["end"].alias("end"), s["kind"].alias("kind"), s["text"].alias("text"))
     both = F.array_sort(F.transform(F.concat("__base", added), sort))
-    return df.withColumn(out, F.transform(both, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["text"].alias("text")))).drop("__base", "__tokens")
+    return df.withColumn(out, F.transform(both, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["text"].alias("text")))).drop("__text", "__some", "__has", "__base", "__tokens")
 
 
 def _joined(spans: Column) -> Column:
@@ -180,14 +197,15 @@ def scan(docs: DataFrame, model: list[float], *, id_col: str = "doc_id", text_co
 def redact(docs: DataFrame, model: list[float], *, text_col: str = "text", threshold: float = THRESHOLD, mark: str = "[SECRET]") -> DataFrame:
     """The same columns, with every span of the text replaced by `mark`; spans that overlap or touch become one."""
     kept, one, two = "\ue001", "\ue002", "\ue003"  # stand for MASK and for `kept` where the text has them itself
-    text = F.replace(F.replace(F.col(text_col), F.lit(kept), F.lit(kept + two)), F.lit(MASK), F.lit(kept + one))
-    bare = docs.withColumn("__bare", _without_base(text))
-    tokens = f"[{MASK}{TOKEN[1:]}"
-    hidden = _masked(F.col("__bare"), tokens, 0, lambda found, own: ~F.contains(found, F.lit(MASK)) & (llr(found, model) > threshold), tokens)
+    some = docs.withColumn("__some", F.coalesce(F.col(text_col).rlike(GATE), F.lit(False)))
+    bare = some.withColumn("__bare", F.when(F.col("__some"), F.replace(F.replace(F.col(text_col), F.lit(kept), F.lit(kept + two)), F.lit(MASK), F.lit(kept + one))))
+    bare = _without_base(bare, "__bare", "__some")
+    hidden = _masked(F.col("__bare"), _MASKED_TOKEN, 0, lambda found, own: ~F.contains(found, F.lit(MASK)) & (llr(found, model) > threshold), _MASKED_TOKEN)
+    df = bare.withColumn("__hidden", F.when(F.col("__some"), hidden))
     done = F.regexp_replace("__hidden", f"{MASK}+", mark.replace("\\", "\\\\").replace("$", "\\$"))
     back = F.replace(F.replace(done, F.lit(kept + one), F.lit(MASK)), F.lit(kept + two), F.lit(kept))
-    df = bare.withColumn("__hidden", hidden)
-    return df.withColumn(text_col, F.when(F.contains("__hidden", F.lit(MASK)), back).otherwise(F.col(text_col))).select(*docs.columns)
+    changed = F.coalesce(F.contains("__hidden", F.lit(MASK)), F.lit(False))
+    return df.withColumn(text_col, F.when(changed, back).otherwise(F.col(text_col))).select(*docs.columns)
 
 
 def default_model(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> list[float]:
