@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from arbor.functions import texts as TX
 from arbor.operators import evaluation as E
 from arbor.operators import navigation as N
 from arbor.operators import retrieval as V
@@ -139,3 +140,41 @@ def rebuild(spark, d):
     fits = F.col("span_end") - F.col("span_start") <= 4 * 100 + 3
     dense = F.length(F.regexp_replace("text", "[ \n\t\r]+", ""))
     return p.groupBy("document_id").agg(F.sum(dense).alias("n"), F.every((cut == F.col("text")) & fits).alias("exact"))
+
+
+@query("sf_truncated_tokens", "SELECT doc_id, md5(substring(text, 1, 200)) AS head, md5(CASE WHEN length(text) > 200 THEN right(text, 200) ELSE text END) AS tail FROM documents")
+def truncated(spark, d):
+    t = S.read(spark, d, "documents")
+    return t.select("doc_id", F.md5(TX.keep_tokens(F.col("text"), F.lit(50)).cast("binary")).alias("head"), F.md5(TX.keep_tokens(F.col("text"), F.lit(50), True).cast("binary")).alias("tail"))
+
+
+@query("sf_times", "SELECT event_id, strftime(date_trunc('minute', ts), '%Y-%m-%dT%H:%M:%SZ') AS iso, CAST(epoch(date_trunc('minute', ts)) AS BIGINT) AS spoken FROM events")
+def times(spark, d):
+    t = F.date_trunc("minute", F.col("ts").cast("timestamp"))
+    said = F.concat(F.lower(F.date_format(t, "h:mm a")), F.lit(" on "), F.date_format(t, "d MMMM, yyyy"))
+    return _events(spark, d).select("event_id", TX.iso_time(F.unix_timestamp(t)).alias("iso"), TX.spoken_time(said).alias("spoken"))
+
+
+@query("sf_lenient_numbers", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id WHEN 1 THEN event_id WHEN 2 THEN 0 ELSE 0 END AS n, CASE WHEN event_id % 4 = 1 THEN event_id + 0.5::DOUBLE WHEN event_id % 4 = 0 THEN event_id::DOUBLE END AS x, 'a_b-' || event_id || '.c_' AS id FROM events")
+def numbers(spark, d):
+    e = F.col("event_id")
+    text = F.when(e % 4 == 0, F.concat(F.lit(" "), e.cast("string"))).when(e % 4 == 1, F.concat(e.cast("string"), F.lit(".5"))).when(e % 4 == 2, "many")
+    return _events(spark, d).select("event_id", TX.lenient_int(text, 0).alias("n"), TX.lenient_float(text).alias("x"), TX.safe_id(F.concat(F.lit("a b-"), e.cast("string"), F.lit(".c/"))).alias("id"))
+
+
+@query("sf_mean_vectors", "WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM e GROUP BY 1, 2) SELECT CAST(label AS INT) AS label, round(max(m) FILTER (i = 0), 8) AS first, round(max(m) FILTER (i = 63), 8) AS last FROM m GROUP BY 1")
+def mean_vectors(spark, d):
+    """Means inside blocks of vectors, then of the blocks by their sizes: no label is one array."""
+    e = S.read(spark, d, "embeddings").withColumn("b", F.col("vec_id") % 16)
+    part = e.groupBy("label", "b").agg(TX.mean_vector(F.collect_list("embedding")).alias("m"), F.count("*").alias("n"))
+    total = part.groupBy("label").agg(*[(F.sum(F.element_at("m", k) * F.col("n")) / F.sum("n")).alias(c) for k, c in ((1, "first"), (-1, "last"))])
+    return total.select("label", F.round("first", 8).alias("first"), F.round("last", 8).alias("last"))
+
+
+@query("w03_w05_leaf_windows", ", l AS (SELECT *, lag(span_end) OVER (PARTITION BY document_id ORDER BY span_start, level_index) AS b FROM nodes WHERE height = 0 AND NOT (document_id % 3 = 0 AND level_index = 0) AND level_index % 4 <> 2) SELECT document_id, min_by(span_start, (span_start, level_index)) AS starts_at, count(*) FILTER (b <> span_start) AS gaps FROM l GROUP BY 1", nodes=True)
+def leaf_windows(spark, d):
+    """Where each document's first leaf begins, and the gaps between its leaves."""
+    n = nodes_of(spark, d).where("height = 0 and not (document_id % 3 = 0 and level_index = 0) and level_index % 4 <> 2")
+    w = Window.partitionBy("document_id").orderBy("span_start", "level_index")
+    x = n.withColumn("before", F.lag("span_end").over(w))
+    return x.groupBy("document_id").agg(F.min_by("span_start", F.struct("span_start", "level_index")).alias("starts_at"), F.count_if(F.col("before") != F.col("span_start")).alias("gaps"))
