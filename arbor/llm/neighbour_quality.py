@@ -183,7 +183,9 @@ def scores(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
 
 
 def keep_good(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows that the model accepts, with all their columns."""
+    """Rows that the model accepts, with all their columns; a model without labelled rows rejects none."""
+    if not len(model.y):
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -40,6 +40,7 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 0.1), (2, "", 0.2), (None, "some text", 0.3)] + [(i, f"clean text number {i}, with words.", 0.0) for i in range(10, 60)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in N.scores(docs, N.fit(docs, none)).collect()} == {0.5}
+    assert N.keep_good(docs, N.fit(docs, none)).count() == docs.count()
     some = spark.createDataFrame([(i, 1 if i % 3 else None) for i in range(10, 60)] + [(None, 1), (11, 1)], "doc_id long, quality int")
     model = N.fit(docs, some)
     assert len(N.scores(docs, model).collect()) == 53 and N.keep_good(docs, model).columns == docs.columns

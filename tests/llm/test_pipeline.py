@@ -43,3 +43,25 @@ def test_near_duplicates_by_row(spark):
     assert len(kept_b) == 1 and kept_b[0] in (b, b + " end")
     want = [(7, a), (None, kept_b[0]), (3, c), (5, rows[7][1]), (9, "alone"), (None, None), (8, ""), (5, rows[11][1])]
     assert got == sorted(want, key=str)
+
+
+def test_every_stage_takes_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, an extra column with a clashing name, and an empty table."""
+    d = "/root/testdata/sf0.001"
+    start = spark.read.parquet(f"{d}/documents.parquet")
+    clean = start.where("doc_id % 10 = 1").limit(5).collect()
+    odd = [(None, None), (None, ""), (-1, None), (7, "word " * 120_000), (8, "x" * 600_000), (9, "  \n "), (None, clean[0].text), (None, clean[0].text)]
+    rows = [(i, t, "en", "odd", None, 0.5) for i, t in odd] + [(r.doc_id, r.text, r.lang, r.source, r.n_chars, 1.0) for r in clean]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double")
+    for name, stage in P.STAGES:
+        got = stage(spark, docs, d).collect()
+        assert stage(spark, docs.limit(0), d).collect() == [], name
+        if name in ("benchmark_leaks", "secrets", "tokens"):
+            assert len(got) == len(rows), name
+        if name == "near_duplicates":
+            assert sum(r.text == clean[0].text for r in got) == 1 and sum(not (r.text or "").strip() for r in got) == 4
+            assert {r.text for r in got} == {t for _, t, *_ in rows}
+        if name != "tokens":
+            assert all(r.score in (0.5, 1.0) for r in got) and stage(spark, docs, d).columns == docs.columns, name
+        else:
+            assert {r.doc_id: r.n_tokens for r in got if r.doc_id == -1} == {-1: 0} and max(r.n_tokens for r in got) >= 120_000
