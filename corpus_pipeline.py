@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last have the columns of
 documents. The result of each is written as Parquet and read again as the docs of the next.
+
+Rules, which hold for every stage. Null ids and null texts are rows like others: a null text is empty, scores the share of
+good documents in the sample, has no near duplicate, no leak and no secret, and gives no tokens; where it stays, it stays
+null. Rows with one id and different texts are different documents. Rows with the same id and text are near duplicates of
+each other, so one stays, unless they have no words. Texts may be of any length; further columns are carried through all
+stages but the last. An empty table gives an empty result, and without labels no document is
+rejected.
 """
 
 from __future__ import annotations
