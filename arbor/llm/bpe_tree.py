@@ -8,8 +8,9 @@ tokens between, and tokens right of the right agreement are the tokens of the jo
 encoding every two neighbours fit each other wherever they stand. A window that reaches both ends is
 simply the encoding of the joined text.
 
-White space that the tokenizer drops splits texts exactly, so a leaf is encoded by its words. Words that come
-again are kept in a memo of at most MEMO_BYTES; a word enters it when it is met the second time.
+White space that the tokenizer drops splits texts exactly, so a leaf is encoded by its words. Words are kept in two memos
+of together MEMO_BYTES at most: new words enter the young one, those that come again move to the other, so words
+that are met once do not drive out those that are common.
 
 Rules. A null text is empty: no tokens, decoded "". Very long words are cut like any text. Rows keep their
 number; repeated rows give repeated results; extra columns are dropped; an empty table gives an empty
@@ -33,9 +34,7 @@ LEAF = 16384
 WINDOW = 64
 AGREE = 3
 #: Bytes of the memo of words that a Python worker keeps.
-MEMO_BYTES = 40 << 20
-#: Bytes of the table that tells whether a word was met before.
-MET = 1 << 20
+MEMO_BYTES = 64 << 20
 
 
 class Encoder:
@@ -48,13 +47,14 @@ class Encoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.memo: dict[str, bytes] = {}
-        self.size, self.most, self.met = 0, memo_bytes, bytearray(MET)
+        self.young: dict[str, bytes] = {}
+        self.size, self.young_size, self.most = 0, 0, memo_bytes // 2
         size = max(self.tok.get_vocab(with_added_tokens=True).values()) + 1
         self.names = [self.tok.id_to_token(i) or "" for i in range(size)]
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
         """Encodes words that the memo lacks, many at a time: joined by blanks they do not touch each other."""
-        new, met = {}, self.met
+        new = {}
         for at in range(0, len(words), 2000):
             part = words[at : at + 2000]
             e = self.tok.encode(" ".join(part), add_special_tokens=False)
@@ -66,21 +66,25 @@ class Encoder:
             cut = (4 * cut).tolist()
             for w, i, j in zip(part, cut, cut[1:]):
                 one = new[w] = raw[i:j] + own[2 * i : 2 * j]
-                spot = hash(w) % MET
-                if met[spot]:
-                    self.size += 240 + len(w) + len(one)
-                    if self.size > self.most:
-                        self.memo, self.size = {}, 0
-                    self.memo[w] = one
-                met[spot] = 1
+                self.young_size += 240 + len(w) + len(one)
+        if self.young_size > self.most:
+            self.young, self.young_size = {}, 0
+        else:
+            self.young |= new
         return new
 
     def known(self, words: list[str]) -> list[bytes]:
         """Entries of words."""
         got = [*map(self.memo.get, words)]
         if None in got:
-            new = self.learn(list(dict.fromkeys([w for w, g in zip(words, got) if g is None])))
+            lacks = dict.fromkeys([w for w, g in zip(words, got) if g is None])
+            again = {w: x for w, x in zip(lacks, map(self.young.get, lacks)) if x is not None}
+            new = self.learn([w for w in lacks if w not in again]) | again
             got = [new[w] if g is None else g for w, g in zip(words, got)]
+            self.size += sum(240 + len(w) + len(x) for w, x in again.items())
+            if self.size > self.most:
+                self.memo, self.size = {}, 0
+            self.memo |= again
         return got
 
     def short(self, texts: list[str]) -> list[tuple[bytes, str]]:
