@@ -23,7 +23,9 @@ nodes AS (SELECT p || level_index AS id, document_id, height, level_index, span_
    CASE WHEN level_index > 0 THEN p || (level_index - 1) END AS preceding_neighbor_id,
    CASE WHEN level_index + 1 < width THEN p || (level_index + 1) END AS following_neighbor_id FROM y)
 """
-REC = "WITH r AS (SELECT event_id AS uuid, user_id AS session, row_number() OVER w AS line, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 5 = 0 THEN coalesce(lag(event_id, 2) OVER w, lag(event_id) OVER w) ELSE lag(event_id) OVER w END AS parent, lag(event_id) OVER w AS prev, event_id % 3 = 0 AS is_user FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) "
+REC = """WITH r AS (SELECT event_id AS uuid, user_id AS session, row_number() OVER w AS line, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 5 = 0
+ THEN coalesce(lag(event_id, 2) OVER w, lag(event_id) OVER w) ELSE lag(event_id) OVER w END AS parent, lag(event_id) OVER w AS prev, event_id % 3 = 0
+ AS is_user FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) """
 
 
 def query(name: str, sql: str | None = None, nodes: bool = False):

@@ -86,7 +86,9 @@ def corrupt_snapshot(spark, d):
     return X.load_vectors(spark, f"{path}/broken", "vec_id long, embedding array<float>, label int", whole=True).select("vec_id")
 
 
-@query("j13_vectors_in_order", "WITH q AS (SELECT user_id AS query_id, event_id % 700 AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS p FROM events) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY p) AS position FROM q JOIN embeddings ON vec_id = id")
+@query("j13_vectors_in_order", """WITH q AS (SELECT user_id AS query_id, event_id % 700 AS id, row_number() OVER (PARTITION BY user_id
+ ORDER BY event_id DESC) AS p FROM events) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY p) AS position FROM q
+ JOIN embeddings ON vec_id = id""")
 def vectors_in_order(spark, d):
     e = S.read(spark, d, "events").groupBy(F.col("user_id").alias("query_id")).agg(F.transform(F.reverse(F.array_sort(F.collect_list("event_id"))), lambda x: x % 700).alias("ids"))
     v = S.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
@@ -102,30 +104,43 @@ simple("d13_query_log_details", lambda n: G.query_log(_tiles(n))[1].withColumn("
 simple(
     "d15_result_json",
     lambda n: G.result_json(_tiles(n)),
-    """SELECT document_id AS query_id, '{"query_id":' || document_id || ',"nodes":[' || string_agg('{"id":"' || id || '","height":' || height || ',"level_index":' || level_index || ',"span_start":' || span_start || ',"span_end":' || span_end || ',"token_count":' || token_count || '}', ',' ORDER BY span_start, id) || ']}' AS json
+    """SELECT document_id AS query_id, '{"query_id":' || document_id || ',"nodes":[' || string_agg('{"id":"' || id || '","height":' || height ||
+ ',"level_index":' || level_index || ',"span_start":' || span_start || ',"span_end":' || span_end || ',"token_count":' || token_count || '}', ','
+ ORDER BY span_start, id) || ']}' AS json
  FROM nodes WHERE parent_id IS NULL GROUP BY document_id""",
 )
 simple("d15_r27_span_marks", G.span_marks, "SELECT id, token_count << height AS verbatim_tokens, '[' || span_start || '-' || span_end || ' h=' || height || ' verbatim=' || (token_count << height) || ']' AS mark FROM nodes")
 
 simple("j02_missing_parents", lambda n: C.missing_parents(n.where("not (height = 1 and level_index % 2 = 0)")).select("node_id"), ", m AS (SELECT * FROM nodes WHERE NOT (height = 1 AND level_index % 2 = 0)) SELECT id AS node_id FROM m WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM m)")
-simple("j04_missing_children", lambda n: C.missing_children(n.where("not (height = 0 and level_index % 3 = 0)")).groupBy("node_id").agg(F.count("*").alias("n")), ", m AS (SELECT * FROM nodes WHERE NOT (height = 0 AND level_index % 3 = 0)) SELECT id AS node_id, (left_child_id NOT IN (SELECT id FROM m))::INT + (right_child_id NOT IN (SELECT id FROM m))::INT AS n FROM m WHERE height > 0 AND (left_child_id NOT IN (SELECT id FROM m) OR right_child_id NOT IN (SELECT id FROM m))")
-simple("j07_height_rule", lambda n: C.height_rule(n.withColumn("height", F.when((F.col("height") == 1) & (F.col("level_index") % 2 == 1), 4).otherwise(F.col("height")))).groupBy("code").agg(F.count("*").alias("n")), ", m AS (SELECT * REPLACE (CASE WHEN height = 1 AND level_index % 2 = 1 THEN 4 ELSE height END AS height) FROM nodes) SELECT 'coord.height_mismatch' AS code, count(*) AS n FROM m p JOIN m c ON c.id IN (p.left_child_id, p.right_child_id) WHERE p.height <> c.height + 1 HAVING n > 0")
-simple("j08_neighbor_chain", lambda n: C.neighbor_chain(n.withColumn("following_neighbor_id", F.when(F.col("level_index") % 4 == 2, F.col("preceding_neighbor_id")).otherwise(F.col("following_neighbor_id")))).select("node_id"), ", m AS (SELECT * REPLACE (CASE WHEN level_index % 4 = 2 THEN preceding_neighbor_id ELSE following_neighbor_id END AS following_neighbor_id) FROM nodes) SELECT a.id AS node_id FROM m a LEFT JOIN m b ON a.following_neighbor_id = b.id WHERE a.following_neighbor_id IS NOT NULL AND (b.id IS NULL OR b.height <> a.height OR b.level_index <> a.level_index + 1)")
+simple("j04_missing_children", lambda n: C.missing_children(n.where("not (height = 0 and level_index % 3 = 0)")).groupBy("node_id").agg(F.count("*").alias("n")), """, m AS (SELECT * FROM nodes WHERE NOT (height = 0 AND level_index % 3 = 0))
+ SELECT id AS node_id, (left_child_id NOT IN (SELECT id FROM m))::INT + (right_child_id NOT IN (SELECT id FROM m))::INT AS n FROM m
+ WHERE height > 0 AND (left_child_id NOT IN (SELECT id FROM m) OR right_child_id NOT IN (SELECT id FROM m))""")
+simple("j07_height_rule", lambda n: C.height_rule(n.withColumn("height", F.when((F.col("height") == 1) & (F.col("level_index") % 2 == 1), 4).otherwise(F.col("height")))).groupBy("code").agg(F.count("*").alias("n")), """, m AS (SELECT * REPLACE (CASE WHEN height = 1 AND level_index % 2 = 1 THEN 4 ELSE height END AS height)
+ FROM nodes) SELECT 'coord.height_mismatch' AS code, count(*) AS n FROM m p JOIN m c ON c.id IN (p.left_child_id, p.right_child_id)
+ WHERE p.height <> c.height + 1 HAVING n > 0""")
+simple("j08_neighbor_chain", lambda n: C.neighbor_chain(n.withColumn("following_neighbor_id", F.when(F.col("level_index") % 4 == 2, F.col("preceding_neighbor_id")).otherwise(F.col("following_neighbor_id")))).select("node_id"), """, m AS (SELECT * REPLACE (CASE WHEN level_index % 4 = 2 THEN preceding_neighbor_id ELSE following_neighbor_id
+ END AS following_neighbor_id) FROM nodes) SELECT a.id AS node_id FROM m a LEFT JOIN m b ON a.following_neighbor_id = b.id
+ WHERE a.following_neighbor_id IS NOT NULL AND (b.id IS NULL OR b.height <> a.height OR b.level_index <> a.level_index + 1)""")
 simple(
     "j10_c01_c04_navigate",
     lambda n: G.navigate(n, 2),
     """SELECT a.id AS source, a.parent_id AS parent, a.left_child_id AS left, a.right_child_id AS right, s.id AS sibling, b.id AS neighbor FROM nodes a
- LEFT JOIN nodes s ON s.document_id = a.document_id AND s.height = a.height AND s.level_index = xor(a.level_index, 1) LEFT JOIN nodes b ON b.document_id = a.document_id AND b.height = a.height AND b.level_index = a.level_index + 2
+ LEFT JOIN nodes s ON s.document_id = a.document_id AND s.height = a.height AND s.level_index = xor(a.level_index, 1) LEFT
+ JOIN nodes b ON b.document_id = a.document_id AND b.height = a.height AND b.level_index = a.level_index + 2
  WHERE coalesce(a.parent_id, a.left_child_id, s.id, b.id) IS NOT NULL""",
 )
 simple("j09_c05_ancestors", lambda n: R.ancestors(n.where("height = 0"), n).select("source", "id"), "SELECT a.id AS source, b.id FROM nodes a JOIN nodes b ON a.document_id = b.document_id AND b.height > 0 AND b.level_index = a.level_index >> b.height WHERE a.height = 0")
 simple("c02_children", lambda n: R.children(n).select("id", "left", "right"), "SELECT id, left_child_id AS left, right_child_id AS right FROM nodes")
-simple("c04_walk", lambda n: G.walk(n.where("height = 0"), 3).withColumn("step", F.col("step").cast("bigint")), "SELECT a.id AS source, b.level_index - a.level_index AS step, b.id FROM nodes a JOIN nodes b ON a.document_id = b.document_id AND a.height = 0 AND b.height = 0 AND b.level_index - a.level_index BETWEEN 1 AND 3")
+simple("c04_walk", lambda n: G.walk(n.where("height = 0"), 3).withColumn("step", F.col("step").cast("bigint")), """SELECT a.id AS source, b.level_index - a.level_index AS step, b.id FROM nodes a
+ JOIN nodes b ON a.document_id = b.document_id AND a.height = 0 AND b.height = 0 AND b.level_index - a.level_index BETWEEN 1 AND 3""")
 simple("c06_descendants", lambda n: G.descendants(n, 2), "SELECT a.id AS source, b.id FROM nodes a JOIN nodes b ON a.document_id = b.document_id AND a.height - b.height BETWEEN 1 AND 2 AND b.level_index >> (a.height - b.height) = a.level_index")
 simple("c09_within_leaf_range", lambda n: R.within_leaves(n, 2, 9).select("id"), "SELECT id FROM nodes WHERE level_index << height >= 2 AND ((level_index + 1) << height) - 1 <= 9")
 
-simple("a07_costs", lambda n: R.cost_stats(n.withColumn("cost", F.col("token_count") * 0.25 + F.col("height"))), "SELECT document_id, sum(token_count * 0.25 + height) AS cost, count(*) AS n_nodes, count(*) FILTER (height = 0) AS n_leaves, count(*) FILTER (height > 0) AS n_summaries FROM nodes GROUP BY 1")
-simple("a12_validation_metrics", lambda n: R.validation_metrics(n), "SELECT document_id, count(*) AS n_nodes, count(*) FILTER (height = 0) AS n_leaves, count(*) FILTER (parent_id IS NULL) AS n_roots, count(*) FILTER (height > 0 AND left_child_id IS NULL) AS no_children, count(*) FILTER (span_end <= span_start) AS empty_spans, count(*) FILTER (token_count = 0) AS no_tokens FROM nodes GROUP BY 1")
+simple("a07_costs", lambda n: R.cost_stats(n.withColumn("cost", F.col("token_count") * 0.25 + F.col("height"))), """SELECT document_id, sum(token_count * 0.25 + height) AS cost, count(*) AS n_nodes, count(*) FILTER (height =
+ 0) AS n_leaves, count(*) FILTER (height > 0) AS n_summaries FROM nodes GROUP BY 1""")
+simple("a12_validation_metrics", lambda n: R.validation_metrics(n), """SELECT document_id, count(*) AS n_nodes, count(*) FILTER (height = 0) AS n_leaves, count(*) FILTER (parent_id
+ IS NULL) AS n_roots, count(*) FILTER (height > 0 AND left_child_id IS NULL) AS no_children, count(*) FILTER (span_end <= span_start) AS empty_spans,
+ count(*) FILTER (token_count = 0) AS no_tokens FROM nodes GROUP BY 1""")
 simple("a17_root_stats", lambda n: R.root_stats(n), "SELECT document_id, CAST(sum(token_count) AS BIGINT) AS tokens, max(height) AS height, count(*) AS n_roots FROM nodes WHERE parent_id IS NULL GROUP BY 1")
 
 
@@ -135,12 +150,15 @@ def time_range(spark, d):
 
 
 simple("t08_first_violations", lambda n: C.first_findings(C.missing_parents(n.where("height <> 1")), 10), "SELECT document_id, 'parent.missing' AS code, id AS node_id FROM nodes WHERE height = 0 AND parent_id IS NOT NULL ORDER BY document_id, code, node_id LIMIT 10")
-simple("t10_b18_first_jobs", lambda n: G.jobs(n.withColumn("parent_id", F.when(F.col("height") > 0, F.col("parent_id"))), 6).select("id", "kind", F.col("rank").cast("bigint").alias("rank")), """, m AS (SELECT * REPLACE (CASE WHEN height > 0 THEN parent_id END AS parent_id) FROM nodes), j AS (SELECT document_id, span_start, 'embed' AS kind, id FROM m WHERE height = 0
- UNION ALL SELECT document_id, span_start, 'summarise', id FROM m a WHERE parent_id IS NULL AND level_index % 2 = 0 AND EXISTS (SELECT 1 FROM m b WHERE b.document_id = a.document_id AND b.height = a.height AND b.level_index = a.level_index + 1 AND b.parent_id IS NULL))
+simple("t10_b18_first_jobs", lambda n: G.jobs(n.withColumn("parent_id", F.when(F.col("height") > 0, F.col("parent_id"))), 6).select("id", "kind", F.col("rank").cast("bigint").alias("rank")), """, m AS (SELECT * REPLACE (CASE WHEN height > 0 THEN parent_id END AS parent_id)
+ FROM nodes), j AS (SELECT document_id, span_start, 'embed' AS kind, id FROM m WHERE height = 0
+ UNION ALL SELECT document_id, span_start, 'summarise', id FROM m a WHERE parent_id IS NULL AND level_index % 2 = 0 AND EXISTS (SELECT 1
+ FROM m b WHERE b.document_id = a.document_id AND b.height = a.height AND b.level_index = a.level_index + 1 AND b.parent_id IS NULL))
  SELECT id, kind, row_number() OVER (PARTITION BY document_id ORDER BY span_start, kind, id) AS rank FROM j QUALIFY rank <= 6""")
 simple("t11_outliers", lambda n: n.join(n.groupBy("height").agg(F.avg("token_count").alias("mean"), F.stddev_pop("token_count").alias("std")), "height").where("abs(token_count - mean) > 2 * std").select("id"), ", sd AS (SELECT height, avg(token_count) AS mean, stddev_pop(token_count) AS std FROM nodes GROUP BY 1) SELECT id FROM nodes JOIN sd USING (height) WHERE abs(token_count - mean) > 2 * std")
 
-_EVENTS_REC = "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'user' WHEN 1 THEN 'assistant' WHEN 2 THEN 'system' ELSE 'tool' END AS type, event_id % 10 = 0 AS is_compact, event_id % 9 = 0 AS is_meta, CASE WHEN event_id % 11 <> 0 THEN ts END AS ts FROM events"
+_EVENTS_REC = """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'user' WHEN 1 THEN 'assistant' WHEN 2 THEN 'system' ELSE 'tool' END AS type, event_id %
+ 10 = 0 AS is_compact, event_id % 9 = 0 AS is_meta, CASE WHEN event_id % 11 <> 0 THEN ts END AS ts FROM events"""
 
 
 @query("f09_included_records", f"SELECT event_id FROM ({_EVENTS_REC}) WHERE type IN ('user', 'assistant') AND NOT is_compact AND NOT is_meta AND ts IS NOT NULL")
@@ -160,7 +178,8 @@ def reverse_lines(spark, d):
     return lines.groupBy("user_id").agg(F.max_by("event_id", F.struct("path", "block", "line_no")).alias("last_event"), F.count("*").alias("n"))
 
 
-@query("s19_matched_runs", "SELECT 'type=' || event_type AS name, event_type <> (SELECT max(event_type) FROM events) AS in_baseline, event_type <> (SELECT min(event_type) FROM events) AS in_current FROM (SELECT DISTINCT event_type FROM events)")
+@query("s19_matched_runs", """SELECT 'type=' || event_type AS name, event_type <> (SELECT max(event_type)
+ FROM events) AS in_baseline, event_type <> (SELECT min(event_type) FROM events) AS in_current FROM (SELECT DISTINCT event_type FROM events)""")
 def matched_runs(spark, d):
     """Telemetry of two runs in a folder a type: the baseline lacks the last type, the current run the first."""
     e = S.read(spark, d, "events").select(F.concat(F.lit("type="), "event_type").alias("run"), "event_id", "value")

@@ -24,12 +24,16 @@ def broken(n):
 
 
 _BROKEN = """, b0 AS (SELECT *, document_id % 12 AS k FROM nodes),
- m AS (SELECT id, document_id, CASE WHEN k = 10 AND height = 1 AND level_index = 1 THEN 3 ELSE height END AS height, CASE WHEN k = 10 AND height = 0 AND level_index = 1 THEN 0 ELSE level_index END AS level_index,
-  CASE WHEN (k = 1 AND height = 0 AND level_index = 0) OR (k = 2 AND height = 0 AND level_index = 2) THEN span_start + 1 ELSE span_start END AS span_start,
-  CASE WHEN k = 7 AND height = 1 AND level_index = 0 THEN span_end + 1 ELSE span_end END AS span_end, token_count, CASE WHEN NOT (k = 8 AND height = 0) THEN parent_id END AS parent_id,
+ m AS (SELECT id, document_id, CASE WHEN k = 10 AND height = 1 AND level_index = 1 THEN 3 ELSE height END AS height, CASE WHEN k = 10 AND height = 0
+ AND level_index = 1 THEN 0 ELSE level_index END AS level_index,
+  CASE WHEN (k = 1 AND height = 0 AND level_index = 0) OR (k = 2 AND height = 0 AND level_index = 2) THEN span_start + 1 ELSE span_start END AS
+ span_start,
+  CASE WHEN k = 7 AND height = 1 AND level_index = 0 THEN span_end + 1 ELSE span_end END AS span_end, token_count, CASE WHEN NOT (k = 8 AND height =
+ 0) THEN parent_id END AS parent_id,
   CASE WHEN NOT (k = 4 AND height = 1 AND level_index = 0) THEN left_child_id END AS left_child_id, right_child_id,
   CASE WHEN k = 9 AND height = 0 AND level_index = 1 THEN id ELSE preceding_neighbor_id END AS preceding_neighbor_id, following_neighbor_id
-  FROM b0 WHERE NOT (k = 3 AND height = 1 AND level_index = 0) AND NOT (k = 5 AND height = 0 AND level_index = 0) AND NOT (k = 6 AND height = 0 AND level_index = 1))"""
+  FROM b0 WHERE NOT (k = 3 AND height = 1 AND level_index = 0) AND NOT (k = 5 AND height = 0 AND level_index = 0) AND NOT (k = 6 AND height = 0 AND
+ level_index = 1))"""
 _PAIR = "m p JOIN m l ON p.left_child_id = l.id JOIN m r ON p.right_child_id = r.id"
 _FINDINGS = f"""{_BROKEN}, lf AS (SELECT *, lag(span_end) OVER (PARTITION BY document_id ORDER BY span_start, level_index) AS b FROM m WHERE height = 0),
  nb AS (SELECT *, lag(id) OVER w AS bi, lead(id) OVER w AS ai FROM m WINDOW w AS (PARTITION BY document_id, height ORDER BY level_index)),
@@ -75,7 +79,8 @@ def empty_trees(spark, d):
 simple(
     "v12_leaf_completeness",
     lambda n: C.leaf_completeness(n.where("height = 0").withColumn("embedding", F.when(F.col("level_index") % 5 != 2, F.array(F.lit(1.0)))).withColumn("preceding_context", F.when(F.col("level_index") % 7 != 0, F.lit("[]")))).select("code", "node_id"),
-    "SELECT 'forest.no_embedding' AS code, id AS node_id FROM nodes WHERE height = 0 AND level_index % 5 = 2 UNION ALL SELECT 'forest.no_context', id FROM nodes WHERE height = 0 AND level_index % 7 = 0 AND level_index > 0",
+    """SELECT 'forest.no_embedding' AS code, id AS node_id FROM nodes WHERE height = 0 AND level_index % 5 = 2 UNION ALL
+ SELECT 'forest.no_context', id FROM nodes WHERE height = 0 AND level_index % 7 = 0 AND level_index > 0""",
 )
 
 
@@ -91,11 +96,16 @@ def _telemetry(n):
 simple(
     "v14_j15_telemetry",
     lambda n: C.telemetry_findings(n, _telemetry(n)).groupBy("document_id", "code").agg(F.count("*").alias("n")),
-    """, t AS (SELECT document_id, id, height AS h, span_start AS a, span_end AS b, level_index AS li FROM nodes WHERE level_index % 9 <> 7), g AS (SELECT * FROM t WHERE li % 17 NOT IN (9, 11)), f AS (
- SELECT document_id, 'telemetry.node.missing_id' AS code FROM t WHERE li % 17 = 9 UNION ALL SELECT document_id, 'telemetry.node.duplicate' FROM nodes WHERE level_index = 1
- UNION ALL SELECT document_id, 'telemetry.node.missing' FROM nodes WHERE id NOT IN (SELECT id FROM g) UNION ALL SELECT document_id, 'telemetry.node.unexpected' FROM t WHERE li % 17 = 11
- UNION ALL SELECT document_id, 'telemetry.missing.height' FROM g WHERE li % 11 = 4 UNION ALL SELECT document_id, 'telemetry.invalid.height' FROM g WHERE li % 11 = 6 UNION ALL SELECT document_id, 'telemetry.mismatch.height' FROM g WHERE li % 11 = 8
- UNION ALL SELECT document_id, 'telemetry.invalid.span' FROM g WHERE li % 13 = 3 UNION ALL SELECT document_id, 'telemetry.mismatch.span' FROM g WHERE li % 13 = 5)
+    """, t AS (SELECT document_id, id, height AS h, span_start AS a, span_end AS b, level_index AS li FROM nodes
+ WHERE level_index % 9 <> 7), g AS (SELECT * FROM t WHERE li % 17 NOT IN (9, 11)), f AS (
+ SELECT document_id, 'telemetry.node.missing_id' AS code FROM t WHERE li % 17 = 9 UNION ALL SELECT document_id, 'telemetry.node.duplicate'
+ FROM nodes WHERE level_index = 1
+ UNION ALL SELECT document_id, 'telemetry.node.missing' FROM nodes WHERE id NOT IN (SELECT id FROM g) UNION ALL
+ SELECT document_id, 'telemetry.node.unexpected' FROM t WHERE li % 17 = 11
+ UNION ALL SELECT document_id, 'telemetry.missing.height' FROM g WHERE li % 11 = 4 UNION ALL SELECT document_id, 'telemetry.invalid.height'
+ FROM g WHERE li % 11 = 6 UNION ALL SELECT document_id, 'telemetry.mismatch.height' FROM g WHERE li % 11 = 8
+ UNION ALL SELECT document_id, 'telemetry.invalid.span' FROM g WHERE li % 13 = 3 UNION ALL SELECT document_id, 'telemetry.mismatch.span' FROM g
+ WHERE li % 13 = 5)
  SELECT document_id, code, count(*) AS n FROM f GROUP BY ALL""",
 )
 simple(
@@ -108,12 +118,18 @@ simple(
 simple(
     "v18_chunk_report",
     lambda n: C.chunk_report(n.where("height = 0").withColumn("token_count", F.col("token_count") + F.col("level_index") % 3 * 15 - F.col("level_index") % 5 * 9), 100),
-    ", l AS (SELECT document_id, level_index, token_count + level_index % 3 * 15 - level_index % 5 * 9 AS t, max(level_index) OVER (PARTITION BY document_id) AS last FROM nodes WHERE height = 0) SELECT document_id, count(*) AS n_leaves, count(*) FILTER (t > 120) AS oversized, count(*) FILTER (t < 80 AND level_index <> last) AS undersized FROM l GROUP BY 1",
+    """, l AS (SELECT document_id, level_index, token_count + level_index % 3 * 15 - level_index % 5 * 9 AS t, max(level_index) OVER (PARTITION BY
+ document_id) AS last FROM nodes WHERE height = 0) SELECT document_id, count(*) AS n_leaves, count(*) FILTER (t > 120) AS oversized, count(*) FILTER
+ (t < 80 AND level_index <> last) AS undersized FROM l GROUP BY 1""",
 )
 simple("v20_uneven_trees", lambda n: C.uneven_trees(n.where("not (height = 0 and level_index = 2)")).select("node_id"), "SELECT id AS node_id FROM nodes WHERE parent_id IS NULL AND height > 0 AND 2 >= level_index << height AND 2 < (level_index + 1) << height")
 
 
-@query("v17_text_coverage", ", l AS (SELECT *, lead(span_start) OVER (PARTITION BY document_id ORDER BY span_start, level_index) AS nxt FROM nodes WHERE height = 0 AND NOT (document_id % 5 = 1 AND level_index = 0) AND NOT (document_id % 5 = 2 AND level_index = 2)), a AS (SELECT document_id, min(span_start) AS lo, max_by(span_end, (span_start, level_index)) AS hi, count(*) FILTER (nxt <> span_end) AS gaps FROM l GROUP BY 1) SELECT doc_id AS document_id, CASE WHEN lo IS NULL THEN 'no_leaves' WHEN lo <> 0 THEN 'start' WHEN hi <> length(coalesce(text, '')) + CASE WHEN doc_id % 5 = 3 THEN 1 ELSE 0 END THEN 'end' WHEN gaps > 0 THEN 'gap' END AS error FROM documents LEFT JOIN a ON document_id = doc_id", nodes=True)
+@query("v17_text_coverage", """, l AS (SELECT *, lead(span_start) OVER (PARTITION BY document_id ORDER BY span_start, level_index) AS nxt
+ FROM nodes WHERE height = 0 AND NOT (document_id % 5 = 1 AND level_index = 0) AND NOT (document_id % 5 = 2 AND level_index = 2)), a AS (SELECT
+ document_id, min(span_start) AS lo, max_by(span_end, (span_start, level_index)) AS hi, count(*) FILTER (nxt <> span_end) AS gaps FROM l
+ GROUP BY 1) SELECT doc_id AS document_id, CASE WHEN lo IS NULL THEN 'no_leaves' WHEN lo <> 0 THEN 'start' WHEN hi <> length(coalesce(text, '')) +
+ CASE WHEN doc_id % 5 = 3 THEN 1 ELSE 0 END THEN 'end' WHEN gaps > 0 THEN 'gap' END AS error FROM documents LEFT JOIN a ON document_id = doc_id""", nodes=True)
 def text_coverage(spark, d):
     docs = S.read(spark, d, "documents")
     leaves = S.nodes(docs).where("height = 0 and not (document_id % 5 = 1 and level_index = 0) and not (document_id % 5 = 2 and level_index = 2)")
@@ -122,11 +138,16 @@ def text_coverage(spark, d):
 
 @query(
     "v19_structure",
-    """, m AS (SELECT * REPLACE (CASE WHEN height = 0 AND level_index % 2 = 1 AND document_id % 3 = 0 THEN span_start + 1 WHEN height = 0 AND level_index = 0 AND document_id % 3 = 1 THEN span_start + 2 ELSE span_start END AS span_start) FROM nodes WHERE NOT (height = 0 AND level_index = 3 AND document_id % 3 = 2)),
- xx AS (SELECT p.*, l.id AS lid, r.id AS rid, l.span_start AS ls, l.span_end AS le, r.span_start AS rs, r.span_end AS re FROM m p LEFT JOIN m l ON p.left_child_id = l.id LEFT JOIN m r ON p.right_child_id = r.id), f AS (
- SELECT id, 'span.empty' AS code FROM xx WHERE span_start >= span_end UNION ALL SELECT id, 'child.left_missing' FROM xx WHERE left_child_id IS NOT NULL AND lid IS NULL UNION ALL SELECT id, 'child.right_missing' FROM xx WHERE right_child_id IS NOT NULL AND rid IS NULL
+    """, m AS (SELECT * REPLACE (CASE WHEN height = 0 AND level_index % 2 = 1 AND document_id % 3 = 0 THEN span_start + 1 WHEN height = 0 AND
+ level_index = 0 AND document_id % 3 = 1 THEN span_start + 2 ELSE span_start END AS span_start) FROM nodes
+ WHERE NOT (height = 0 AND level_index = 3 AND document_id % 3 = 2)),
+ xx AS (SELECT p.*, l.id AS lid, r.id AS rid, l.span_start AS ls, l.span_end AS le, r.span_start AS rs, r.span_end AS re FROM m p LEFT
+ JOIN m l ON p.left_child_id = l.id LEFT JOIN m r ON p.right_child_id = r.id), f AS (
+ SELECT id, 'span.empty' AS code FROM xx WHERE span_start >= span_end UNION ALL SELECT id, 'child.left_missing' FROM xx
+ WHERE left_child_id IS NOT NULL AND lid IS NULL UNION ALL SELECT id, 'child.right_missing' FROM xx WHERE right_child_id IS NOT NULL AND rid IS NULL
  UNION ALL SELECT id, 'span.start' FROM xx WHERE ls <> span_start UNION ALL SELECT id, 'span.end' FROM xx WHERE re <> span_end
- UNION ALL SELECT id, 'span.gap' FROM xx JOIN documents ON doc_id = document_id WHERE le < rs AND regexp_matches(substring(text, le + 1, rs - le), '[^ \\t\\n\\x0B\\f\\r]'))
+ UNION ALL SELECT id, 'span.gap' FROM xx JOIN documents ON doc_id = document_id
+ WHERE le < rs AND regexp_matches(substring(text, le + 1, rs - le), '[^ \\t\\n\\x0B\\f\\r]'))
  SELECT id AS node_id, code FROM f""",
     nodes=True,
 )

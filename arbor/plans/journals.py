@@ -76,20 +76,27 @@ def versions(spark, d):
     return X.read_version(spark, path)
 
 
-@query("st04_m24_node_fold", "SELECT event_id % 997 AS node_id, epoch_us(min(ts)) AS created_us, arg_max(event_id % 5, (ts, event_id)) AS height, arg_max(event_id, (ts, event_id)) AS span_start, arg_max(event_id + 10, (ts, event_id)) AS span_end, count(*) AS n_commits FROM events WHERE event_id % 4 = 1 GROUP BY 1")
+@query("st04_m24_node_fold", """SELECT event_id % 997 AS node_id, epoch_us(min(ts)) AS created_us, arg_max(event_id % 5, (ts, event_id)) AS height,
+ arg_max(event_id, (ts, event_id)) AS span_start, arg_max(event_id + 10, (ts, event_id)) AS span_end, count(*) AS n_commits FROM events
+ WHERE event_id % 4 = 1 GROUP BY 1""")
 def node_fold(spark, d):
     e = F.col("event_id")
     c = _events(spark, d).where(e % 4 == 1).select((e % 997).alias("node_id"), "event_id", "ts", (e % 5).alias("height"), e.alias("span_start"), (e + 10).alias("span_end"))
     return T.fold_nodes(c).select("node_id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("created_us"), "height", "span_start", "span_end", "n_commits")
 
 
-@query("st04_append_history", "WITH j AS (SELECT event_id, user_id AS append_id, ts, CASE event_id % 4 WHEN 0 THEN 'in_progress' WHEN 2 THEN 'completed' ELSE 'failed' END AS status FROM events WHERE event_id % 4 <> 1) SELECT append_id, arg_min(event_id, (ts, event_id)) AS first_seen, arg_max(status, (ts, event_id)) AS status, epoch_us(max(ts) FILTER (status = 'in_progress')) AS started_us, epoch_us(max(ts) FILTER (status <> 'in_progress')) AS ended_us FROM j GROUP BY 1 HAVING arg_max(status, (ts, event_id)) <> 'in_progress'")
+@query("st04_append_history", """WITH j AS (SELECT event_id, user_id AS append_id, ts, CASE event_id % 4 WHEN 0 THEN 'in_progress' WHEN 2 THEN
+ 'completed' ELSE 'failed' END AS status FROM events WHERE event_id % 4 <> 1)
+ SELECT append_id, arg_min(event_id, (ts, event_id)) AS first_seen, arg_max(status, (ts, event_id)) AS status, epoch_us(max(ts) FILTER (status =
+ 'in_progress')) AS started_us, epoch_us(max(ts) FILTER (status <> 'in_progress')) AS ended_us FROM j GROUP BY 1
+ HAVING arg_max(status, (ts, event_id)) <> 'in_progress'""")
 def history(spark, d):
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     return T.append_history(S.journal(_events(spark, d))).select("append_id", "first_seen", "status", us("started_at").alias("started_us"), us("ended_at").alias("ended_us"))
 
 
-@query("j16_three_sources", "SELECT user_id, coalesce(max(event_id) FILTER (event_id % 3 = 2), max(event_id) FILTER (event_id % 3 = 1), max(event_id) FILTER (event_id % 3 = 0)) AS last FROM events WHERE event_id % 7 = 0 GROUP BY 1")
+@query("j16_three_sources", """SELECT user_id, coalesce(max(event_id) FILTER (event_id % 3 = 2), max(event_id) FILTER (event_id % 3 = 1), max(event_id)
+ FILTER (event_id % 3 = 0)) AS last FROM events WHERE event_id % 7 = 0 GROUP BY 1""")
 def three_sources(spark, d):
     part = lambda k: _events(spark, d).where((F.col("event_id") % 7 == 0) & (F.col("event_id") % 3 == k)).groupBy("user_id").agg(F.max("event_id").alias("last"))
     return E.merged(E.merged(part(0), part(1), "user_id", ["last"]), part(2), "user_id", ["last"])
@@ -113,9 +120,13 @@ def statistics(spark, d):
 
 @query(
     "r06_hybrid_fused_order",
-    """WITH a AS (SELECT user_id AS query_id, event_id AS k, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r FROM events WHERE user_id % 4 <> 0 QUALIFY r <= 20), b AS (SELECT user_id AS query_id, event_id AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events QUALIFY r <= 20),
- f AS (SELECT query_id, k, coalesce(1.0::DOUBLE / (60 + a.r), 0) + coalesce(1.0::DOUBLE / (60 + b.r), 0) AS score, a.r AS ra, b.r AS rb FROM a FULL JOIN b USING (query_id, k))
- SELECT query_id, k, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ra NULLS LAST, rb NULLS LAST, k) AS INT) AS rank FROM f WHERE k % 5 <> 0 AND query_id IN (SELECT query_id FROM a)""",
+    """WITH a AS (SELECT user_id AS query_id, event_id AS k, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS r
+ FROM events WHERE user_id % 4 <> 0 QUALIFY r <= 20), b AS (SELECT user_id AS query_id, event_id AS k, row_number() OVER (PARTITION BY user_id
+ ORDER BY ts DESC, event_id) AS r FROM events QUALIFY r <= 20),
+ f AS (SELECT query_id, k, coalesce(1.0::DOUBLE / (60 + a.r), 0) + coalesce(1.0::DOUBLE / (60 + b.r), 0) AS score, a.r AS ra, b.r AS rb
+ FROM a FULL JOIN b USING (query_id, k))
+ SELECT query_id, k, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ra NULLS LAST, rb NULLS LAST, k) AS INT) AS rank FROM f
+ WHERE k % 5 <> 0 AND query_id IN (SELECT query_id FROM a)""",
 )
 def hybrid(spark, d):
     e = _events(spark, d).select(F.col("user_id").alias("query_id"), F.col("event_id").alias("k"), "value", "ts")
@@ -125,7 +136,8 @@ def hybrid(spark, d):
     return N.hybrid_in_fused_order(vector, fused, e.where("k % 5 <> 0").select("k"), "k").select("query_id", "k", "rank")
 
 
-@query("s12_pinned_nodes", "SELECT n.id FROM nodes n WHERE (level_index + height) % 3 = 0 AND (SELECT count(*) FROM nodes p WHERE p.document_id = n.document_id AND p.height > n.height AND p.level_index = n.level_index >> (p.height - n.height)) <= 2", nodes=True)
+@query("s12_pinned_nodes", """SELECT n.id FROM nodes n WHERE (level_index + height) % 3 = 0 AND (SELECT count(*) FROM nodes p
+ WHERE p.document_id = n.document_id AND p.height > n.height AND p.level_index = n.level_index >> (p.height - n.height)) <= 2""", nodes=True)
 def pinned(spark, d):
     n = nodes_of(spark, d).withColumn("pinned", (F.col("level_index") + F.col("height")) % 3 == 0)
     return N.pinned_nodes(n, S.sizes(S.read(spark, d, "documents")), 2).select("id")
@@ -155,14 +167,17 @@ def times(spark, d):
     return _events(spark, d).select("event_id", TX.iso_time(F.unix_timestamp(t)).alias("iso"), TX.spoken_time(said).alias("spoken"))
 
 
-@query("sf_lenient_numbers", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id WHEN 1 THEN event_id WHEN 2 THEN 0 ELSE 0 END AS n, CASE WHEN event_id % 4 = 1 THEN event_id + 0.5::DOUBLE WHEN event_id % 4 = 0 THEN event_id::DOUBLE END AS x, 'a_b-' || event_id || '.c_' AS id FROM events")
+@query("sf_lenient_numbers", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id WHEN 1 THEN event_id WHEN 2 THEN 0 ELSE 0 END AS n, CASE WHEN
+ event_id % 4 = 1 THEN event_id + 0.5::DOUBLE WHEN event_id % 4 = 0 THEN event_id::DOUBLE END AS x, 'a_b-' || event_id || '.c_' AS id FROM events""")
 def numbers(spark, d):
     e = F.col("event_id")
     text = F.when(e % 4 == 0, F.concat(F.lit(" "), e.cast("string"))).when(e % 4 == 1, F.concat(e.cast("string"), F.lit(".5"))).when(e % 4 == 2, "many")
     return _events(spark, d).select("event_id", TX.lenient_int(text, 0).alias("n"), TX.lenient_float(text).alias("x"), TX.safe_id(F.concat(F.lit("a b-"), e.cast("string"), F.lit(".c/"))).alias("id"))
 
 
-@query("sf_mean_vectors", "WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM e GROUP BY 1, 2) SELECT CAST(label AS INT) AS label, round(max(m) FILTER (i = 0), 8) AS first, round(max(m) FILTER (i = 63), 8) AS last FROM m GROUP BY 1")
+@query("sf_mean_vectors", """WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS i
+ FROM embeddings), m AS (SELECT label, i, avg(x) AS m FROM e GROUP BY 1, 2)
+ SELECT CAST(label AS INT) AS label, round(max(m) FILTER (i = 0), 8) AS first, round(max(m) FILTER (i = 63), 8) AS last FROM m GROUP BY 1""")
 def mean_vectors(spark, d):
     """Means inside blocks of vectors, then of the blocks by their sizes: no label is one array."""
     e = S.read(spark, d, "embeddings").withColumn("b", F.col("vec_id") % 16)
@@ -171,7 +186,9 @@ def mean_vectors(spark, d):
     return total.select("label", F.round("first", 8).alias("first"), F.round("last", 8).alias("last"))
 
 
-@query("w03_w05_leaf_windows", ", l AS (SELECT *, lag(span_end) OVER (PARTITION BY document_id ORDER BY span_start, level_index) AS b FROM nodes WHERE height = 0 AND NOT (document_id % 3 = 0 AND level_index = 0) AND level_index % 4 <> 2) SELECT document_id, min_by(span_start, (span_start, level_index)) AS starts_at, count(*) FILTER (b <> span_start) AS gaps FROM l GROUP BY 1", nodes=True)
+@query("w03_w05_leaf_windows", """, l AS (SELECT *, lag(span_end) OVER (PARTITION BY document_id ORDER BY span_start, level_index) AS b FROM nodes
+ WHERE height = 0 AND NOT (document_id % 3 = 0 AND level_index = 0) AND level_index % 4 <> 2)
+ SELECT document_id, min_by(span_start, (span_start, level_index)) AS starts_at, count(*) FILTER (b <> span_start) AS gaps FROM l GROUP BY 1""", nodes=True)
 def leaf_windows(spark, d):
     """Where each document's first leaf begins, and the gaps between its leaves."""
     n = nodes_of(spark, d).where("height = 0 and not (document_id % 3 = 0 and level_index = 0) and level_index % 4 <> 2")

@@ -9,7 +9,9 @@ from arbor.operators import repository as R
 from arbor.plans.base import nodes_of, query, simple
 from arbor.sources import corpus as S
 
-UNITS = "WITH u AS (SELECT conv_id AS document_id, row_number() OVER w - 1 AS level_index, CAST(sum(length(coalesce(text, ''))) OVER w - length(coalesce(text, '')) AS BIGINT) AS span_start, CAST(sum(length(coalesce(text, ''))) OVER w AS BIGINT) AS span_end, turn FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) "
+UNITS = """WITH u AS (SELECT conv_id AS document_id, row_number() OVER w - 1 AS level_index, CAST(sum(length(coalesce(text, ''))) OVER w -
+ length(coalesce(text, '')) AS BIGINT) AS span_start, CAST(sum(length(coalesce(text, ''))) OVER w AS BIGINT) AS span_end, turn
+ FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)) """
 
 
 def _units(spark, d):
@@ -20,20 +22,38 @@ simple("s02_multi_get", lambda n: R.multi_get(n, n.where("height = 1").select(F.
 simple("s05_scan_by_span", lambda n: n.where("height = 0").orderBy("document_id", "span_start", "level_index").select("id", "span_start"), "SELECT id, span_start FROM nodes WHERE height = 0")
 simple("f07_leaves_from", lambda n: n.where("height = 0 and span_start >= 1500").select("id", "span_start"), "SELECT id, span_start FROM nodes WHERE height = 0 AND span_start >= 1500")
 simple("f12_snapshot", lambda n: n.select("id", "height", "span_start", "span_end", (F.col("height") == 0).alias("is_leaf"), "parent_id"), "SELECT id, height, span_start, span_end, height = 0 AS is_leaf, parent_id FROM nodes")
-simple("f13_a15_health", lambda n: M.health(n.where("not (height = 2 and level_index = 0)"), F.col("level_index") % 4), ", m AS (SELECT * FROM nodes WHERE NOT (height = 2 AND level_index = 0)) SELECT count(*) AS n, count(*) FILTER (level_index % 4 = 0) AS no_time, count(*) FILTER (parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM m)) AS orphans FROM m")
+simple("f13_a15_health", lambda n: M.health(n.where("not (height = 2 and level_index = 0)"), F.col("level_index") % 4), """, m AS (SELECT * FROM nodes WHERE NOT (height = 2 AND level_index = 0))
+ SELECT count(*) AS n, count(*) FILTER (level_index % 4 = 0) AS no_time, count(*) FILTER (parent_id IS NOT NULL AND parent_id NOT IN (SELECT id
+ FROM m)) AS orphans FROM m""")
 simple("d03_bulk_update", lambda n: M.bulk_update(n, n.where("height = 1").select("id", (F.col("token_count") * 2).alias("token_count")), "token_count").select("id", "token_count"), "SELECT id, CASE WHEN height = 1 THEN 2 * token_count ELSE token_count END AS token_count FROM nodes")
-simple("d04_relink", lambda n: M.relink(n.where("not (height = 0 and level_index = 1)")).select("id", "preceding_neighbor_id", "following_neighbor_id"), ", m AS (SELECT * FROM nodes WHERE NOT (height = 0 AND level_index = 1)) SELECT m.id, p.id AS preceding_neighbor_id, f.id AS following_neighbor_id FROM m LEFT JOIN m p ON m.preceding_neighbor_id = p.id LEFT JOIN m f ON m.following_neighbor_id = f.id")
+simple("d04_relink", lambda n: M.relink(n.where("not (height = 0 and level_index = 1)")).select("id", "preceding_neighbor_id", "following_neighbor_id"), """, m AS (SELECT * FROM nodes WHERE NOT (height = 0 AND level_index = 1))
+ SELECT m.id, p.id AS preceding_neighbor_id, f.id AS following_neighbor_id FROM m LEFT JOIN m p ON m.preceding_neighbor_id = p.id LEFT
+ JOIN m f ON m.following_neighbor_id = f.id""")
 simple("d09_clear_documents", lambda n: n.join(n.where("document_id % 3 = 0").select("document_id").distinct(), "document_id", "left_anti").groupBy("document_id").agg(F.count("*").alias("n")), "SELECT document_id, count(*) AS n FROM nodes WHERE document_id % 3 <> 0 GROUP BY 1")
-simple("d17_prune_roots", lambda n: M.prune_roots(n, n.where("parent_id is null and height = 2")).select("id", "parent_id", "following_neighbor_id"), ", m AS (SELECT * FROM nodes WHERE NOT (parent_id IS NULL AND height = 2)) SELECT m.id, p.id AS parent_id, f.id AS following_neighbor_id FROM m LEFT JOIN m p ON m.parent_id = p.id LEFT JOIN m f ON m.following_neighbor_id = f.id")
-simple("j18_st06_catalog_diff", lambda n: M.diff(n.where("level_index <> 1"), n.where("height <> 1").withColumn("token_count", F.when(F.col("height") == 2, 0).otherwise(F.col("token_count"))), "id", ["token_count", "parent_id"]), ", d AS (SELECT id, CASE WHEN height = 1 AND level_index <> 1 THEN 'removed' WHEN height <> 1 AND level_index = 1 THEN 'added' WHEN height = 2 AND level_index <> 1 AND token_count <> 0 THEN 'changed' END AS kind FROM nodes) SELECT * FROM d WHERE kind IS NOT NULL")
-simple("b10_eligible_pairs", lambda n: M.eligible_pairs(n.where("height = 0").select("document_id", "id", "height", "level_index", "span_start")), "SELECT a.document_id, a.id AS left_id, b.id AS right_id, a.height FROM nodes a JOIN nodes b ON a.document_id = b.document_id AND a.height = b.height AND b.level_index = a.level_index + 1 WHERE a.height = 0 AND a.level_index % 2 = 0")
-simple("w09_gated_pairs", lambda n: M.eligible_pairs(n.where("height = 1 or height = 0 and level_index = 8"), 1), ", m AS (SELECT *, min(height) OVER w AS low, lead(id) OVER w AS right_id, lead(height) OVER w AS rh, lead(level_index) OVER w AS ri FROM nodes WHERE height = 1 OR height = 0 AND level_index = 8 WINDOW w AS (PARTITION BY document_id ORDER BY span_start, level_index)) SELECT document_id, id AS left_id, right_id, height FROM m WHERE rh = height AND level_index % 2 = 0 AND ri = level_index + 1 AND height + 1 - low <= 1")
+simple("d17_prune_roots", lambda n: M.prune_roots(n, n.where("parent_id is null and height = 2")).select("id", "parent_id", "following_neighbor_id"), """, m AS (SELECT * FROM nodes WHERE NOT (parent_id IS NULL AND height = 2))
+ SELECT m.id, p.id AS parent_id, f.id AS following_neighbor_id FROM m LEFT JOIN m p ON m.parent_id = p.id LEFT
+ JOIN m f ON m.following_neighbor_id = f.id""")
+simple("j18_st06_catalog_diff", lambda n: M.diff(n.where("level_index <> 1"), n.where("height <> 1").withColumn("token_count", F.when(F.col("height") == 2, 0).otherwise(F.col("token_count"))), "id", ["token_count", "parent_id"]), """, d AS (SELECT id, CASE WHEN height = 1 AND level_index <> 1 THEN 'removed' WHEN height <> 1 AND level_index
+ = 1 THEN 'added' WHEN height = 2 AND level_index <> 1 AND token_count <> 0 THEN 'changed' END AS kind FROM nodes) SELECT * FROM d
+ WHERE kind IS NOT NULL""")
+simple("b10_eligible_pairs", lambda n: M.eligible_pairs(n.where("height = 0").select("document_id", "id", "height", "level_index", "span_start")), """SELECT a.document_id, a.id AS left_id, b.id AS right_id, a.height FROM nodes a
+ JOIN nodes b ON a.document_id = b.document_id AND a.height = b.height AND b.level_index = a.level_index + 1
+ WHERE a.height = 0 AND a.level_index % 2 = 0""")
+simple("w09_gated_pairs", lambda n: M.eligible_pairs(n.where("height = 1 or height = 0 and level_index = 8"), 1), """, m AS (SELECT *, min(height) OVER w AS low, lead(id) OVER w AS right_id, lead(height) OVER w AS rh,
+ lead(level_index) OVER w AS ri FROM nodes WHERE height = 1 OR height = 0 AND level_index = 8 WINDOW w AS (PARTITION BY document_id
+ ORDER BY span_start, level_index)) SELECT document_id, id AS left_id, right_id, height FROM m
+ WHERE rh = height AND level_index % 2 = 0 AND ri = level_index + 1 AND height + 1 - low <= 1""")
 simple("b12_b13_summary_target", lambda n: n.select("id", M.passthrough(F.col("token_count"), F.col("height")).alias("target")), "SELECT id, CASE WHEN token_count >> height < 50 THEN 0 ELSE token_count >> height END AS target FROM nodes")
-simple("w08_frontier", lambda n: R.completion_frontier(n.where("height = 1 or height = 0 and level_index > 2").withColumn("parent_id", F.lit(None).cast("string")), 0.7), """, r AS (SELECT *, sum(1 << height) OVER w AS n, count(*) OVER w AS k, max(height) OVER w AS h FROM nodes WHERE height = 1 OR height = 0 AND level_index > 2 WINDOW w AS (PARTITION BY document_id ORDER BY span_start, level_index ROWS UNBOUNDED PRECEDING)),
- c AS (SELECT document_id, span_start, CASE WHEN n <= 1 THEN 1.0 ELSE CAST(bit_count(CAST(n AS BIGINT)) + length(bin(CAST(n AS BIGINT))) - 1 AS DOUBLE) / (k + h) END AS c FROM r) SELECT document_id, min(span_start) FILTER (c < 0.7) AS frontier, min(c) AS least_completeness FROM c GROUP BY 1""")
+simple("w08_frontier", lambda n: R.completion_frontier(n.where("height = 1 or height = 0 and level_index > 2").withColumn("parent_id", F.lit(None).cast("string")), 0.7), """, r AS (SELECT *, sum(1 << height) OVER w AS n, count(*) OVER w AS k, max(height) OVER w AS h
+ FROM nodes WHERE height = 1 OR height = 0 AND level_index > 2 WINDOW w AS (PARTITION BY document_id
+ ORDER BY span_start, level_index ROWS UNBOUNDED PRECEDING)),
+ c AS (SELECT document_id, span_start, CASE WHEN n <= 1 THEN 1.0 ELSE CAST(bit_count(CAST(n AS BIGINT)) + length(bin(CAST(n AS BIGINT))) - 1 AS
+ DOUBLE) / (k + h) END AS c FROM r) SELECT document_id, min(span_start) FILTER (c < 0.7) AS frontier, min(c) AS least_completeness FROM c GROUP BY 1""")
 
 
-@query("s14_char_chunks", "WITH s AS (SELECT doc_id, text, length(text) AS n, CAST(ceil(length(text) / 8.0) AS BIGINT) AS size FROM documents WHERE length(text) > 0), e AS (SELECT *, unnest(range(0, CAST(ceil(n / CAST(size AS DOUBLE)) AS BIGINT))) AS part FROM s) SELECT doc_id, CAST(part AS INT) AS part, substring(text, part * size + 1, size) AS chunk FROM e")
+@query("s14_char_chunks", """WITH s AS (SELECT doc_id, text, length(text) AS n, CAST(ceil(length(text) / 8.0) AS BIGINT) AS size FROM documents
+ WHERE length(text) > 0), e AS (SELECT *, unnest(range(0, CAST(ceil(n / CAST(size AS DOUBLE)) AS BIGINT))) AS part FROM s)
+ SELECT doc_id, CAST(part AS INT) AS part, substring(text, part * size + 1, size) AS chunk FROM e""")
 def char_chunks(spark, d):
     return M.char_chunks(S.read(spark, d, "documents"), 8).select("doc_id", "part", "chunk")
 
@@ -44,7 +64,10 @@ def journal_json(spark, d):
     return lines.withColumn("r", F.from_json("line", "k bigint, _bad string", {"columnNameOfCorruptRecord": "_bad"})).where("r is not null and r._bad is null").select("event_id", "r.k")
 
 
-@query("d08_truncate_by_time", UNITS + ", g AS (SELECT *, turn * 7 % 5 * 60.0 > 150 AS gone FROM u), s AS (SELECT *, coalesce(sum(CASE WHEN gone THEN span_end - span_start END) OVER (PARTITION BY document_id ORDER BY span_start, level_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM g) SELECT document_id, level_index, CAST(span_start - shift AS BIGINT) AS span_start, CAST(span_end - shift AS BIGINT) AS span_end FROM s WHERE NOT gone")
+@query("d08_truncate_by_time", UNITS + """, g AS (SELECT *, turn * 7 % 5 * 60.0 > 150 AS gone FROM u), s AS (SELECT *, coalesce(sum(CASE WHEN gone THEN
+ span_end - span_start END) OVER (PARTITION BY document_id ORDER BY span_start, level_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS
+ shift FROM g) SELECT document_id, level_index, CAST(span_start - shift AS BIGINT) AS span_start, CAST(span_end - shift AS BIGINT) AS span_end
+ FROM s WHERE NOT gone""")
 def truncate_by_time(spark, d):
     u = _units(spark, d).withColumn("time_end", F.col("time_end") / 60 * 7 % 5 * 60)
     return M.truncate_by_time(u, 150.0).select("document_id", "level_index", "span_start", "span_end")
@@ -56,7 +79,12 @@ def delete_vectors(spark, d):
     return M.delete_vectors(v, v.where("label = 3")).select("vec_id")
 
 
-@query("d16_repair_times", UNITS + ", t AS (SELECT document_id, level_index, CAST(CASE WHEN turn % 3 = 1 THEN 0 ELSE turn * 60 + 1 END AS DOUBLE) AS t FROM u) SELECT document_id, level_index, t = 0 AS repaired, CASE WHEN t <> 0 THEN t ELSE coalesce((SELECT max(b.t) FROM t b WHERE b.document_id = a.document_id AND b.level_index < a.level_index AND b.t <> 0), (SELECT min(b.t) FROM t b WHERE b.document_id = a.document_id AND b.level_index > a.level_index AND b.t <> 0)) END AS time_start, CASE WHEN t <> 0 THEN t ELSE coalesce((SELECT min(b.t) FROM t b WHERE b.document_id = a.document_id AND b.level_index > a.level_index AND b.t <> 0), (SELECT max(b.t) FROM t b WHERE b.document_id = a.document_id AND b.level_index < a.level_index AND b.t <> 0)) END AS time_end FROM t a")
+@query("d16_repair_times", UNITS + """, t AS (SELECT document_id, level_index, CAST(CASE WHEN turn % 3 = 1 THEN 0 ELSE turn * 60 + 1 END AS DOUBLE) AS t
+ FROM u) SELECT document_id, level_index, t = 0 AS repaired, CASE WHEN t <> 0 THEN t ELSE coalesce((SELECT max(b.t) FROM t b
+ WHERE b.document_id = a.document_id AND b.level_index < a.level_index AND b.t <> 0), (SELECT min(b.t) FROM t b
+ WHERE b.document_id = a.document_id AND b.level_index > a.level_index AND b.t <> 0)) END AS time_start, CASE WHEN t <> 0 THEN t ELSE
+ coalesce((SELECT min(b.t) FROM t b WHERE b.document_id = a.document_id AND b.level_index > a.level_index AND b.t <> 0), (SELECT max(b.t)
+ FROM t b WHERE b.document_id = a.document_id AND b.level_index < a.level_index AND b.t <> 0)) END AS time_end FROM t a""")
 def repair_times(spark, d):
     t = F.when(F.col("time_start") / 60 % 3 == 1, 0.0).otherwise(F.col("time_start") + 1)
     u = _units(spark, d).withColumn("time_end", t).withColumn("time_start", F.col("time_end"))
@@ -85,7 +113,9 @@ def client_units(spark, d):
     return S.read(spark, d, "conversations").select("conv_id", "turn", F.substring("text", 1, 50000).alias("text"))
 
 
-@query("j14_v10_orphan_vectors", "SELECT vec_id AS key, 'vector.orphan' AS code FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0) UNION ALL SELECT doc_id, 'vector.missing' FROM documents WHERE doc_id % 3 = 0 AND doc_id NOT IN (SELECT vec_id FROM embeddings)")
+@query("j14_v10_orphan_vectors", """SELECT vec_id AS key, 'vector.orphan' AS code FROM embeddings WHERE vec_id NOT IN (SELECT doc_id
+ FROM documents WHERE doc_id % 3 = 0) UNION ALL SELECT doc_id, 'vector.missing' FROM documents
+ WHERE doc_id % 3 = 0 AND doc_id NOT IN (SELECT vec_id FROM embeddings)""")
 def orphan_vectors(spark, d):
     v = S.read(spark, d, "embeddings").select(F.col("vec_id").alias("key"))
     x = S.read(spark, d, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("key"))

@@ -31,7 +31,8 @@ def worst(spark, d):
     return M.fidelity(_fidelities(spark, d))[1].select("document_id", "node_id", F.col("rank").cast("bigint").alias("rank"))
 
 
-_OPS = "SELECT user_id AS run, CASE WHEN event_id % 2 = 0 THEN 'embed' ELSE 'summary ' || event_id END AS op, CASE WHEN event_id % 13 = 0 THEN 0 ELSE event_id // 8 * 8 END::DOUBLE AS s, (event_id // 8 * 8 + 1 + event_id % 2 * (event_id % 5))::DOUBLE AS e FROM events"
+_OPS = """SELECT user_id AS run, CASE WHEN event_id % 2 = 0 THEN 'embed' ELSE 'summary ' || event_id END AS op, CASE WHEN event_id % 13 = 0 THEN 0 ELSE
+ event_id // 8 * 8 END::DOUBLE AS s, (event_id // 8 * 8 + 1 + event_id % 2 * (event_id % 5))::DOUBLE AS e FROM events"""
 
 
 @query("m09_pipeline_efficiency", f"WITH o AS ({_OPS}), x AS (SELECT DISTINCT * FROM o WHERE s > 0 AND e > s), a AS (SELECT run, sum(e - s) AS t, max(e - s) AS l, max(e) - min(s) AS w FROM x GROUP BY 1) SELECT run, coalesce(greatest(0, least(100, CASE WHEN t <= l THEN 100 ELSE (t - w) / (t - l) * 100 END)), 0)::DOUBLE AS efficiency FROM (SELECT DISTINCT run FROM o) LEFT JOIN a USING (run)")
@@ -93,13 +94,17 @@ def phase_regressions(spark, d):
     return M.phase_regressions(M.phase_statistics(t.where(half == 0)), M.phase_statistics(now)).select("phase", "was", "now", "threshold", "regressed")
 
 
-@query("m18_consolidated_runs", "WITH r AS (SELECT user_id AS run, event_type AS metric, avg(value) AS value FROM events GROUP BY 1, 2) SELECT metric, count(*) AS n, avg(value) AS mean, min(value) AS least, arg_min(run, (value, run)) AS least_run, max(value) AS most, arg_max(run, (value, run)) AS most_run FROM r GROUP BY 1")
+@query("m18_consolidated_runs", """WITH r AS (SELECT user_id AS run, event_type AS metric, avg(value) AS value FROM events GROUP BY 1, 2)
+ SELECT metric, count(*) AS n, avg(value) AS mean, min(value) AS least, arg_min(run, (value, run)) AS least_run, max(value) AS most, arg_max(run,
+ (value, run)) AS most_run FROM r GROUP BY 1""")
 def consolidated(spark, d):
     r = _events(spark, d).groupBy(F.col("user_id").alias("run"), F.col("event_type").alias("metric")).agg(F.avg("value").alias("value"))
     return M.consolidated(r)
 
 
-_RUNS = "SELECT user_id AS run, (user_id % 30)::DOUBLE AS size_deviation, (user_id % 17)::DOUBLE AS oversized, user_id % 50 / 10.0::DOUBLE AS seconds_per_node, user_id % 21 / 10.0::DOUBLE AS dollars_per_million, (80 + user_id % 21)::DOUBLE AS pipeline_efficiency, (85 + user_id % 16)::DOUBLE AS fidelity FROM (SELECT DISTINCT user_id FROM events)"
+_RUNS = """SELECT user_id AS run, (user_id % 30)::DOUBLE AS size_deviation, (user_id % 17)::DOUBLE AS oversized, user_id % 50 / 10.0::DOUBLE AS
+ seconds_per_node, user_id % 21 / 10.0::DOUBLE AS dollars_per_million, (80 + user_id % 21)::DOUBLE AS pipeline_efficiency, (85 + user_id %
+ 16)::DOUBLE AS fidelity FROM (SELECT DISTINCT user_id FROM events)"""
 
 
 @query("m16_gate", f"WITH r AS ({_RUNS}) SELECT run, metric, value, bound FROM (SELECT run, unnest([('size_deviation', size_deviation, 14.0, 1), ('oversized', oversized, 9.0, 1), ('seconds_per_node', seconds_per_node, 3.0, 1), ('dollars_per_million', dollars_per_million, 1.0, 1), ('pipeline_efficiency', pipeline_efficiency, 94.0, -1), ('fidelity', fidelity, 90.0, -1)]) AS x FROM r), LATERAL (SELECT x[1] AS metric, x[2] AS value, x[3]::DOUBLE AS bound, x[4] AS way) WHERE (value - bound) * way > 0")
@@ -121,7 +126,10 @@ def node_fidelity(spark, d):
     return M.node_fidelity(n, n.select("id", "text")).withColumn("fidelity", F.round("fidelity", 9))
 
 
-@query("m23_m25_call_costs", "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN (event_id % 900 / 1000.0::DOUBLE) * i + (event_id % 70 / 1000.0::DOUBLE) * i * 1.25::DOUBLE + (event_id % 500 / 1000.0::DOUBLE) * i * (1 - dis) + (event_id % 90 / 1000.0::DOUBLE) * o END AS cost FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 0.25::DOUBLE ELSE 2.0::DOUBLE END AS i, CASE event_id % 3 WHEN 0 THEN 1.0::DOUBLE ELSE 8.0::DOUBLE END AS o, CASE event_id % 3 WHEN 0 THEN 0.9::DOUBLE ELSE 0.75::DOUBLE END AS dis FROM events)")
+@query("m23_m25_call_costs", """SELECT event_id, CASE WHEN event_id % 3 < 2 THEN (event_id % 900 / 1000.0::DOUBLE) * i + (event_id % 70 /
+ 1000.0::DOUBLE) * i * 1.25::DOUBLE + (event_id % 500 / 1000.0::DOUBLE) * i * (1 - dis) + (event_id % 90 / 1000.0::DOUBLE) * o END AS cost
+ FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 0.25::DOUBLE ELSE 2.0::DOUBLE END AS i, CASE event_id % 3 WHEN 0 THEN 1.0::DOUBLE ELSE
+ 8.0::DOUBLE END AS o, CASE event_id % 3 WHEN 0 THEN 0.9::DOUBLE ELSE 0.75::DOUBLE END AS dis FROM events)""")
 def call_costs(spark, d):
     models = spark.createDataFrame([("small", 0.25, 1.0, 0.9, 1.25), ("large", 2.0, 8.0, 0.75, 1.25)], "model string, input double, output double, cache_discount double, write_multiplier double")
     e = F.col("event_id")
@@ -129,33 +137,49 @@ def call_costs(spark, d):
     return M.call_costs(usage, models).select("event_id", "cost")
 
 
-simple("m06_cost_per_million", lambda n: M.cost_per_million(n.select("document_id", (F.col("token_count") * 0.5).alias("cost")), n.where("height = 0").groupBy("document_id").agg(F.sum("token_count").alias("source_tokens"))), "SELECT document_id, sum(token_count * 0.5::DOUBLE) AS cost, CAST(sum(token_count) FILTER (height = 0) AS BIGINT) AS source_tokens, CASE WHEN sum(token_count) FILTER (height = 0) > 0 THEN sum(token_count * 0.5::DOUBLE) / sum(token_count) FILTER (height = 0) * 1000000 END AS per_million FROM nodes GROUP BY 1")
-simple("m26_divergences", lambda n: M.divergences(n, n.where("level_index % 3 <> 1"), 60, 7).select("id", "divergence", "divergence_pct", "left_child_tokens", "right_child_tokens", "preceding_neighbor_tokens"), """, xx AS (SELECT *, token_count - 60 AS divergence, (token_count - 60) * 100.0::DOUBLE / 60 AS divergence_pct, row_number() OVER (PARTITION BY document_id ORDER BY abs(token_count - 60) DESC, id) AS r FROM nodes WHERE left_child_id IS NOT NULL QUALIFY r <= 7)
- SELECT xx.id, divergence, divergence_pct, l.token_count AS left_child_tokens, r.token_count AS right_child_tokens, p.token_count AS preceding_neighbor_tokens FROM xx JOIN nodes l ON xx.left_child_id = l.id JOIN nodes r ON xx.right_child_id = r.id LEFT JOIN nodes p ON xx.preceding_neighbor_id = p.id WHERE xx.level_index % 3 <> 1""")
+simple("m06_cost_per_million", lambda n: M.cost_per_million(n.select("document_id", (F.col("token_count") * 0.5).alias("cost")), n.where("height = 0").groupBy("document_id").agg(F.sum("token_count").alias("source_tokens"))), """SELECT document_id, sum(token_count * 0.5::DOUBLE) AS cost, CAST(sum(token_count) FILTER (height = 0) AS
+ BIGINT) AS source_tokens, CASE WHEN sum(token_count) FILTER (height = 0) > 0 THEN sum(token_count * 0.5::DOUBLE) / sum(token_count) FILTER (height =
+ 0) * 1000000 END AS per_million FROM nodes GROUP BY 1""")
+simple("m26_divergences", lambda n: M.divergences(n, n.where("level_index % 3 <> 1"), 60, 7).select("id", "divergence", "divergence_pct", "left_child_tokens", "right_child_tokens", "preceding_neighbor_tokens"), """, xx AS (SELECT *, token_count - 60 AS divergence, (token_count - 60) * 100.0::DOUBLE / 60 AS divergence_pct,
+ row_number() OVER (PARTITION BY document_id ORDER BY abs(token_count - 60) DESC, id) AS r FROM nodes WHERE left_child_id IS NOT NULL QUALIFY r <= 7)
+ SELECT xx.id, divergence, divergence_pct, l.token_count AS left_child_tokens, r.token_count AS right_child_tokens, p.token_count AS
+ preceding_neighbor_tokens FROM xx JOIN nodes l ON xx.left_child_id = l.id JOIN nodes r ON xx.right_child_id = r.id LEFT
+ JOIN nodes p ON xx.preceding_neighbor_id = p.id WHERE xx.level_index % 3 <> 1""")
 
 
-@query("m30_round_ratios", "WITH r AS (SELECT event_id % 40 / 40.0::DOUBLE AS ratio, value - 100 AS e FROM events) SELECT CASE WHEN round(ratio * 10, 6) IN (1, 2, 3, 4, 5, 6, 7, 8, 9) THEN 'round' ELSE 'other' END AS kind, count(*) AS n, avg(abs(e)) AS mean_abs, median(abs(e)) AS median_abs, avg((abs(e) <= 10)::INT) * 100 AS within_10, avg((abs(e) <= 20)::INT) * 100 AS within_20 FROM r GROUP BY 1")
+@query("m30_round_ratios", """WITH r AS (SELECT event_id % 40 / 40.0::DOUBLE AS ratio, value - 100 AS e FROM events)
+ SELECT CASE WHEN round(ratio * 10, 6) IN (1, 2, 3, 4, 5, 6, 7, 8, 9) THEN 'round' ELSE 'other' END AS kind, count(*) AS n, avg(abs(e)) AS mean_abs,
+ median(abs(e)) AS median_abs, avg((abs(e) <= 10)::INT) * 100 AS within_10, avg((abs(e) <= 20)::INT) * 100 AS within_20 FROM r GROUP BY 1""")
 def round_ratios(spark, d):
     return M.round_ratios(_events(spark, d).select((F.col("event_id") % 40 / 40.0).alias("ratio"), (F.col("value") - 100).alias("error_pct")))
 
 
-@query("m33_timeline", "WITH a AS (SELECT event_id // 3 AS node_id, event_id % 3 AS attempt, event_id // 3 % 5 + event_id // 3 % 2 AS height, event_id::DOUBLE AS s, (event_id + 1 + event_id % 9)::DOUBLE AS e FROM events WHERE event_id % 11 <> 0 AND event_id > 0) SELECT node_id, attempt, height, s - (SELECT min(s) FROM a) AS \"from\", e - (SELECT min(s) FROM a) AS upto FROM a")
+@query("m33_timeline", """WITH a AS (SELECT event_id // 3 AS node_id, event_id % 3 AS attempt, event_id // 3 % 5 + event_id // 3 % 2 AS height,
+ event_id::DOUBLE AS s, (event_id + 1 + event_id % 9)::DOUBLE AS e FROM events WHERE event_id % 11 <> 0 AND event_id > 0)
+ SELECT node_id, attempt, height, s - (SELECT min(s) FROM a) AS \"from\", e - (SELECT min(s) FROM a) AS upto FROM a""")
 def timeline(spark, d):
     return M.timeline(S.attempts(_events(spark, d)))
 
 
-simple("m33_level_usage", M.level_usage, ", xx AS (SELECT *, greatest(1.0, (span_end - span_start) / 4.0::DOUBLE / (1 << height)) AS aim FROM nodes) SELECT height, count(*) AS n, CAST(sum(token_count) AS BIGINT) AS tokens, min(span_start) AS span_start, max(span_end) AS span_end, avg((token_count - aim) / aim * 100) AS deviation FROM xx GROUP BY 1")
+simple("m33_level_usage", M.level_usage, """, xx AS (SELECT *, greatest(1.0, (span_end - span_start) / 4.0::DOUBLE / (1 << height)) AS aim
+ FROM nodes) SELECT height, count(*) AS n, CAST(sum(token_count) AS BIGINT) AS tokens, min(span_start) AS span_start, max(span_end) AS span_end,
+ avg((token_count - aim) / aim * 100) AS deviation FROM xx GROUP BY 1""")
 
 
-@query("g08_backward", REC + ", c AS (SELECT session, max(line) - session % 60 AS cutoff FROM r GROUP BY 1), x AS (SELECT r.session, uuid, line, row_number() OVER (PARTITION BY r.session ORDER BY line DESC) AS back, count(*) OVER (PARTITION BY r.session) AS n FROM r JOIN c USING (session) WHERE line > cutoff) SELECT session, uuid, n <= 40 AS complete FROM x WHERE back <= 40")
+@query("g08_backward", REC + """, c AS (SELECT session, max(line) - session % 60 AS cutoff FROM r GROUP BY 1), x AS (SELECT r.session, uuid, line,
+ row_number() OVER (PARTITION BY r.session ORDER BY line DESC) AS back, count(*) OVER (PARTITION BY r.session) AS n FROM r
+ JOIN c USING (session) WHERE line > cutoff) SELECT session, uuid, n <= 40 AS complete FROM x WHERE back <= 40""")
 def backward(spark, d):
     r = S.transcript(_events(spark, d)).select("session", "uuid", "line", F.col("line").alias("ts"))
     cut = r.groupBy("session").agg((F.max("line") - F.first("session") % 60).alias("cutoff"))
     return M.backward(r, cut, 40).select("session", "uuid", "complete")
 
 
-@query("m20_token_f1_all_turns", """WITH c AS (SELECT a.conv_id * 1000 + a.turn AS pair, a.text AS x, b.text AS y FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
- w AS (SELECT pair, side, unnest(regexp_split_to_array(regexp_replace(lower(t), '[^\\p{L}\\p{N}\\s]', '', 'g'), '\\s+')) AS w FROM (SELECT pair, 'x' AS side, x AS t FROM c UNION ALL SELECT pair, 'y', y FROM c)), k AS (SELECT pair, w, count(*) FILTER (side = 'x') AS a, count(*) FILTER (side = 'y') AS b FROM w WHERE w <> '' GROUP BY 1, 2)
+@query("m20_token_f1_all_turns", """WITH c AS (SELECT a.conv_id * 1000 + a.turn AS pair, a.text AS x, b.text AS y FROM conversations a
+ JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
+ w AS (SELECT pair, side, unnest(regexp_split_to_array(regexp_replace(lower(t), '[^\\p{L}\\p{N}\\s]', '', 'g'), '\\s+')) AS w
+ FROM (SELECT pair, 'x' AS side, x AS t FROM c UNION ALL SELECT pair, 'y', y
+ FROM c)), k AS (SELECT pair, w, count(*) FILTER (side = 'x') AS a, count(*) FILTER (side = 'y') AS b FROM w WHERE w <> '' GROUP BY 1, 2)
  SELECT pair, CASE WHEN sum(least(a, b)) = 0 THEN 0.0 ELSE 2.0::DOUBLE * sum(least(a, b)) / (sum(a) + sum(b)) END AS f1 FROM k GROUP BY 1""")
 def f1_all(spark, d):
     c = S.read(spark, d, "conversations")
