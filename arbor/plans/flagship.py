@@ -13,13 +13,15 @@ from arbor.sources import corpus as S
 def flagship(spark: SparkSession, sf_dir: str, budget: int = 400, k: int = 20) -> DataFrame:
     ensure_checkpoint_dir(spark)
     docs = S.read(spark, sf_dir, "documents")
-    nodes = S.nodes(docs)
-    leaves = S.with_text(nodes.where("height = 0"), docs).withColumnRenamed("id", "doc_key")
     asked = S.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    scores = R.bm25_scores(leaves, asked).checkpoint()
+    scores = R.bm25_scores(S.leaf_texts(docs).withColumnRenamed("id", "doc_key"), asked).checkpoint()
     share = F.col("score") / (F.col("score") + 10)
     best = R.first_k(scores, k).withColumn("score", share)
-    seeds = best.join(nodes, best.doc_key == nodes.id).select("query_id", "document_id", "height", "level_index", "id", "score")
+    # an id says where a leaf is, so the seeds need no join, and only the documents that they are in are built
+    at = F.split("doc_key", ":")
+    place = [at[0].cast("bigint").alias("document_id"), at[1].cast("int").alias("height"), at[2].cast("bigint").alias("level_index")]
+    seeds = best.select("query_id", *place, F.col("doc_key").alias("id"), "score").checkpoint()
+    nodes = S.nodes(docs.join(seeds.select(F.col("document_id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     cover = R.coverage(seeds, nodes)
     scored = R.propagate(cover, R.with_siblings(seeds, scores.withColumn("score", share)))
     return R.greedy_tiling(cover.join(scored, ["query_id", "id"]), budget)

@@ -257,7 +257,7 @@ def tiling(spark, d):
  BIGINT))) AS k FROM documents)) WHERE c <> '' GROUP BY doc_id""")
 def assembly(spark, d):
     docs = S.read(spark, d, "documents")
-    leaves = S.with_text(S.nodes(docs).where("height = 0"), docs)
+    leaves = S.leaf_texts(docs)
     return V.assemble(leaves.select(F.col("document_id").alias("query_id"), "document_id", F.col("level_index").alias("position"), "text"))
 
 
