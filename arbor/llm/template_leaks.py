@@ -12,6 +12,8 @@ the commonest for their item value. Two item values may have the same document v
 coverage is at least COVERAGE and its slots agree; it is `exact` if all slots have the item's values, else
 `template`, a question with other parameters.
 
+Names are capitalised words, so the first word of a sentence counts as one, in items and documents alike; units are UNITS.
+
 Rules. Null and empty texts have no tokens. Windows of placeholders alone are not used. An item of one or two
 common words is found in every document that has them. Repeated items and documents each give their own rows;
 extra columns are ignored; empty tables give an empty result.
@@ -32,7 +34,7 @@ COVERAGE = 0.5
 AGREEMENT = 0.8
 BROADCAST_WINDOWS = 500_000
 #: Units that count as a slot after a number.
-UNITS = "mm cm m km g mg kg t lb lbs oz l ml s ms min mins h hr hrs second seconds minute minutes hour hours day days week weeks month months year years inch inches foot feet mile miles meter meters metre metres kilometer kilometers gram grams kilogram kilograms liter liters litre litres dollar dollars euro euros cent cents percent degree degrees mph kmh euros pesos francs".split()
+UNITS = "mm cm m km g mg kg t lb lbs oz l ml s ms min mins h hr hrs second seconds minute minutes hour hours day days week weeks month months year years inch inches foot feet mile miles meter meters metre metres kilometer kilometers gram grams kilogram kilograms liter liters litre litres dollar dollars euro euros cent cents percent degree degrees mph kmh pesos francs".split()
 TOKEN = r"\p{N}+(?:[.,:/]\p{N}+)*|\p{L}+"
 NUMBER, UNIT, NAME = "", "", ""
 

@@ -71,3 +71,21 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(5, 5), (None, 3)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert all(got[i] == 0 for i in range(41)) and all(got[100 + i] == 100 for i in range(30))
+
+
+def test_very_long_texts(spark):
+    words = [f"w{i}" for i in range(80_000)]
+    near = words[:]
+    near[5] = "other"
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[::2]))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df).collect()}
+    assert got == {1: (79_998, 1), 2: (79_998, 1), 3: (39_998, 3)}
+
+
+def test_one_id_and_one_text_on_many_rows(spark):
+    """Rows with a null id, and rows with the same text, are dealt to many cells and give the same components."""
+    rows = [(None, f"text number {i} of a null id with some words") for i in range(60)] + [(i, "one text that very many rows have") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (500, 1 << 20):
+        got = jaccard_components(df, cell_bytes=size).collect()
+        assert len(got) == 260 and {r.component_id for r in got if r.doc_id is not None} == {0} and {r.component_id for r in got if r.doc_id is None} == {None}

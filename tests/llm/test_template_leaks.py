@@ -93,3 +93,12 @@ def test_mapping_is_a_function_with_tolerance(spark):
     docs += [(5, "5 plus 6 is not 5 plus 5"), (6, "5 plus 6"), (7, items[2][1].replace("Bob", "Eve", 1)), (8, items[2][1].replace("Ann", "Eve", 1).replace("Bob", "Eve", 1).replace("1", "3", 1).replace("2", "3", 1))]
     got = {(r.doc_id, r.item_id, r.kind) for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {(1, 1, "template"), (2, 1, "template"), (3, 1, "exact"), (5, 2, "exact"), (7, 3, "template")}
+
+
+def test_very_long_text(spark):
+    """An item at the end of a text of 200,000 words, and an item that is as long itself."""
+    filler = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}" for k in range(200_000))
+    docs = spark.createDataFrame([(1, filler + " " + ITEMS[1][1]), (2, filler)], "doc_id long, text string")
+    items = spark.createDataFrame([(2, ITEMS[1][1]), (9, " ".join(f"q{chr(97 + k % 26)}" for k in range(30_000)))], "item_id long, text string")
+    got = [(r.doc_id, r.item_id, r.kind) for r in leaks(docs, items).collect()]
+    assert got == [(1, 2, "exact")]
