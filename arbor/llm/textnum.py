@@ -19,7 +19,7 @@ _LOW = np.arange(256)
 _LOW[65:91] += 32
 _TABLE_LOWER = _TABLE[:, _LOW]
 _COEF = {seed: np.random.Generator(np.random.PCG64(seed)).integers(0, 2**63, size=64, dtype=np.uint64) * _U(2) + _U(1) for seed in (1, 2)}
-SEGMENT = 2 << 20
+SEGMENT = 512 << 10
 
 
 def mix(x: np.ndarray) -> np.ndarray:
