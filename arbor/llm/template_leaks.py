@@ -83,7 +83,9 @@ def _hashes(canon: Column, window: int | Column) -> Column:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE, agreement: float = AGREEMENT) -> DataFrame:
     """doc_id, item_id, n_windows, n_matched, coverage, n_slots, kind (exact or template) and row_key of every leak."""
-    items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("itok")).withColumn("ican", canonical(F.col("itok")))
+    # written after each step, as an expression that gets into a lambda is evaluated for every token
+    items = benchmark.select(F.col(item_col).alias("item_id"), tokens(F.col(item_text)).alias("itok")).checkpoint()
+    items = items.withColumn("ican", canonical(F.col("itok"))).checkpoint()
     items = items.withColumn("width", F.least(F.greatest(F.size("ican"), F.lit(1)), F.lit(window))).withColumn("iwin", _hashes(F.col("ican"), F.col("width"))).withColumn("item_key", F.xxhash64("item_id", "itok"))
     index = items.select(F.explode("iwin").alias("w")).where("w is not null").distinct()
     if index.count() <= BROADCAST_WINDOWS:
