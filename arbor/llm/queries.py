@@ -110,6 +110,92 @@ def op7_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
 
 
+def op11_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arbor.llm.line_dedup import apply_bitmaps, line_bitmaps
+
+    docs = table(spark, sf_dir, "documents")
+    out = apply_bitmaps(docs, line_bitmaps(docs))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+WITH l AS (
+  SELECT rowid AS r, doc_id, unnest(x) AS line, unnest(range(len(x))) AS pos
+  FROM (SELECT row_number() OVER () AS rowid, doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+k AS (
+  SELECT *, translate(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM l),
+g AS (SELECT key, max(doc_id) AS owner FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+d AS (SELECT k.*, g.owner IS NOT NULL AND k.doc_id <> g.owner AS gone FROM k LEFT JOIN g USING (key))
+SELECT min(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM d GROUP BY r
+"""
+
+
+def op12_wavelet_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arbor.llm.wavelet_search import build_index, search
+
+    return search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=10)
+
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS r, * FROM documents)),
+tf AS (SELECT r, doc_id, term, count(*) AS tf FROM t GROUP BY ALL),
+n AS (SELECT r, count(*) AS n FROM t GROUP BY r),
+c AS (SELECT count(*) AS N_, CAST(sum(n) AS BIGINT) AS L_ FROM n),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * N_ + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, c GROUP BY term, N_),
+q AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY ALL),
+s AS (
+  SELECT item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * N_) // L_)))) AS BIGINT) AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term) JOIN n USING (r), c GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST) AS INT) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from arbor.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH p AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+g AS (
+  SELECT lang, unnest(w) AS phrase, 1 AS words FROM p
+  UNION ALL SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), 2 FROM p
+  UNION ALL SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])), 3 FROM p),
+f AS (SELECT lang, words, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE words = 1 GROUP BY lang),
+c AS (SELECT lang, words, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE words > 1 AND f >= 10),
+k AS (
+  SELECT lang, words, phrase, a, 1 AS k, w[1] AS x, array_to_string(w[2:], ' ') AS y FROM c
+  UNION ALL SELECT lang, words, phrase, a, 2, array_to_string(w[:2], ' '), w[3] FROM c WHERE words = 3),
+s AS (
+  SELECT k.lang, k.words, k.phrase, a, l.f AS l, r.f AS r, k,
+         CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM k JOIN f l ON l.lang = k.lang AND l.phrase = x JOIN f r ON r.lang = k.lang AND r.phrase = y),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+e AS (
+  SELECT lang, part, max(a) AS a
+  FROM (SELECT lang, unnest([array_to_string(w[:2], ' '), array_to_string(w[2:], ' ')]) AS part, a FROM c WHERE words = 3) GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, b.l, b.r, n, b.score
+FROM b JOIN n ON n.lang = b.lang LEFT JOIN e ON e.lang = b.lang AND e.part = b.phrase
+WHERE e.a IS NULL OR 100 * e.a < 50 * b.a QUALIFY rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_perspective_rotation": op1_perspective_rotation,
     "op2_substring_dedup": op2_substring_dedup,
@@ -121,7 +207,13 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_neighbour_quality": op9_neighbour_quality,
     "op10_metric_join": op10_metric_join,
+    "op11_line_bitmaps": op11_line_bitmaps,
+    "op12_wavelet_search": op12_wavelet_search,
+    "op13_collocations": op13_collocations,
 }
 ORACLES: dict[str, str] = {
     "op1_perspective_rotation": OP1_SQL,
+    "op11_line_bitmaps": OP11_SQL,
+    "op12_wavelet_search": OP12_SQL,
+    "op13_collocations": OP13_SQL,
 }
