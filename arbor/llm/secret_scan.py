@@ -12,7 +12,7 @@ that touch digits or underscores, such as most parts of secrets, are left out. W
 66 x 66 entries whatever the input, so it is small enough to be a constant of the plan.
 
 Rules. Null and empty texts have no spans. Positions are code points, ends exclusive. Extra columns, also
-such as `spans`, are dropped by `scan` and kept by `redact`, which writes one mark for spans that overlap or touch. Null
+such as `spans`, are dropped by `scan` and kept by `redact`, which takes the spans of `scan` and writes one mark for those that overlap or touch. Null
 ids are ids like others. Repeated rows give repeated results; an empty table gives an empty result. One pass over the
 rows, no shuffle, so no key can be hot; work grows linearly with a text, its matches and the length of a token.
 """
@@ -53,18 +53,18 @@ def _let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-def _steps(x: Column, start: Column) -> Column:
-    """start, then the sums of start and the first 1, 2, ... numbers."""
-    return F.aggregate(x, F.array(start), lambda acc, v: F.concat(acc, F.array(F.get(acc, F.size(acc) - 1) + v)))
+def _steps(x: Column, start: Column, add) -> Column:
+    """start, then what adding the first 1, 2, ... numbers to it gives."""
+    return F.aggregate(x, F.array(start), lambda acc, v: F.concat(acc, F.array(add(F.get(acc, F.size(acc) - 1), v))))
 
 
-def running(x: Column) -> Column:
-    """Running sums of an array of ints. Arrays only grow inside chunks and over chunks, so long ones stay cheap."""
+def running(x: Column, add=lambda a, v: a + v) -> Column:
+    """Running sums (or maxima of numbers from 0 on) of an array of ints. Arrays only grow inside chunks and over chunks, so long ones stay cheap."""
 
     def sums(x):
         chunks = F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(1), F.size(x), F.lit(_CHUNK)), lambda i: F.slice(x, i, _CHUNK))).otherwise(F.array(x))
-        starts = lambda c: _steps(F.transform(c, lambda one: F.aggregate(one, F.lit(0), lambda a, v: a + v)), F.lit(0))
-        return _let(chunks, lambda c: F.flatten(F.zip_with(c, F.slice(starts(c), 1, F.size(c)), lambda one, s: F.slice(_steps(one, s), 2, _CHUNK))))
+        starts = lambda c: _steps(F.transform(c, lambda one: F.aggregate(one, F.lit(0), add)), F.lit(0), add)
+        return _let(chunks, lambda c: F.flatten(F.zip_with(c, F.slice(starts(c), 1, F.size(c)), lambda one, s: F.slice(_steps(one, s, add), 2, _CHUNK))))
 
     return _let(x, sums)
 
@@ -194,18 +194,37 @@ def scan(docs: DataFrame, model: list[float], *, id_col: str = "doc_id", text_co
     )
 
 
+def _cut(pieces: Column, a: Column, b: Column) -> Column:
+    """Characters a to b of a text given as pieces of _CHUNK characters; costs no more than what it returns and two pieces."""
+    i, j = F.floor(a / _CHUNK).cast("int"), F.floor(b / _CHUNK).cast("int")
+    last = F.coalesce(F.substring(F.get(pieces, j), F.lit(1), b % _CHUNK), F.lit(""))
+    within = F.coalesce(F.substring(F.get(pieces, i), a % _CHUNK + 1, b - a), F.lit(""))
+    far = F.concat(F.substring(F.get(pieces, i), a % _CHUNK + 1, F.lit(_CHUNK)), F.array_join(F.slice(pieces, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), last)
+    return F.when(i == j, within).otherwise(far)
+
+
+def _without(text: Column, spans: Column, mark: str) -> Column:
+    """The text with one mark for every stretch that its spans (sorted by start) cover."""
+
+    def whole(x):
+        start = lambda i: F.get(x["spans"], i)["start"]
+        before = lambda i: F.when(i > 0, F.get(x["upto"], i - 1)).otherwise(F.lit(0))
+        opens = F.filter(F.sequence(F.lit(0), F.size(x["spans"]) - 1), lambda i: (i == 0) | (start(i) > before(i)))
+        kept = F.transform(opens, lambda i: F.concat(_cut(x["pieces"], before(i), start(i)), F.lit(mark)))
+        return F.concat(F.array_join(kept, ""), _cut(x["pieces"], F.get(x["upto"], F.size(x["upto"]) - 1), x["size"]))
+
+    upto = running(F.transform(spans, lambda s: s["end"]), lambda a, v: F.greatest(a, v))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+    return _let(F.struct(spans.alias("spans"), upto.alias("upto"), pieces.alias("pieces"), F.length(text).alias("size")), whole)
+
+
 def redact(docs: DataFrame, model: list[float], *, text_col: str = "text", threshold: float = THRESHOLD, mark: str = "[SECRET]") -> DataFrame:
-    """The same columns, with every span of the text replaced by `mark`; spans that overlap or touch become one."""
-    kept, one, two = "\ue001", "\ue002", "\ue003"  # stand for MASK and for `kept` where the text has them itself
-    some = docs.withColumn("__some", F.coalesce(F.col(text_col).rlike(GATE), F.lit(False)))
-    bare = some.withColumn("__bare", F.when(F.col("__some"), F.replace(F.replace(F.col(text_col), F.lit(kept), F.lit(kept + two)), F.lit(MASK), F.lit(kept + one))))
-    bare = _without_base(bare, "__bare", "__some")
-    hidden = _masked(F.col("__bare"), _MASKED_TOKEN, 0, lambda found, own: ~F.contains(found, F.lit(MASK)) & (llr(found, model) > threshold), _MASKED_TOKEN)
-    df = bare.withColumn("__hidden", F.when(F.col("__some"), hidden))
-    done = F.regexp_replace("__hidden", f"{MASK}+", mark.replace("\\", "\\\\").replace("$", "\\$"))
-    back = F.replace(F.replace(done, F.lit(kept + one), F.lit(MASK)), F.lit(kept + two), F.lit(kept))
-    changed = F.coalesce(F.contains("__hidden", F.lit(MASK)), F.lit(False))
-    return df.withColumn(text_col, F.when(changed, back).otherwise(F.col(text_col))).select(*docs.columns)
+    """The same columns, with `mark` for what the spans of the text cover; spans that overlap or touch have one mark.
+
+    All spans are those of `with_spans`, so what `scan` reports is gone whole, also where one span begins inside another.
+    """
+    some = with_spans(docs, model, text_col, threshold, "__spans")
+    return some.withColumn(text_col, F.when(F.size("__spans") > 0, _without(F.col(text_col), F.col("__spans"), mark)).otherwise(F.col(text_col))).select(*docs.columns)
 
 
 def default_model(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> list[float]:

@@ -129,7 +129,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents without a leak, with their columns."""
-    bad = leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("row_key").alias("__key")).distinct().checkpoint()
+    bad = leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("row_key").alias("__key"), F.col("doc_id").alias("__id")).distinct().checkpoint()
     if bad.count() <= BROADCAST_WINDOWS:
         bad = F.broadcast(bad)
-    return docs.join(bad, F.xxhash64(docs[id_col], docs[text_col]) == F.col("__key"), "left_anti")
+    # a row is told by its id and by its hash, so hashes that meet by chance take no clean row with them
+    return docs.join(bad, (F.xxhash64(docs[id_col], docs[text_col]) == F.col("__key")) & docs[id_col].eqNullSafe(F.col("__id")), "left_anti")
