@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 from arbor.llm import bpe_tree, jaccard_join, neighbour_quality, queries, secret_scan, template_leaks
 from arbor.llm.shared import ensure_checkpoint_dir, small_batches, stage_folder, table
 
+#: Bytes of text in a cell of near_duplicates: half of what the operator takes by itself, as workers here also hold what other stages left.
+CELL_BYTES = 3 << 20
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: documents that the classifier rejects go."""
@@ -33,16 +36,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Ids may be null and repeat; rows without words are in no group and stay.
     """
     ensure_checkpoint_dir(spark)
-    groups = jaccard_join.jaccard_components(docs, shingle=5, percent=80, keys=True).where("component_key is not null")
+    groups = jaccard_join.jaccard_components(docs, shingle=5, percent=80, keys=True, cell_bytes=CELL_BYTES).where("component_key is not null")
     rows = groups.groupBy("component_key", "doc_id", "row_key").agg(F.count("*").alias("n")).checkpoint()
     first = rows.groupBy("component_key").agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
-    many = rows.join(first, "component_key").select("row_key", (F.col("row_key") == F.col("first.row_key")).alias("stays"), "n").where("n > 1 or not stays")
-    many = many.select(F.col("row_key").alias("__key"), "stays").distinct().checkpoint()
+    stays = (F.col("row_key") == F.col("first.row_key")) & F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    many = rows.join(first, "component_key").select("doc_id", "row_key", stays.alias("stays"), "n").where("n > 1 or not stays")
+    many = many.select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), "stays").distinct().checkpoint()
     if many.count() <= template_leaks.BROADCAST_WINDOWS:
         many = F.broadcast(many)
     keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    alone = keyed.join(many, F.col("__row") == F.col("__key"), "left_anti")
-    repeated = keyed.join(many.where("stays"), F.col("__row") == F.col("__key"), "left_semi").dropDuplicates(["__row"])
+    same = (F.col("__row") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))  # two rows of one id would have to meet by chance
+    alone = keyed.join(many, same, "left_anti")
+    repeated = keyed.join(many.where("stays"), same, "left_semi").dropDuplicates(["doc_id", "__row"])
     return alone.unionByName(repeated).select(*docs.columns)
 
 
