@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbor.functions import coords as K
+from arbor.operators.vector_search import best, matrix, stacked, top_k_join
 
 WORDS = r"[\p{L}\p{N}_]+"
 
@@ -20,43 +21,34 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def unit(v: Column) -> Column:
-    """A vector over its length; a zero vector raises."""
-    n = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(F.raise_error(F.lit("zero vector")).cast("double")))
+    """A vector over its length, which is computed once; a zero vector raises."""
+    over = lambda n: F.transform(v, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(F.raise_error(F.lit("zero vector")).cast("double")))
+    return F.get(F.transform(F.array(F.sqrt(dot(v, v))), over), F.lit(0))
 
 
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_bound: int = 10_000, byte_bound: int = 64 << 20) -> DataFrame:
     """(query_id, vec_id, relevance, rank): exact, relevance = dot clipped to 0..1 (to twelve places), ties by id.
 
-    The stated query set goes to every task below a checked number and size. Vectors are multiplied with all
-    queries in blocks, and a block returns no more than k of each query, so a shuffle carries k rows a query and block.
+    A query set below a checked number and size goes to every task: vectors are multiplied with all queries in blocks, and a block returns
+    no more than k of each query. A larger one is dealt in blocks that meet blocks of vectors (`top_k_join`).
     """
-    asked = queries.select("query_id", "vec").limit(query_bound + 1).collect()  # at most query_bound rows
-    if len(asked) > query_bound:
-        raise ValueError(f"over {query_bound} queries: split the query set, it goes to every task")
-    ids = [r.query_id for r in asked]
-    q = np.array([r.vec for r in asked], np.float64).reshape(len(ids), -1)
-    if q.nbytes > byte_bound:
-        raise ValueError(f"{q.nbytes} bytes of queries: split the query set, it goes to every task")
+    asked = queries.where("vec is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("vec").cast("array<double>").alias("vec"))
+    size = asked.agg(F.count("*").alias("n"), F.sum(F.size("vec").cast("long") * 8).alias("bytes")).first()
+    if size.n > query_bound or (size.bytes or 0) > byte_bound:
+        return top_k_join(asked, vectors, k)
+    rows = asked.collect()  # at most query_bound rows and byte_bound bytes
+    ids = np.array([r.query_id for r in rows], np.int64)
+    q = stacked([r.vec for r in rows])
 
     def run(batches):
         for b in batches:
-            if not len(b) or not ids:
+            if not len(b) or not len(ids):
                 continue
-            vec, own = b.column("vec"), np.asarray(b.column("vec_id"))
-            x = vec.flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)
-            rel = np.round(np.clip(x @ q.T, 0, 1), 12).T
-            rows, cols = [], []
-            for i, r in enumerate(rel):
-                keep = np.arange(len(r))
-                if len(r) > k:
-                    least = np.partition(r, len(r) - k)[len(r) - k]
-                    above, same = np.flatnonzero(r > least), np.flatnonzero(r == least)
-                    keep = np.concatenate([above, same[np.argsort(own[same], kind="stable")[: k - len(above)]]])
-                rows.append(np.full(len(keep), i))
-                cols.append(keep)
-            rows, cols = np.concatenate(rows), np.concatenate(cols)
-            yield pa.record_batch([pa.array([ids[i] for i in rows.tolist()], pa.int64()), pa.array(own[cols], pa.int64()), pa.array(rel[rows, cols])], ["query_id", "vec_id", "relevance"])
+            own = np.asarray(b.column("vec_id"))
+            rel = np.round(np.clip(matrix(b.column("vec")) @ q.T, 0, 1), 12).T
+            got = [best(r, own, k) for r in rel]
+            at, cols = np.repeat(np.arange(len(ids)), [len(g) for g in got]), np.concatenate(got)
+            yield pa.record_batch([pa.array(ids[at]), pa.array(own[cols], pa.int64()), pa.array(rel[at, cols])], ["query_id", "vec_id", "relevance"])
 
     scored = vectors.where("vec is not null").select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, "query_id long, vec_id long, relevance double")
     w = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "vec_id")
