@@ -106,13 +106,17 @@ def bm25(texts: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float
     return first_k(bm25_scores(texts, queries, k1, b), k)
 
 
-def with_siblings(seeds: DataFrame, scores: DataFrame) -> DataFrame:
-    """(query_id, id, score) of the seeds and of their siblings, scored against the query too; a sibling without a term has 0."""
+def siblings(seeds: DataFrame) -> DataFrame:
+    """(query_id, id) of the seeds and of their siblings."""
     own = seeds.select("query_id", "document_id", "height", "level_index")
     both = own.unionByName(own.withColumn("level_index", K.sibling(F.col("level_index")))).distinct()
-    asked = both.select("query_id", K.node_id(F.col("document_id"), F.col("height"), F.col("level_index")).alias("id"))
+    return both.select("query_id", K.node_id(F.col("document_id"), F.col("height"), F.col("level_index")).alias("id"))
+
+
+def with_siblings(seeds: DataFrame, scores: DataFrame) -> DataFrame:
+    """(query_id, id, score) of the seeds and of their siblings, scored against the query too; a sibling without a term has 0."""
     known = scores.select("query_id", F.col("doc_key").alias("id"), "score")
-    return asked.join(known, ["query_id", "id"], "left").fillna({"score": 0.0})
+    return siblings(seeds).join(known, ["query_id", "id"], "left").fillna({"score": 0.0})
 
 
 def reciprocal_rank_fusion(a: DataFrame, b: DataFrame, key: str, k: int = 60) -> DataFrame:
@@ -184,6 +188,41 @@ def frontier(cover: DataFrame) -> DataFrame:
     return cover.join(kids, ["query_id", "id"], "left_anti")
 
 
+def _roll_up(token: dict, parent: dict, score: dict, budget: float | None) -> tuple[set, int]:
+    """The tiles of one coverage and their tokens: its frontier, rolled up into parents by least score mass lost for a token saved until it fits."""
+    kids: dict[str, list[str]] = {}
+    for i in token:
+        if parent[i] in token:
+            kids.setdefault(parent[i], []).append(i)
+    tiles = {i for i in token if i not in kids}
+    total = sum(token[i] for i in tiles)
+    if budget is None or total <= budget:
+        return tiles, total
+
+    def offer(p):
+        ch = kids.get(p, [])
+        if ch and all(c in tiles for c in ch):
+            saved = sum(token[c] for c in ch) - token[p]
+            lost = sum(score[c] * token[c] for c in ch) - score[p] * token[p]
+            heapq.heappush(heap, (lost / saved if saved else float("inf"), -saved, p))
+
+    heap: list = []
+    for p in kids:
+        offer(p)
+    while heap and total > budget:
+        _, _, p = heapq.heappop(heap)
+        if all(c in tiles for c in kids[p]):
+            tiles -= set(kids[p])
+            tiles.add(p)
+            total += token[p] - sum(token[c] for c in kids[p])
+            if parent[p] in token:
+                offer(parent[p])
+    return tiles, total
+
+
+_TILES = "query_id long, document_id long, position long, id string, height int, level_index long, span_start long, span_end long, token_count long, score double, over_budget boolean"
+
+
 def greedy_tiling(scored: DataFrame, budget: int) -> DataFrame:
     """Tilings within a token budget: children are rolled up into parents by least score mass lost for a token saved.
 
@@ -191,37 +230,41 @@ def greedy_tiling(scored: DataFrame, budget: int) -> DataFrame:
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        by = {r.id: r for r in pdf.itertuples()}
-        score = {i: 0.0 if pd.isna(r.score) else r.score for i, r in by.items()}
-        kids: dict[str, list[str]] = {}
-        for i, r in by.items():
-            if r.parent_id in by:
-                kids.setdefault(r.parent_id, []).append(i)
-        tiles = {i for i in by if i not in kids}
-        total = sum(by[i].token_count for i in tiles)
-
-        def offer(p):
-            ch = kids.get(p, [])
-            if ch and all(c in tiles for c in ch):
-                saved = sum(by[c].token_count for c in ch) - by[p].token_count
-                lost = sum(score[c] * by[c].token_count for c in ch) - score[p] * by[p].token_count
-                heapq.heappush(heap, (lost / saved if saved else float("inf"), -saved, p))
-
-        heap: list = []
-        for p in kids:
-            offer(p)
-        while heap and total > budget:
-            _, _, p = heapq.heappop(heap)
-            if all(c in tiles for c in kids[p]):
-                tiles -= set(kids[p])
-                tiles.add(p)
-                total += by[p].token_count - sum(by[c].token_count for c in kids[p])
-                if by[p].parent_id in by:
-                    offer(by[p].parent_id)
+        ids = pdf["id"].tolist()
+        score = {i: 0.0 if pd.isna(x) else x for i, x in zip(ids, pdf["score"])}
+        tiles, total = _roll_up(dict(zip(ids, pdf["token_count"].tolist())), dict(zip(ids, pdf["parent_id"])), score, budget)
         out = pdf[pdf["id"].isin(tiles)].sort_values(["span_start", "id"])
         return out.assign(position=range(len(out)), over_budget=total > budget)[_TILE]
 
-    return scored.groupBy("query_id", "document_id").applyInPandas(run, "query_id long, document_id long, position long, id string, height int, level_index long, span_start long, span_end long, token_count long, score double, over_budget boolean")
+    return scored.groupBy("query_id", "document_id").applyInPandas(run, _TILES)
+
+
+def _tile(table: pa.Table) -> pa.Table:
+    """Scores and tiling of one coverage: see `tile`."""
+    x = table.to_pydict()
+    ids, n = x["id"], len(x["id"])
+    got: dict[str, list[float]] = {}
+    score: dict[str, float | None] = {}
+    parent = dict(zip(ids, x["parent_id"]))
+    for k in sorted(range(n), key=lambda k: x["height"][k]):
+        i = ids[k]
+        score[i] = x["score"][k] if x["height"][k] == 0 else sum(got[i]) / len(got[i]) if i in got else 0.0
+        if score[i] is not None and parent[i] is not None:
+            got.setdefault(parent[i], []).append(score[i])
+    budget = x["budget"][0]
+    tiles, total = _roll_up(dict(zip(ids, x["token_count"])), parent, {i: v or 0.0 for i, v in score.items()}, budget)
+    at = sorted((k for k in range(n) if ids[k] in tiles), key=lambda k: (x["span_start"][k], ids[k]))
+    out = {c: [x[c][k] for k in at] for c in _TILE if c in x and c != "score"}
+    out |= {"position": list(range(len(at))), "score": [score[ids[k]] for k in at], "over_budget": [budget is not None and total > budget] * len(at)}
+    kinds = {"id": pa.string(), "height": pa.int32(), "score": pa.float64(), "over_budget": pa.bool_()}
+    return pa.table([pa.array(out[c], kinds.get(c, pa.int64())) for c in _TILE], names=_TILE)
+
+
+def tile(cover: DataFrame, leaf_scores: DataFrame, budgets: DataFrame) -> DataFrame:
+    """What `propagate` and `greedy_tiling` give, in one pass over each coverage, with a budget for each query (query_id, budget; null: the whole frontier)."""
+    x = cover.select("query_id", "document_id", "id", "parent_id", "height", "level_index", "span_start", "span_end", "token_count")
+    x = x.join(leaf_scores.select("query_id", "id", "score"), ["query_id", "id"], "left").join(budgets.select("query_id", F.col("budget").cast("long").alias("budget")), "query_id")
+    return x.groupBy("query_id", "document_id").applyInArrow(_tile, _TILES)
 
 
 _TILE = ["query_id", "document_id", "position", "id", "height", "level_index", "span_start", "span_end", "token_count", "score", "over_budget"]

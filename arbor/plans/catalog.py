@@ -2,28 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from arbor.operators import catalog as G
 from arbor.operators import repository as R
 from arbor.operators import validation as C
 from arbor.operators.retrieval import unit
-from arbor.plans.base import nodes_of, query, simple
-from arbor.session import ensure_checkpoint_dir
+from arbor.plans.base import nodes_of, query, scratch, simple
 from arbor.sources import corpus as S
 from arbor.sources import files as X
 
 _CATALOG = "WITH c AS (SELECT doc_id AS document_id, source || '/' || doc_id AS path, lang, 'hash-64' AS embedding_model, doc_id % 2 = 0 AS is_temporal FROM documents)"
 
 
-def scratch(spark, name: str) -> str:
-    """A new folder under the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 def _catalog(spark, d):
     x = S.read(spark, d, "documents")
     return x.select(F.col("doc_id").alias("document_id"), F.concat_ws("/", "source", "doc_id").alias("path"), "lang", F.lit("hash-64").alias("embedding_model"), (F.col("doc_id") % 2 == 0).alias("is_temporal"))

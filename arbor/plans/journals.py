@@ -13,7 +13,7 @@ from arbor.operators import telemetry as T
 from arbor.operators.splitter import split_documents
 from arbor.plans.analytics import ATTEMPTS
 from arbor.plans.base import nodes_of, query
-from arbor.plans.catalog import scratch
+from arbor.plans.base import scratch
 from arbor.sources import corpus as S
 from arbor.sources import files as X
 

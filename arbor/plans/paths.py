@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from arbor.operators import build as B
 from arbor.operators import query_path as P
 from arbor.operators import retrieval as V
-from arbor.plans.base import NODES, nodes_of, query, simple
-from arbor.plans.catalog import scratch
+from arbor.plans.base import NODES, nodes_of, query, scratch, simple
 from arbor.sources import corpus as S
 from arbor.streaming import builder
 from arbor.streaming.sync import sync as sync_log

@@ -6,14 +6,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from arbor.functions import coords as K
+from arbor.operators import inverted_index as I
 from arbor.operators import repository as R
 from arbor.operators import retrieval as V
 from arbor.operators import telemetry as T
 from arbor.operators import validation as C
 from arbor.plans import analytics, catalog, checks, journals, maintenance, metrics, navigation, paths, vectors
-from arbor.plans.base import NODES, ORACLES, QUERIES, REC, query, simple
+from arbor.plans.base import NODES, ORACLES, QUERIES, REC, query, scratch, simple
 from arbor.plans.base import nodes_of as _nodes
 from arbor.plans.flagship import flagship
+from arbor.session import ensure_checkpoint_dir
 from arbor.sources import corpus as S
 
 __all__ = ["ORACLES", "QUERIES", "analytics", "catalog", "checks", "journals", "maintenance", "metrics", "navigation", "paths", "vectors"]
@@ -186,8 +188,7 @@ def mmr(spark, d):
 
 _BM25 = """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS t
  FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM d),
- q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM benchmark
- WHERE item_id % 10 = 0),
+ q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM benchmark),
  p AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM d), tf AS (SELECT term, doc_id, dl, count(*) AS tf FROM p WHERE term IN (SELECT term
  FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
  s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))) AS score FROM tf
@@ -215,9 +216,25 @@ _OKAPI = r"""{nodes}, tx AS (SELECT n.document_id, n.id, n.height, n.level_index
 
 @query("r04_t04_bm25", _BM25)
 def bm25(spark, d):
-    texts = S.read(spark, d, "documents").select(F.col("doc_id").alias("doc_key"), "text")
-    asked = S.read(spark, d, "benchmark").where("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    return V.bm25(texts, asked, 10).select("query_id", "doc_key", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    """Every benchmark item, over a stored index of the documents."""
+    ensure_checkpoint_dir(spark)
+    folder = scratch(spark, "bm25")
+    I.build_index(S.read(spark, d, "documents").select(F.col("doc_id").alias("doc_key"), "text"), folder)
+    asked = S.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    return I.top_k(folder, asked, 10).select("query_id", "doc_key", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("t04_scored_rows", """SELECT count(*) * (SELECT count(*) FROM documents) AS pairs, true AS few FROM benchmark""")
+def scored_rows(spark, d):
+    """Pairs of items and leaves of documents, of which a tenth at most is scored; counted in documents, as leaves follow from them."""
+    ensure_checkpoint_dir(spark)
+    docs, folder = S.read(spark, d, "documents"), scratch(spark, "bm25")
+    leaves = S.leaf_texts(docs).withColumnRenamed("id", "doc_key")
+    I.build_index(leaves, folder)
+    asked = S.read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+    scored = I.search(folder, asked, 20).agg(F.sum("scored").alias("scored"))
+    counts = asked.agg(F.count("*").alias("items")).join(docs.agg(F.count("*").alias("docs"))).join(leaves.agg(F.count("*").alias("leaves"))).join(scored)  # four single rows
+    return counts.select((F.col("items") * F.col("docs")).alias("pairs"), (F.col("scored") * 4 <= F.col("items") * F.col("leaves")).alias("few"))
 
 
 @query(
@@ -319,7 +336,6 @@ def journal_fold(spark, d):
 
 @query("st04_journal_stream", "SELECT user_id AS append_id, count(*) AS n, count(*) FILTER (event_id % 4 = 1) AS commits, max(event_id) AS last_event FROM events GROUP BY 1")
 def journal_stream(spark, d):
-    from arbor.plans.catalog import scratch
     from arbor.streaming.journal import fold_stream, run_once, stream_events
 
     return run_once(fold_stream(stream_events(spark, d)), scratch(spark, "journal"))

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from arbor.operators import retrieval as V
 from arbor.operators import vector_search as X
-from arbor.plans.base import NODES, nodes_of, query
-from arbor.plans.catalog import scratch
+from arbor.plans.base import NODES, nodes_of, query, scratch
 from arbor.session import ensure_checkpoint_dir
 from arbor.sources import corpus as S
 
