@@ -127,18 +127,18 @@ def reciprocal_rank_fusion(a: DataFrame, b: DataFrame, key: str, k: int = 60) ->
     return j.withColumn("score", s).withColumn("rank", F.row_number().over(w)).select("query_id", key, "score", "rank")
 
 
-def mmr(candidates: DataFrame, k: int, lam: float = 0.7) -> DataFrame:
-    """Maximal marginal relevance: (query_id, vec_id, position) from (query_id, vec_id, relevance, rank, vec).
+def mmr(candidates: DataFrame, k: int | None, lam: float = 0.7) -> DataFrame:
+    """Maximal marginal relevance: (query_id, vec_id, position) from (query_id, vec_id, relevance, rank, vec), k of each query, or as many as its column `take` says.
 
     Sequential by nature, so one group of candidates (a few times k) is one pandas frame.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rank", kind="stable").reset_index(drop=True)
-        x, rel = np.stack(pdf["vec"].map(np.asarray)), pdf["relevance"].to_numpy()
+        x, rel, most = np.stack(pdf["vec"].map(np.asarray)), pdf["relevance"].to_numpy(), k if k is not None else int(pdf["take"].iloc[0])
         sims = np.clip(x @ x.T, 0, 1)
         left, chosen, near = np.ones(len(pdf), bool), [], np.zeros(len(pdf))
-        while left.any() and len(chosen) < k:
+        while left.any() and len(chosen) < most:
             value = np.where(left, rel if not chosen else lam * rel - (1 - lam) * near, -np.inf)
             i = int(np.argmax(value))
             chosen.append(i)

@@ -72,7 +72,7 @@ def _meet(k: int, windowed: bool):
                 rel = np.round(np.clip(q[rows] @ x[at].T, 0, 1), 12)
                 if windowed:
                     s, e, z = (v[rows][:, None] for v in (start, end, horizon))
-                    rel = np.where((lo[at] < e) & (hi[at] > s) & (hi[at] <= z), rel, -1.0)
+                    rel = np.where((lo[at] < e) & (hi[at] > s) & (hi[at] < z), rel, -1.0)
                 for i, r in zip(rows.tolist(), rel):
                     got = best(r, ids[at], k)
                     out["query_id"].append(np.full(len(got), asked[i]))
@@ -88,7 +88,7 @@ def top_k_join(requests: DataFrame, vectors: DataFrame, k: int, key: str | None
     """(query_id, vec_id, relevance, rank): the k nearest vectors of each request among those with its key, exact; ties by id.
 
     requests: query_id, vec, the key, and where they are windowed start, end and horizon (null: none); vectors: vec_id, vec, the key, and then span_start and
-    span_end. A vector is in a window that it overlaps, and must end at or before the horizon. Null vectors meet nothing. A request may stand in several keys.
+    span_end. A vector is in a window that it overlaps, and must end before the horizon. Null vectors meet nothing. A request may stand in several keys.
     """
     windowed = "horizon" in requests.columns
     name = [F.col(key) if key else F.lit(0)][0].cast("long").alias("__key")

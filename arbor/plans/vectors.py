@@ -77,7 +77,7 @@ def index_appended(spark, d):
  CASE WHEN doc_id % 2 = 0 THEN length(coalesce(text, '')) - 500 END AS z FROM documents JOIN embeddings e ON e.vec_id = doc_id % 89)
  SELECT query_id, level_index, round(greatest(0.0, least(1.0, list_cosine_similarity(v, qv))), 9) AS relevance,
  row_number() OVER (PARTITION BY query_id ORDER BY round(greatest(0.0, least(1.0, list_cosine_similarity(v, qv))), 12) DESC, level_index) AS rank
- FROM q JOIN v ON document_id = query_id WHERE span_start < b AND span_end > a AND (z IS NULL OR span_end <= z) QUALIFY rank <= 5""",
+ FROM q JOIN v ON document_id = query_id WHERE span_start < b AND span_end > a AND (z IS NULL OR span_end < z) QUALIFY rank <= 5""",
 )
 def filtered(spark, d):
     """Every document has a request of its own, with a window and, for half of them, a horizon."""

@@ -56,7 +56,7 @@ def test_keys_windows_and_horizons(spark, nv, nq):
     vectors = _frame(spark, x, "vec_id", doc=kx, span_start=lo, span_end=hi)
     inf = float("inf")
     none = lambda v, d: d if v is None else v
-    ok = lambda i, j: kq[i] == kx[j] and lo[j] < none(end[i], inf) and hi[j] > none(start[i], -inf) and hi[j] <= none(z[i], inf)
+    ok = lambda i, j: kq[i] == kx[j] and lo[j] < none(end[i], inf) and hi[j] > none(start[i], -inf) and hi[j] < none(z[i], inf)
     assert _rows(X.top_k_join(requests, vectors, 4, "doc", nv, nq)) == brute(q, x, 4, ok)
 
 
