@@ -11,14 +11,14 @@ from arbor.operators import repository as R
 from arbor.operators import retrieval as V
 from arbor.operators import telemetry as T
 from arbor.operators import validation as C
-from arbor.plans import analytics, catalog, checks, journals, maintenance, metrics, navigation, paths, requests, streams, vectors
+from arbor.plans import analytics, catalog, checks, journals, maintenance, metrics, navigation, paths, requests, stored, streams, vectors
 from arbor.plans.base import NODES, ORACLES, QUERIES, REC, query, scratch, simple
 from arbor.plans.base import nodes_of as _nodes
 from arbor.plans.flagship import flagship
 from arbor.session import ensure_checkpoint_dir
 from arbor.sources import corpus as S
 
-__all__ = ["ORACLES", "QUERIES", "analytics", "catalog", "checks", "journals", "maintenance", "metrics", "navigation", "paths", "requests", "streams", "vectors"]
+__all__ = ["ORACLES", "QUERIES", "analytics", "catalog", "checks", "journals", "maintenance", "metrics", "navigation", "paths", "requests", "stored", "streams", "vectors"]
 
 COLS = ["id", "document_id", "height", "level_index", "span_start", "span_end", "token_count", "parent_id", "left_child_id", "right_child_id", "preceding_neighbor_id", "following_neighbor_id"]
 
