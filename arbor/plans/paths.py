@@ -13,6 +13,7 @@ from arbor.plans.base import NODES, nodes_of, query, scratch, simple
 from arbor.sources import corpus as S
 from arbor.streaming import builder
 from arbor.streaming.sync import sync as sync_log
+from arbor.streaming.sync import sync_by_bucket
 
 _SEEDS = "height = 0 and level_index % 5 = 3"
 
@@ -256,21 +257,31 @@ def sync(spark, d):
     return B.sync_actions(e.where("uuid % 3 <> 0 and day(ts) < 20"), e.where("uuid % 41 <> 0"))
 
 
-@query(
-    "st13_st14_sync_stream",
-    """WITH e AS (SELECT user_id AS session, event_id AS uuid, ts FROM events), m AS (SELECT session, max(ts) AS m FROM e WHERE uuid % 3 = 0
+_SYNCED = """WITH e AS (SELECT user_id AS session, event_id AS uuid, ts FROM events), m AS (SELECT session, max(ts) AS m FROM e WHERE uuid % 3 = 0
  GROUP BY 1),
  b AS (SELECT session, uuid, ts FROM e LEFT JOIN m USING (session) WHERE uuid % 3 = 0 OR (uuid % 3 = 1 AND (m IS NULL OR ts > m))), c AS (SELECT
  session, min(ts) AS c FROM b WHERE uuid % 21 = 0 GROUP BY 1),
  k AS (SELECT b.* FROM b LEFT JOIN c USING (session) WHERE c IS NULL OR b.ts < c), n AS (SELECT session, max(ts) AS n FROM k GROUP BY 1)
  SELECT session, uuid FROM k UNION SELECT e.session, uuid FROM e LEFT JOIN n USING (session)
- WHERE uuid % 3 <> 2 AND uuid % 21 <> 0 AND (n IS NULL OR ts > n)""",
-)
+ WHERE uuid % 3 <> 2 AND uuid % 21 <> 0 AND (n IS NULL OR ts > n)"""
+
+
+@query("st13_st14_sync_stream", _SYNCED)
 def sync_stream(spark, d):
     """Three batches: a third of the records; another third, of which those not later stay out; then reverts of some of the first."""
+    return sync_log(spark, f"{_three_batches(spark, d)}/*", scratch(spark, "sync")).select("session", "uuid")
+
+
+@query("st13_st14_sync_buckets", _SYNCED)
+def sync_buckets(spark, d):
+    """The same batches, each of which reads and writes the buckets of its sessions only."""
+    return sync_by_bucket(spark, f"{_three_batches(spark, d)}/*", scratch(spark, "sync")).select("session", "uuid")
+
+
+def _three_batches(spark, d):
     e = F.col("uuid")
     x = S.read(spark, d, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("uuid"), F.col("ts").cast("timestamp").alias("ts"))
     source = scratch(spark, "log")
     for part, removed in ((e % 3 == 0, False), (e % 3 == 1, False), (e % 21 == 0, True)):
         x.where(part).withColumn("removed", F.lit(removed)).repartition("session").write.json(f"{source}/{uuid.uuid4().hex}")
-    return sync_log(spark, f"{source}/*", scratch(spark, "sync")).select("session", "uuid")
+    return source

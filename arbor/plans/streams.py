@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from arbor.plans.base import query, scratch
 from arbor.sources import corpus as S
 from arbor.streaming import stateful as X
+from arbor.streaming.snapshots import catalog_changes
 
 #: Batches that events come in, by their time.
 BATCHES = 3
@@ -103,3 +104,21 @@ def latest_lists(spark, d):
     stream, path = _stream(spark, _events(spark, d), "lists", "event_id")
     records = stream.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.unix_micros("ts").alias("created"), F.col("event_id").alias("id"))
     return X.run_changes(X.latest_changes(records, 4), path).select("key", "seq", F.array_join("ids", ",").alias("ids"))
+
+
+@query(
+    "st06_catalog_changes",
+    """WITH u AS (SELECT DISTINCT user_id AS id FROM events), s AS (SELECT id, k AS snapshot, CAST((id * 7 + k) // 3 % 5 AS VARCHAR) AS value
+  FROM u, range(0, 6) r(k) WHERE (id + k) % 4 <> 0 AND k <> 4),
+ x AS (SELECT *, lag(snapshot) OVER w AS p, lag(value) OVER w AS v, lead(snapshot) OVER w AS n FROM s WINDOW w AS (PARTITION BY id ORDER BY snapshot))
+ SELECT snapshot, id, CASE WHEN p IS NULL OR p <> snapshot - 1 THEN 'inserted' ELSE 'changed' END AS kind, value FROM x WHERE p IS NULL OR p <> snapshot - 1 OR v <> value
+ UNION ALL SELECT snapshot + 1, id, 'removed', NULL FROM x WHERE snapshot < 5 AND (n IS NULL OR n <> snapshot + 1)""",
+)
+def catalog(spark, d):
+    """Six snapshots of the users in two batches; the fifth is empty."""
+    path, users = scratch(spark, "catalog"), S.read(spark, d, "events").select(F.col("user_id").alias("id")).distinct()
+    rows = users.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))).alias("snapshot"), "id", F.lit("").alias("value")).withColumn("value", (F.floor((F.col("id") * 7 + F.col("snapshot")) / 3) % 5).cast("string"))
+    rows = rows.where("(id + snapshot) % 4 <> 0 and snapshot <> 4")
+    heads = spark.range(0, 6).select(F.col("id").alias("snapshot"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("value"))
+    both = rows.unionByName(heads)
+    return catalog_changes(X.stream_of(spark, [both.where("snapshot < 2"), both.where("snapshot >= 2")], f"{path}/in"), path)

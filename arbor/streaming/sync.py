@@ -37,3 +37,31 @@ def sync(spark: SparkSession, source: str, path: str) -> DataFrame:
     q = stream.writeStream.foreachBatch(partial(sync_batch, path=path)).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
     return X.read_version(spark, f"{path}/index")
+
+
+def _touched(records: DataFrame, batch_id: int, path: str, buckets: int) -> None:
+    """One batch: the log and the index of the buckets of its sessions, read and written again; other buckets stay as they are."""
+    spark, bucket = records.sparkSession, F.pmod(F.xxhash64("session"), F.lit(buckets)).cast("int")
+    new = records.select("session", "uuid", "ts", F.coalesce("removed", F.lit(False)).alias("removed"), F.lit(batch_id).cast("long").alias("batch"), F.lit(False).alias("indexed"), bucket.alias("bucket")).checkpoint()
+    touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most one row a bucket
+    if not touched:
+        return
+    if batch_id == 0:
+        new.limit(0).write.mode("append").partitionBy("bucket").parquet(f"{path}/state")
+    old = spark.read.schema(STATE).parquet(f"{path}/state").where(F.col("bucket").isin(touched))
+    both = old.unionByName(new).groupBy("bucket", "session", "uuid").agg(F.max(F.struct("batch", "removed", "ts")).alias("l"), F.max("indexed").alias("was"), F.max(F.when(F.col("indexed"), F.col("ts"))).alias("at")).checkpoint()
+    actions = sync_actions(both.where("was").select("session", "uuid", F.col("at").alias("ts")), both.where("not l.removed").select("session", "uuid", "l.ts"))
+    stays = actions.where("action in ('keep', 'append')").select("session", "uuid", F.lit(True).alias("stays"))
+    out = both.join(stays, ["session", "uuid"], "left").select("session", "uuid", "l.ts", "l.removed", "l.batch", F.coalesce("stays", F.lit(False)).alias("indexed"), "bucket")
+    out.checkpoint().repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/state")
+
+
+STATE = "session bigint, uuid bigint, ts timestamp, removed boolean, batch bigint, indexed boolean, bucket int"
+
+
+def sync_by_bucket(spark: SparkSession, source: str, path: str, buckets: int = 64) -> DataFrame:
+    """As `sync`, with log and index kept by bucket of sessions: a batch reads and writes the buckets of its sessions only. A batch that comes again changes nothing."""
+    stream = spark.readStream.schema(RECORDS).option("maxFilesPerTrigger", 1).json(source)
+    q = stream.writeStream.foreachBatch(partial(_touched, path=path, buckets=buckets)).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(STATE).parquet(f"{path}/state").where("indexed").select("session", "uuid", "ts")
