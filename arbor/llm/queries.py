@@ -26,7 +26,7 @@ def op1_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH t AS (
-  SELECT conv_id, turn, role, text, CAST(floor(turn / 1024.0) AS BIGINT) AS segment,
+  SELECT conv_id, turn, role, text, coalesce(CAST(floor(turn / 1024.0) AS BIGINT), -1) AS segment,
          replace(coalesce(text, ''), '<|', '<||') || '<|end|>' AS body
   FROM conversations),
 p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role IS NOT NULL AND role <> 'system'),

@@ -33,3 +33,17 @@ def test_equals_brute_force(spark):
             got[r.conv_id, r.perspective] = (text + r.text, mask + [(m.start, m.end) for m in r.mask])
         assert got == brute(rows)
     assert rotate(df.limit(0)).collect() == []
+
+
+def test_null_turns_and_very_long_texts_equal_sql(spark, tmp_path):
+    import os
+    import shutil
+
+    from tests.llm.oracle import compare
+
+    rows = [(1, None, "ann", "no turn"), (1, None, "bob", None), (1, 0, "ann", "x" * 2_000_000), (1, 3000, "bob", "<|late|>"), (1, 3000, "bob", "<|late|>"), (2, None, None, "nobody"), (2, 1, "cid", "é" * 70_000)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    for name in os.listdir("/root/testdata/sf0.001"):
+        if name != "conversations.parquet":
+            shutil.copy(f"/root/testdata/sf0.001/{name}", tmp_path)
+    assert compare(spark, "op1_perspective_rotation", str(tmp_path)) == 8
