@@ -70,13 +70,6 @@ def snapshot(spark, d):
     return X.load_vectors(spark, path, "vec_id long, embedding array<float>, label int").select("vec_id", F.size("embedding").cast("bigint").alias("dims"), "label")
 
 
-@query("s18_corrupt_snapshot_is_empty", "SELECT vec_id FROM embeddings WHERE 1 = 0")
-def corrupt_snapshot(spark, d):
-    path = scratch(spark, "vectors")
-    spark.range(1).selectExpr("'no parquet file' as value").write.text(f"{path}/broken")
-    return X.load_vectors(spark, f"{path}/broken", "vec_id long, embedding array<float>, label int", whole=True).select("vec_id")
-
-
 @query("j13_vectors_in_order", """WITH q AS (SELECT user_id AS query_id, event_id % 700 AS id, row_number() OVER (PARTITION BY user_id
  ORDER BY event_id DESC) AS p FROM events) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY p) AS position FROM q
  JOIN embeddings ON vec_id = id""")

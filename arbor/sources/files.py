@@ -56,11 +56,19 @@ def reset(spark: SparkSession, path: str, schema: str) -> str:
     return write_version(spark.createDataFrame([], schema), path)
 
 
+#: What Spark says of a path that is not there, of a folder without files and of a file that is no Parquet; any other error is one.
+_ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "CANNOT_READ_FILE_FOOTER", "is not a Parquet file")
+
+
 def load_vectors(spark: SparkSession, path: str, schema: str, whole: bool = False) -> DataFrame:
-    """The current version of a vector table (whole: the table at the path itself); empty if it is absent or broken."""
+    """The current version of a vector table (whole: the table at the path itself); empty if it is absent or broken. Other errors are raised."""
     try:
         df = spark.read.parquet(path) if whole else read_version(spark, path)
-    except (FileNotFoundError, PySparkException, Py4JJavaError):
+    except FileNotFoundError:
+        return spark.createDataFrame([], schema)
+    except (PySparkException, Py4JJavaError) as e:
+        if not any(x in str(e) for x in _ABSENT):
+            raise
         return spark.createDataFrame([], schema)
     return df
 

@@ -124,3 +124,15 @@ def test_empty_index(spark, tmp_path):
     folder = str(tmp_path / "index")
     assert X.build_index(spark.createDataFrame([], "vec_id long, vec array<double>"), folder) == 0
     assert X.search_index(_frame(spark, _vectors(3), "query_id"), folder, 3, None).collect() == []
+
+
+def test_broken_and_absent_snapshots_are_empty_and_other_errors_raise(spark, tmp_path):
+    from arbor.sources import files
+
+    path, schema = str(tmp_path), "vec_id long, embedding array<float>"
+    spark.range(1).selectExpr("'no parquet file' as value").write.text(f"{path}/broken")
+    os.makedirs(f"{path}/nothing")
+    for name in ("broken", "absent", "nothing"):
+        assert files.load_vectors(spark, f"{path}/{name}", schema, whole=True).collect() == []
+    with pytest.raises(Exception, match="nosuchscheme"):
+        files.load_vectors(spark, "nosuchscheme://host/path", schema, whole=True)
