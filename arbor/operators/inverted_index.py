@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 WORDS = r"[\p{L}\p{N}_]+"
 #: Texts of a block; one task holds the asked postings of one block.
-BLOCK_TEXTS = 2048
+BLOCK_TEXTS = 512
 #: One block of so many is asked first, for the thresholds.
 FIRST_OF = 16
 #: (query, term) pairs that go to every task at a time.
@@ -39,7 +39,7 @@ def _part(tf, n, avg, k1: float, b: float):
 
 
 def build_index(texts: DataFrame, folder: str, k1: float = 1.5, b: float = 0.75, block_texts: int = BLOCK_TEXTS) -> None:
-    """Writes the index of (doc_key, text). One shuffle: what follows the dealing to blocks stays inside them."""
+    """Writes the index of (doc_key, text). One shuffle: what follows the dealing to blocks stays inside them. Smaller blocks skip more and have more rows."""
     spark = texts.sparkSession
     blocks = max(1, math.ceil(texts.count() / block_texts))
     dealt = texts.select("doc_key", toks("text").alias("t"), F.pmod(F.xxhash64("doc_key"), F.lit(blocks)).cast("int").alias("block")).withColumn("n", F.size("t"))

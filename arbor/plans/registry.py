@@ -226,7 +226,7 @@ def bm25(spark, d):
 
 @query("t04_scored_rows", """SELECT count(*) * (SELECT count(*) FROM documents) AS pairs, true AS few FROM benchmark""")
 def scored_rows(spark, d):
-    """Pairs of items and leaves of documents, of which a tenth at most is scored; counted in documents, as leaves follow from them."""
+    """Of the pairs of items and leaves of documents, few (a quarter at most) are scored; pairs are told in documents, which SQL can count."""
     ensure_checkpoint_dir(spark)
     docs, folder = S.read(spark, d, "documents"), scratch(spark, "bm25")
     leaves = S.leaf_texts(docs).withColumnRenamed("id", "doc_key")

@@ -135,8 +135,8 @@ def test_top_k_with_ties_and_bounds(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0])], "query_id long, vec array<double>")
     got = sorted((r.query_id, r["rank"], r.vec_id) for r in V.vector_top_k(q, v, 3).collect())
     assert got == [(1, 1, 1), (1, 2, 2), (1, 3, 4), (2, 1, 0), (2, 2, 1), (2, 3, 2)]
-    with pytest.raises(ValueError):
-        V.vector_top_k(q, v, 3, query_bound=1)
+    for bound in ({"query_bound": 1}, {"byte_bound": 8}):  # a larger query set is dealt in blocks and gives the same
+        assert sorted((r.query_id, r["rank"], r.vec_id) for r in V.vector_top_k(q, v, 3, **bound).collect()) == got
 
 
 def test_leaf_at_long_leaves(spark):
