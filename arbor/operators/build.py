@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from arbor.sources.corpus import token_count
 
@@ -89,26 +91,32 @@ def embedding_text(context: Column, context_tokens: Column, leaf: Column, leaf_t
     return F.when(p == "", leaf).otherwise(F.concat(p, F.lit("\n"), leaf))
 
 
+def _batch_numbers(key: str, tokens: str, most_items: int, most_tokens: int):
+    def run(parts):
+        now, batch, n, total, first = None, 0, 0, 0, True
+        for p in parts:
+            numbers = []
+            for k, t in zip(p[key].to_pylist(), p[tokens].to_pylist()):
+                t = t or 0
+                if first or k != now:
+                    now, batch, n, total, first = k, 0, 1, t, False
+                elif n >= most_items or total + t > most_tokens:
+                    batch, n, total = batch + 1, 1, t
+                else:
+                    n, total = n + 1, total + t
+                numbers.append(batch)
+            yield pa.record_batch([*p.columns, pa.array(numbers, pa.int32())], [*p.schema.names, "batch"])
+
+    return run
+
+
 def batches(items: DataFrame, key: str, order: str, tokens: str, most_items: int, most_tokens: int) -> DataFrame:
-    """Adds batch: consecutive items of a key in batches of at most so many items and, beyond one item, so many tokens.
+    """Adds batch: consecutive items of a key in batches of at most so many items and, beyond one item, so many tokens (null: none).
 
-    A fold over sizes alone; batch numbers come back as where each batch begins, one entry a batch.
+    A key's items pass in order as a stream that carries the open batch, so no key is held whole; rows without a key are one key.
     """
-    row = F.struct(F.col(order).alias("o"), F.col(tokens).cast("bigint").alias("t"))
-    a = items.groupBy(key).agg(F.array_sort(F.collect_list(row)).alias("a"))
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(zero.alias("n"), zero.alias("t"), zero.alias("k"), F.array().cast("array<bigint>").alias("at"))
-
-    def step(acc, x):
-        full = (acc["k"] == 0) | (acc["n"] >= most_items) | (acc["t"] + x["t"] > most_tokens)
-        return F.struct(F.when(full, 1).otherwise(acc["n"] + 1).cast("bigint").alias("n"), F.when(full, x["t"]).otherwise(acc["t"] + x["t"]).alias("t"), (acc["k"] + 1).alias("k"), F.when(full, F.concat(acc["at"], F.array(acc["k"]))).otherwise(acc["at"]).alias("at"))
-
-    begins = a.select(key, F.posexplode(F.aggregate("a", start, step, lambda acc: acc["at"])).alias("batch", "__begin"))
-    w = Window.partitionBy(key).orderBy(order)
-    numbered = items.withColumn("__k", (F.row_number().over(w) - 1).cast("bigint"))
-    last = begins.withColumn("__next", F.coalesce(F.lead("__begin").over(Window.partitionBy(key).orderBy("batch")), F.lit(1 << 62)))
-    at = last.select(key, "batch", F.explode(F.sequence(F.col("__begin"), F.least(F.col("__next") - 1, F.col("__begin") + most_items - 1))).alias("__k"))
-    return numbered.join(at, [key, "__k"]).drop("__k")
+    schema = StructType([*items.schema.fields, StructField("batch", IntegerType())])
+    return items.repartition(key).sortWithinPartitions(key, order).mapInArrow(_batch_numbers(key, tokens, most_items, most_tokens), schema)
 
 
 def better_summary(new: Column, best: Column, target: Column) -> Column:

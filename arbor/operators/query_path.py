@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,23 +99,32 @@ def tiling_mass(tiles: DataFrame) -> DataFrame:
     return tiles.groupBy("query_id").agg(F.count("*").alias("n_nodes"), F.sum("token_count").alias("tokens"), F.sum(F.coalesce("score", F.lit(0.0)) * F.col("token_count")).alias("mass"))
 
 
+def _fitting(budget: int):
+    def run(batches):
+        doc, left = None, budget
+        for b in batches:
+            take = []
+            for i, (d, size) in enumerate(zip(b["document_id"].to_pylist(), b["token_count"].to_pylist())):
+                if d != doc:
+                    doc, left = d, budget
+                if 0 < budget and size <= left:
+                    left -= size
+                    take.append(i)
+            yield b.take(pa.array(take, pa.int64()))
+
+    return run
+
+
 def verbatim_leaves(leaves: DataFrame, budget: int) -> DataFrame:
     """Leaves from the right end that fit into what is left of a budget, those too large skipped; with the horizon where they begin.
 
-    One fold over a document's leaf sizes; only leaves that fit are kept, so the list is no longer than the budget has tokens
-    (and leaves without tokens).
+    A document's leaves pass in order as a stream that carries what is left, so none is held whole; a leaf without a document or
+    a size is left out.
     """
-    row = F.struct((-F.col("span_end")).alias("o"), (-F.col("level_index")).alias("i"), "id", "token_count", "span_start")
-    a = leaves.groupBy("document_id").agg(F.array_sort(F.collect_list(row)).alias("a"))
-    start = F.struct(F.lit(budget).cast("bigint").alias("left"), F.array().cast("array<struct<id:string,span_start:bigint>>").alias("got"))
-
-    def step(acc, x):
-        one = F.array(F.struct(x["id"].alias("id"), x["span_start"].alias("span_start")))
-        fits = (x["token_count"] <= acc["left"]) & F.lit(budget > 0)
-        return F.struct(F.when(fits, acc["left"] - x["token_count"]).otherwise(acc["left"]).alias("left"), F.when(fits, F.concat(acc["got"], one)).otherwise(acc["got"]).alias("got"))
-
-    got = a.select("document_id", F.aggregate("a", start, step, lambda acc: acc["got"]).alias("got"))
-    return got.select("document_id", F.array_min(F.transform("got", lambda x: x["span_start"])).alias("horizon"), F.explode("got.id").alias("id"))
+    x = leaves.where("document_id is not null and token_count is not null").select("document_id", "id", "token_count", "span_start", "span_end", "level_index")
+    order = ["document_id", F.desc("span_end"), F.desc("level_index")]
+    got = x.repartition("document_id").sortWithinPartitions(*order).mapInArrow(_fitting(budget), x.schema)
+    return got.select("document_id", F.min("span_start").over(Window.partitionBy("document_id")).alias("horizon"), "id")
 
 
 def token_positions(nodes: DataFrame) -> DataFrame:

@@ -127,6 +127,32 @@ def reciprocal_rank_fusion(a: DataFrame, b: DataFrame, key: str, k: int = 60) ->
     return j.withColumn("score", s).withColumn("rank", F.row_number().over(w)).select("query_id", key, "score", "rank")
 
 
+def _products(a: pa.Table, b: pa.Table) -> pa.Table:
+    own, other = a["vec_id"].to_numpy(), b["other_id"].to_numpy()
+    sims = np.clip(stacked(a["vec"].to_pylist()) @ stacked(b["other"].to_pylist()).T, 0, 1) if len(own) and len(other) else np.zeros((len(own), len(other)))
+    i, j = np.nonzero(own[:, None] != other[None, :])
+    key = a["query_id"].to_numpy()[i] if len(own) else np.zeros(0, np.int64)
+    return pa.table([pa.array(key, pa.int64()), pa.array(own[i], pa.int64()), pa.array(other[j], pa.int64()), pa.array(sims[i, j], pa.float64())], names=["query_id", "a", "b", "similarity"])
+
+
+def similarities(left: DataFrame, right: DataFrame, block: int = 512) -> DataFrame:
+    """(query_id, a, b, similarity) of all pairs of different ids within a request, from (query_id, vec_id, vec) of unit vectors; similarity = dot clipped to 0..1.
+
+    The matrix of a request is the result, so its rows are the product of its sides; it is made in squares of about a block a side,
+    so that no request is one task. Rows without a vector have no pairs.
+    """
+    sides = [x.where("vec is not null").select("query_id", "vec_id", F.col("vec").cast("array<double>").alias("vec")) for x in (left, right)]
+    sizes = [x.groupBy("query_id").agg(F.ceil(F.count("*") / block).cast("int").alias(n)) for x, n in zip(sides, ("n_left", "n_right"))]
+    squares = sizes[0].join(sizes[1], "query_id")
+    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = sides[0].join(squares, "query_id").select("query_id", dealt("n_left").alias("i"), every("n_right").alias("j"), "vec_id", "vec")
+    b = sides[1].join(squares, "query_id").select("query_id", every("n_left").alias("i"), dealt("n_right").alias("j"), "vec_id", "vec")
+    # the sides may be one table, so the right one has names of its own
+    b = b.toDF("query", "row", "column", "other_id", "other")
+    return a.groupBy("query_id", "i", "j").cogroup(b.groupBy("query", "row", "column")).applyInArrow(_products, "query_id long, a long, b long, similarity double")
+
+
 def mmr(candidates: DataFrame, k: int | None, lam: float = 0.7) -> DataFrame:
     """Maximal marginal relevance: (query_id, vec_id, position) from (query_id, vec_id, relevance, rank, vec), k of each query, or as many as its column `take` says.
 

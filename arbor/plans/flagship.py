@@ -11,7 +11,7 @@ from arbor.plans.base import scratch
 from arbor.sources import corpus as S
 
 
-def flagship(spark: SparkSession, sf_dir: str, budget: int = 400, k: int = 20) -> DataFrame:
+def flagship(spark: SparkSession, sf_dir: str, budget: int | None = 400, k: int = 20) -> DataFrame:
     docs, folder = S.read(spark, sf_dir, "documents"), scratch(spark, "leaves")
     asked = S.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     I.build_index(S.leaf_texts(docs).withColumnRenamed("id", "doc_key"), folder)

@@ -137,6 +137,32 @@ def duplicates(spark, d):
     return coordinates(n.unionByName(n.where("height = 1"))).where("code = 'coord.duplicate'")
 
 
+@query("b01_character_pieces", """WITH t AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z0-9]', '', 'g') AS t FROM documents),
+ k AS (SELECT *, unnest(range(0, CAST(ceil(length(t) / 403.0) AS BIGINT))) AS k FROM t)
+ SELECT doc_id AS document_id, CAST(k AS INTEGER) AS level_index, k * 403 AS span_start, least(CAST(length(t) AS BIGINT), k * 403 + 403) AS span_end,
+ md5(substring(t, k * 403 + 1, 403)) AS digest FROM k""")
+def character_pieces(spark, d):
+    """Texts without any separator are cut at characters."""
+    from arbor.operators.splitter import split_documents
+
+    plain = S.read(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[^A-Za-z0-9]", "").alias("text"))
+    return split_documents(plain, 100).select("document_id", "level_index", "span_start", "span_end", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("b03_blank_pieces", """WITH RECURSIVE t AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g'), '([A-Za-z0-9]{50})', '\\1 ', 'g') AS t
+ FROM documents), g AS (SELECT doc_id, t AS rest, CAST(0 AS BIGINT) AS pos, 0 AS k, '' AS piece FROM t WHERE t <> '' UNION ALL
+ SELECT doc_id, substring(rest, n + 1), pos + n, k + 1, substring(rest, 1, n) FROM (SELECT *, CAST(CASE WHEN length(rest) <= 403 THEN length(rest)
+ ELSE 404 - strpos(reverse(substring(rest, 1, 403)), ' ') END AS BIGINT) AS n FROM g WHERE rest <> ''))
+ SELECT doc_id AS document_id, k - 1 AS level_index, pos - length(piece) AS span_start, pos AS span_end, md5(piece) AS digest FROM g WHERE trim(piece) <> ''""")
+def blank_pieces(spark, d):
+    """Texts of words of at most 50 letters are cut after the last blank that fits."""
+    from arbor.operators.splitter import split_documents
+
+    plain = F.regexp_replace(F.regexp_replace("text", "[^A-Za-z0-9 ]", ""), "([A-Za-z0-9]{50})", "$1 ")
+    p = split_documents(S.read(spark, d, "documents").select("doc_id", plain.alias("text")), 100)
+    return p.select("document_id", "level_index", "span_start", "span_end", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 @query("b01_b03_split")
 def split(spark, d):
     from arbor.operators.splitter import split_documents

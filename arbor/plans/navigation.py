@@ -101,11 +101,22 @@ def pairwise(spark, d):
  SELECT a.vec_id AS a, b.vec_id AS b, greatest(0.0, least(1.0, list_cosine_similarity(a.v, b.v))) AS similarity FROM e a
  JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0""")
 def pairwise_all(spark, d):
-    """Every vector of the query set with all other vectors, whatever their labels; blocks of a product where Spark does not broadcast."""
-    e = S.read(spark, d, "embeddings").select("vec_id", V.unit(F.col("embedding")).alias("v"))
-    a = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("a"), F.col("v").alias("w"))
-    pairs = a.crossJoin(e.withColumnRenamed("vec_id", "b")).where("a <> b")
-    return pairs.select("a", "b", F.greatest(F.lit(0.0), F.least(F.lit(1.0), V.dot(F.col("v"), F.col("w")))).alias("similarity"))
+    """Every vector of the query set with all other vectors, whatever their labels: one request, in squares."""
+    e = S.read(spark, d, "embeddings").select(F.lit(0).cast("bigint").alias("query_id"), "vec_id", V.unit(F.col("embedding")).alias("vec"))
+    return V.similarities(e.where("vec_id % 50 = 0"), e).select("a", "b", "similarity")
+
+
+@query("r03_candidate_matrix", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ c AS (SELECT q.vec_id AS query_id, e.vec_id, e.v FROM e, e q WHERE q.vec_id % 50 = 0
+ QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY greatest(0.0, least(1.0, list_cosine_similarity(q.v, e.v))) DESC, e.vec_id) <= 20)
+ SELECT query_id, a.vec_id AS a, b.vec_id AS b, greatest(0.0, least(1.0, list_cosine_similarity(a.v, b.v))) AS similarity
+ FROM c a JOIN c b USING (query_id) WHERE a.vec_id < b.vec_id""")
+def candidate_matrix(spark, d):
+    """The similarities of each request's own candidates, as diversity needs them."""
+    e = S.read(spark, d, "embeddings").select("vec_id", V.unit(F.col("embedding")).alias("vec"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vec")
+    c = V.vector_top_k(q, e, 20).join(e, "vec_id").select("query_id", "vec_id", "vec").checkpoint()
+    return V.similarities(c, c).where("a < b")
 
 
 @query("r27_marked_text", """SELECT doc_id AS document_id, string_agg('[' || k * 400 || '-' || least(length(text), (k + 1) * 400) || ']' || chr(10) ||

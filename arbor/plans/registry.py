@@ -11,6 +11,7 @@ from arbor.operators import repository as R
 from arbor.operators import retrieval as V
 from arbor.operators import telemetry as T
 from arbor.operators import validation as C
+from arbor.operators.metrics import positions
 from arbor.plans import analytics, catalog, checks, journals, maintenance, metrics, navigation, paths, requests, stored, streams, vectors
 from arbor.plans.base import NODES, ORACLES, QUERIES, REC, query, scratch, simple
 from arbor.plans.base import nodes_of as _nodes
@@ -20,6 +21,8 @@ from arbor.sources import corpus as S
 
 __all__ = ["ORACLES", "QUERIES", "analytics", "catalog", "checks", "journals", "maintenance", "metrics", "navigation", "paths", "requests", "stored", "streams", "vectors"]
 
+#: Benchmark items that may go to every task.
+BROADCAST_ITEMS = 10_000
 COLS = ["id", "document_id", "height", "level_index", "span_start", "span_end", "token_count", "parent_id", "left_child_id", "right_child_id", "preceding_neighbor_id", "following_neighbor_id"]
 
 
@@ -180,21 +183,41 @@ def vector_top_k(spark, d):
     return V.vector_top_k(q, e, 5).select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("r07_mmr")
+def _mmr_sql(k: int) -> str:
+    """Each step takes the candidate with the best balance against all that were taken before."""
+    cos = "greatest(0.0, least(1.0, list_cosine_similarity({}.v, {}.v)))"
+    steps = "".join(f""",
+ g{t} AS (SELECT c.query_id, c.vec_id, c.rank, any_value(c.rel) AS rel, max({cos.format("c", "m")}) AS near FROM c JOIN m{t - 1} m USING (query_id)
+ WHERE NOT EXISTS (SELECT 1 FROM m{t - 1} x WHERE x.query_id = c.query_id AND x.vec_id = c.vec_id) GROUP BY ALL),
+ n{t} AS (SELECT * FROM g{t} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY 0.7::DOUBLE * rel - 0.3::DOUBLE * near DESC, rank) = 1),
+ m{t} AS (SELECT * FROM m{t - 1} UNION ALL SELECT query_id, vec_id, v, {t} FROM n{t} JOIN e USING (vec_id))""" for t in range(2, k + 1))
+    return f"""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ c AS (SELECT q.vec_id AS query_id, e.vec_id, e.v, {cos.format("q", "e")} AS rel, row_number() OVER (PARTITION BY q.vec_id
+ ORDER BY {cos.format("q", "e")} DESC, e.vec_id) AS rank FROM e, e q WHERE q.vec_id % 50 = 0 QUALIFY rank <= 20),
+ m1 AS (SELECT query_id, vec_id, v, 1 AS position FROM c WHERE rank = 1){steps} SELECT query_id, vec_id, position FROM m{k}"""
+
+
+@query("r07_mmr", _mmr_sql(5))
 def mmr(spark, d):
     e, q = _vectors(spark, d)
     return V.mmr(V.vector_top_k(q, e, 20).join(e.select("vec_id", "vec"), "vec_id"), 5)
 
 
-_BM25 = """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS t
- FROM documents), st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM d),
+#: Scores of all texts of d (doc_id, t) for all items.
+_SCORES = """st AS (SELECT count(*) AS n, avg(len(t)) AS a FROM d),
  q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM benchmark),
  p AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM d), tf AS (SELECT term, doc_id, dl, count(*) AS tf FROM p WHERE term IN (SELECT term
  FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
  s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))) AS score FROM tf
- JOIN df USING (term) JOIN q USING (term), st GROUP BY 1, 2)
+ JOIN df USING (term) JOIN q USING (term), st GROUP BY 1, 2)"""
+_BM25 = (
+    """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS t
+ FROM documents), """
+    + _SCORES
+    + """
  SELECT query_id, doc_id AS doc_key, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id
  ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s QUALIFY rank <= 10"""
+)
 
 
 _OKAPI = r"""{nodes}, tx AS (SELECT n.document_id, n.id, n.height, n.level_index, regexp_extract_all(lower(substring(coalesce(text, ''), span_start + 1,
@@ -247,9 +270,11 @@ def okapi(spark, d):
     n = S.with_text(S.nodes(docs), docs)
     order = F.struct("height", "level_index")
     asked = S.read(spark, d, "benchmark")
-    many = asked.agg(F.count("*").alias("m"))
-    numbered = asked.join(F.broadcast(many)).select((F.row_number().over(Window.orderBy("item_id")) - 1).alias("k"), "m", "text")  # a benchmark is small
-    q = docs.select(F.col("doc_id").alias("document_id")).join(F.broadcast(many)).withColumn("k", F.col("document_id") % F.col("m")).join(F.broadcast(numbered.select("k", "text")), "k")
+    placed = asked.join(positions(asked, [], "item_id").select("item_id", (F.col("upto") - 1).alias("k")), "item_id").select("k", "text").checkpoint()
+    m = placed.count()
+    if m <= BROADCAST_ITEMS:
+        placed = F.broadcast(placed)
+    q = docs.select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % m if m else F.lit(None)).cast("bigint").alias("k")).join(placed, "k")
     q = q.select(F.col("document_id").alias("query_id"), "document_id", F.col("text").alias("query_text"))
     return V.okapi(n.select("document_id", F.col("id").alias("doc_key"), order.alias("position"), "text"), q, 5).select("query_id", "doc_key", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
@@ -269,6 +294,30 @@ def tiling(spark, d):
     return flagship(spark, d)
 
 
+@query(
+    "r18_no_budget",
+    NODES + r""", d AS (SELECT n.id AS doc_id, regexp_extract_all(lower(substring(coalesce(text, ''), span_start + 1, span_end - span_start)),
+ '[\p{L}\p{N}_]+') AS t FROM nodes n JOIN documents ON doc_id = document_id WHERE height = 0), """ + _SCORES.replace(" s AS (", " sc AS (") + """,
+ sd AS (SELECT query_id, n.document_id, n.level_index FROM (SELECT query_id, doc_id AS id FROM sc QUALIFY row_number() OVER (PARTITION BY query_id
+ ORDER BY round(score, 9) DESC, doc_id) <= 20) JOIN nodes n USING (id)),
+ up AS (SELECT query_id, document_id, level_index, unnest(range(0, t + 1)) AS h FROM sd JOIN (SELECT document_id, max(height) AS t FROM nodes
+ GROUP BY 1) USING (document_id)),
+ c AS (SELECT query_id, document_id, h AS height, level_index >> h AS level_index FROM up UNION SELECT query_id, document_id, h,
+ xor(level_index >> h, 1) FROM up UNION SELECT query_id, document_id, height, level_index FROM nodes JOIN (SELECT DISTINCT query_id, document_id
+ FROM sd) USING (document_id) WHERE parent_id IS NULL),
+ v AS (SELECT query_id, n.* FROM c JOIN nodes n USING (document_id, height, level_index)),
+ f AS (SELECT * FROM v WHERE NOT EXISTS (SELECT 1 FROM v k WHERE k.query_id = v.query_id AND k.parent_id = v.id)),
+ a AS (SELECT query_id, document_id, level_index FROM sd UNION SELECT query_id, document_id, xor(level_index, 1) FROM sd)
+ SELECT f.query_id, f.id, row_number() OVER (PARTITION BY f.query_id, f.document_id ORDER BY span_start, f.id) - 1 AS position,
+ round(CASE WHEN height > 0 THEN 0.0 WHEN a.query_id IS NOT NULL THEN coalesce(sc.score / (sc.score + 10), 0.0) END, 6) AS score
+ FROM f LEFT JOIN a ON a.query_id = f.query_id AND a.document_id = f.document_id AND a.level_index = f.level_index AND f.height = 0
+ LEFT JOIN sc ON sc.query_id = f.query_id AND sc.doc_id = f.id""",
+)
+def tiling_no_budget(spark, d):
+    """The flagship without a budget: each tiling is the whole frontier, with its scores."""
+    return flagship(spark, d, budget=None).select("query_id", "id", "position", F.round("score", 6).alias("score"))
+
+
 @query("r21_assembly", """SELECT doc_id AS query_id, doc_id AS document_id, string_agg(c, chr(10) || chr(10) ORDER BY k) AS text
  FROM (SELECT doc_id, k, substring(text, k * 400 + 1, 400) AS c FROM (SELECT *, unnest(range(0, CAST(greatest(1, ceil(length(text) / 400.0)) AS
  BIGINT))) AS k FROM documents)) WHERE c <> '' GROUP BY doc_id""")
@@ -336,9 +385,11 @@ def journal_fold(spark, d):
 
 @query("st04_journal_stream", "SELECT user_id AS append_id, count(*) AS n, count(*) FILTER (event_id % 4 = 1) AS commits, max(event_id) AS last_event FROM events GROUP BY 1")
 def journal_stream(spark, d):
-    from arbor.streaming.journal import fold_stream, run_once, stream_events
+    """Each batch writes the keys that it touches and no others."""
+    from arbor.streaming.journal import fold_stream, stream_events
+    from arbor.streaming.stateful import latest, run_changes
 
-    return run_once(fold_stream(stream_events(spark, d)), scratch(spark, "journal"))
+    return latest(run_changes(fold_stream(stream_events(spark, d)), scratch(spark, "journal"), "update"), "append_id", "n").select("append_id", "n", "commits", "last_event")
 
 
 @query("g01_bridge", REC + "SELECT session, uuid, coalesce(parent, prev) AS parent FROM r")

@@ -15,7 +15,7 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold_stream(events: DataFrame) -> DataFrame:
-    """Running fold of the journal by append key; the state is one row a key."""
+    """Running fold of the journal by append key, for update mode: a batch emits the keys that it touches, with n as their version; the state is one row a key."""
     j = journal(events)
     return j.groupBy("append_id").agg(F.count("*").alias("n"), F.count_if(F.col("event") == "node_committed").alias("commits"), F.max("event_id").alias("last_event"))
 
@@ -26,14 +26,3 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     if e.isStreaming:
         e = e.withWatermark("at", late)
     return e.groupBy(F.session_window("at", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
-
-
-def run_once(df: DataFrame, path: str, mode: str = "complete") -> DataFrame:
-    """All that is available now. The result is a table at a path, written anew by each batch; it never passes through the driver."""
-
-    def put(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/result")
-
-    q = df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.read.parquet(f"{path}/result")

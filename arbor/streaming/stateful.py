@@ -30,7 +30,7 @@ def _state_store(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
 
 
-def run_changes(changes: DataFrame, path: str) -> DataFrame:
+def run_changes(changes: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Takes all that is available now and returns all changes emitted so far, with the batch of each."""
 
     def put(batch: DataFrame, batch_id: int) -> None:
@@ -38,15 +38,15 @@ def run_changes(changes: DataFrame, path: str) -> DataFrame:
 
     spark, schema = changes.sparkSession, changes.schema
     with _state_store(spark):
-        q = changes.writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+        q = changes.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     return spark.read.schema(f"{fields}, batch long").parquet(f"{path}/changes")
 
 
-def latest(changes: DataFrame, key: str) -> DataFrame:
+def latest(changes: DataFrame, key: str, version: str = "version") -> DataFrame:
     """The last change of every key."""
-    w = Window.partitionBy(key).orderBy(F.desc("version"))
+    w = Window.partitionBy(key).orderBy(F.desc(version))
     return changes.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "version", "batch")
 
 

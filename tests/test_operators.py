@@ -156,3 +156,74 @@ def test_reverts_and_late_records(spark):
     log = spark.createDataFrame([(1, 1, 10), (1, 9, 5), (1, 4, 25), (2, 7, 1)], "session long, uuid long, ts long")
     got = sorted((r.session, r.uuid, r.action) for r in B.sync_actions(i, log).collect())
     assert got == [(1, 1, "keep"), (1, 2, "delete"), (1, 3, "delete"), (1, 4, "append"), (1, 9, "late"), (2, 7, "append")]
+
+
+def test_batches_of_long_keys_run_on_over_arrow_batches(spark):
+    rng = random.Random(5)
+    rows = [(k % 3 if k % 7 else None, k, rng.choice([0, 1, 5, 9, None])) for k in range(4000)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = {(r.d, r.k): r.batch for r in B.batches(spark.createDataFrame(rows, "d long, k long, t long"), "d", "k", "t", 4, 12).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want = {}
+    for d in {r[0] for r in rows}:
+        batch, held = 0, []
+        for _, k, t in (r for r in rows if r[0] == d):
+            if held and (len(held) >= 4 or sum(held) + (t or 0) > 12):
+                batch, held = batch + 1, []
+            held.append(t or 0)
+            want[d, k] = batch
+    assert got == want
+    assert B.batches(spark.createDataFrame([], "d long, k long, t long"), "d", "k", "t", 4, 12).count() == 0
+
+
+def test_verbatim_leaves_fill_the_budget_from_the_right(spark):
+    rng = random.Random(6)
+    rows = [(k % 4, f"{k}", rng.choice([0, 3, 40, 90]), k * 10, k * 10 + 10, k) for k in range(600)] + [(9, "n", None, 0, 1, 0)]
+    df = spark.createDataFrame(rows, "document_id long, id string, token_count long, span_start long, span_end long, level_index long")
+    for budget in (0, 1, 100):
+        want = set()
+        for d in range(4):
+            left, got = budget, []
+            for r in sorted((r for r in rows if r[0] == d), key=lambda r: -r[4]):
+                if budget and r[2] <= left:
+                    left -= r[2]
+                    got.append(r)
+            want |= {(d, min(r[3] for r in got), r[1]) for r in got}
+        assert {tuple(r) for r in P.verbatim_leaves(df, budget).collect()} == want
+
+
+def test_similarities_in_squares_are_all_pairs(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(90, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(int(q), k, x[k].tolist()) for k in range(90) for q in ([1] if k < 60 else [1, 2])] + [(1, 900, None), (3, 901, None)]
+    df = spark.createDataFrame(rows, "query_id long, vec_id long, vec array<double>")
+    for block in (7, 512):
+        got = {(r.query_id, r.a, r.b): r.similarity for r in V.similarities(df, df, block).collect()}
+        want = {(q, a, b): max(0.0, min(1.0, float(x[a] @ x[b]))) for q, ids in ((1, range(90)), (2, range(60, 90))) for a in ids for b in ids if a != b}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_mmr_takes_the_best_balance_at_every_step(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 6))
+    x[5] = x[4]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rel = [max(0.0, float(x[0] @ v)) for v in x]
+    order = sorted(range(40), key=lambda i: (-rel[i], i))
+    rows = [(1, i, rel[i], n + 1, x[i].tolist()) for n, i in enumerate(order)]
+    df = spark.createDataFrame(rows, "query_id long, vec_id long, relevance double, rank long, vec array<double>")
+    for k in (1, 5, 12, 60):
+        chosen = []
+        while len(chosen) < min(k, 40):
+            value = lambda i: rel[i] if not chosen else 0.7 * rel[i] - (1 - 0.7) * max([0.0, *(float(np.clip(x[i] @ x[c], 0, 1)) for c in chosen)])  # noqa: E731,B023
+            chosen.append(max((i for i in order if i not in chosen), key=value))
+        got = [r.vec_id for r in sorted(V.mmr(df, k).collect(), key=lambda r: r.position)]
+        assert got == chosen

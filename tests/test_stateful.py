@@ -122,3 +122,18 @@ def test_the_state_store_setting_comes_back(spark, tmp_path):
     before = spark.conf.get(key, None)
     _run(spark, [(1, 1, 5)], "key long, seq long, total long", [], X.progress_changes, str(tmp_path))
     assert spark.conf.get(key, None) == before
+
+
+def test_fold_in_update_mode_writes_touched_keys_only(spark, tmp_path):
+    from arbor.streaming.journal import fold_stream
+    from arbor.streaming.stateful import latest, run_changes, stream_of
+
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").orderBy("event_id")
+    ids = [r.event_id for r in e.select("event_id").collect()]
+    cut = ids[len(ids) * 3 // 4]
+    parts = [e.where(f"event_id <= {cut}"), e.where(f"event_id > {cut} and user_id % 2 = 0"), e.where(f"event_id > {cut} and user_id % 2 = 1")]
+    changes = run_changes(fold_stream(stream_of(spark, parts, str(tmp_path / "in"))), str(tmp_path / "out"), "update")
+    got = sorted(tuple(r) for r in latest(changes, "append_id", "n").select("append_id", "n", "commits", "last_event").collect())
+    assert got == sorted(tuple(r) for r in fold_stream(e).collect())
+    touched = {r.batch: r.n for r in changes.groupBy("batch").count().withColumnRenamed("count", "n").collect()}
+    assert len(touched) == 3 and touched[1] == parts[1].select("user_id").distinct().count() and touched[2] == parts[2].select("user_id").distinct().count()
