@@ -100,11 +100,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     found = keyed.join(rows, "row_key").select("row_key", "doc_id", tokens(F.col("text")).alias("dtok")).checkpoint()
     once = found.select("row_key", "dtok").dropDuplicates(["row_key"])
 
-    iwin = items.select("item_key", "width", F.posexplode("iwin").alias("k", "w")).where("w is not null").distinct()
+    iwin = items.select("item_key", "width", F.posexplode("iwin").alias("k", "w")).where("w is not null").distinct().checkpoint()
+    total = iwin.groupBy("item_key").agg(F.countDistinct("w").alias("n_windows"))
+    # a window of few common words stands in most documents, so they are not shuffled by it while the benchmark's windows are few
+    asked = F.broadcast(iwin) if iwin.count() <= BROADCAST_WINDOWS else iwin
     by_width = F.explode(_let(canonical(F.col("dtok")), lambda c: F.array(*[F.struct(F.lit(k).alias("width"), _hashes(c, k).alias("dwin")) for k in widths])))
     dwin = once.select("row_key", by_width.alias("x")).select("row_key", "x.width", F.posexplode("x.dwin").alias("i", "w")).where("w is not null")
-    hits = dwin.join(iwin, ["w", "width"]).select("row_key", "item_key", "width", "w", "k", (F.col("i") - F.col("k")).alias("d")).checkpoint()
-    total = iwin.groupBy("item_key").agg(F.countDistinct("w").alias("n_windows"))
+    hits = dwin.join(asked, ["w", "width"]).select("row_key", "item_key", "width", "w", "k", (F.col("i") - F.col("k")).alias("d")).checkpoint()
     pair = ["row_key", "item_key"]
     met_windows = hits.select(*pair, "w").distinct().groupBy(*pair).agg(F.count("*").alias("n_matched")).join(total, "item_key")
     good = met_windows.withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where(F.col("coverage") >= coverage)
