@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from arbor.llm.html_extract import extract, parse, page_counts, repeats, shared, suffix_array
 
@@ -145,3 +146,23 @@ def test_parts_change_no_result(spark):
     assert whole == dealt and len(whole) == len(rows)
     got = {x[0]: x[2] for x in dealt}
     assert not any("s" + str(i % 30) + "w5" in got[i] for i in range(60)) and "s1w5" in got[200]
+
+
+def test_given_pages_without_their_article_tags(spark):
+    """What the suffix array and open blocks make of the given pages once article and main are plain div elements, against the text with the tags."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    plain = pages.withColumn("html", F.regexp_replace("html", r"(?i)<(/?)(?:article|main)\b", "<$1div"))
+    unnamed = plain.withColumn("html", F.regexp_replace("html", r"(?i)\s(?:class|id|role)=\"[^\"]*\"", ""))
+    want = {r.page_id: Counter(r.text.split()) for r in extract(pages).collect()}
+    size = sum(sum(w.values()) for w in want.values())
+
+    def kept_and_extra(df):
+        got = {r.page_id: Counter(r.text.split()) for r in extract(df).collect()}
+        assert got.keys() == want.keys()
+        kept = sum(sum((got[k] & want[k]).values()) for k in want)
+        return kept, sum(sum(g.values()) for g in got.values()) - kept
+
+    kept, extra = kept_and_extra(plain)
+    assert kept >= 0.99 * size and extra == 0
+    kept, extra = kept_and_extra(unnamed)  # without class names too, adverts that stand on one page stay
+    assert kept >= 0.99 * size and extra <= 0.03 * size
