@@ -1,21 +1,20 @@
 """Exact near-duplicate join of vectors: a metric range join with pivots.
 
 cosine >= c means that unit vectors are within r = sqrt(2 - 2 c). Every vector is at home in the cell of its
-nearest pivot. If y in cell p is within r of x, then |x p| <= |x y| + |y p| <= r + |y h| <= 2 r + |x h| where h is
-the home of x, so x is copied to every cell with |x p| <= |x h| + 2 r and to no other; cells join
-independently, each home vector against all of the cell. Cells are dealt to squares of about as many home as
-copied vectors, so a dense cell is many tasks. Squares have BLOCK vectors a side, and more for more than 262,144
-vectors: 8 * sqrt(n), up to MOST_BLOCK.
+nearest pivot. If y at home in cell p is within r of x, then |x p| <= |x y| + |y p| <= r + |y h| <= 2 r + |x h| where
+h is the home of x. Cells are packed into parts of about `side` vectors, a large cell into several, and a square is two parts, or
+one with itself: x goes to the squares of its own part with the parts of cells that have |x p| <= |x h| + 2 r, and to no other. That holds from
+both ends of a link, so each link is found in exactly one square, and each pair is multiplied at most once.
 
-Equal vectors are one point with a count, so copies are never paired. A square returns, for each home
-vector, the number of vectors linked to it, and a spanning forest of its links: rows grow with its vectors,
-not with its links. Every link is found in the home square of each end, so none is missed or counted twice.
+Equal vectors are one point with a count, so copies are never paired. A square returns, for each of its vectors that
+has links, the number of vectors linked to it there, and a spanning forest of its links: rows grow with its vectors,
+not with its links, and a square keeps one stripe of products at a time.
 
 Pivots are at most PIVOTS points with the least hash (a documented bound); they decide the speed, not the
-result. In high dimensions the triangle inequality excludes little: then each of n vectors is in every cell, a square
-is computed from both sides, and products near n * n. Shuffled rows near n * PIVOTS + 2 * n * n / side: 36 n at 51,282
-vectors, 250 n at a million, 630 n at ten million. Products near the bound are summed again in one fixed order, so
-both sides of a link see the same number.
+result. In high dimensions the triangle inequality excludes little: then products near n * n / 2, and shuffled rows
+n * n / side, as floats where the input has floats. A side is SPREAD times `side_of(n)`: 16,384 vectors up to 262,144, then 32 * sqrt(n), but no more
+than SIDE_BYTES of doubles: about 4 n rows at 51,282 vectors, 32 n at a million. Products are made in single
+precision; those nearer to the bound than its rounding are summed again in double precision.
 
 Rules. Vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of
 other lengths than most link only with their own length. Null ids are allowed and are one id below all
@@ -37,6 +36,8 @@ from arbor.llm.components import connected_components
 PIVOTS = 24
 BLOCK = 4096
 MOST_BLOCK = 32768
+#: Blocks a side of a square, and bytes of a side as doubles, at most.
+SPREAD, SIDE_BYTES = 4, 32 << 20
 #: Slack for rounding in distances and products; pairs inside it are compared in a fixed order of summation.
 EPS = 1e-9
 
@@ -56,42 +57,76 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
-_DEALT = "cell int, home boolean, point long, times long, vec array<double>"
+def _near(b, pivots: np.ndarray) -> np.ndarray:
+    x = _unit(_matrix(b.column("vec"), pivots.shape[1]))
+    return np.sqrt(np.maximum(2 - 2 * (x @ pivots.T), 0))
 
 
-def _deal(pivots: np.ndarray, r: float):
+def _homes(pivots: np.ndarray):
+    def run(batches):
+        for b in batches:
+            if len(b):
+                yield pa.record_batch([pa.array(_near(b, pivots).argmin(1), pa.int32())], ["cell"])
+
+    return run
+
+
+def parts_of(sizes: list[int], side: int) -> list[range]:
+    """The parts of each cell: several for one larger than a side, one shared by small cells that fit into a side together."""
+    out, n, room = [], 0, 0
+    for size in sizes:
+        if size > side:
+            out.append(range(n, n - (-size // side)))
+            n, room = out[-1].stop, 0
+        else:
+            if size > room or not out:
+                n, room = n + 1, side
+            out.append(range(n - 1, n))
+            room -= size
+    return out
+
+
+def _place(pivots: np.ndarray, r: float, parts: list[range]):
+    """Each row with its part and the parts that may hold vectors within r."""
+    first, many = np.array([p.start for p in parts]), np.array([len(p) for p in parts])
+    holds = np.zeros((len(parts), max(p.stop for p in parts)), np.float32)
+    for c, p in enumerate(parts):
+        holds[c, p.start : p.stop] = 1
+
     def run(batches):
         for b in batches:
             if not len(b):
                 continue
-            x = _unit(_matrix(b.column("vec"), pivots.shape[1]))
-            d = np.sqrt(np.maximum(2 - 2 * (x @ pivots.T), 0))
+            d = _near(b, pivots)
             home = d.argmin(1)
-            row, cell = np.nonzero(d <= d.min(1, keepdims=True) + 2 * r + EPS)
-            vec = pa.array(list(x), pa.list_(pa.float64())).take(pa.array(row))
-            yield pa.record_batch([pa.array(cell, pa.int32()), pa.array(home[row] == cell), b.column("point").take(pa.array(row)), b.column("times").take(pa.array(row)), vec], ["cell", "home", "point", "times", "vec"])
+            part = first[home] + b.column("deal").to_numpy() % many[home]
+            reach = (d <= d.min(1, keepdims=True) + 2 * r + EPS).astype(np.float32) @ holds > 0
+            ends = np.concatenate([[0], reach.sum(axis=1).cumsum()])
+            to = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.nonzero(reach)[1], pa.int32()))
+            yield pa.record_batch([pa.array(part, pa.int32()), to, b.column("point"), b.column("times"), b.column("vec")], ["part", "to", "point", "times", "vec"])
 
     return run
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Indexes of links that form a spanning forest."""
-    label, keep = np.arange(n), []
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> list:
+    """Links (a, b) that join trees of the forest whose labels these are; the labels are changed."""
+    keep = []
     while len(a):
-        x, y = label[a], label[b]
-        open_ = np.flatnonzero(x != y)
-        if not len(open_):
+        open_ = np.flatnonzero(label[a] != label[b])
+        a, b = a[open_], b[open_]
+        if not len(a):
             break
-        a0, b0, x, y = a[open_], b[open_], x[open_], y[open_]
-        hi, lo = np.maximum(x, y), np.minimum(x, y)
+        hi, lo = np.maximum(label[a], label[b]), np.minimum(label[a], label[b])
         order = np.lexsort((lo, hi))
         first = order[np.concatenate([[True], hi[order][1:] != hi[order][:-1]])]
-        keep += zip(a0[first].tolist(), b0[first].tolist())
+        keep += zip(a[first].tolist(), b[first].tolist())
         label[hi[first]] = lo[first]
-        while (label[label] != label).any():
-            label = label[label]
-        a, b = a0, b0
-    return np.array(keep, np.int64).reshape(-1, 2)
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label[:] = up
+    return keep
 
 
 _SQUARE = "point long, linked long, a long, b long"
@@ -101,26 +136,33 @@ def _square(cosine: float):
     def run(table: pa.Table) -> pa.Table:
         own = table["side"].to_numpy()
         dim = len(table["vec"][0])
-        point, times, x = table["point"].to_numpy(), table["times"].to_numpy(), _matrix(table["vec"], dim)
+        point, times = table["point"].to_numpy(), table["times"].to_numpy()
+        x = _unit(_matrix(table["vec"], dim))
         h, o = np.flatnonzero(own == 0), np.flatnonzero(own == 1)
-        left, right, rows = [], [], max(16, (1 << 21) // max(1, len(o)))  # 16 MB of products at once
+        one = table["lo"][0].as_py() == table["hi"][0].as_py()
+        o = h if one else o
+        rough, other = x[h].astype(np.float32), x[o].astype(np.float32)
+        slack = EPS + (dim + 8) * 2.0**-23  # more than single precision can be off for unit vectors
+        count, label, forest = np.zeros(len(point), np.int64), np.arange(len(point)), []
+        rows, some = max(16, (1 << 21) // max(1, len(o))), max(1, (1 << 21) // dim)  # 8 MB of products, 16 MB of rows at once
         for at in range(0, len(h), rows):
-            s = x[h[at : at + rows]] @ x[o].T
-            i, j = np.nonzero(s >= cosine - EPS)
-            ok = s[i, j] >= cosine + EPS
+            skip = at if one else 0  # a part with itself: pairs above the diagonal only
+            s = rough[at : at + rows] @ other[skip:].T
+            i, j = np.nonzero(s >= cosine - slack)
+            if one:
+                up = np.flatnonzero(j > i)
+                i, j = i[up], j[up]
+            ok, left, right = s[i, j] >= cosine + slack, h[at + i], o[skip + j]
             close = np.flatnonzero(~ok)
-            ok[close] = (x[h[at + i[close]]] * x[o[j[close]]]).sum(axis=1) >= cosine
-            left.append(h[at + i[ok]])
-            right.append(o[j[ok]])
-        left, right = np.concatenate(left) if left else h, np.concatenate(right) if right else h
-        other = point[left] != point[right]
-        left, right = left[other], right[other]
-        count = np.bincount(left, times[right], len(point)).astype(np.int64)
-        some = h[count[h] > 0]
-        ids, back = np.unique(point, return_inverse=True)
-        f = _forest(back[left], back[right], len(ids))
-        none = [None]
-        return pa.table({"point": pa.array([*point[some].tolist(), *none * len(f)], pa.int64()), "linked": pa.array([*count[some].tolist(), *none * len(f)], pa.int64()), "a": pa.array(none * len(some) + ids[f[:, 0]].tolist(), pa.int64()), "b": pa.array(none * len(some) + ids[f[:, 1]].tolist(), pa.int64())})
+            for k in range(0, len(close), some):
+                c = close[k : k + some]
+                ok[c] = (x[left[c]] * x[right[c]]).sum(axis=1) >= cosine
+            left, right = left[ok], right[ok]
+            count += np.bincount(left, times[right], len(point)).astype(np.int64) + np.bincount(right, times[left], len(point)).astype(np.int64)
+            forest += _joined(label, left, right)
+        linked, f, none = np.flatnonzero(count), np.array(forest, np.int64).reshape(-1, 2), [None]
+        column = lambda some, rest: pa.array([*some, *rest], pa.int64())
+        return pa.table({"point": column(point[linked].tolist(), none * len(f)), "linked": column(count[linked].tolist(), none * len(f)), "a": column(none * len(linked), point[f[:, 0]].tolist()), "b": column(none * len(linked), point[f[:, 1]].tolist())})
 
     return run
 
@@ -130,36 +172,33 @@ def side_of(n: int, block: int = BLOCK) -> int:
     return max(block, min(MOST_BLOCK, int(8 * math.sqrt(n))))
 
 
-def _points(vectors: DataFrame, cosine: float, pivots: int, block: int):
-    """Points with linked counts, and link forests, of vectors of one length."""
+def squares(vectors: DataFrame, cosine: float, pivots: int, block: int) -> DataFrame | None:
+    """Vectors of one length (point, times, vec) in the squares (lo, hi) that they go to, with the side that is theirs."""
     r = math.sqrt(max(0.0, 2 - 2 * cosine))
     chosen = vectors.orderBy(F.xxhash64("vec"), "point").limit(pivots).select("vec").collect()  # at most `pivots` vectors
     if not chosen:
         return None
     p = _unit(np.array([c.vec for c in chosen], np.float64))
-    dealt = vectors.mapInArrow(_deal(p, r), _DEALT)
-    sizes = {(c.cell, c.home): c.n for c in dealt.groupBy("cell", "home").agg(F.count("*").alias("n")).collect()}  # 2 * pivots rows
-    cells = range(len(p))
-    block = side_of(sum(n for (_, home), n in sizes.items() if home), block)
-    homes = [-(-sizes.get((c, True), 0) // block) or 1 for c in cells]
-    others = [-(-(sizes.get((c, True), 0) + sizes.get((c, False), 0)) // block) or 1 for c in cells]
-    nth = lambda v: F.element_at(F.split(F.lit(",".join(map(str, v))), ",").cast("array<int>"), F.col("cell") + 1)
-    d = dealt.withColumn("nh", nth(homes)).withColumn("no", nth(others))
-    i, j = F.pmod(F.xxhash64("point"), F.col("nh")).cast("int"), F.pmod(F.xxhash64("point", F.lit(1)), F.col("no")).cast("int")
-    as_home = d.where("home").withColumn("i", i).select("*", F.explode(F.sequence(F.lit(0), F.col("no") - 1)).alias("j")).withColumn("side", F.lit(0))
-    as_other = d.select("*", F.explode(F.sequence(F.lit(0), F.col("nh") - 1)).alias("i")).withColumn("j", j).withColumn("side", F.lit(1))
-    cols = ["cell", "i", "j", "side", "point", "times", "vec"]
-    return as_home.select(cols).unionByName(as_other.select(cols)).groupBy("cell", "i", "j").applyInArrow(_square(cosine), _SQUARE)
+    sizes = {c.cell: c.n for c in vectors.mapInArrow(_homes(p), "cell int").groupBy("cell").agg(F.count("*").alias("n")).collect()}  # one row a pivot
+    side = max(1, min(SPREAD * side_of(sum(sizes.values()), block), SIDE_BYTES // (8 * p.shape[1])))
+    parts = parts_of([sizes.get(c, 0) for c in range(len(p))], side)
+    kind = vectors.schema["vec"].dataType.simpleString()
+    dealt = vectors.withColumn("deal", F.pmod(F.xxhash64("point", F.lit(1)), F.lit(1 << 30)))
+    dealt = dealt.mapInArrow(_place(p, r, parts), f"part int, to array<int>, point long, times long, vec {kind}").select("*", F.explode("to").alias("at"))
+    lo, hi = F.least("part", "at").alias("lo"), F.greatest("part", "at").alias("hi")
+    return dealt.select(lo, hi, (F.col("part") > F.col("at")).cast("int").alias("side"), "point", "times", "vec")
 
 
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.95, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
-    rows = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    ready = rows.withColumn("vec", F.when(usable(F.col("vec")), F.transform("vec", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))))
+    kind = "float" if vectors.select(vec_col).schema[0].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("vec_id"), F.col(vec_col).cast(f"array<{kind}>").alias("vec"))
+    ready = rows.withColumn("vec", F.when(usable(F.col("vec")), F.transform("vec", lambda x: F.when(x == 0, F.lit(0.0).cast(kind)).otherwise(x))))
     grouped = ready.where("vec is not null").groupBy("vec").agg(F.count("*").alias("times"), F.min("vec_id").alias("least_id"))
     points = grouped.withColumn("point", F.xxhash64("vec", "least_id")).checkpoint()
     lengths = [x.n for x in points.select(F.size("vec").alias("n")).groupBy("n").count().orderBy("n").collect()]
-    parts = [q for q in (_points(points.where(F.size("vec") == n).select("point", "times", "vec"), cosine, pivots, block) for n in lengths) if q is not None]
+    dealt = [squares(points.where(F.size("vec") == n).select("point", "times", "vec"), cosine, pivots, block) for n in lengths]
+    parts = [q.groupBy("lo", "hi").applyInArrow(_square(cosine), _SQUARE) for q in dealt if q is not None]
     if not parts:
         links = vectors.sparkSession.createDataFrame([], _SQUARE)
     else:

@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from arbor.llm.metric_join import MOST_BLOCK, near_duplicates, side_of
+from arbor.llm.metric_join import MOST_BLOCK, near_duplicates, parts_of, side_of, squares
 
 
 def brute(rows, cosine):
@@ -59,3 +60,29 @@ def test_ties_at_the_threshold_are_seen_from_both_ends(spark):
 
 def test_shuffled_rows_follow_their_law():
     assert side_of(51_282) == 4096 and side_of(10**6) == 8000 and side_of(10**9) == MOST_BLOCK
+
+
+def test_a_vector_goes_to_one_square_a_part(spark):
+    n = 6000
+    side = 4 * side_of(n, 40)
+    r = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, 1, x.tolist()) for i, x in enumerate(r.normal(size=(n, 32)))], "point long, times long, vec array<float>")
+    rows = squares(df, 0.95, 24, 40)
+    parts = rows.agg(F.max("hi")).first()[0] + 1
+    assert parts <= 2 * n / side and rows.count() <= n * parts and dict(rows.dtypes)["vec"] == "array<float>"
+    assert max(c["count"] for c in rows.groupBy("lo", "hi", "side").count().collect()) <= 1.1 * side
+
+
+def test_cells_are_packed_into_parts():
+    assert parts_of([3, 4, 25, 2, 9, 0, 10], 10) == [range(0, 1), range(0, 1), range(1, 4), range(4, 5), range(5, 6), range(5, 6), range(6, 7)]
+
+
+def test_large_families_within_and_across_parts(spark):
+    r = np.random.default_rng(8)
+    base = r.normal(size=(3, 12))
+    rows = [(i, (base[i % 3] + r.normal(size=12) * 0.01 * (i % 5)).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    held = [(g.vec_id, list(map(float, g.embedding))) for g in df.collect()]
+    for block in (3, 20, 4096):
+        got = near_duplicates(df, pivots=4, block=block).collect()
+        assert sorted(((g.vec_id, g.n_links, g.component_id) for g in got), key=str) == brute(held, 0.95)
