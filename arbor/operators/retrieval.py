@@ -14,6 +14,8 @@ from arbor.functions import coords as K
 from arbor.operators.vector_search import best, matrix, stacked, top_k_join
 
 WORDS = r"[\p{L}\p{N}_]+"
+#: Different asked words of a document that its words are looked up in one by one.
+FEW_TERMS = 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -61,18 +63,27 @@ def okapi(texts: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: floa
     texts: document_id, doc_key, position, text; queries: query_id, document_id, query_text, each for one document. idf is
     ln(N - df + 0.5) - ln(df + 0.5); a negative one becomes `floor` times the mean idf of the document's terms. A term counts as often as the
     query has it. Texts without a term have score 0 and fill the k best in the order of their position.
+
+    A text is one row until its words are down to asked ones; document frequencies of other words become one row a document where they are
+    counted. So what is written and shuffled grows with texts and asked words, not with all words. A document that is asked for more than
+    FEW_TERMS different words keeps all of its words for the joins.
     """
     toks = lambda c: F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(WORDS), F.lit(0))
     asked = queries.select("query_id", "document_id", F.explode(toks("query_text")).alias("term")).groupBy("query_id", "document_id", "term").agg(F.count("*").alias("times"))
-    here = texts.join(queries.select("document_id").distinct(), "document_id", "left_semi").select("document_id", "doc_key", "position", toks("text").alias("t"))
-    sizes = here.select("document_id", "doc_key", "position", F.size("t").alias("dl"))
+    wanted = queries.select("document_id", F.explode_outer(toks("query_text")).alias("term")).groupBy("document_id").agg(F.collect_set("term").alias("w"))
+    wanted = wanted.select("document_id", F.when(F.size("w") <= FEW_TERMS, F.col("w")).alias("wanted"))
+    is_asked = lambda term: F.col("wanted").isNull() | F.array_contains("wanted", term)
+    here = texts.join(wanted, "document_id").select("document_id", "doc_key", "position", "wanted", toks("text").alias("t"))
+    sizes = here.select("document_id", "doc_key", "position", F.size("t").alias("dl"), F.filter("t", is_asked).alias("hits")).checkpoint()
     stats = sizes.groupBy("document_id").agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))
-    tf = here.select("document_id", "doc_key", F.explode("t").alias("term")).groupBy("document_id", "doc_key", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("document_id", "term").agg(F.count("*").alias("df")).join(stats, "document_id")
+    df = here.select("document_id", F.explode(F.array_distinct("t")).alias("term")).groupBy("document_id", "term").agg(F.count("*").alias("df")).join(stats.join(wanted, "document_id"), "document_id")
     df = df.withColumn("raw", F.log(F.col("N") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = df.groupBy("document_id").agg(F.avg("raw").alias("mean"))
-    idf = df.join(asked.select("document_id", "term").distinct(), ["document_id", "term"], "left_semi").join(mean, "document_id").withColumn("idf", F.when(F.col("raw") < 0, floor * F.col("mean")).otherwise(F.col("raw")))
-    x = tf.join(idf.select("document_id", "term", "idf", "avgdl"), ["document_id", "term"]).join(asked, ["document_id", "term"]).join(sizes.select("document_id", "doc_key", "dl"), ["document_id", "doc_key"])
+    # the words that nobody asks for are one group of a document
+    df = df.groupBy("document_id", F.when(is_asked(F.col("term")), F.col("term")).alias("term")).agg(F.sum("raw").alias("raw"), F.count("*").alias("terms"), F.first("avgdl").alias("avgdl")).checkpoint()
+    mean = df.groupBy("document_id").agg((F.sum("raw") / F.sum("terms")).alias("mean"))
+    idf = df.where("term is not null").join(mean, "document_id").withColumn("idf", F.when(F.col("raw") < 0, floor * F.col("mean")).otherwise(F.col("raw")))
+    tf = sizes.select("document_id", "doc_key", "dl", F.explode("hits").alias("term")).groupBy("document_id", "doc_key", "dl", "term").agg(F.count("*").alias("tf"))
+    x = tf.join(asked.join(idf.select("document_id", "term", "idf", "avgdl"), ["document_id", "term"]), ["document_id", "term"])
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     score = x.groupBy("query_id", "document_id", "doc_key").agg(F.sum(part).alias("score"))
     every = queries.select("query_id", "document_id").join(sizes.select("document_id", "doc_key", "position"), "document_id").join(score, ["query_id", "document_id", "doc_key"], "left").fillna(0.0, ["score"])

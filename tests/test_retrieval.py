@@ -1,3 +1,4 @@
+from arbor.operators import retrieval as R
 from arbor.operators.retrieval import greedy_tiling, propagate, with_siblings
 
 
@@ -40,3 +41,27 @@ def test_flagship_scores_siblings(spark):
     sib = lambda i: ":".join([*i.split(":")[:2], str(int(i.split(":")[2]) ^ 1)])
     pairs = [(q, sib(i)) for q, i in seeds if (q, sib(i)) in ids]
     assert pairs and all(ids[p] is not None for p in pairs)
+
+
+def _okapi_rows(spark, few, monkeypatch=None):
+    words = ["alpha", "beta", "gamma", "delta", "omega"]
+    texts = [(d, f"{d}:{i}", i, " ".join(words[(d + i * j) % 5] for j in range(1 + (d + i) % 7)) if (d + i) % 6 else None) for d in range(4) for i in range(9)]
+    t = spark.createDataFrame(texts, "document_id long, doc_key string, position int, text string")
+    q = spark.createDataFrame([(1, 0, "alpha beta beta"), (2, 0, "Gamma nowhere"), (3, 1, "delta alpha omega"), (4, 2, None), (5, 9, "alpha")], "query_id long, document_id long, query_text string")
+    if few is not None:
+        monkeypatch.setattr(R, "FEW_TERMS", few)
+    return R.okapi(t, q, 6), texts, q.collect()
+
+
+def test_okapi_keeps_asked_words_only_or_all_of_them(spark, monkeypatch):
+    a = sorted((r.query_id, r.rank, r.doc_key, round(r.score, 9)) for r in _okapi_rows(spark, None)[0].collect())
+    b = sorted((r.query_id, r.rank, r.doc_key, round(r.score, 9)) for r in _okapi_rows(spark, 1, monkeypatch)[0].collect())
+    assert a == b and {q for q, *_ in a} == {1, 2, 3, 4} and len(a) == 4 * 6
+    assert all(s == 0 for q, _, _, s in a if q == 4) and [k for q, _, k, _ in a if q == 4] == [f"2:{i}" for i in range(6)]
+
+
+def test_okapi_joins_no_row_of_a_word_that_nobody_asks_for(spark):
+    """No join by words carries the words of texts before those not asked for are gone."""
+    found, _, _ = _okapi_rows(spark, None)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct" not in plan and "regexp_extract_all" in plan and plan.count("explode(t") == 0
