@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbor.functions import coords as K
-from arbor.operators.vector_search import best, matrix, stacked, top_k_join
+from arbor.operators.vector_search import best, matrix, products, stacked, top_k_join
 
 WORDS = r"[\p{L}\p{N}_]+"
 #: Different asked words of a document that its words are looked up in one by one.
@@ -46,11 +46,11 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_bound: in
         for b in batches:
             if not len(b) or not len(ids):
                 continue
-            own = np.asarray(b.column("vec_id"))
-            rel = np.round(np.clip(matrix(b.column("vec")) @ q.T, 0, 1), 12).T
-            got = [best(r, own, k) for r in rel]
-            at, cols = np.repeat(np.arange(len(ids)), [len(g) for g in got]), np.concatenate(got)
-            yield pa.record_batch([pa.array(ids[at]), pa.array(own[cols], pa.int64()), pa.array(rel[at, cols])], ["query_id", "vec_id", "relevance"])
+            own, x = np.asarray(b.column("vec_id")), matrix(b.column("vec"))
+            for first, rel in products(q, x):
+                got = [best(r, own, k) for r in rel]
+                at, cols = np.repeat(np.arange(len(rel)), [len(g) for g in got]), np.concatenate(got)
+                yield pa.record_batch([pa.array(ids[first + at]), pa.array(own[cols], pa.int64()), pa.array(rel[at, cols])], ["query_id", "vec_id", "relevance"])
 
     scored = vectors.where("vec is not null").select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("vec").cast("array<double>").alias("vec")).mapInArrow(run, "query_id long, vec_id long, relevance double")
     w = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "vec_id")

@@ -27,6 +27,10 @@ SAMPLE_ROWS = 65_536
 CENTER_BYTES = 64 << 20
 #: Vectors of a file of the index.
 FILE_ROWS = 1 << 18
+#: Products of requests and vectors that a task holds at once.
+PRODUCTS = 1 << 20
+#: Rows that are given out at once where a vector goes to several cells.
+CELL_ROWS = 8192
 
 
 def matrix(col) -> np.ndarray:
@@ -50,6 +54,14 @@ def best(rel: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
     return at
 
 
+def products(q: np.ndarray, x: np.ndarray, most: int | None = None):
+    """(number of the first request, relevance of some requests to all vectors): no more than `most` products at once, or one request."""
+    step = max(1, (most or PRODUCTS) // max(1, len(x)))
+    for at in range(0, len(q), step):
+        rel = q[at : at + step] @ x.T
+        yield at, np.round(np.clip(rel, 0, 1, out=rel), 12, out=rel)
+
+
 def _by_key(keys: np.ndarray) -> dict:
     order = np.argsort(keys, kind="stable")
     found, first = np.unique(keys[order], return_index=True)
@@ -69,15 +81,16 @@ def _meet(k: int, windowed: bool):
                 at = own.get(key)
                 if at is None:
                     continue
-                rel = np.round(np.clip(q[rows] @ x[at].T, 0, 1), 12)
-                if windowed:
-                    s, e, z = (v[rows][:, None] for v in (start, end, horizon))
-                    rel = np.where((lo[at] < e) & (hi[at] > s) & (hi[at] < z), rel, -1.0)
-                for i, r in zip(rows.tolist(), rel):
-                    got = best(r, ids[at], k)
-                    out["query_id"].append(np.full(len(got), asked[i]))
-                    out["vec_id"].append(ids[at[got]])
-                    out["relevance"].append(r[got])
+                for first, rel in products(q[rows], x[at]):
+                    some = rows[first : first + len(rel)]
+                    if windowed:
+                        s, e, z = (v[some][:, None] for v in (start, end, horizon))
+                        rel = np.where((lo[at] < e) & (hi[at] > s) & (hi[at] < z), rel, -1.0)
+                    for i, r in zip(some.tolist(), rel):
+                        got = best(r, ids[at], k)
+                        out["query_id"].append(np.full(len(got), asked[i]))
+                        out["vec_id"].append(ids[at[got]])
+                        out["relevance"].append(r[got])
         join = lambda name, kind: pa.array(np.concatenate(out[name]) if out[name] else [], kind)
         return pa.table({"query_id": join("query_id", pa.int64()), "vec_id": join("vec_id", pa.int64()), "relevance": join("relevance", pa.float64())})
 
@@ -111,7 +124,11 @@ def top_k_join(requests: DataFrame, vectors: DataFrame, k: int, key: str | None
 
 def _nearest(x: np.ndarray, centers: np.ndarray, probes: int) -> np.ndarray:
     """The nearest centers of each vector, ties to the smallest number."""
-    return np.argsort(-np.round(x @ centers.T, 12), axis=1, kind="stable")[:, :probes]
+    out, step = np.zeros((len(x), min(probes, len(centers))), np.int64), max(1, PRODUCTS // max(1, len(centers)))
+    for at in range(0, len(x), step):
+        near = np.round(x[at : at + step] @ centers.T, 12)
+        out[at : at + step] = near.argmax(axis=1)[:, None] if probes == 1 else np.argsort(-near, axis=1, kind="stable")[:, :probes]
+    return out
 
 
 def _checked(centers: np.ndarray) -> np.ndarray:
@@ -124,9 +141,12 @@ def with_cells(vectors: DataFrame, centers: np.ndarray, probes: int = 1) -> Data
     """The rows with a vector, one for each of their `probes` nearest cells, the nearest with near = 0."""
     centers = _checked(centers)
 
+    step = max(1, CELL_ROWS // max(1, probes))
+
     def run(batches):
-        for b in batches:
-            if len(b):
+        for whole in batches:
+            for at in range(0, len(whole), step):
+                b = whole.slice(at, step)
                 near = _nearest(matrix(b.column("vec")), centers, probes)
                 out = b.take(pa.array(np.repeat(np.arange(len(b)), near.shape[1])))
                 yield pa.record_batch([*out.columns, pa.array(near.ravel().astype(np.int32)), pa.array(np.tile(np.arange(near.shape[1], dtype=np.int32), len(b)))], [*b.schema.names, "cell", "near"])

@@ -1,7 +1,9 @@
 import glob
 import os
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from arbor.operators import retrieval as V
@@ -136,3 +138,27 @@ def test_broken_and_absent_snapshots_are_empty_and_other_errors_raise(spark, tmp
         assert files.load_vectors(spark, f"{path}/{name}", schema, whole=True).collect() == []
     with pytest.raises(Exception, match="nosuchscheme"):
         files.load_vectors(spark, "nosuchscheme://host/path", schema, whole=True)
+
+
+def _peak(f):
+    tracemalloc.start()
+    try:
+        f()
+        return tracemalloc.get_traced_memory()[1] >> 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_products_are_made_a_slice_at_a_time():
+    r = np.random.default_rng(2)
+    table = lambda n, name: pa.table({name: np.arange(n), "vec": pa.array(r.normal(size=(n, 4)).tolist(), pa.list_(pa.float64())), "__key": np.zeros(n, np.int64)})
+    left, right = table(1000, "query_id"), table(8192, "vec_id")
+    assert _peak(lambda: X._meet(5, False)(left, right)) < 40  # all products are 64 MB, and were held several times
+    assert _peak(lambda: X._nearest(r.normal(size=(8000, 4)), r.normal(size=(1000, 4)), 1)) < 40
+
+
+def test_a_batch_that_goes_to_many_cells_is_given_out_in_slices(spark):
+    centers = np.eye(64)
+    df = spark.createDataFrame([(i, [float(i == j) + 0.01 * j for j in range(64)]) for i in range(300)], "vec_id long, vec array<double>").coalesce(1)
+    placed = X.with_cells(df, centers, 64)
+    assert placed.count() == 300 * 64 and placed.select("vec_id", "cell").distinct().count() == 300 * 64
