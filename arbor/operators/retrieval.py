@@ -167,23 +167,24 @@ def similarities(left: DataFrame, right: DataFrame, block: int = 512) -> DataFra
 def mmr(candidates: DataFrame, k: int | None, lam: float = 0.7) -> DataFrame:
     """Maximal marginal relevance: (query_id, vec_id, position) from (query_id, vec_id, relevance, rank, vec), k of each query, or as many as its column `take` says.
 
-    Sequential by nature, so one group of candidates (a few times k) is one pandas frame.
+    Sequential by nature, so one group of candidates (a few times k) is one table.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank", kind="stable").reset_index(drop=True)
-        x, rel, most = np.stack(pdf["vec"].map(np.asarray)), pdf["relevance"].to_numpy(), k if k is not None else int(pdf["take"].iloc[0])
-        sims = np.clip(x @ x.T, 0, 1)
-        left, chosen, near = np.ones(len(pdf), bool), [], np.zeros(len(pdf))
-        while left.any() and len(chosen) < most:
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(table["rank"].to_numpy(), kind="stable")
+        x, rel, most = matrix(table["vec"])[order], table["relevance"].to_numpy()[order], k if k is not None else table["take"][int(order[0])].as_py()
+        sims, left, chosen, near = np.clip(x @ x.T, 0, 1), np.ones(len(rel), bool), [], np.zeros(len(rel))
+        while len(chosen) < min(most, len(rel)):
             value = np.where(left, rel if not chosen else lam * rel - (1 - lam) * near, -np.inf)
             i = int(np.argmax(value))
             chosen.append(i)
             left[i] = False
             near = np.maximum(near, sims[i])
-        return pd.DataFrame({"query_id": pdf["query_id"].iloc[chosen].to_numpy(), "vec_id": pdf["vec_id"].iloc[chosen].to_numpy(), "position": np.arange(1, len(chosen) + 1)})
+        at = order[chosen]
+        ids = [pa.array(table[c].to_numpy()[at], pa.int64()) for c in ("query_id", "vec_id")]
+        return pa.table([*ids, pa.array(np.arange(1, len(chosen) + 1), pa.int64())], names=["query_id", "vec_id", "position"])
 
-    return candidates.groupBy("query_id").applyInPandas(run, "query_id long, vec_id long, position long")
+    return candidates.groupBy("query_id").applyInArrow(run, "query_id long, vec_id long, position long")
 
 
 def coverage(seeds: DataFrame, nodes: DataFrame) -> DataFrame:
