@@ -201,23 +201,31 @@ def coverage(seeds: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.unionByName(roots).distinct().join(nodes, ["document_id", "height", "level_index"])
 
 
+def _means(x: dict) -> dict[str, float | None]:
+    """Scores of the nodes of one coverage by id, bottom up: leaves as given, parents the mean of their scored children, 0 if none."""
+    got: dict[str, list[float]] = {}
+    score: dict[str, float | None] = {}
+    for k in sorted(range(len(x["id"])), key=lambda k: x["height"][k]):
+        i, up = x["id"][k], x["parent_id"][k]
+        score[i] = x["score"][k] if x["height"][k] == 0 else sum(got[i]) / len(got[i]) if i in got else 0.0
+        if score[i] is not None and up is not None:
+            got.setdefault(up, []).append(score[i])
+    return score
+
+
 def propagate(cover: DataFrame, leaf_scores: DataFrame) -> DataFrame:
     """(query_id, id, score) of covered nodes: leaves as given (absent: none), parents the mean of their scored children, 0 if none.
 
     Bottom up inside one group, the coverage of one query and document, as the tiling has it too.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got: dict[str, list[float]] = {}
-        out = []
-        for r in pdf.sort_values("height", kind="stable").itertuples():
-            s = r.score if r.height == 0 else float(np.mean(got[r.id])) if r.id in got else 0.0
-            out.append((r.query_id, r.id, None if pd.isna(s) else s))
-            if not pd.isna(s) and r.parent_id is not None:
-                got.setdefault(r.parent_id, []).append(s)
-        return pd.DataFrame(out, columns=["query_id", "id", "score"])
+    def run(table: pa.Table) -> pa.Table:
+        score = _means(table.to_pydict())
+        ids = list(score)
+        key = pa.array([table["query_id"][0].as_py()] * len(ids), pa.int64())
+        return pa.table([key, pa.array(ids, pa.string()), pa.array(list(score.values()), pa.float64())], names=["query_id", "id", "score"])
 
-    return cover.select("query_id", "document_id", "id", "parent_id", "height").join(leaf_scores, ["query_id", "id"], "left").groupBy("query_id", "document_id").applyInPandas(run, "query_id long, id string, score double")
+    return cover.select("query_id", "document_id", "id", "parent_id", "height").join(leaf_scores, ["query_id", "id"], "left").groupBy("query_id", "document_id").applyInArrow(run, "query_id long, id string, score double")
 
 
 def frontier(cover: DataFrame) -> DataFrame:
@@ -281,14 +289,7 @@ def _tile(table: pa.Table) -> pa.Table:
     """Scores and tiling of one coverage: see `tile`."""
     x = table.to_pydict()
     ids, n = x["id"], len(x["id"])
-    got: dict[str, list[float]] = {}
-    score: dict[str, float | None] = {}
-    parent = dict(zip(ids, x["parent_id"]))
-    for k in sorted(range(n), key=lambda k: x["height"][k]):
-        i = ids[k]
-        score[i] = x["score"][k] if x["height"][k] == 0 else sum(got[i]) / len(got[i]) if i in got else 0.0
-        if score[i] is not None and parent[i] is not None:
-            got.setdefault(parent[i], []).append(score[i])
+    score, parent = _means(x), dict(zip(ids, x["parent_id"]))
     budget = x["budget"][0]
     tiles, total = _roll_up(dict(zip(ids, x["token_count"])), parent, {i: v or 0.0 for i, v in score.items()}, budget)
     at = sorted((k for k in range(n) if ids[k] in tiles), key=lambda k: (x["span_start"][k], ids[k]))

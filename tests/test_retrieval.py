@@ -65,3 +65,14 @@ def test_okapi_joins_no_row_of_a_word_that_nobody_asks_for(spark):
     found, _, _ = _okapi_rows(spark, None)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "array_distinct" not in plan and "regexp_extract_all" in plan and plan.count("explode(t") == 0
+
+
+def test_small_groups_go_through_arrow_without_a_data_frame_each(spark):
+    leaf = spark.createDataFrame([(1, "7:0:0", 0.8)], "query_id long, id string, score double")
+    found = spark.createDataFrame([(1, i, 1 - i / 10, i, [1.0, i / 10]) for i in range(5)] + [(2, 9, 0.5, 1, [1.0, 0.0])], "query_id long, vec_id long, relevance double, rank int, vec array<double>")
+    chosen = R.mmr(found, 3)
+    for df in (propagate(_cover(spark), leaf), chosen):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapGroupsInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+    got = sorted((r.query_id, r.position, r.vec_id) for r in chosen.collect())
+    assert [(q, p) for q, p, _ in got] == [(1, 1), (1, 2), (1, 3), (2, 1)] and got[0][2] == 0 and got[3][2] == 9
