@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 SEPARATORS = (r"\n\n", r"(?<=[.!?])\s+", r"\n", r" ")
 
 
+#: Characters of texts whose pieces are given out at once.
+PIECES_CHARS = 1 << 20
+
+
 def tokens(n_chars: int) -> int:
     return max(1, n_chars // 4) if n_chars else 0
 
@@ -37,23 +41,33 @@ def split_text(text: str, most: int, level: int = 0) -> list[str]:
     return out + [held] if held else out
 
 
-def split_documents(docs: DataFrame, most: int = 100) -> DataFrame:
-    """document_id, level_index, span_start, span_end, text: leaves of every document.
-
-    Blank pieces go after the spans are known, so spans may have gaps; null and empty texts have no leaves.
-    Documents are split one by one inside Arrow batches, without a shuffle.
-    """
+def _pieces(most: int):
+    columns = ["document_id", "level_index", "span_start", "span_end", "text"]
 
     def rows(batches):
         for b in batches:
-            out = []
+            out, held = [], 0
             for doc, text in zip(b["document_id"], b["text"]):
                 at = 0
+                if held > PIECES_CHARS:
+                    yield pd.DataFrame(out, columns=columns)
+                    out, held = [], 0
+                held += len(text or "")
                 for k, piece in enumerate(split_text(text or "", most)):
                     if piece.strip():
                         out.append((doc, k, at, at + len(piece), piece))
                     at += len(piece)
-            yield pd.DataFrame(out, columns=["document_id", "level_index", "span_start", "span_end", "text"])
+            yield pd.DataFrame(out, columns=columns)
+
+    return rows
+
+
+def split_documents(docs: DataFrame, most: int = 100) -> DataFrame:
+    """document_id, level_index, span_start, span_end, text: leaves of every document.
+
+    Blank pieces go after the spans are known, so spans may have gaps; null and empty texts have no leaves.
+    Documents are split one by one inside Arrow batches, without a shuffle.
+    """
 
     x = docs.select(F.col("doc_id").cast("long").alias("document_id"), "text")
-    return x.mapInPandas(rows, "document_id long, level_index int, span_start long, span_end long, text string")
+    return x.mapInPandas(_pieces(most), "document_id long, level_index int, span_start long, span_end long, text string")

@@ -61,3 +61,15 @@ def test_truncation_by_time_keeps_units_without_a_time_and_closes_gaps(spark):
     rows = [(1, 0, 0, 10, 1.0), (1, 1, 10, 14, 9.0), (1, 2, 14, 20, None)]
     u = spark.createDataFrame(rows, "document_id long, level_index long, span_start long, span_end long, time_end double")
     assert sorted((r.level_index, r.span_start, r.span_end) for r in M.truncate_by_time(u, 5.0).collect()) == [(0, 0, 10), (2, 10, 16)]
+
+
+def test_pieces_of_a_batch_are_given_out_in_slices():
+    import pandas as pd
+
+    from arbor.operators.splitter import PIECES_CHARS, _pieces
+
+    texts = ["word " * 60_000, None, ""] * 8
+    got = list(_pieces(100)([pd.DataFrame({"document_id": range(len(texts)), "text": texts})]))
+    assert len(got) >= 2 and max(g["text"].str.len().sum() for g in got) <= PIECES_CHARS + 300_000
+    whole = pd.concat(got).groupby("document_id")["text"].agg("".join)
+    assert whole.to_dict() == {i: t for i, t in enumerate(texts) if t}
