@@ -269,19 +269,20 @@ _SYNCED = """WITH e AS (SELECT user_id AS session, event_id AS uuid, ts FROM eve
 @query("st13_st14_sync_stream", _SYNCED)
 def sync_stream(spark, d):
     """Three batches: a third of the records; another third, of which those not later stay out; then reverts of some of the first."""
-    return sync_log(spark, f"{_three_batches(spark, d)}/*", scratch(spark, "sync")).select("session", "uuid")
+    return _three_batches(spark, d, sync_log)
 
 
 @query("st13_st14_sync_buckets", _SYNCED)
 def sync_buckets(spark, d):
     """The same batches, each of which reads and writes the buckets of its sessions only."""
-    return sync_by_bucket(spark, f"{_three_batches(spark, d)}/*", scratch(spark, "sync")).select("session", "uuid")
+    return _three_batches(spark, d, sync_by_bucket)
 
 
-def _three_batches(spark, d):
-    e = F.col("uuid")
+def _three_batches(spark, d, sync):
+    """The index after three appends to a log, each taken in as one batch, however many files it has."""
+    e, source, path = F.col("uuid"), scratch(spark, "log"), scratch(spark, "sync")
     x = S.read(spark, d, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("uuid"), F.col("ts").cast("timestamp").alias("ts"))
-    source = scratch(spark, "log")
     for part, removed in ((e % 3 == 0, False), (e % 3 == 1, False), (e % 21 == 0, True)):
-        x.where(part).withColumn("removed", F.lit(removed)).repartition("session").write.json(f"{source}/{uuid.uuid4().hex}")
-    return source
+        x.where(part).withColumn("removed", F.lit(removed)).write.json(f"{source}/{uuid.uuid4().hex}")
+        got = sync(spark, f"{source}/*", path, files=None)
+    return got.select("session", "uuid")

@@ -53,3 +53,34 @@ def test_a_batch_writes_the_buckets_of_its_sessions(spark, tmp_path):
     put(rows([(7, 2)], True), 2)
     assert {r.uuid for r in sync_by_bucket(spark, f"{source}/*", path, 16).where("session = 7").collect()} == {1, 3, 4}
     assert sync_by_bucket(spark, f"{source}/*", path, 16).count() == 120
+
+
+@pytest.mark.parametrize("name", ["st13_st14_sync_stream", "st13_st14_sync_buckets"])
+def test_an_append_of_many_files_is_one_batch(spark, tmp_path, monkeypatch, name):
+    """The log and the index are read and written once an append, not once a file."""
+    from arbor.plans import paths, registry
+
+    monkeypatch.setattr(paths, "scratch", lambda s, n: str(tmp_path / n))
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(6).write.parquet(str(tmp_path / "events.parquet"))
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        got = registry.QUERIES[name](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset(key)
+    assert len(glob.glob(f"{tmp_path}/log/*/*.json")) > 6 and len(glob.glob(f"{tmp_path}/sync/progress/commits/[0-9]*")) == 3
+    assert len(got) == len({r.uuid for r in got}) > 500
+
+
+def test_both_ways_to_sync_agree(spark, tmp_path):
+    """Logs with records sent again, reverts, missing fields and late ones, some files a batch."""
+    from arbor.streaming.sync import sync
+
+    ensure_checkpoint_dir(spark)
+    r, t = random.Random(8), datetime.datetime(2024, 1, 1)
+    row = lambda: (r.choice([*range(6), None]), r.choice([*range(30), None]), r.choice([None] + [t + datetime.timedelta(seconds=r.randrange(40))] * 9), r.choice([None, False, False, True]))
+    for k in range(4):
+        spark.createDataFrame([row() for _ in range(60)], RECORDS).repartition(3).write.json(f"{tmp_path}/log/{k}")
+        a, b = (sorted(map(tuple, f(spark, f"{tmp_path}/log/*", f"{tmp_path}/{f.__name__}", files=None).collect()), key=str) for f in (sync, sync_by_bucket))
+        assert a == b and a
