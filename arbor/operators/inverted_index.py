@@ -16,6 +16,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,19 +39,37 @@ def _part(tf, n, avg, k1: float, b: float):
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / avg))
 
 
+_POSTINGS = "block int, term string, most int, least int, df long, no array<int>, tf array<int>, n array<int>, names array<string>, words long"
+
+
+def _postings(table: pa.Table) -> pa.Table:
+    """The rows of one block from its texts (block, doc_key, name, words joined by blanks), numbered by doc_key."""
+    table = table.take(pc.sort_indices(table, sort_keys=[("doc_key", "ascending")], null_placement="at_start"))
+    lists = pc.split_pattern(table["joined"].combine_chunks(), " ")
+    size = np.where(pc.equal(table["joined"], "").to_numpy(), 0, pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+    words = lists.flatten()
+    words = words.filter(pc.not_equal(words, "")).dictionary_encode()
+    terms = words.dictionary.cast(pa.string())
+    key, tf = np.unique(words.indices.to_numpy().astype(np.int64) * len(size) + np.repeat(np.arange(len(size)), size), return_counts=True)
+    term, no = np.divmod(key, len(size))
+    at = np.searchsorted(term, np.arange(len(terms) + 1))
+    df, n = np.diff(at), size[no]
+    least, most = (f.reduceat(x, at[:-1]) if len(terms) else x for f, x in ((np.minimum, n), (np.maximum, tf)))
+    ints = lambda x: pa.array(x, pa.int32())
+    lists_of = lambda x: pa.concat_arrays([pa.ListArray.from_arrays(ints(at), ints(x)), pa.nulls(1, pa.list_(pa.int32()))])
+    last = lambda x, v: pa.concat_arrays([x, pa.array([v], x.type)])
+    names = table["name"].to_pylist()
+    columns = [pa.array(np.full(len(terms) + 1, table["block"][0].as_py()), pa.int32()), last(terms, ""), last(ints(most), None), last(ints(least), None), last(pa.array(df, pa.int64()), len(size)), lists_of(no), lists_of(tf), lists_of(n)]
+    columns += [last(pa.nulls(len(terms), pa.list_(pa.string())), names), last(pa.nulls(len(terms), pa.int64()), int(size.sum()))]
+    return pa.table(columns, names=[c.split()[0] for c in _POSTINGS.split(", ")])
+
+
 def build_index(texts: DataFrame, folder: str, k1: float = 1.5, b: float = 0.75, block_texts: int = BLOCK_TEXTS) -> None:
-    """Writes the index of (doc_key, text). One shuffle: what follows the dealing to blocks stays inside them. Smaller blocks skip more and have more rows."""
+    """Writes the index of (doc_key, text). One shuffle, of words; a block is one group, made by its task. Smaller blocks skip more and have more rows."""
     spark = texts.sparkSession
     blocks = max(1, math.ceil(texts.count() / block_texts))
-    dealt = texts.select("doc_key", toks("text").alias("t"), F.pmod(F.xxhash64("doc_key"), F.lit(blocks)).cast("int").alias("block")).withColumn("n", F.size("t"))
-    numbered = dealt.withColumn("no", (F.row_number().over(Window.partitionBy("block").orderBy("doc_key")) - 1).cast("int"))
-    tf = numbered.select("block", "no", "n", F.explode("t").alias("term")).groupBy("block", "term", "no", "n").agg(F.count("*").cast("int").alias("tf"))
-    lists = tf.groupBy("block", "term").agg(F.array_sort(F.collect_list(F.struct("no", "tf", "n"))).alias("p"), F.max("tf").alias("most"), F.min("n").alias("least"))
-    none = lambda kind: F.lit(None).cast(kind)
-    postings = lists.select("block", "term", "most", "least", F.size("p").cast("long").alias("df"), F.col("p.no").alias("no"), F.col("p.tf").alias("tf"), F.col("p.n").alias("n"), none("array<string>").alias("names"), none("long").alias("words"))
-    named = numbered.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("no", F.col("doc_key").cast("string").alias("k")))).alias("p"), F.sum("n").alias("words"))
-    heads = named.select("block", F.lit("").alias("term"), none("int").alias("most"), none("int").alias("least"), F.size("p").cast("long").alias("df"), *[none("array<int>").alias(c) for c in ("no", "tf", "n")], F.col("p.k").alias("names"), "words")
-    postings.unionByName(heads).write.mode("overwrite").parquet(f"{folder}/postings")
+    dealt = texts.select("doc_key", F.col("doc_key").cast("string").alias("name"), F.array_join(toks("text"), " ").alias("joined"), F.pmod(F.xxhash64("doc_key"), F.lit(blocks)).cast("int").alias("block"))
+    dealt.groupBy("block").applyInArrow(_postings, _POSTINGS).write.mode("overwrite").parquet(f"{folder}/postings")
     written = spark.read.parquet(f"{folder}/postings")
     s = written.where("term = ''").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("n"), (F.sum("words") / F.sum("df")).alias("avg")).first()  # one row
     spark.createDataFrame([(s.n, s.avg or 1.0, blocks, k1, b, dict(texts.dtypes)["doc_key"])], "n long, avg double, blocks int, k1 double, b double, kind string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
@@ -77,26 +96,23 @@ def score_pairs(folder: str, queries: DataFrame, pairs: DataFrame) -> DataFrame:
 def best_of_block(lists: list[tuple], k: int, least: float) -> tuple[list[tuple[float, int]], int]:
     """The k best (score, number) of a block for one query, and how many texts were scored.
 
-    lists: (bound, numbers, what they add) of each term that the block has, all weighted; least: scores below it do not count.
+    lists: (bound, ascending numbers, what they add) of each term that the block has, all weighted; least: scores below it do not count.
     """
     lists = sorted(lists, key=lambda x: x[0])
     upto = np.cumsum([x[0] for x in lists])
     if not len(upto) or upto[-1] < least - SLACK:
         return [], 0
     needed = int(np.searchsorted(upto, least - SLACK))  # texts with lists before this one only stay below `least`
-    found = np.unique(np.concatenate([x[1] for x in lists[needed:]]))
-    score = np.zeros(len(found))
-    for _, no, part in lists[needed:]:
-        score[np.searchsorted(found, no)] += part
+    numbers = np.concatenate([x[1] for x in lists[needed:]])
+    score = np.bincount(numbers, np.concatenate([x[2] for x in lists[needed:]]), minlength=1 + max(int(x[1][-1]) for x in lists))
+    stay = np.zeros(len(score), bool)
+    stay[numbers] = True
     for i in reversed(range(needed)):
-        stay = score + upto[i] >= least - SLACK
-        found, score = found[stay], score[stay]
-        if not len(found):
-            return [], 0
+        stay &= score >= least - SLACK - upto[i]
         _, no, part = lists[i]
-        at = np.minimum(np.searchsorted(found, no), len(found) - 1)
-        hit = found[at] == no
-        score[at[hit]] += part[hit]
+        score[no] += part  # also of texts that are out, whose scores nobody reads
+    found = np.flatnonzero(stay)
+    score = score[found]
     shown = np.round(score, 9)
     order = np.lexsort((found, -shown))[:k]
     return [(float(score[i]), int(found[i])) for i in order if score[i] >= least - SLACK], len(found)
@@ -108,21 +124,22 @@ def _search(asked: dict, least: dict, k: int, avg: float, k1: float, b: float):
         x = {c: table[c] for c in table.column_names}
         at = {t: i for i, t in enumerate(x["term"].to_pylist())}
         names = x["names"][at[""]].as_py() if "" in at else []
-        bound = _part(*(np.asarray(x[c].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False), np.float64) for c in ("most", "least")), avg, k1, b)
+        bound = _part(*(np.asarray(x[c].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False), np.float64) for c in ("most", "least")), avg, k1, b).tolist()
         held: dict[str, tuple] = {}
 
         def lists(t):
             if t not in held:
                 i = at[t]
                 no, tf, n = (np.asarray(x[c][i].values) for c in ("no", "tf", "n"))
-                held[t] = no.astype(np.int64), _part(tf.astype(np.float64), n, avg, k1, b)
+                part = _part(tf.astype(np.float64), n, avg, k1, b)
+                held[t] = float(part.max()), no.astype(np.int64), part
             return held[t]
 
         for q, terms in asked.items():
             here = [(t, idf) for t, idf in terms if t in at]
             floor = least.get(q, 0.0)
             if here and sum(idf * bound[at[t]] for t, idf in here) >= floor - SLACK:
-                got, n = best_of_block([(idf * float(lists(t)[1].max()), lists(t)[0], idf * lists(t)[1]) for t, idf in here], k, floor)
+                got, n = best_of_block([(idf * most, no, idf * part) for (most, no, part), idf in ((lists(t), idf) for t, idf in here)], k, floor)
                 rows.append((q, None, None, n))
                 rows += [(q, names[no], s, 0) for s, no in got]
         kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64())

@@ -79,3 +79,34 @@ def test_empty(spark, tmp_path):
     folder = str(tmp_path / "bm25")
     I.build_index(spark.createDataFrame([], "doc_key long, text string"), folder)
     assert I.top_k(folder, spark.createDataFrame([(1, "a")], "query_id long, query_text string"), 5).collect() == []
+
+
+def test_postings_of_a_block(spark, tmp_path):
+    """A word's texts, counts and lengths, numbered by key; empty texts count."""
+    ensure_checkpoint_dir(spark)
+    folder = str(tmp_path / "bm25")
+    texts = [("b", "x y x"), ("a", None), ("c", "Y y,y  z_1"), ("d", "")]
+    df = spark.createDataFrame(texts, "doc_key string, text string")
+    I.build_index(df, folder)
+    rows = {r.term: r for r in spark.read.parquet(f"{folder}/postings").collect()}
+    assert set(rows) == {"", "x", "y", "z_1"} and rows[""].names == ["a", "b", "c", "d"] and (rows[""].df, rows[""].words) == (4, 7)
+    assert (rows["y"].no, rows["y"].tf, rows["y"].n, rows["y"].most, rows["y"].least, rows["y"].df) == ([1, 2], [1, 3], [3, 4], 3, 3, 2)
+    assert (rows["x"].no, rows["x"].tf, rows["x"].n) == ([1], [2], [3])
+
+
+def test_a_block_adds_its_lists_without_sorting_them_again(monkeypatch):
+    """The time of a search is that of (block, query) pairs with some forty lists each: no sorted set and no search of a set for each list."""
+    import numpy as np
+
+    g, calls = np.random.default_rng(4), []
+    lists = [(float(b), np.sort(g.choice(512, 200, replace=False)), np.full(200, b / 2)) for b in np.linspace(0.1, 5, 40)]
+    for f in ("unique", "searchsorted"):
+        monkeypatch.setattr(np, f, lambda *a, f=getattr(np, f), **k: (calls.append(1), f(*a, **k))[1])
+    want = np.zeros(512)
+    for _, no, part in lists:
+        want[no] += part
+    best = sorted(((-round(float(s), 9), i) for i, s in enumerate(want)))[:5]
+    for least in (0.0, 20.0, -best[4][0]):
+        calls.clear()
+        got, n = I.best_of_block(lists, 5, least)
+        assert [(-round(s, 9), i) for s, i in got] == best and n <= 512 and len(calls) <= 1
