@@ -121,25 +121,28 @@ def best_of_block(lists: list[tuple], k: int, least: float) -> tuple[list[tuple[
 def _search(asked: dict, least: dict, k: int, avg: float, k1: float, b: float):
     def run(table: pa.Table) -> pa.Table:
         rows: list[tuple] = []
-        x = {c: table[c] for c in table.column_names}
+        x = {c: table[c].combine_chunks() for c in table.column_names}
         at = {t: i for i, t in enumerate(x["term"].to_pylist())}
         names = x["names"][at[""]].as_py() if "" in at else []
-        bound = _part(*(np.asarray(x[c].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False), np.float64) for c in ("most", "least")), avg, k1, b).tolist()
-        held: dict[str, tuple] = {}
-
-        def lists(t):
-            if t not in held:
-                i = at[t]
-                no, tf, n = (np.asarray(x[c][i].values) for c in ("no", "tf", "n"))
-                part = _part(tf.astype(np.float64), n, avg, k1, b)
-                held[t] = float(part.max()), no.astype(np.int64), part
-            return held[t]
+        bound = _part(*(np.asarray(x[c].fill_null(0).to_numpy(zero_copy_only=False), np.float64) for c in ("most", "least")), avg, k1, b).tolist()
+        no, tf, n = (x[c].flatten().to_numpy() for c in ("no", "tf", "n"))
+        size = pc.list_value_length(x["no"]).fill_null(0).to_numpy(zero_copy_only=False)
+        ends, part = np.cumsum(size), _part(tf.astype(np.float64), n, avg, k1, b)
+        most, held = np.zeros(len(size)), np.flatnonzero(size)
+        if len(held):
+            most[held] = np.maximum.reduceat(part, (ends - size)[held])
+        most, cuts = most.tolist(), list(zip((ends - size).tolist(), ends.tolist()))
+
+        def weighted(t, idf):
+            i = at[t]
+            one = slice(*cuts[i])
+            return idf * most[i], no[one], idf * part[one]
 
         for q, terms in asked.items():
             here = [(t, idf) for t, idf in terms if t in at]
             floor = least.get(q, 0.0)
             if here and sum(idf * bound[at[t]] for t, idf in here) >= floor - SLACK:
-                got, n = best_of_block([(idf * most, no, idf * part) for (most, no, part), idf in ((lists(t), idf) for t, idf in here)], k, floor)
+                got, n = best_of_block([weighted(t, idf) for t, idf in here], k, floor)
                 rows.append((q, None, None, n))
                 rows += [(q, names[no], s, 0) for s, no in got]
         kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64())
