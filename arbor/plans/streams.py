@@ -17,14 +17,14 @@ def _events(spark, d):
     return S.read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _stream(spark, events, name: str, order: str = "ts"):
-    """The events as a stream of BATCHES files, cut at shares of their order, and a folder."""
+def _changes(spark, events, make, name: str, order: str = "ts"):
+    """The changes that `make` gives of the events as a stream of BATCHES batches, cut at shares of their order."""
     path, at = scratch(spark, name), F.unix_micros(order) if order == "ts" else F.col(order)
     cuts = events.select(at.cast("double").alias("x")).approxQuantile("x", [(i + 1) / BATCHES for i in range(BATCHES - 1)], 0.01)
     batch = F.lit(0)
     for c in cuts:
         batch = batch + (at > c).cast("int")
-    return X.stream_of(spark, [events.where(batch == i) for i in range(BATCHES)], f"{path}/in"), path
+    return X.run_parts(spark, [events.where(batch == i) for i in range(BATCHES)], make, path)
 
 
 def _requests(events):
@@ -49,8 +49,8 @@ def _requests(events):
 )
 def session_registry(spark, d):
     """Sessions of users that end 30 minutes after their last access."""
-    stream, path = _stream(spark, _requests(_events(spark, d)).withColumnRenamed("at", "ts"), "registry")
-    return X.run_changes(X.session_registry(stream.withColumnRenamed("ts", "at")), path).drop("batch")
+    make = lambda stream: X.session_registry(stream.withColumnRenamed("ts", "at"))
+    return _changes(spark, _requests(_events(spark, d)).withColumnRenamed("at", "ts"), make, "registry").drop("batch")
 
 
 _HISTORY = """WITH j AS (SELECT event_id, user_id AS append_id, ts, CASE event_id % 4 WHEN 0 THEN 'in_progress' WHEN 2 THEN
@@ -63,8 +63,7 @@ _HISTORY = """WITH j AS (SELECT event_id, user_id AS append_id, ts, CASE event_i
 @query("st04_history_stream", _HISTORY)
 def history(spark, d):
     """The history of finished runs, kept from batch to batch; the batches are cut by the events' ids, so records come out of their order in time."""
-    stream, path = _stream(spark, _events(spark, d), "history", "event_id")
-    changes = X.run_changes(X.run_history(S.journal(stream)), path)
+    changes = _changes(spark, _events(spark, d), lambda stream: X.run_history(S.journal(stream)), "history", "event_id")
     return X.latest(changes, "append_id").where("finished").drop("finished")
 
 
@@ -75,10 +74,9 @@ def history(spark, d):
  WHERE event_id % 4 = 1 GROUP BY 1""",
 )
 def nodes(spark, d):
-    stream, path = _stream(spark, _events(spark, d), "nodes", "event_id")
     e = F.col("event_id")
-    commits = stream.where(e % 4 == 1).select((e % 997).alias("node_id"), "event_id", "ts", (e % 5).alias("height"), e.alias("span_start"), (e + 10).alias("span_end"))
-    return X.latest(X.run_changes(X.node_fold(commits), path), "node_id")
+    commits = lambda stream: stream.where(e % 4 == 1).select((e % 997).alias("node_id"), "event_id", "ts", (e % 5).alias("height"), e.alias("span_start"), (e + 10).alias("span_end"))
+    return X.latest(_changes(spark, _events(spark, d), lambda stream: X.node_fold(commits(stream)), "nodes", "event_id"), "node_id")
 
 
 @query(
@@ -88,9 +86,8 @@ def nodes(spark, d):
 )
 def progress(spark, d):
     """Polls of what is left, of which only changes are told."""
-    stream, path = _stream(spark, _events(spark, d), "progress", "event_id")
-    polls = stream.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.floor(F.col("value") / 40) % 3).cast("long").alias("total"))
-    return X.run_changes(X.progress_changes(polls), path).drop("batch")
+    polls = lambda stream: stream.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), (F.floor(F.col("value") / 40) % 3).cast("long").alias("total"))
+    return _changes(spark, _events(spark, d), lambda stream: X.progress_changes(polls(stream)), "progress", "event_id").drop("batch")
 
 
 @query(
@@ -101,9 +98,8 @@ def progress(spark, d):
 )
 def latest_lists(spark, d):
     """The four latest queries of every user, told when they change; records arrive by id and are dated by their time."""
-    stream, path = _stream(spark, _events(spark, d), "lists", "event_id")
-    records = stream.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.unix_micros("ts").alias("created"), F.col("event_id").alias("id"))
-    return X.run_changes(X.latest_changes(records, 4), path).select("key", "seq", F.array_join("ids", ",").alias("ids"))
+    records = lambda stream: stream.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.unix_micros("ts").alias("created"), F.col("event_id").alias("id"))
+    return _changes(spark, _events(spark, d), lambda stream: X.latest_changes(records(stream), 4), "lists", "event_id").select("key", "seq", F.array_join("ids", ",").alias("ids"))
 
 
 @query(

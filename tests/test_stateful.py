@@ -137,3 +137,57 @@ def test_fold_in_update_mode_writes_touched_keys_only(spark, tmp_path):
     assert got == sorted(tuple(r) for r in fold_stream(e).collect())
     touched = {r.batch: r.n for r in changes.groupBy("batch").count().withColumnRenamed("count", "n").collect()}
     assert len(touched) == 3 and touched[1] == parts[1].select("user_id").distinct().count() and touched[2] == parts[2].select("user_id").distinct().count()
+
+
+def test_a_batch_sets_one_timer_a_session():
+    """Timers and state are asked for once a batch, not once a row; a session that ended and began anew in a batch leaves one timer."""
+
+    class Handle:
+        def __init__(self):
+            self.calls, self.value = [], None
+
+        def getValueState(self, name, schema):
+            return self
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, v):
+            self.calls.append("update")
+            self.value = v
+
+        def clear(self):
+            self.value = None
+
+        def registerTimer(self, t):
+            self.calls.append(("set", t))
+
+        def deleteTimer(self, t):
+            self.calls.append(("drop", t))
+
+    from pyspark.sql import Row
+
+    h, p = Handle(), X._Sessions(60_000_000)
+    p.init(h)
+    row = lambda seq, kind, s: Row(seq=seq, kind=kind, at_us=s * 1_000_000, document_id=seq)
+    out = list(p.handleInputRows((1,), iter([row(i, "create" if i == 0 else "update", i) for i in range(50)]), None))
+    assert [r.turn for r in out] == list(range(1, 51)) and h.calls == [("set", 109_001), "update"]
+    out = list(p.handleInputRows((1,), iter([row(50, "get", 200), row(51, "create", 201), row(52, "get", 202)]), None))
+    assert [(r.kind, r.found) for r in out] == [("expired", True), ("get", False), ("create", True), ("get", True)]
+    assert h.calls[2:] == [("drop", 109_001), ("set", 262_001), "update"]
+    out = list(p.handleInputRows((1,), iter([row(53, "get", 900)]), None))
+    assert [(r.kind, r.found) for r in out] == [("expired", True), ("get", False)] and h.calls[5:] == [("drop", 262_001)] and h.value is None
+
+
+def test_a_batch_is_written_by_many_tasks(spark, tmp_path):
+    """A table of a stream has as many files as its tasks write, and all of them are one batch."""
+    import glob
+
+    ensured = spark.createDataFrame([(i % 7, i, i % 3) for i in range(200)], "key long, seq long, total long")
+    parts = [ensured.where("seq < 90").repartition(5), ensured.where("seq >= 90").repartition(5)]
+    got = X.run_parts(spark, parts, X.progress_changes, str(tmp_path))
+    assert len(glob.glob(f"{tmp_path}/in/part=*/*.parquet")) == 10 and sorted(r.batch for r in got.select("batch").distinct().collect()) == [0, 1]
+    assert got.count() == 200  # 7 and 3 share no divisor: every poll of a key differs from the one before
