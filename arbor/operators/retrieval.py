@@ -266,6 +266,8 @@ def _roll_up(token: dict, parent: dict, score: dict, budget: float | None) -> tu
     return tiles, total
 
 
+#: What the tiling reads of a coverage.
+COVERED = ["document_id", "id", "parent_id", "height", "level_index", "span_start", "span_end", "token_count"]
 _TILES = "query_id long, document_id long, position long, id string, height int, level_index long, span_start long, span_end long, token_count long, score double, over_budget boolean"
 
 
@@ -285,25 +287,58 @@ def greedy_tiling(scored: DataFrame, budget: int) -> DataFrame:
     return scored.groupBy("query_id", "document_id").applyInPandas(run, _TILES)
 
 
-def _tile(table: pa.Table) -> pa.Table:
+def _tile(x: dict[str, list]) -> dict[str, list]:
     """Scores and tiling of one coverage: see `tile`."""
-    x = table.to_pydict()
     ids, n = x["id"], len(x["id"])
     score, parent = _means(x), dict(zip(ids, x["parent_id"]))
     budget = x["budget"][0]
     tiles, total = _roll_up(dict(zip(ids, x["token_count"])), parent, {i: v or 0.0 for i, v in score.items()}, budget)
     at = sorted((k for k in range(n) if ids[k] in tiles), key=lambda k: (x["span_start"][k], ids[k]))
     out = {c: [x[c][k] for k in at] for c in _TILE if c in x and c != "score"}
-    out |= {"position": list(range(len(at))), "score": [score[ids[k]] for k in at], "over_budget": [budget is not None and total > budget] * len(at)}
+    return out | {"position": list(range(len(at))), "score": [score[ids[k]] for k in at], "over_budget": [budget is not None and total > budget] * len(at)}
+
+
+def _tile_stream(batches):
+    """Sorted coverages one after the other; one that goes on in the next batch is carried there."""
     kinds = {"id": pa.string(), "height": pa.int32(), "score": pa.float64(), "over_budget": pa.bool_()}
-    return pa.table([pa.array(out[c], kinds.get(c, pa.int64())) for c in _TILE], names=_TILE)
+
+    def given(done):
+        out = {c: [] for c in _TILE}
+        for x in done:
+            for c, v in _tile(x).items():
+                out[c] += v
+        return pa.record_batch([pa.array(out[c], kinds.get(c, pa.int64())) for c in _TILE], names=_TILE)
+
+    held, key = None, None
+    for b in batches:
+        x, done = b.to_pydict(), []
+        keys = list(zip(x["query_id"], x["document_id"]))
+        ends = [i for i in range(1, len(keys)) if keys[i] != keys[i - 1]]
+        for first, end in zip([0, *ends], [*ends, len(keys)]):
+            if first == end:
+                continue
+            own = {c: v[first:end] for c, v in x.items()}
+            if held is not None and keys[first] == key:
+                for c, v in own.items():
+                    held[c] += v
+                continue
+            if held is not None:
+                done.append(held)
+            held, key = own, keys[first]
+        if done:
+            yield given(done)
+    if held is not None:
+        yield given([held])
 
 
 def tile(cover: DataFrame, leaf_scores: DataFrame, budgets: DataFrame) -> DataFrame:
-    """What `propagate` and `greedy_tiling` give, in one pass over each coverage, with a budget for each query (query_id, budget; null: the whole frontier)."""
-    x = cover.select("query_id", "document_id", "id", "parent_id", "height", "level_index", "span_start", "span_end", "token_count")
+    """What `propagate` and `greedy_tiling` give, in one pass over each coverage, with a budget for each query (query_id, budget; null: the whole frontier).
+
+    Coverages come as a sorted stream, as most of them are a few rows, and a group of its own for each costs more than its tiling. One coverage is held at once.
+    """
+    x = cover.select("query_id", *COVERED)
     x = x.join(leaf_scores.select("query_id", "id", "score"), ["query_id", "id"], "left").join(budgets.select("query_id", F.col("budget").cast("long").alias("budget")), "query_id")
-    return x.groupBy("query_id", "document_id").applyInArrow(_tile, _TILES)
+    return x.repartition("query_id", "document_id").sortWithinPartitions("query_id", "document_id").mapInArrow(_tile_stream, _TILES)
 
 
 _TILE = ["query_id", "document_id", "position", "id", "height", "level_index", "span_start", "span_end", "token_count", "score", "over_budget"]

@@ -14,11 +14,12 @@ A request has query_id, document_id, vec (null for structure only), query_text,
 8. the texts of the tiling (R21).
 
 All phases are joins by request, document or coordinate; only diversity and tiling look at one request at a time, over candidates and
-coverage, which seeds and tree height bound.
+coverage, which seeds and tree height bound. A request with no more candidates than seeds takes them all, so it has no diversity and
+no vectors of its candidates are looked up.
 
 Rules. `request_errors` says what is wrong with a request; those requests have no tiling, and neither have requests on
 documents that are not there. A null or missing start is 0, a null end the document's end, null verbatim 0, null hybrid false. A request with seeds and no
-vector raises.
+vector raises, when the path is planned.
 """
 
 from __future__ import annotations
@@ -26,11 +27,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbor.functions import coords as K
 from arbor.operators import query_path as P
 from arbor.operators import retrieval as R
 from arbor.operators.navigation import hybrid_in_fused_order, seed_count
 from arbor.operators.vector_search import top_k_join
 
+#: Asked documents up to which nodes of others are dropped before any shuffle.
+FEW_DOCUMENTS = 10_000
+
 
 def document_stats(nodes: DataFrame) -> DataFrame:
     """document_id, len, last (index of the last leaf) and avg_leaf_tokens."""
@@ -80,13 +85,13 @@ def verbatim_tail(plans: DataFrame, leaves: DataFrame) -> DataFrame:
 
 
 def candidates(plans: DataFrame, pinned: DataFrame, vectors: DataFrame, node_texts: DataFrame, chunk: int, most: int, most_text: int) -> DataFrame:
-    """(query_id, document_id, leaf, id, vec, relevance, rank): vector candidates of each request, fused with BM25 where it is hybrid.
+    """(query_id, document_id, leaf, id, rank): vector candidates of each request, fused with BM25 where it is hybrid.
 
     vectors: document_id, leaf, id, vec, span_start, span_end; node_texts: document_id, doc_key, position, text. most, most_text: the highest k of all
     requests and of hybrid ones.
     """
     horizon = pinned.groupBy("query_id").agg(F.min("span_start").alias("horizon"))
-    searching = plans.where("n_seeds > 0 and k > 0").withColumn("vec", F.coalesce("vec", F.raise_error(F.lit("a request with seeds needs a vector")).cast("array<double>")))
+    searching = plans.where("n_seeds > 0 and k > 0")
     inside = lambda c: F.when(F.col("windowed"), c)
     q = searching.join(horizon, "query_id", "left").select("query_id", "document_id", "vec", inside(F.col("lo") * chunk).alias("start"), inside(F.least(F.col("len"), (F.col("hi") + 1) * chunk)).alias("end"), "horizon")
     near = top_k_join(q, vectors.withColumnRenamed("leaf", "vec_id"), most, "document_id").join(searching.select("query_id", "document_id", "k", "hybrid"), "query_id").where("rank <= k")
@@ -99,29 +104,47 @@ def candidates(plans: DataFrame, pinned: DataFrame, vectors: DataFrame, node_tex
         fused = R.reciprocal_rank_fusion(by_vector, by_text.select("query_id", F.col("doc_key").alias("id"), "rank"), "id")
         kept = hybrid_in_fused_order(by_vector, fused, vectors.select("id"), "id")
         plain = plain.unionByName(kept.join(vectors.select("document_id", "leaf", "id"), "id").select("query_id", "document_id", "leaf", "rank"))
-    full = plain.join(vectors.select("document_id", "leaf", "id", "vec"), ["document_id", "leaf"])
-    asked_vec = searching.select("query_id", F.col("vec").alias("qvec"))
+    return plain.withColumn("id", K.node_id(F.col("document_id"), F.lit(0), F.col("leaf")))
+
+
+def _crowded() -> Column:
+    """Requests that may have more candidates than seeds; a fusion has up to k of either ranking."""
+    return F.col("k") * F.when(F.col("hybrid"), 2).otherwise(1) > F.col("n_seeds")
+
+
+def diverse(plans: DataFrame, found: DataFrame, vectors: DataFrame, lam: float) -> DataFrame:
+    """(query_id, leaf) of the seeds: of the candidates of crowded requests by maximal marginal relevance, all of the others."""
+    asked = plans.where(_crowded()).select("query_id", F.col("n_seeds").alias("take"), F.col("vec").alias("qvec"))
+    x = found.join(asked, "query_id").join(vectors.select("document_id", "leaf", "vec"), ["document_id", "leaf"])
     rel = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), R.dot(F.col("vec"), F.col("qvec")))), 12)
-    return full.join(asked_vec, "query_id").withColumn("relevance", rel).drop("qvec")
+    chosen = R.mmr(x.select("query_id", F.col("leaf").alias("vec_id"), rel.alias("relevance"), "rank", "vec", "take"), None, lam)
+    rest = found.join(asked.select("query_id"), "query_id", "left_anti").select("query_id", "leaf")
+    return chosen.select("query_id", F.col("vec_id").alias("leaf")).unionByName(rest)
 
 
 def retrieve(requests: DataFrame, nodes: DataFrame, vectors: DataFrame, node_texts: DataFrame, *, chunk: int, multiplier: float = 2.5, lam: float = 0.7) -> DataFrame:
     """The tilings of all requests: query_id, document_id, position, id, height, level_index, span_start, span_end, token_count, score, over_budget.
 
-    nodes as in `sources.corpus.nodes`; vectors: document_id, leaf, id, vec; node_texts: document_id, doc_key, position, text.
+    nodes as in `sources.corpus.nodes`; vectors: document_id, leaf, id, vec, and span_start and span_end, if they are known; node_texts:
+    document_id, doc_key, position, text.
     """
-    held = nodes.join(requests.select("document_id").distinct(), "document_id", "left_semi")
+    about = requests.select("document_id").distinct()
+    # nodes of all documents go to the joins as they are: a semi-join with many documents would shuffle them once more for each use
+    held = nodes.join(F.broadcast(about), "document_id", "left_semi") if about.limit(FEW_DOCUMENTS + 1).count() <= FEW_DOCUMENTS else nodes
     plans = plan_requests(requests, held, chunk, multiplier).checkpoint()
     leaves = held.where("height = 0")
     pinned = verbatim_tail(plans, leaves).checkpoint()
-    spans = vectors.join(leaves.select("id", "span_start", "span_end"), "id")
-    most = plans.agg(F.max("k").alias("k"), F.max(F.when(F.col("hybrid") & (F.col("k") > 0), F.col("k"))).alias("text")).first()  # one row
+    spans = vectors if {"span_start", "span_end"} <= set(vectors.columns) else vectors.join(leaves.select("id", "span_start", "span_end"), "id")
+    no_vector = F.count_if((F.col("n_seeds") > 0) & (F.col("k") > 0) & F.col("vec").isNull()).alias("no_vector")
+    most = plans.agg(F.max("k").alias("k"), F.max(F.when(F.col("hybrid") & (F.col("k") > 0), F.col("k"))).alias("text"), F.count_if(_crowded()).alias("crowded"), no_vector).first()  # one row
+    if most.no_vector:
+        raise ValueError("a request with seeds needs a vector")
     found = candidates(plans, pinned, spans, node_texts, chunk, most.k or 1, most.text or 0).checkpoint()
-    chosen = R.mmr(found.select("query_id", F.col("leaf").alias("vec_id"), "relevance", "rank", "vec").join(plans.select("query_id", F.col("n_seeds").alias("take")), "query_id"), None, lam)
-    seeds = chosen.join(plans.select("query_id", "document_id"), "query_id").select("query_id", "document_id", F.lit(0).alias("height"), F.col("vec_id").alias("level_index"))
+    chosen = diverse(plans, found, vectors, lam) if most.crowded else found.select("query_id", "leaf")
+    seeds = chosen.join(plans.select("query_id", "document_id"), "query_id").select("query_id", "document_id", F.lit(0).alias("height"), F.col("leaf").alias("level_index"))
     pins = pinned.select("query_id", "document_id", "height", "level_index")
     windows = plans.select("query_id", "document_id", "lo", "hi")
-    cover = P.windowed_coverage(seeds.unionByName(pins).distinct(), held, windows, pins).checkpoint()
+    cover = P.windowed_coverage(seeds.unionByName(pins).distinct(), held, windows, pins).select("query_id", *R.COVERED).checkpoint()
     scores = P.seed_scores(found, cover, vectors.select("id", "vec"), plans.where("n_seeds > 0").select("query_id", F.col("vec").alias("qvec")))
     still = cover.where("height = 0").join(plans.where("n_seeds = 0").select("query_id"), "query_id").select("query_id", "id", F.lit(0.0).alias("score"))
     budgets = plans.select("query_id", (F.col("budget").cast("long") + F.col("verbatim")).alias("budget"))

@@ -29,6 +29,10 @@ CENTER_BYTES = 64 << 20
 FILE_ROWS = 1 << 18
 #: Products of requests and vectors that a task holds at once.
 PRODUCTS = 1 << 20
+#: Vectors of a key up to which its requests meet them as pairs, and pairs that a task holds at once.
+FEW_VECTORS, PAIRS = 512, 1 << 15
+#: Keys with several blocks that go to every task, at most.
+MANY_BLOCKS = 10_000
 #: Rows that are given out at once where a vector goes to several cells.
 CELL_ROWS = 8192
 
@@ -68,19 +72,49 @@ def _by_key(keys: np.ndarray) -> dict:
     return dict(zip(found.tolist(), np.split(order, first[1:])))
 
 
+def _pairs(left: np.ndarray, right: np.ndarray):
+    """(places in left, places in right) of all pairs with equal keys, for keys with few vectors; all pairs of a request in one slice."""
+    order = np.argsort(right, kind="stable")
+    found, first, n = np.unique(right[order], return_index=True, return_counts=True)
+    at = np.minimum(np.searchsorted(found, left), len(found) - 1)
+    rows = np.flatnonzero((found[at] == left) & (n[at] <= FEW_VECTORS))
+    many = n[at[rows]]
+    upto = np.cumsum(many)
+    begin = 0
+    while begin < len(rows):
+        end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + PAIRS, side="right")))
+        some, m = rows[begin:end], many[begin:end]
+        step = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        yield np.repeat(some, m), order[np.repeat(first[at[some]], m) + step]
+        begin = end
+
+
 def _meet(k: int, windowed: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "relevance": []}
         if len(left) and len(right):
-            asked, ids, own = left["query_id"].to_numpy(), right["vec_id"].to_numpy(), _by_key(right["__key"].to_numpy())
+            asked, ids, keys, own_keys = left["query_id"].to_numpy(), right["vec_id"].to_numpy(), left["__key"].to_numpy(), right["__key"].to_numpy()
             q, x = matrix(left["vec"]), matrix(right["vec"])
             if windowed:
                 start, end, horizon = (np.array([v if v is not None else none for v in left[c].to_pylist()], np.float64) for c, none in (("start", -np.inf), ("end", np.inf), ("horizon", np.inf)))
                 lo, hi = right["span_start"].to_numpy(), right["span_end"].to_numpy()
-            for key, rows in _by_key(left["__key"].to_numpy()).items():
-                at = own.get(key)
-                if at is None:
+            for i, j in _pairs(keys, own_keys):
+                if windowed:
+                    inside = (lo[j] < end[i]) & (hi[j] > start[i]) & (hi[j] < horizon[i])
+                    i, j = i[inside], j[inside]
+                rel = np.round(np.clip(np.einsum("ij,ij->i", q[i], x[j]), 0, 1), 12)
+                order = np.lexsort((ids[j], -rel, i))
+                order = order[rel[order] >= 0]
+                i, j, rel = i[order], j[order], rel[order]
+                rank = np.arange(len(i)) - np.searchsorted(i, i, side="left")
+                first = rank < k
+                out["query_id"].append(asked[i[first]])
+                out["vec_id"].append(ids[j[first]])
+                out["relevance"].append(rel[first])
+            for key, at in _by_key(own_keys).items() if len(own_keys) > FEW_VECTORS else ():
+                if len(at) <= FEW_VECTORS:
                     continue
+                rows = np.flatnonzero(keys == key)
                 for first, rel in products(q[rows], x[at]):
                     some = rows[first : first + len(rel)]
                     if windowed:
@@ -107,15 +141,24 @@ def top_k_join(requests: DataFrame, vectors: DataFrame, k: int, key: str | None
     name = [F.col(key) if key else F.lit(0)][0].cast("long").alias("__key")
     q = requests.where("vec is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("vec").cast("array<double>").alias("vec"), name, *(["start", "end", "horizon"] if windowed else []))
     v = vectors.where("vec is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vec").cast("array<double>").alias("vec"), name, *(["span_start", "span_end"] if windowed else []))
-    count = lambda df, to, size: df.groupBy("__key").agg(F.ceil(F.count("*") / size).cast("int").alias(to))
-    sizes = count(v, "nv", block_vectors).join(count(q, "nq", block_requests), "__key")
-    # small keys share a block: as many packs as vectors fill
-    packs = sizes.agg(F.sum("nv").alias("n"), F.count("*").alias("keys")).select(F.greatest(F.lit(1), F.ceil((F.col("n") + F.col("keys") / 64) / 2)).cast("int").alias("packs"))
-    sizes = sizes.join(F.broadcast(packs))  # one row
-    pack = F.pmod(F.xxhash64("__key"), F.col("packs")).alias("pack")
+    count = lambda df, to: df.where("__key is not null").groupBy("__key").agg(F.count("*").alias(to))
+    sizes = count(v, "nv").join(count(q, "nq"), "__key")
+    # small keys share a block: packs by the vectors and requests that fill one, not by keys
+    several = F.count_if((F.col("nv") > block_vectors) | (F.col("nq") > block_requests)).alias("n_split")
+    s = sizes.agg(F.sum("nv").alias("v"), F.sum("nq").alias("q"), F.count("*").alias("n_keys"), several).first()  # one row
+    packs = max(1, math.ceil(2 * max((s.v or 0) / block_vectors, (s.q or 0) / block_requests)))
+    # by keys, when they are few, vectors that nobody asks are dropped before the shuffle; of many keys, only those of several blocks are looked up
+    sizes = sizes.withColumns({"nv": F.ceil(F.col("nv") / block_vectors).cast("int"), "nq": F.ceil(F.col("nq") / block_requests).cast("int")})
+    split = sizes if s.n_keys <= MANY_BLOCKS else sizes.where("nv > 1 or nq > 1")
+    if s.n_keys <= MANY_BLOCKS or s.n_split <= MANY_BLOCKS:
+        split = F.broadcast(split)
+    how = "inner" if s.n_keys <= MANY_BLOCKS else "left"
+    blocks = lambda df: df.join(split, "__key", how).fillna(1, ["nv", "nq"]) if how == "inner" or s.n_split else df.withColumns({"nv": F.lit(1), "nq": F.lit(1)})
+    pack = F.pmod(F.xxhash64("__key"), F.lit(packs)).cast("int").alias("pack")
     many = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = q.join(sizes, "__key").withColumn("vb", many("nv")).select(*q.columns, pack, F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int").alias("qb"), "vb")
-    v = v.join(sizes, "__key").withColumn("qb", many("nq")).select(*v.columns, pack, "qb", F.pmod(F.xxhash64("vec_id"), F.col("nv")).cast("int").alias("vb"))
+    q, v = (x.where("__key is not null") for x in (q, v))
+    q = blocks(q).withColumn("vb", many("nv")).select(*q.columns, pack, F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int").alias("qb"), "vb")
+    v = blocks(v).withColumn("qb", many("nq")).select(*v.columns, pack, "qb", F.pmod(F.xxhash64("vec_id"), F.col("nv")).cast("int").alias("vb"))
     at = ["pack", "qb", "vb"]
     met = q.groupBy(*at).cogroup(v.groupBy(*at)).applyInArrow(_meet(k, windowed), "query_id long, vec_id long, relevance double")
     w = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "vec_id")

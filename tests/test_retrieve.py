@@ -161,6 +161,50 @@ def test_a_search_without_a_vector_raises(spark):
         Q.retrieve(df, nodes, none, S.with_text(nodes, docs).selectExpr("document_id", "id AS doc_key", "struct(height, level_index) AS position", "text"), chunk=CHUNK).collect()
 
 
+def _two_requests(spark):
+    """Requests for two seeds, on documents of six leaves; a vector stands for every leaf."""
+    docs = spark.createDataFrame([(d, "text " * 480) for d in (1, 2)], "doc_id long, text string")
+    vectors = spark.createDataFrame([(d, i, f"{d}:0:{i}", [(i + d) / 10, 1.0]) for d in (1, 2) for i in range(6)], "document_id long, leaf long, id string, vec array<double>")
+    df = spark.createDataFrame([(d, d, [1.0, 0.0], None, None, 2, None, None, None, None) for d in (1, 2)], "query_id long, document_id long, vec array<double>, query_text string, budget long, seeds long, start long, end long, verbatim long, hybrid boolean")
+    nodes = S.nodes(docs)
+    return df, nodes, vectors, S.with_text(nodes, docs).selectExpr("document_id", "id AS doc_key", "struct(height, level_index) AS position", "text")
+
+
+def test_no_diversity_where_all_candidates_are_seeds(spark, monkeypatch):
+    ensure_checkpoint_dir(spark)
+    parts = _two_requests(spark)
+    want = sorted(Q.retrieve(*parts, chunk=CHUNK, multiplier=1.5).select("query_id", "id", "position").collect())
+    assert {r.id for r in want} >= {"1:0:5", "2:0:4"}
+
+    def never(*a, **k):
+        raise AssertionError("diversity without a choice")
+
+    monkeypatch.setattr(Q.R, "mmr", never)
+    with pytest.raises(AssertionError, match="without a choice"):
+        Q.retrieve(*parts, chunk=CHUNK, multiplier=1.5)
+    got = sorted(Q.retrieve(*parts, chunk=CHUNK, multiplier=1.0).select("query_id", "id", "position").collect())
+    assert {r.id for r in got} >= {"1:0:5", "2:0:4"} and sorted(r.position for r in got if r.query_id == 1) == list(range(len(got) // 2))
+
+
+def test_coverages_are_tiled_as_a_stream(spark):
+    """Coverages of several rows go over the ends of batches of two rows, and none is a group of its own for Spark."""
+    cover = spark.createDataFrame(
+        [(q, 7, f"7:{h}:{i}", h, i, f"7:{h + 1}:{i >> 1}" if h < 2 else None, (i << h) * 400, ((i + 1) << h) * 400, 100) for q in range(9) for h in range(3) for i in range(4 >> h)],
+        "query_id long, document_id long, id string, height int, level_index long, parent_id string, span_start long, span_end long, token_count long",
+    ).coalesce(1)
+    scores = cover.where("height = 0").selectExpr("query_id", "id", "(query_id + level_index) / 20.0D AS score")
+    budgets = cover.selectExpr("query_id", "if(query_id % 3 = 0, null, 100 * (query_id % 3 + 1)) AS budget").distinct()
+    tiles = Q.R.tile(cover, scores, budgets)
+    assert "GroupsInArrow" not in tiles._jdf.queryExecution().toString()
+    want = sorted(tiles.collect())
+    assert {q: sum(t.query_id == q for t in want) for q in range(9)} == {q: (4, 2, 3)[q % 3] for q in range(9)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        assert sorted(Q.R.tile(cover, scores, budgets).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_mixed_modes_cover_their_windows_within_budget(spark):
     """On given tables: tiles follow each other without gap or overlap; they fit the budget or say that they do not."""
     tiles = {}

@@ -1,4 +1,5 @@
 import glob
+import math
 import os
 import tracemalloc
 
@@ -162,3 +163,35 @@ def test_a_batch_that_goes_to_many_cells_is_given_out_in_slices(spark):
     df = spark.createDataFrame([(i, [float(i == j) + 0.01 * j for j in range(64)]) for i in range(300)], "vec_id long, vec array<double>").coalesce(1)
     placed = X.with_cells(df, centers, 64)
     assert placed.count() == 300 * 64 and placed.select("vec_id", "cell").distinct().count() == 300 * 64
+
+
+def test_small_keys_share_a_block_by_their_vectors(spark, monkeypatch):
+    """Three hundred keys of two vectors are one block, not one for every few keys."""
+    def one_row(k, windowed):
+        def run(left, right):
+            return pa.table({"query_id": left["query_id"][:1], "vec_id": pa.array([len(right)], pa.int64()), "relevance": pa.array([1.0])})
+
+        return run
+
+    q = spark.createDataFrame([(i, i, [1.0, 0.0]) for i in range(300)], "query_id long, doc long, vec array<double>")
+    x = spark.createDataFrame([(i, i % 300, [0.5, float(i)]) for i in range(600)], "vec_id long, doc long, vec array<double>")
+    got = {(r.query_id, r.vec_id) for r in X.top_k_join(q, x, 1, "doc").collect()}
+    assert got == {(i, i) for i in range(300)}
+    monkeypatch.setattr(X, "_meet", one_row)
+    assert [r.vec_id for r in X.top_k_join(q, x, 1, "doc").collect()] == [600]
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_keys_of_several_blocks_among_many(spark, monkeypatch, few):
+    """Also where there are too many keys for all of them to go to every task."""
+    monkeypatch.setattr(X, "MANY_BLOCKS", few)
+    q = spark.createDataFrame([(i, i % 40, [1.0, i / 9]) for i in range(80)] + [(99, None, [1.0, 1.0])], "query_id long, doc long, vec array<double>")
+    rows = [(i, 3 if i % 2 else i % 50, [math.cos(i), math.sin(i)]) for i in range(1500)]
+    x = spark.createDataFrame(rows, "vec_id long, doc long, vec array<double>")
+    got = {}
+    for r in X.top_k_join(q, x, 3, "doc", 200, 1).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    for i in range(80):
+        rel = {v: round(min(1.0, max(0.0, w[0] + w[1] * i / 9)), 12) for v, d, w in rows if d == i % 40}
+        assert [v for _, v in sorted(got.get(i, []))] == sorted(rel, key=lambda v: (-rel[v], v))[:3]
+    assert 99 not in got
