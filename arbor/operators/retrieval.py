@@ -22,9 +22,18 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
+def _positive(n: Column) -> Column:
+    return F.when(n > 0, n).otherwise(F.raise_error(F.lit("zero vector")).cast("double"))
+
+
+def norm(v: Column) -> Column:
+    """The length of a vector; a zero vector raises."""
+    return F.get(F.transform(F.array(F.sqrt(dot(v, v))), _positive), F.lit(0))
+
+
 def unit(v: Column) -> Column:
     """A vector over its length, which is computed once; a zero vector raises."""
-    over = lambda n: F.transform(v, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(F.raise_error(F.lit("zero vector")).cast("double")))
+    over = lambda n: F.transform(v, lambda x: x.cast("double") / _positive(n))
     return F.get(F.transform(F.array(F.sqrt(dot(v, v))), over), F.lit(0))
 
 
@@ -64,29 +73,37 @@ def okapi(texts: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: floa
     ln(N - df + 0.5) - ln(df + 0.5); a negative one becomes `floor` times the mean idf of the document's terms. A term counts as often as the
     query has it. Texts without a term have score 0 and fill the k best in the order of their position.
 
-    A text is one row until its words are down to asked ones; document frequencies of other words become one row a document where they are
-    counted. So what is written and shuffled grows with texts and asked words, not with all words. A document that is asked for more than
-    FEW_TERMS different words keeps all of its words for the joins.
+    Texts meet the asked words of their document once and are read there once: what goes on is a row for each text, with how often it has which asked
+    words, and the document frequencies, in which words that nobody asks for are counted by their frequency. A request's weights meet
+    the texts of its document, so no row of a text and word is shuffled. A document that is asked for more than FEW_TERMS different words keeps all of its words.
     """
     toks = lambda c: F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(WORDS), F.lit(0))
-    asked = queries.select("query_id", "document_id", F.explode(toks("query_text")).alias("term")).groupBy("query_id", "document_id", "term").agg(F.count("*").alias("times"))
     wanted = queries.select("document_id", F.explode_outer(toks("query_text")).alias("term")).groupBy("document_id").agg(F.collect_set("term").alias("w"))
     wanted = wanted.select("document_id", F.when(F.size("w") <= FEW_TERMS, F.col("w")).alias("wanted"))
     is_asked = lambda term: F.col("wanted").isNull() | F.array_contains("wanted", term)
     here = texts.join(wanted, "document_id").select("document_id", "doc_key", "position", "wanted", toks("text").alias("t"))
-    sizes = here.select("document_id", "doc_key", "position", F.size("t").alias("dl"), F.filter("t", is_asked).alias("hits")).checkpoint()
+    here = here.withColumn("hits", F.filter("t", is_asked)).withColumn("asked", F.array_distinct("hits"))
+    tf = F.transform("asked", lambda term: F.struct(term.alias("term"), (F.size("hits") - F.size(F.array_remove("hits", term))).alias("tf")))
+    here = here.select("document_id", F.struct("doc_key", "position", F.size("t").alias("dl"), tf.alias("hits")).alias("node"), "t", "hits", "asked")
+    # a text gives a row of its own, with no word, and one for each of its words: asked ones, then the others
+    rows = here.select("document_id", "node", "asked", F.posexplode(F.concat(F.array(F.lit("")), "asked", F.array_except("t", "hits"))).alias("at", "term"))
+    rows = rows.select("document_id", F.when(F.col("at") == 0, F.col("node")).alias("node"), (F.col("at") <= F.size("asked")).alias("known"), "term")
+    counted = rows.groupBy("document_id", "node", "known", "term").agg(F.count("*").alias("df"))
+    found = counted.groupBy("document_id", "node", F.when(F.col("known"), F.col("term")).alias("term"), "df").agg(F.count("*").alias("terms")).checkpoint()
+    sizes = found.where("node is not null").select("document_id", "node.*")
     stats = sizes.groupBy("document_id").agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))
-    df = here.select("document_id", F.explode(F.array_distinct("t")).alias("term")).groupBy("document_id", "term").agg(F.count("*").alias("df")).join(stats.join(wanted, "document_id"), "document_id")
-    df = df.withColumn("raw", F.log(F.col("N") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    # the words that nobody asks for are one group of a document
-    df = df.groupBy("document_id", F.when(is_asked(F.col("term")), F.col("term")).alias("term")).agg(F.sum("raw").alias("raw"), F.count("*").alias("terms"), F.first("avgdl").alias("avgdl")).checkpoint()
-    mean = df.groupBy("document_id").agg((F.sum("raw") / F.sum("terms")).alias("mean"))
-    idf = df.where("term is not null").join(mean, "document_id").withColumn("idf", F.when(F.col("raw") < 0, floor * F.col("mean")).otherwise(F.col("raw")))
-    tf = sizes.select("document_id", "doc_key", "dl", F.explode("hits").alias("term")).groupBy("document_id", "doc_key", "dl", "term").agg(F.count("*").alias("tf"))
-    x = tf.join(asked.join(idf.select("document_id", "term", "idf", "avgdl"), ["document_id", "term"]), ["document_id", "term"])
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    score = x.groupBy("query_id", "document_id", "doc_key").agg(F.sum(part).alias("score"))
-    every = queries.select("query_id", "document_id").join(sizes.select("document_id", "doc_key", "position"), "document_id").join(score, ["query_id", "document_id", "doc_key"], "left").fillna(0.0, ["score"])
+    raw = F.log(F.col("N") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    df = found.where("node is null").select("document_id", "term", "df", "terms").join(stats, "document_id").withColumn("raw", raw)
+    idf = df.groupBy("document_id").agg((F.sum(F.col("raw") * F.col("terms")) / F.sum("terms")).alias("mean"), F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "raw"))).alias("idf"))
+    asked = queries.select("query_id", "document_id", toks("query_text").alias("q")).join(stats.select("document_id", "avgdl"), "document_id").join(idf, "document_id", "left")
+    # a term counts as often as the query has it
+    weight = lambda e: (F.size("q") - F.size(F.array_remove("q", e["term"]))) * F.when(e["raw"] < 0, floor * F.col("mean")).otherwise(e["raw"])
+    weights = F.transform(F.filter("idf", lambda e: F.array_contains("q", e["term"])), lambda e: F.struct(e["term"].alias("term"), weight(e).alias("weight")))
+    asked = asked.select("query_id", "document_id", "avgdl", F.map_from_entries(F.coalesce(weights, F.array().cast("array<struct<term:string,weight:double>>"))).alias("weights"))
+    length = lambda dl: k1 * (1 - b + b * dl / F.col("avgdl"))
+    part = lambda hit: F.coalesce(F.col("weights")[hit["term"]] * hit["tf"] * (k1 + 1) / (hit["tf"] + length(F.col("dl"))), F.lit(0.0))
+    score = F.aggregate("hits", F.lit(0.0), lambda acc, hit: acc + part(hit))
+    every = asked.join(sizes, "document_id").select("query_id", "document_id", "doc_key", "position", score.alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "position")
     return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "document_id", "doc_key", "score", "rank")
 
@@ -130,10 +147,15 @@ def with_siblings(seeds: DataFrame, scores: DataFrame) -> DataFrame:
     return siblings(seeds).join(known, ["query_id", "id"], "left").fillna({"score": 0.0})
 
 
+def fused(a: Column, b: Column, k: int = 60) -> Column:
+    """Score of 1-based ranks in two rankings, null where a ranking has no such row."""
+    return F.coalesce(1.0 / (k + a), F.lit(0.0)) + F.coalesce(1.0 / (k + b), F.lit(0.0))
+
+
 def reciprocal_rank_fusion(a: DataFrame, b: DataFrame, key: str, k: int = 60) -> DataFrame:
     """Fused order of two rankings with 1-based ranks; ties keep the first list's order, then the second's."""
     j = a.select("query_id", key, F.col("rank").alias("ra")).join(b.select("query_id", key, F.col("rank").alias("rb")), ["query_id", key], "full")
-    s = F.coalesce(1.0 / (k + F.col("ra")), F.lit(0.0)) + F.coalesce(1.0 / (k + F.col("rb")), F.lit(0.0))
+    s = fused(F.col("ra"), F.col("rb"), k)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("ra").asc_nulls_last(), F.col("rb").asc_nulls_last(), key)
     return j.withColumn("score", s).withColumn("rank", F.row_number().over(w)).select("query_id", key, "score", "rank")
 
@@ -164,27 +186,39 @@ def similarities(left: DataFrame, right: DataFrame, block: int = 512) -> DataFra
     return a.groupBy("query_id", "i", "j").cogroup(b.groupBy("query", "row", "column")).applyInArrow(_products, "query_id long, a long, b long, similarity double")
 
 
-def mmr(candidates: DataFrame, k: int | None, lam: float = 0.7) -> DataFrame:
+def mmr(candidates: DataFrame, k: int | None, lam: float = 0.7, carried: list[str] | None = None) -> DataFrame:
     """Maximal marginal relevance: (query_id, vec_id, position) from (query_id, vec_id, relevance, rank, vec), k of each query, or as many as its column `take` says.
 
+    Vectors may come with their norm, over which they are taken. With carried columns, all candidates come back with these, those not chosen without a position; queries with no
+    more candidates than asked for take them all in the order of their rank, and need no vectors.
     Sequential by nature, so one group of candidates (a few times k) is one table.
     """
+    columns = candidates.columns
 
     def run(table: pa.Table) -> pa.Table:
         order = np.argsort(table["rank"].to_numpy(), kind="stable")
-        x, rel, most = matrix(table["vec"])[order], table["relevance"].to_numpy()[order], k if k is not None else table["take"][int(order[0])].as_py()
-        sims, left, chosen, near = np.clip(x @ x.T, 0, 1), np.ones(len(rel), bool), [], np.zeros(len(rel))
+        rel, most = table["relevance"].to_numpy()[order], k if k is not None else table["take"][int(order[0])].as_py()
+        chosen = list(range(len(rel))) if carried is not None and len(rel) <= most else []
+        if not chosen:
+            x = matrix(table["vec"])[order]
+            x = x / table["norm"].to_numpy()[order][:, None] if "norm" in columns else x
+            sims, left, near = np.clip(x @ x.T, 0, 1), np.ones(len(rel), bool), np.zeros(len(rel))
         while len(chosen) < min(most, len(rel)):
             value = np.where(left, rel if not chosen else lam * rel - (1 - lam) * near, -np.inf)
             i = int(np.argmax(value))
             chosen.append(i)
             left[i] = False
             near = np.maximum(near, sims[i])
-        at = order[chosen]
+        at, position = order[chosen], np.arange(1, len(chosen) + 1)
+        if carried is not None:
+            at, position = np.arange(len(rel)), np.zeros(len(rel), np.int64)
+            position[order[chosen]] = np.arange(1, len(chosen) + 1)
         ids = [pa.array(table[c].to_numpy()[at], pa.int64()) for c in ("query_id", "vec_id")]
-        return pa.table([*ids, pa.array(np.arange(1, len(chosen) + 1), pa.int64())], names=["query_id", "vec_id", "position"])
+        out = pa.table([*ids, *(table[c].take(pa.array(at)) for c in carried or ())], names=["query_id", "vec_id", *(carried or ())])
+        return out.append_column("position", pa.array(position, pa.int64(), mask=position == 0))
 
-    return candidates.groupBy("query_id").applyInArrow(run, "query_id long, vec_id long, position long")
+    given = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in candidates.select(*(carried or ())).schema)
+    return candidates.groupBy("query_id").applyInArrow(run, ", ".join(["query_id long", "vec_id long", *([given] if given else []), "position long"]))
 
 
 def coverage(seeds: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -14,8 +14,8 @@ A request has query_id, document_id, vec (null for structure only), query_text,
 8. the texts of the tiling (R21).
 
 All phases are joins by request, document or coordinate; only diversity and tiling look at one request at a time, over candidates and
-coverage, which seeds and tree height bound. A request with no more candidates than seeds takes them all, so it has no diversity and
-no vectors of its candidates are looked up.
+coverage, which seeds and tree height bound. A request with no more candidates than seeds takes them all, so it has no diversity.
+Vectors are shuffled once: the join with the requests gives each candidate's score, that of its sibling, and its vector where diversity looks at it.
 
 Rules. `request_errors` says what is wrong with a request; those requests have no tiling, and neither have requests on
 documents that are not there. A null or missing start is 0, a null end the document's end, null verbatim 0, null hybrid false. A request with seeds and no
@@ -30,11 +30,13 @@ from pyspark.sql import functions as F
 from arbor.functions import coords as K
 from arbor.operators import query_path as P
 from arbor.operators import retrieval as R
-from arbor.operators.navigation import hybrid_in_fused_order, seed_count
-from arbor.operators.vector_search import top_k_join
+from arbor.operators.navigation import seed_count
+from arbor.operators.vector_search import BLOCK_REQUESTS, candidates_join
 
 #: Asked documents up to which nodes of others are dropped before any shuffle.
 FEW_DOCUMENTS = 10_000
+#: Candidates with their vectors that one block gives out, about.
+BLOCK_ROWS = 1 << 17
 
 
 def document_stats(nodes: DataFrame) -> DataFrame:
@@ -85,26 +87,34 @@ def verbatim_tail(plans: DataFrame, leaves: DataFrame) -> DataFrame:
 
 
 def candidates(plans: DataFrame, pinned: DataFrame, vectors: DataFrame, node_texts: DataFrame, chunk: int, most: int, most_text: int) -> DataFrame:
-    """(query_id, document_id, leaf, id, rank): vector candidates of each request, fused with BM25 where it is hybrid.
+    """(query_id, document_id, leaf, id, rank, score, beside, take, vec, norm): vector candidates of each request, fused with BM25 where it is hybrid.
 
-    vectors: document_id, leaf, id, vec, span_start, span_end; node_texts: document_id, doc_key, position, text. most, most_text: the highest k of all
-    requests and of hybrid ones.
+    vectors: document_id, leaf, id, vec, span_start, span_end and perhaps norm; node_texts: document_id, doc_key, position, text. most, most_text: the highest
+    k of all requests and of hybrid ones. score and beside: products with the leaf and with its sibling; vec and norm only where diversity looks at them.
+
+    The text search goes first: its leaves meet the vectors together with the request, so that vectors are shuffled once.
     """
     horizon = pinned.groupBy("query_id").agg(F.min("span_start").alias("horizon"))
     searching = plans.where("n_seeds > 0 and k > 0")
     inside = lambda c: F.when(F.col("windowed"), c)
-    q = searching.join(horizon, "query_id", "left").select("query_id", "document_id", "vec", inside(F.col("lo") * chunk).alias("start"), inside(F.least(F.col("len"), (F.col("hi") + 1) * chunk)).alias("end"), "horizon")
-    near = top_k_join(q, vectors.withColumnRenamed("leaf", "vec_id"), most, "document_id").join(searching.select("query_id", "document_id", "k", "hybrid"), "query_id").where("rank <= k")
-    first = near.select("query_id", "document_id", F.col("vec_id").alias("leaf"), "rank", "hybrid")
-    plain = first.where("not hybrid").drop("hybrid")
+    spans = [inside(F.col("lo") * chunk).alias("start"), inside(F.least(F.col("len"), (F.col("hi") + 1) * chunk)).alias("end")]
+    q = searching.select("query_id", "document_id", "vec", *spans, "k", F.col("n_seeds").alias("take"), "hybrid", _crowded().alias("keep")).join(horizon, "query_id", "left")
+    texts = F.lit(None).cast("array<struct<leaf:bigint,rank:int>>").alias("texts")
     if most_text:
-        by_vector = first.where("hybrid").select("query_id", "document_id", F.concat_ws(":", "document_id", F.lit(0), "leaf").alias("id"), "rank")
-        asked = searching.where("hybrid").select("query_id", "document_id", "query_text", "k")
-        by_text = R.okapi(node_texts, asked.select("query_id", "document_id", "query_text"), most_text).join(asked.select("query_id", "k"), "query_id").where("rank <= k")
-        fused = R.reciprocal_rank_fusion(by_vector, by_text.select("query_id", F.col("doc_key").alias("id"), "rank"), "id")
-        kept = hybrid_in_fused_order(by_vector, fused, vectors.select("id"), "id")
-        plain = plain.unionByName(kept.join(vectors.select("document_id", "leaf", "id"), "id").select("query_id", "document_id", "leaf", "rank"))
-    return plain.withColumn("id", K.node_id(F.col("document_id"), F.lit(0), F.col("leaf")))
+        by_text = R.okapi(node_texts, searching.where("hybrid").select("query_id", "document_id", "query_text"), most_text)
+        by_text = by_text.select("query_id", K.leaf_of(F.col("doc_key")).alias("leaf"), F.col("rank").cast("int").alias("rank")).where("leaf is not null")
+        q = q.join(by_text.groupBy("query_id").agg(F.collect_list(F.struct("leaf", "rank")).alias("by_text")), "query_id", "left")
+        texts = F.filter("by_text", lambda t: t["rank"] <= F.col("k")).alias("texts")
+    rows = max(1, BLOCK_ROWS // most)
+    met = candidates_join(q.select("*", texts), vectors.withColumnRenamed("leaf", "vec_id"), "document_id", ["document_id", "k", "take"], block_requests=min(BLOCK_REQUESTS, rows))
+    w = Window.partitionBy("query_id")
+    near = met.withColumn("near", F.row_number().over(w.orderBy(F.desc_nulls_last("relevance"), "vec_id")))
+    near = near.withColumn("near", F.when(F.col("relevance").isNotNull() & (F.col("near") <= F.col("k")), F.col("near")))
+    # a request without vector candidates has none; the others keep their leaves of the text search
+    kept = near.withColumn("any", F.max("near").over(w)).where("near is not null or (text_rank is not null and any is not null)")
+    order = [F.desc(R.fused(F.col("near"), F.col("text_rank"))), F.asc_nulls_last("near"), F.asc_nulls_last("text_rank")]
+    kept = kept.withColumnRenamed("vec_id", "leaf").withColumn("rank", F.row_number().over(w.orderBy(*order)))
+    return kept.select("query_id", "document_id", "leaf", K.node_id(F.col("document_id"), F.lit(0), F.col("leaf")).alias("id"), "rank", "score", "beside", "take", "vec", "norm")
 
 
 def _crowded() -> Column:
@@ -112,14 +122,19 @@ def _crowded() -> Column:
     return F.col("k") * F.when(F.col("hybrid"), 2).otherwise(1) > F.col("n_seeds")
 
 
-def diverse(plans: DataFrame, found: DataFrame, vectors: DataFrame, lam: float) -> DataFrame:
-    """(query_id, leaf) of the seeds: of the candidates of crowded requests by maximal marginal relevance, all of the others."""
-    asked = plans.where(_crowded()).select("query_id", F.col("n_seeds").alias("take"), F.col("vec").alias("qvec"))
-    x = found.join(asked, "query_id").join(vectors.select("document_id", "leaf", "vec"), ["document_id", "leaf"])
-    rel = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), R.dot(F.col("vec"), F.col("qvec")))), 12)
-    chosen = R.mmr(x.select("query_id", F.col("leaf").alias("vec_id"), rel.alias("relevance"), "rank", "vec", "take"), None, lam)
-    rest = found.join(asked.select("query_id"), "query_id", "left_anti").select("query_id", "leaf")
-    return chosen.select("query_id", F.col("vec_id").alias("leaf")).unionByName(rest)
+def diverse(found: DataFrame, lam: float) -> DataFrame:
+    """The candidates with a position for the seeds: those chosen by maximal marginal relevance, or all of a request that has no more candidates than seeds."""
+    x = found.withColumnRenamed("leaf", "vec_id").withColumn("relevance", F.round("score", 12))
+    return R.mmr(x, None, lam, ["document_id", "id", "score", "beside"]).withColumnRenamed("vec_id", "leaf")
+
+
+def seed_scores(found: DataFrame, cover: DataFrame) -> DataFrame:
+    """(query_id, id, score) of the candidates in coverage and of their siblings; `query_path.seed_scores` without vectors."""
+    here = cover.where("height = 0").select("query_id", "document_id", F.col("level_index").alias("leaf"), "id", "parent_id")
+    own = here.join(found.select("query_id", "leaf", "score", "beside"), ["query_id", "leaf"])
+    sibling = F.struct(K.node_id(F.col("document_id"), F.lit(0), K.sibling(F.col("leaf"))).alias("id"), F.when(F.col("parent_id").isNotNull(), F.col("beside")).alias("score"))
+    both = own.select("query_id", F.explode(F.array(F.struct("id", "score"), sibling)).alias("x")).select("query_id", "x.*").where("score is not null")
+    return both.groupBy("query_id", "id").agg(F.max("score").alias("score"))
 
 
 def retrieve(requests: DataFrame, nodes: DataFrame, vectors: DataFrame, node_texts: DataFrame, *, chunk: int, multiplier: float = 2.5, lam: float = 0.7) -> DataFrame:
@@ -139,13 +154,13 @@ def retrieve(requests: DataFrame, nodes: DataFrame, vectors: DataFrame, node_tex
     most = plans.agg(F.max("k").alias("k"), F.max(F.when(F.col("hybrid") & (F.col("k") > 0), F.col("k"))).alias("text"), F.count_if(_crowded()).alias("crowded"), no_vector).first()  # one row
     if most.no_vector:
         raise ValueError("a request with seeds needs a vector")
-    found = candidates(plans, pinned, spans, node_texts, chunk, most.k or 1, most.text or 0).checkpoint()
-    chosen = diverse(plans, found, vectors, lam) if most.crowded else found.select("query_id", "leaf")
-    seeds = chosen.join(plans.select("query_id", "document_id"), "query_id").select("query_id", "document_id", F.lit(0).alias("height"), F.col("leaf").alias("level_index"))
+    found = candidates(plans, pinned, spans, node_texts, chunk, most.k or 1, most.text or 0)
+    found = (diverse(found, lam) if most.crowded else found.withColumn("position", F.col("rank").cast("long"))).select("query_id", "document_id", "leaf", "score", "beside", "position").checkpoint()
+    seeds = found.where("position is not null").select("query_id", "document_id", F.lit(0).alias("height"), F.col("leaf").alias("level_index"))
     pins = pinned.select("query_id", "document_id", "height", "level_index")
     windows = plans.select("query_id", "document_id", "lo", "hi")
     cover = P.windowed_coverage(seeds.unionByName(pins).distinct(), held, windows, pins).select("query_id", *R.COVERED).checkpoint()
-    scores = P.seed_scores(found, cover, vectors.select("id", "vec"), plans.where("n_seeds > 0").select("query_id", F.col("vec").alias("qvec")))
+    scores = seed_scores(found, cover)
     still = cover.where("height = 0").join(plans.where("n_seeds = 0").select("query_id"), "query_id").select("query_id", "id", F.lit(0.0).alias("score"))
     budgets = plans.select("query_id", (F.col("budget").cast("long") + F.col("verbatim")).alias("budget"))
     return R.tile(cover, scores.unionByName(still), budgets)

@@ -89,58 +89,87 @@ def _pairs(left: np.ndarray, right: np.ndarray):
         begin = end
 
 
+def _near(left: pa.Table, right: pa.Table, q: np.ndarray, x: np.ndarray, most: np.ndarray, windowed: bool):
+    """(places of requests, places of vectors, relevance) of the nearest vectors of each request, as many as it has in `most`; a slice at a time."""
+    ids, keys, own_keys = right["vec_id"].to_numpy(), left["__key"].to_numpy(), right["__key"].to_numpy()
+    if windowed:
+        start, end, horizon = (np.array([v if v is not None else none for v in left[c].to_pylist()], np.float64) for c, none in (("start", -np.inf), ("end", np.inf), ("horizon", np.inf)))
+        lo, hi = right["span_start"].to_numpy(), right["span_end"].to_numpy()
+    for i, j in _pairs(keys, own_keys):
+        if windowed:
+            inside = (lo[j] < end[i]) & (hi[j] > start[i]) & (hi[j] < horizon[i])
+            i, j = i[inside], j[inside]
+        rel = np.round(np.clip(np.einsum("ij,ij->i", q[i], x[j]), 0, 1), 12)
+        order = np.lexsort((ids[j], -rel, i))
+        order = order[rel[order] >= 0]
+        i, j, rel = i[order], j[order], rel[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i, side="left") < most[i]
+        yield i[first], j[first], rel[first]
+    for key, at in _by_key(own_keys).items() if len(own_keys) > FEW_VECTORS else ():
+        if len(at) <= FEW_VECTORS:
+            continue
+        rows = np.flatnonzero(keys == key)
+        for first, rel in products(q[rows], x[at]):
+            some = rows[first : first + len(rel)]
+            if windowed:
+                s, e, z = (v[some][:, None] for v in (start, end, horizon))
+                rel = np.where((lo[at] < e) & (hi[at] > s) & (hi[at] < z), rel, -1.0)
+            for i, r in zip(some.tolist(), rel):
+                got = best(r, ids[at], int(most[i]))
+                yield np.full(len(got), i), at[got], r[got]
+
+
 def _meet(k: int, windowed: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "relevance": []}
         if len(left) and len(right):
-            asked, ids, keys, own_keys = left["query_id"].to_numpy(), right["vec_id"].to_numpy(), left["__key"].to_numpy(), right["__key"].to_numpy()
-            q, x = matrix(left["vec"]), matrix(right["vec"])
-            if windowed:
-                start, end, horizon = (np.array([v if v is not None else none for v in left[c].to_pylist()], np.float64) for c, none in (("start", -np.inf), ("end", np.inf), ("horizon", np.inf)))
-                lo, hi = right["span_start"].to_numpy(), right["span_end"].to_numpy()
-            for i, j in _pairs(keys, own_keys):
-                if windowed:
-                    inside = (lo[j] < end[i]) & (hi[j] > start[i]) & (hi[j] < horizon[i])
-                    i, j = i[inside], j[inside]
-                rel = np.round(np.clip(np.einsum("ij,ij->i", q[i], x[j]), 0, 1), 12)
-                order = np.lexsort((ids[j], -rel, i))
-                order = order[rel[order] >= 0]
-                i, j, rel = i[order], j[order], rel[order]
-                rank = np.arange(len(i)) - np.searchsorted(i, i, side="left")
-                first = rank < k
-                out["query_id"].append(asked[i[first]])
-                out["vec_id"].append(ids[j[first]])
-                out["relevance"].append(rel[first])
-            for key, at in _by_key(own_keys).items() if len(own_keys) > FEW_VECTORS else ():
-                if len(at) <= FEW_VECTORS:
-                    continue
-                rows = np.flatnonzero(keys == key)
-                for first, rel in products(q[rows], x[at]):
-                    some = rows[first : first + len(rel)]
-                    if windowed:
-                        s, e, z = (v[some][:, None] for v in (start, end, horizon))
-                        rel = np.where((lo[at] < e) & (hi[at] > s) & (hi[at] < z), rel, -1.0)
-                    for i, r in zip(some.tolist(), rel):
-                        got = best(r, ids[at], k)
-                        out["query_id"].append(np.full(len(got), asked[i]))
-                        out["vec_id"].append(ids[at[got]])
-                        out["relevance"].append(r[got])
+            asked, ids = left["query_id"].to_numpy(), right["vec_id"].to_numpy()
+            for i, j, rel in _near(left, right, matrix(left["vec"]), matrix(right["vec"]), np.full(len(left), k), windowed):
+                out["query_id"].append(asked[i])
+                out["vec_id"].append(ids[j])
+                out["relevance"].append(rel)
         join = lambda name, kind: pa.array(np.concatenate(out[name]) if out[name] else [], kind)
         return pa.table({"query_id": join("query_id", pa.int64()), "vec_id": join("vec_id", pa.int64()), "relevance": join("relevance", pa.float64())})
 
     return run
 
 
-def top_k_join(requests: DataFrame, vectors: DataFrame, k: int, key: str | None = None, block_vectors: int = BLOCK_VECTORS, block_requests: int = BLOCK_REQUESTS) -> DataFrame:
-    """(query_id, vec_id, relevance, rank): the k nearest vectors of each request among those with its key, exact; ties by id.
+def _dots(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Dot products of pairs clipped to 0..1, added up in order as `retrieval.dot` does; nan where j is negative."""
+    out = np.full(len(i), np.nan)
+    at = np.flatnonzero(j >= 0)
+    for k in range(0, len(at), PAIRS):
+        some = at[k : k + PAIRS]
+        out[some] = np.clip(np.cumsum(q[i[some]] * x[j[some]], axis=1)[:, -1], 0, 1)
+    return out
 
-    requests: query_id, vec, the key, and where they are windowed start, end and horizon (null: none); vectors: vec_id, vec, the key, and then span_start and
-    span_end. A vector is in a window that it overlaps, and must end before the horizon. Null vectors meet nothing. A request may stand in several keys.
-    """
-    windowed = "horizon" in requests.columns
-    name = [F.col(key) if key else F.lit(0)][0].cast("long").alias("__key")
-    q = requests.where("vec is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("vec").cast("array<double>").alias("vec"), name, *(["start", "end", "horizon"] if windowed else []))
-    v = vectors.where("vec is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vec").cast("array<double>").alias("vec"), name, *(["span_start", "span_end"] if windowed else []))
+
+def _meet_candidates(carried: list[str]):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, own_keys, ids = left["__key"].to_pylist(), right["__key"].to_pylist(), right["vec_id"].to_pylist()
+        i, j, rel, texts = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), {}
+        q = x = np.zeros((0, 1))
+        place: dict = {}
+        if len(left) and len(right):
+            q, x = matrix(left["vec"]), matrix(right["vec"]) / right["norm"].to_numpy()[:, None]
+            i, j, rel = (np.concatenate(v) for v in zip((i, j, rel), *_near(left, right, q, x, left["k"].to_numpy(), True)))
+            place = {at: n for n, at in enumerate(zip(own_keys, ids))}
+            texts = {(n, place[key, t["leaf"]]): t["rank"] for n, (key, own) in enumerate(zip(keys, left["texts"].to_pylist())) for t in own or () if (key, t["leaf"]) in place}
+        ranks = [texts.pop(at, None) for at in zip(i.tolist(), j.tolist())] + list(texts.values())
+        i, j = (np.concatenate([v, np.array([at[n] for at in texts], np.int64)]) for n, v in enumerate((i, j)))
+        rel = np.concatenate([rel, np.full(len(texts), np.nan)])
+        beside = np.array([place.get((keys[a], ids[b] ^ 1), -1) for a, b in zip(i.tolist(), j.tolist())], np.int64)
+        known = lambda v: pa.array(v, pa.float64(), mask=np.isnan(v))
+        own = left.select(["query_id", *carried]).take(pa.array(i))
+        kept = pa.array(j, mask=~left["keep"].to_numpy(zero_copy_only=False)[i].astype(bool)) if len(i) else pa.array([], pa.int64())
+        more = {"vec_id": right["vec_id"].take(pa.array(j)), "relevance": known(rel), "score": known(_dots(q, x, i, j)), "beside": known(_dots(q, x, i, beside)), "text_rank": pa.array(ranks, pa.int32()), "vec": right["vec"].take(kept), "norm": right["norm"].take(kept)}
+        return pa.table({**{c: own[c] for c in own.column_names}, **more})
+
+    return run
+
+
+def _in_blocks(q: DataFrame, v: DataFrame, block_vectors: int, block_requests: int):
+    """Requests and vectors with a __key, each grouped by blocks, for a cogroup. A vector and its sibling (the id with its last bit turned) share a block."""
     count = lambda df, to: df.where("__key is not null").groupBy("__key").agg(F.count("*").alias(to))
     sizes = count(v, "nv").join(count(q, "nq"), "__key")
     # small keys share a block: packs by the vectors and requests that fill one, not by keys
@@ -158,13 +187,48 @@ def top_k_join(requests: DataFrame, vectors: DataFrame, k: int, key: str | None
     many = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     q, v = (x.where("__key is not null") for x in (q, v))
     q = blocks(q).withColumn("vb", many("nv")).select(*q.columns, pack, F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int").alias("qb"), "vb")
-    v = blocks(v).withColumn("qb", many("nq")).select(*v.columns, pack, "qb", F.pmod(F.xxhash64("vec_id"), F.col("nv")).cast("int").alias("vb"))
+    v = blocks(v).withColumn("qb", many("nq")).select(*v.columns, pack, "qb", F.pmod(F.xxhash64(F.shiftright("vec_id", 1)), F.col("nv")).cast("int").alias("vb"))
     at = ["pack", "qb", "vb"]
-    met = q.groupBy(*at).cogroup(v.groupBy(*at)).applyInArrow(_meet(k, windowed), "query_id long, vec_id long, relevance double")
+    return q.groupBy(*at), v.groupBy(*at)
+
+
+def top_k_join(requests: DataFrame, vectors: DataFrame, k: int, key: str | None = None, block_vectors: int = BLOCK_VECTORS, block_requests: int = BLOCK_REQUESTS) -> DataFrame:
+    """(query_id, vec_id, relevance, rank): the k nearest vectors of each request among those with its key, exact; ties by id.
+
+    requests: query_id, vec, the key, and where they are windowed start, end and horizon (null: none); vectors: vec_id, vec, the key, and then span_start and
+    span_end. A vector is in a window that it overlaps, and must end before the horizon. Null vectors meet nothing. A request may stand in several keys.
+    """
+    windowed = "horizon" in requests.columns
+    name = [F.col(key) if key else F.lit(0)][0].cast("long").alias("__key")
+    q = requests.where("vec is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("vec").cast("array<double>").alias("vec"), name, *(["start", "end", "horizon"] if windowed else []))
+    v = vectors.where("vec is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vec").cast("array<double>").alias("vec"), name, *(["span_start", "span_end"] if windowed else []))
+    left, right = _in_blocks(q, v, block_vectors, block_requests)
+    met = left.cogroup(right).applyInArrow(_meet(k, windowed), "query_id long, vec_id long, relevance double")
     w = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "vec_id")
     return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def candidates_join(requests: DataFrame, vectors: DataFrame, key: str, carried: list[str], block_vectors: int = BLOCK_VECTORS, block_requests: int = BLOCK_REQUESTS) -> DataFrame:
+    """What later steps ask of the vectors of each request's candidates, so that vectors are shuffled once.
+
+    requests: query_id, vec, the key, start, end and horizon as in `top_k_join`, k (of this request), texts (its candidates of another search, an array of leaf and
+    rank, or null), keep (whether it needs its candidates' vectors) and carried columns, k among them; vectors: vec_id, vec, the key, span_start, span_end and, where vec
+    is not of unit length, its norm.
+
+    A row (query_id, carried columns, vec_id, relevance, score, beside, text_rank, vec, norm) is a vector that is among the k nearest of a block, or one of texts
+    (text_rank; relevance is null where it is not among the nearest). score and beside are the products with it and with its sibling, not rounded; beside is
+    null without one.
+    """
+    name = F.col(key).cast("long").alias("__key")
+    norm = F.col("norm") if "norm" in vectors.columns else F.lit(1.0)
+    q = requests.where("vec is not null").select(F.col("query_id").cast("long").alias("query_id"), F.col("vec").cast("array<double>").alias("vec"), name, "start", "end", "horizon", "texts", "keep", *carried)
+    v = vectors.where("vec is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "vec", norm.alias("norm"), name, "span_start", "span_end")
+    left, right = _in_blocks(q, v, block_vectors, block_requests)
+    given = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in q.select("query_id", *carried).schema)
+    schema = f"{given}, vec_id long, relevance double, score double, beside double, text_rank int, vec {v.schema['vec'].dataType.simpleString()}, norm double"
+    return left.cogroup(right).applyInArrow(_meet_candidates(carried), schema)
+
+
 def _nearest(x: np.ndarray, centers: np.ndarray, probes: int) -> np.ndarray:
     """The nearest centers of each vector, ties to the smallest number."""
     out, step = np.zeros((len(x), min(probes, len(centers))), np.int64), max(1, PRODUCTS // max(1, len(centers)))

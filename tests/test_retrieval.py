@@ -76,3 +76,19 @@ def test_small_groups_go_through_arrow_without_a_data_frame_each(spark):
         assert "FlatMapGroupsInArrow" in plan and "FlatMapGroupsInPandas" not in plan
     got = sorted((r.query_id, r.position, r.vec_id) for r in chosen.collect())
     assert [(q, p) for q, p, _ in got] == [(1, 1), (1, 2), (1, 3), (2, 1)] and got[0][2] == 0 and got[3][2] == 9
+
+
+def test_okapi_reads_its_texts_once(spark):
+    _, texts, _ = _okapi_rows(spark, None)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    kind = "document_id long, doc_key string, position int, text string"
+    t = spark.createDataFrame(texts, kind).mapInArrow(counted, kind)
+    q = spark.createDataFrame([(1, 0, "alpha beta beta"), (2, 3, "omega")], "query_id long, document_id long, query_text string")
+    assert R.okapi(t, q, 6).count() == 12
+    assert read.value == len(texts)

@@ -229,3 +229,31 @@ def test_mixed_modes_cover_their_windows_within_budget(spark):
             assert sum(x.token_count for x in t) <= 200 + q % 300 + (120 if q % 4 == 1 else 0)
         if q % 4 == 3:
             assert all(x.score == 0 for x in t)
+
+
+def test_vectors_meet_requests_once_and_go_no_further(spark, monkeypatch):
+    """Diversity and scores take what the one join of requests and vectors gives; neither looks vectors up again."""
+    ensure_checkpoint_dir(spark)
+    plans, real = [], Q.R.mmr
+
+    def mmr(candidates, *a, **k):
+        plans.append(candidates._jdf.queryExecution().optimizedPlan().toString())
+        return real(candidates, *a, **k)
+
+    monkeypatch.setattr(Q.R, "mmr", mmr)
+    tiles = Q.retrieve(*_two_requests(spark), chunk=CHUNK, multiplier=1.5)
+    assert len(plans) == 1 and plans[0].count("FlatMapCoGroupsInArrow") == 1 and "Join" not in plans[0].split("FlatMapCoGroupsInArrow")[0]
+    plan = tiles._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "vec" in line and "LogicalRDD" not in line]
+    assert tiles.count() > 4
+
+
+def test_vectors_may_come_with_their_norm(spark):
+    from pyspark.sql import functions as F
+
+    ensure_checkpoint_dir(spark)
+    df, nodes, vectors, texts = _two_requests(spark)
+    unit = vectors.withColumn("vec", Q.R.unit(F.col("vec")))
+    given = vectors.withColumn("norm", Q.R.norm(F.col("vec")))
+    rows = lambda v: sorted(Q.retrieve(df, nodes, v, texts, chunk=CHUNK).collect(), key=str)
+    assert rows(unit) == rows(given)

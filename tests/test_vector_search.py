@@ -195,3 +195,31 @@ def test_keys_of_several_blocks_among_many(spark, monkeypatch, few):
         rel = {v: round(min(1.0, max(0.0, w[0] + w[1] * i / 9)), 12) for v, d, w in rows if d == i % 40}
         assert [v for _, v in sorted(got.get(i, []))] == sorted(rel, key=lambda v: (-rel[v], v))[:3]
     assert 99 not in got
+
+
+@pytest.mark.parametrize("nv,nq", [(8192, 1024), (20, 3)])
+def test_candidates_come_with_what_is_asked_of_their_vectors(spark, nv, nq):
+    """Nearest vectors and those of another search, with their and their siblings' products, also where a document is many blocks."""
+    x, q, r = _vectors(300), _vectors(40, 3), np.random.default_rng(5)
+    doc = [1 if i < 200 else 2 + i // 30 for i in range(300)]
+    asked = [1 if i % 3 else 9 for i in range(40)]
+    scale = [1.0 + i % 4 for i in range(300)]
+    texts = [[(int(v), n) for n, v in enumerate(r.choice(320, 5, replace=False), 1)] if i % 2 else None for i in range(40)]
+    rows = [(i, asked[i], v.tolist(), None, None, 250 if i % 5 == 0 else None, texts[i], i % 4 != 0, 1 + i % 6) for i, v in enumerate(q)]
+    requests = spark.createDataFrame(rows, "query_id long, doc long, vec array<double>, start long, end long, horizon long, texts array<struct<leaf:long,rank:int>>, keep boolean, k long")
+    vectors = spark.createDataFrame([(i, doc[i], (v * scale[i]).tolist(), scale[i], i, i + 1) for i, v in enumerate(x)], "vec_id long, doc long, vec array<double>, norm double, span_start long, span_end long")
+    got = {}
+    for c in X.candidates_join(requests, vectors, "doc", ["doc", "k"], nv, nq).collect():
+        assert (c.query_id, c.vec_id) not in got and c.doc == asked[c.query_id] == doc[c.vec_id] and c.k == 1 + c.query_id % 6
+        got[c.query_id, c.vec_id] = c
+    for i in range(40):
+        own = {j: round(min(1.0, max(0.0, float(q[i] @ x[j]))), 12) for j in range(300) if doc[j] == asked[i]}
+        k, ok = 1 + i % 6, [j for j in own if i % 5 or j + 1 < 250]
+        mine = {j: c for (a, j), c in got.items() if a == i}
+        near = sorted((j for j, c in mine.items() if c.relevance is not None), key=lambda j: (-mine[j].relevance, j))[:k]
+        assert near == sorted(ok, key=lambda j: (-own[j], j))[:k]
+        assert {j: c.text_rank for j, c in mine.items() if c.text_rank is not None} == {j: n for j, n in texts[i] or () if j in own}
+        for j, c in mine.items():
+            assert abs(c.score - own[j]) < 1e-9 and (c.beside is None) == (j ^ 1 not in own) and (c.vec is None) == (i % 4 == 0)
+            assert c.beside is None or abs(c.beside - own[j ^ 1]) < 1e-9
+            assert c.vec is None or np.allclose(np.array(c.vec) / c.norm, x[j])
