@@ -80,13 +80,13 @@ def okapi(texts: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: floa
     toks = lambda c: F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(WORDS), F.lit(0))
     wanted = queries.select("document_id", F.explode_outer(toks("query_text")).alias("term")).groupBy("document_id").agg(F.collect_set("term").alias("w"))
     wanted = wanted.select("document_id", F.when(F.size("w") <= FEW_TERMS, F.col("w")).alias("wanted"))
-    is_asked = lambda term: F.col("wanted").isNull() | F.array_contains("wanted", term)
     here = texts.join(wanted, "document_id").select("document_id", "doc_key", "position", "wanted", toks("text").alias("t"))
-    here = here.withColumn("hits", F.filter("t", is_asked)).withColumn("asked", F.array_distinct("hits"))
-    tf = F.transform("asked", lambda term: F.struct(term.alias("term"), (F.size("hits") - F.size(F.array_remove("hits", term))).alias("tf")))
-    here = here.select("document_id", F.struct("doc_key", "position", F.size("t").alias("dl"), tf.alias("hits")).alias("node"), "t", "hits", "asked")
+    asked, others = F.coalesce(F.array_intersect("t", "wanted"), F.array_distinct("t")), F.coalesce(F.array_except("t", "wanted"), F.array().cast("array<string>"))
+    here = here.withColumns({"asked": asked, "others": others})
+    tf = F.transform("asked", lambda term: F.struct(term.alias("term"), (F.size("t") - F.size(F.array_remove("t", term))).alias("tf")))
+    here = here.select("document_id", F.struct("doc_key", "position", F.size("t").alias("dl"), tf.alias("hits")).alias("node"), "asked", "others")
     # a text gives a row of its own, with no word, and one for each of its words: asked ones, then the others
-    rows = here.select("document_id", "node", "asked", F.posexplode(F.concat(F.array(F.lit("")), "asked", F.array_except("t", "hits"))).alias("at", "term"))
+    rows = here.select("document_id", "node", "asked", F.posexplode(F.concat(F.array(F.lit("")), "asked", "others")).alias("at", "term"))
     rows = rows.select("document_id", F.when(F.col("at") == 0, F.col("node")).alias("node"), (F.col("at") <= F.size("asked")).alias("known"), "term")
     counted = rows.groupBy("document_id", "node", "known", "term").agg(F.count("*").alias("df"))
     found = counted.groupBy("document_id", "node", F.when(F.col("known"), F.col("term")).alias("term"), "df").agg(F.count("*").alias("terms")).checkpoint()
@@ -186,39 +186,71 @@ def similarities(left: DataFrame, right: DataFrame, block: int = 512) -> DataFra
     return a.groupBy("query_id", "i", "j").cogroup(b.groupBy("query", "row", "column")).applyInArrow(_products, "query_id long, a long, b long, similarity double")
 
 
+def _whole_groups(batches, key: str):
+    """Tables of whole groups from batches in which the rows of a group follow each other; a group that goes on in the next batch is carried there."""
+    held = None
+    for b in batches:
+        table = pa.Table.from_batches([b])
+        table = pa.concat_tables([held, table]) if held is not None else table
+        keys = table[key].to_numpy()
+        last = int(np.flatnonzero(keys[1:] != keys[:-1])[-1]) + 1 if len(keys) and keys[0] != keys[-1] else 0
+        if last:
+            yield table.slice(0, last).combine_chunks()
+        held = table.slice(last)
+    if held is not None and len(held):
+        yield held.combine_chunks()
+
+
 def mmr(candidates: DataFrame, k: int | None, lam: float = 0.7, carried: list[str] | None = None) -> DataFrame:
     """Maximal marginal relevance: (query_id, vec_id, position) from (query_id, vec_id, relevance, rank, vec), k of each query, or as many as its column `take` says.
 
-    Vectors may come with their norm, over which they are taken. With carried columns, all candidates come back with these, those not chosen without a position; queries with no
-    more candidates than asked for take them all in the order of their rank, and need no vectors.
     Sequential by nature, so one group of candidates (a few times k) is one table.
+
+    With carried columns, all candidates come back with these, those not chosen without a position; queries with no more candidates than asked for take them all in the order of
+    their rank, and need no vectors. Then the rows of a query must be in one partition, and pass as a sorted stream. Vectors may come with their norm.
     """
     columns = candidates.columns
 
-    def run(table: pa.Table) -> pa.Table:
-        order = np.argsort(table["rank"].to_numpy(), kind="stable")
-        rel, most = table["relevance"].to_numpy()[order], k if k is not None else table["take"][int(order[0])].as_py()
-        chosen = list(range(len(rel))) if carried is not None and len(rel) <= most else []
-        if not chosen:
-            x = matrix(table["vec"])[order]
-            x = x / table["norm"].to_numpy()[order][:, None] if "norm" in columns else x
-            sims, left, near = np.clip(x @ x.T, 0, 1), np.ones(len(rel), bool), np.zeros(len(rel))
-        while len(chosen) < min(most, len(rel)):
-            value = np.where(left, rel if not chosen else lam * rel - (1 - lam) * near, -np.inf)
+    def chosen(rel: np.ndarray, x: np.ndarray, most: int) -> list[int]:
+        sims, left, got, near = np.clip(x @ x.T, 0, 1), np.ones(len(rel), bool), [], np.zeros(len(rel))
+        while len(got) < min(most, len(rel)):
+            value = np.where(left, rel if not got else lam * rel - (1 - lam) * near, -np.inf)
             i = int(np.argmax(value))
-            chosen.append(i)
+            got.append(i)
             left[i] = False
             near = np.maximum(near, sims[i])
-        at, position = order[chosen], np.arange(1, len(chosen) + 1)
-        if carried is not None:
-            at, position = np.arange(len(rel)), np.zeros(len(rel), np.int64)
-            position[order[chosen]] = np.arange(1, len(chosen) + 1)
-        ids = [pa.array(table[c].to_numpy()[at], pa.int64()) for c in ("query_id", "vec_id")]
-        out = pa.table([*ids, *(table[c].take(pa.array(at)) for c in carried or ())], names=["query_id", "vec_id", *(carried or ())])
-        return out.append_column("position", pa.array(position, pa.int64(), mask=position == 0))
+        return got
 
-    given = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in candidates.select(*(carried or ())).schema)
-    return candidates.groupBy("query_id").applyInArrow(run, ", ".join(["query_id long", "vec_id long", *([given] if given else []), "position long"]))
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(table["rank"].to_numpy(), kind="stable")
+        x, rel, most = vectors(table)[order], table["relevance"].to_numpy()[order], k if k is not None else table["take"][int(order[0])].as_py()
+        at = order[chosen(rel, x, most)]
+        ids = [pa.array(table[c].to_numpy()[at], pa.int64()) for c in ("query_id", "vec_id")]
+        return pa.table([*ids, pa.array(np.arange(1, len(at) + 1), pa.int64())], names=["query_id", "vec_id", "position"])
+
+    def vectors(table: pa.Table) -> np.ndarray:
+        x = matrix(table["vec"])
+        return x / table["norm"].to_numpy()[:, None] if "norm" in columns else x
+
+    def stream(batches):
+        for table in _whole_groups(batches, "query_id"):
+            keys, rel = table["query_id"].to_numpy(), table["relevance"].to_numpy()
+            most = table["take"].to_numpy() if k is None else np.full(len(keys), k)
+            known = ~np.asarray(table["vec"].is_null())
+            x = vectors(table.filter(pa.array(known))) if known.any() else np.zeros((0, 1))
+            at, position = np.cumsum(known) - 1, np.zeros(len(keys), np.int64)
+            ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys))
+            for first, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
+                crowded = end - first > most[first]
+                got = chosen(rel[first:end], x[at[first:end]], int(most[first])) if crowded else np.arange(end - first)
+                position[first + np.asarray(got, np.int64)] = np.arange(1, len(got) + 1)
+            out = table.select(["query_id", "vec_id", *carried]).append_column("position", pa.array(position, pa.int64(), mask=position == 0))
+            yield from out.combine_chunks().to_batches()
+
+    if carried is None:
+        return candidates.groupBy("query_id").applyInArrow(run, "query_id long, vec_id long, position long")
+    given = "".join(f", {f.name} {f.dataType.simpleString()}" for f in candidates.select(*carried).schema)
+    return candidates.sortWithinPartitions("query_id", "rank").mapInArrow(stream, f"query_id long, vec_id long{given}, position long")
 
 
 def coverage(seeds: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -106,7 +106,7 @@ def candidates(plans: DataFrame, pinned: DataFrame, vectors: DataFrame, node_tex
         q = q.join(by_text.groupBy("query_id").agg(F.collect_list(F.struct("leaf", "rank")).alias("by_text")), "query_id", "left")
         texts = F.filter("by_text", lambda t: t["rank"] <= F.col("k")).alias("texts")
     rows = max(1, BLOCK_ROWS // most)
-    met = candidates_join(q.select("*", texts), vectors.withColumnRenamed("leaf", "vec_id"), "document_id", ["document_id", "k", "take"], block_requests=min(BLOCK_REQUESTS, rows))
+    met = candidates_join(q.select("*", texts), vectors.withColumnRenamed("leaf", "vec_id"), "document_id", ["document_id", "k", "take"], block_requests=min(BLOCK_REQUESTS, rows)).repartition("query_id")
     w = Window.partitionBy("query_id")
     near = met.withColumn("near", F.row_number().over(w.orderBy(F.desc_nulls_last("relevance"), "vec_id")))
     near = near.withColumn("near", F.when(F.col("relevance").isNotNull() & (F.col("near") <= F.col("k")), F.col("near")))
@@ -114,7 +114,7 @@ def candidates(plans: DataFrame, pinned: DataFrame, vectors: DataFrame, node_tex
     kept = near.withColumn("any", F.max("near").over(w)).where("near is not null or (text_rank is not null and any is not null)")
     order = [F.desc(R.fused(F.col("near"), F.col("text_rank"))), F.asc_nulls_last("near"), F.asc_nulls_last("text_rank")]
     kept = kept.withColumnRenamed("vec_id", "leaf").withColumn("rank", F.row_number().over(w.orderBy(*order)))
-    return kept.select("query_id", "document_id", "leaf", K.node_id(F.col("document_id"), F.lit(0), F.col("leaf")).alias("id"), "rank", "score", "beside", "take", "vec", "norm")
+    return kept.select("query_id", "document_id", "leaf", K.node_id(F.col("document_id"), F.lit(0), F.col("leaf")).alias("id"), "rank", "score", "beside", "take", "vec", "norm")  # no step after the repartition moves a row, which diversity relies on
 
 
 def _crowded() -> Column:

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from arbor.operators import retrieval as R
 from arbor.operators.retrieval import greedy_tiling, propagate, with_siblings
 
@@ -92,3 +94,21 @@ def test_okapi_reads_its_texts_once(spark):
     q = spark.createDataFrame([(1, 0, "alpha beta beta"), (2, 3, "omega")], "query_id long, document_id long, query_text string")
     assert R.okapi(t, q, 6).count() == 12
     assert read.value == len(texts)
+
+
+def test_mmr_of_sorted_candidates_is_a_stream(spark):
+    """The same choice as by groups, over the ends of batches; without vectors where there is nothing to choose."""
+    rows = [(q, i, 1 - (i * 7 + q) % 10 / 10, 1 + (i * 3) % (1 + q), [1.0 + q, (i * 5 + q) % 7 / 7, i % 3 / 3], 2.0, q // 2) for q in range(1, 12) for i in range(1 + q)]
+    x = spark.createDataFrame(rows, "query_id long, vec_id long, relevance double, rank long, vec array<double>, norm double, take long")
+    want = {(r.query_id, r.vec_id): r.position for r in R.mmr(x.where("take > 0"), None).collect()}
+    few = x.withColumn("take", F.when(F.col("query_id") % 3 == 0, 40).otherwise(F.col("take"))).withColumn("vec", F.when(F.col("query_id") % 3 > 0, F.col("vec")))
+    found = R.mmr(few.repartition("query_id"), None, carried=["rank"])
+    assert "GroupsInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = found.collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.position == (r["rank"] if r.query_id % 3 == 0 else want.get((r.query_id, r.vec_id)))
